@@ -76,5 +76,5 @@ def parse_date(text: Column) -> Column:
 
 
 def epoch_ms(ts: Column) -> Column:
-    """Milliseconds since 1970-01-01 UTC."""
-    return F.unix_millis(ts)
+    """Milliseconds since 1970-01-01 UTC, rounded half-even."""
+    return F.bround(F.unix_micros(ts) / 1000).cast("bigint")

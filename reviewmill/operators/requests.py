@@ -70,10 +70,10 @@ def _words(text: Column) -> Column:
 
 
 def mentioned_categories(question: Column) -> Column:
-    """Category names whose words occur in the question."""
+    """Category names whose words occur in the question ("other" cannot be asked for)."""
     text = F.concat(F.lit(" "), F.array_join(_words(question), " "), F.lit(" "))
     found = []
-    for name in CATEGORY_CODES:
+    for name in [name for name, code in CATEGORY_CODES.items() if code > 0]:
         words = F.array_join(_words(F.lit(name)), " ")
         found.append(F.when(F.contains(text, F.concat(F.lit(" "), words, F.lit(" "))), F.lit(name)))
     return F.array_compact(F.array(*found))
