@@ -188,6 +188,22 @@ ORACLES: dict[str, str] = {
         SELECT c_name AS name, lower(c_name) AS homepage, c_custkey % 5 + 0.5::double AS stars,
                c_acctbal AS trust_score, CAST(c_custkey AS int) AS n_reviews, n_name AS country
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "ingest_reviews": _with(
+        "rv_orders",
+        f"""SELECT id, company_id, company, ts AS timestamp,
+               CASE WHEN status <> 'P' THEN {BATCH_TIME} END AS created_at,
+               CASE WHEN status <> 'P' OR rating = 1
+                    THEN 'Order «' || id || '»' || chr(10) || 'rated' END AS content,
+               rating, likes, CASE WHEN status = 'P' THEN category END AS category,
+               CAST(CASE WHEN status <> 'P' OR rating = 1 THEN 768 END AS int) AS dim
+        FROM rv_orders""",
+    ),
+    "ingest_companies": _with(
+        "company",
+        """SELECT id, name, homepage, country FROM company UNION ALL
+           SELECT CAST(24 + row_number() OVER (ORDER BY lower(c_name)) AS int), c_name, lower(c_name), n_name
+           FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    ),
     "next_page_link": """
         SELECT page_id, CASE WHEN contains(url, 'page=') THEN
                'https://reviews.example' || regexp_extract(url, '^https?://[^/]+(/[^#]*)', 1) END AS next_url

@@ -25,7 +25,7 @@ from reviewmill.operators import (
     sampling,
 )
 from reviewmill.operators.embedding import embed_text
-from reviewmill.plans import actions, adhoc, payload, reports
+from reviewmill.plans import actions, adhoc, ingest, payload, reports
 from reviewmill.schema import REVIEW, conform
 from reviewmill.session import shared_path
 from reviewmill.sources import fixtures, pages, tables
@@ -204,9 +204,8 @@ def extract_reviews(spark, sf_dir):
     return _plain(pages.extract_reviews(_review_pages(spark, sf_dir), companies))
 
 
-@query
-def extract_companies(spark, sf_dir):
-    """Customers as companies; every one is listed again, with other stars, on a later page."""
+def _company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages listing customers as companies; every one is listed again, with other stars, later."""
     customer = fixtures.table(spark, sf_dir, "customer")
     nation = fixtures.table(spark, sf_dir, "nation")
     listed = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -220,12 +219,16 @@ def extract_companies(spark, sf_dir):
         F.struct(F.col("n_name").alias("country")).alias("location"),
     )
     page_id = F.floor(F.col("c_custkey") / 20) * 2 + F.col("listing")
-    listing = (
+    return (
         listed.groupBy(page_id.alias("page_id"))
         .agg(F.collect_list(record).alias("units"))
         .select("page_id", _script(F.col("units"), "newestBusinessUnits").alias("html"))
     )
-    return pages.extract_companies(listing)
+
+
+@query
+def extract_companies(spark, sf_dir):
+    return pages.extract_companies(_company_pages(spark, sf_dir))
 
 
 @query
@@ -259,6 +262,31 @@ def cap_pages(spark, sf_dir):
     return pages.cap_pages(crawled).select("company", "page_no")
 
 
+@query
+def ingest_reviews(spark, sf_dir):
+    """All reviews scraped into a table that holds the open orders, some of them with other dates."""
+    stored = _target(spark, sf_dir).join(_open_orders(spark, sf_dir), "id")
+    moved = F.when(F.col("rating") == 1, F.col("timestamp") - F.expr("INTERVAL 1 DAY"))
+    stored = stored.withColumn("timestamp", F.coalesce(moved, F.col("timestamp")))
+    stored = conform(stored, REVIEW)
+    found = ingest.ingest_reviews(
+        stored,
+        fixtures.companies(spark, sf_dir),
+        _review_pages(spark, sf_dir),
+        batch_ts=F.lit(BATCH_TIME).cast("timestamp"),
+    )
+    return _plain(found.withColumn("dim", F.size("embedding")).drop("embedding"))
+
+
+@query
+def ingest_companies(spark, sf_dir):
+    """The nations' companies after customers were listed; customers become new companies."""
+    found = ingest.ingest_companies(
+        fixtures.companies(spark, sf_dir), _company_pages(spark, sf_dir)
+    )
+    return found.select("id", "name", "homepage", "country")
+
+
 # --- text output -----------------------------------------------------------------------
 
 

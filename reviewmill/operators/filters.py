@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewmill.fixed_values import PAGE_SIZE
 from reviewmill.functions.codes import category_codes
-from reviewmill.operators.joins import is_small, only_keys
+from reviewmill.operators.joins import is_small, lowest_rows, only_keys
 
 DateLike = str | date | datetime | None
 
+# Columns too wide to be carried through a top-n.
+WIDE = {"content", "embedding"}
+
 
 def project(df: DataFrame, cols: Sequence[str] = ()) -> DataFrame:
     """The named columns; none named means all."""
@@ -83,13 +86,16 @@ def review_search(
     """Filter, order newest first, limit, project.
 
     Rows are ordered where the order shows: when the timestamp is among the columns asked
-    for, or a limit has to choose (a top-n, not a full sort).
+    for, or a limit has to choose (a top-n, not a full sort). Texts and vectors are read
+    for the chosen rows only after the top-n.
     """
     found = df.where(
         equals_predicate(equals or {})
         & membership_predicate(members or {}, mode)
         & date_predicate(start_date, end_date)
     )
+    if limit and WIDE.intersection(cols or df.columns):
+        found = lowest_rows(found, [F.col("timestamp").desc(), "id"], limit, ["id"])
     if limit or "timestamp" in cols:
         found = newest_first(found)
     if limit:

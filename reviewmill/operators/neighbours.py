@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from reviewmill.fixed_values import RETRIEVED_REVIEWS
+from reviewmill.functions import topk
 from reviewmill.functions.codes import category_name
 from reviewmill.functions.vectors import l2_distance, vector_literal
 from reviewmill.operators.joins import BROADCAST_ROWS
 
+cloudpickle.register_pickle_by_value(topk)
+
 # At most this many vectors are held by a task; larger sides are cut into blocks.
 HELD_VECTORS = 1000
 BLOCK_VECTORS = 20_000
@@ -24,128 +25,15 @@ BLOCK_VECTORS = 20_000
 def nearest_one(
     df: DataFrame, query: Sequence[float], k: int, vector: str = "embedding", key: str = "id"
 ) -> DataFrame:
-    """The ``k`` rows nearest to one query vector; rows without a vector come last.
+    """The ``k`` rows nearest to one query vector, nearest first; rows without a vector come last.
 
-    A top-n plan: every task keeps ``k`` rows, nothing is sorted as a whole.
+    Keys and vectors go through a top-n plan (every task keeps ``k`` rows, nothing is sorted
+    as a whole); the other columns are fetched for the rows found.
     """
     dist = l2_distance(F.col(vector), vector_literal(query))
-    return df.withColumn("dist", dist).orderBy(F.col("dist").asc_nulls_last(), key).limit(k)
-
-
-def _matrix(vectors: pa.Array, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Valid flags and the valid vectors as a double matrix."""
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = vectors.combine_chunks()
-    valid = np.asarray(vectors.is_valid())
-    flat = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = int(valid.sum())
-    if dim is None:
-        dim = flat.size // rows if rows else 0
-    if flat.size != rows * dim:
-        raise ValueError("vectors differ in length")
-    return valid, flat.reshape(rows, dim)
-
-
-def _distances(valid: np.ndarray, matrix: np.ndarray, query: np.ndarray | None) -> np.ndarray:
-    """Distance of each row to the query; infinite where a vector is missing."""
-    dist = np.full(len(valid), np.inf)
-    if query is not None:
-        diff = matrix - query
-        dist[valid] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-    return dist
-
-
-def _lowest(dist: np.ndarray, keys: Sequence, k: int) -> list[tuple[float, object]]:
-    """The ``k`` lowest (distance, key) pairs in order; ``keys`` is read for candidates only."""
-    if len(dist) > k:
-        candidates = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1])
-    else:
-        candidates = np.arange(len(dist))
-    return sorted((float(dist[i]), keys[int(i)]) for i in candidates)[:k]
-
-
-def _query_vectors(table: pa.Table) -> list[tuple[object, np.ndarray | None]]:
-    valid, matrix = _matrix(table.column(1), None)
-    rows = iter(matrix)
-    return [(name, next(rows) if ok else None) for name, ok in zip(table.column(0).to_pylist(), valid)]
-
-
-def _batch(pairs: list, name_type: pa.DataType, key_type: pa.DataType) -> pa.RecordBatch:
-    names, dists, keys = zip(*pairs) if pairs else ((), (), ())
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(names, type=name_type),
-            pa.array([None if math.isinf(d) else d for d in dists], type=pa.float64()),
-            pa.array(keys, type=key_type),
-        ],
-        ["_query", "_dist", "_key"],
-    )
-
-
-def _scan_base(held_queries: pa.Table, k: int):
-    """Task function: nearest base rows of each held query within one partition."""
-    queries = _query_vectors(held_queries)
-    name_type = held_queries.schema.field(0).type
-    dim = next((len(v) for _, v in queries if v is not None), None)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list] = [[] for _ in queries]
-        key_type = None
-        for batch in batches:
-            key_type = batch.schema.field(0).type
-            valid, matrix = _matrix(batch.column(1), dim)
-            keys = _Keys(batch.column(0))
-            for i, (_, vector) in enumerate(queries):
-                found = _lowest(_distances(valid, matrix, vector), keys, k)
-                best[i] = sorted(best[i] + found)[:k]
-        if key_type is not None:
-            pairs = [(name, d, key) for (name, _), rows in zip(queries, best) for d, key in rows]
-            yield _batch(pairs, name_type, key_type)
-
-    return run
-
-
-def _scan_queries(held_base: pa.Table, k: int):
-    """Task function: nearest rows of a held base for each query of one partition."""
-    keys = held_base.column(0).to_pylist()
-    key_type = held_base.schema.field(0).type
-    valid, matrix = _matrix(held_base.column(1), None)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = []
-            for name, vector in _query_vectors(pa.Table.from_batches([batch])):
-                for dist, key in _lowest(_distances(valid, matrix, vector), keys, k):
-                    pairs.append((name, dist, key))
-            yield _batch(pairs, batch.schema.field(0).type, key_type)
-
-    return run
-
-
-class _Keys:
-    """Element access to an Arrow array as Python values."""
-
-    def __init__(self, values: pa.Array):
-        self.values = values
-
-    def __getitem__(self, i: int):
-        return self.values[i].as_py()
-
-
-def _scan_blocks(k: int):
-    """Group function: nearest base rows of one query block within one base block."""
-
-    def run(queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
-        valid, matrix = _matrix(pa.array(base["_vector"], type=pa.list_(pa.float32())), None)
-        keys = base["_key"].tolist()
-        rows = []
-        for name, vector in zip(queries["_query"], queries["_vector"]):
-            vector = None if vector is None else np.asarray(vector, dtype=np.float64)
-            for dist, key in _lowest(_distances(valid, matrix, vector), keys, k):
-                rows.append((name, None if math.isinf(dist) else dist, key))
-        return pd.DataFrame(rows, columns=["_query", "_dist", "_key"])
-
-    return run
+    order = [F.col("dist").asc_nulls_last(), key]
+    top = df.select(key, dist.alias("dist")).orderBy(*order).limit(k)
+    return df.join(F.broadcast(top) if k <= BROADCAST_ROWS else top, key).orderBy(*order)
 
 
 def _block(df: DataFrame, own: str, other: str, key: str, blocks: int, copies: int) -> DataFrame:
@@ -189,14 +77,14 @@ def nearest(
     n_queries = q.count()
     n_base = b.count() if n_queries > held else None
     if n_queries <= held:
-        found = b.mapInArrow(_scan_base(q.toArrow(), k), out)
+        found = b.mapInArrow(topk.scan_base(q.toArrow(), k), out)
     elif n_base <= held:
-        found = q.mapInArrow(_scan_queries(b.toArrow(), k), out)
+        found = q.mapInArrow(topk.scan_queries(b.toArrow(), k), out)
     else:
         query_blocks, base_blocks = math.ceil(n_queries / block), math.ceil(n_base / block)
         left = _block(q, "_qb", "_rb", "_query", query_blocks, base_blocks).groupBy("_qb", "_rb")
         right = _block(b, "_rb", "_qb", "_key", base_blocks, query_blocks).groupBy("_qb", "_rb")
-        found = left.cogroup(right).applyInPandas(_scan_blocks(k), out)
+        found = left.cogroup(right).applyInPandas(topk.scan_blocks(k), out)
     order = Window.partitionBy("_query").orderBy(F.col("_dist").asc_nulls_last(), "_key")
     return (
         found.withColumn("rn", F.row_number().over(order))

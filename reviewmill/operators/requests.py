@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewmill.fixed_values import CATEGORY_CODES
 from reviewmill.functions.dates import parse_date
+from reviewmill.operators.joins import sized
 from reviewmill.schema import METADATA
 
 # A string in double or single quotes; a backslash escapes the next sign.
@@ -14,7 +15,7 @@ QUOTED = r"""("[^"\\]*(?:\\.[^"\\]*)*"|'[^'\\]*(?:\\.[^'\\]*)*')"""
 QUOTED_ARRAY = rf"""\[\s*\]|\[(?:\s*{QUOTED}\s*,?)*\s*\]"""
 
 ISO_DATE = r"\b(\d{4}-\d{2}-\d{2})\b"
-WORD = r"[\p{L}\p{N}_]+"
+NOT_A_WORD = r"[^\p{L}\p{N}_]+"
 
 
 def parse_metadata(text: Column) -> Column:
@@ -65,17 +66,29 @@ def plan_steps(steps: DataFrame, column: str = "step") -> DataFrame:
     )
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+def _normal(text: Column) -> Column:
+    """Lower-case words with one space between them and around the whole."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), NOT_A_WORD, " ")), F.lit(" "))
 
 
-def mentioned_categories(question: Column) -> Column:
-    """Category names whose words occur in the question ("other" cannot be asked for)."""
-    text = F.concat(F.lit(" "), F.array_join(_words(question), " "), F.lit(" "))
-    found = []
-    for name in [name for name, code in CATEGORY_CODES.items() if code > 0]:
-        words = F.array_join(_words(F.lit(name)), " ")
-        found.append(F.when(F.contains(text, F.concat(F.lit(" "), words, F.lit(" "))), F.lit(name)))
+def _word_runs(text: Column, longest: int) -> Column:
+    """All runs of one to ``longest`` words of a normal text, each once."""
+    words = F.split(F.trim(text), " ")
+    runs = [words]
+    for n in range(2, longest + 1):
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1))
+        several = F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
+        runs.append(F.coalesce(several, F.array().cast("array<string>")))
+    return F.array_distinct(F.concat(*runs))
+
+
+def mentioned_categories(normal_text: Column) -> Column:
+    """Category names whose words occur in a normal text ("other" cannot be asked for)."""
+    found = [
+        F.when(F.contains(normal_text, _normal(F.lit(name))), F.lit(name))
+        for name, code in CATEGORY_CODES.items()
+        if code > 0
+    ]
     return F.array_compact(F.array(*found))
 
 
@@ -86,38 +99,24 @@ def extract_mentions(requests: DataFrame, companies: DataFrame) -> DataFrame:
     equi join; no question is compared with all companies. The first date in ISO form is
     the start, the second the end. This finds names as written, not paraphrases.
     """
-    names = companies.select(
-        F.array_join(_words(F.col("name")), " ").alias("gram"),
-        F.size(_words(F.col("name"))).alias("n_words"),
-        "name",
-    ).where("n_words > 0")
-    longest = names.agg(F.coalesce(F.max("n_words"), F.lit(0))).scalar()
-    words = _words(F.col("question"))
-    runs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.col("_longest"), F.lit(1))),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size("_words") - n + 1, F.lit(1))),
-                lambda i: F.array_join(F.slice("_words", i, n), " "),
-            ),
-        )
-    )
-    grams = (
-        requests.select("request_id", words.alias("_words"), longest.alias("_longest"))
-        .where(F.size("_words") > 0)
-        .select("request_id", F.explode(F.array_distinct(runs)).alias("gram"))
-    )
+    names = companies.select(F.trim(_normal(F.col("name"))).alias("gram"), "name").where("gram != ''")
+    longest = names.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1
+    normal = requests.select("request_id", "question", _normal(F.col("question")).alias("_text"))
+    grams = normal.select("request_id", F.explode(_word_runs(F.col("_text"), longest)).alias("gram"))
     # A question names no more companies than it has words.
     named = (
-        grams.join(names.select("gram", "name"), "gram")
+        grams.join(sized(names), "gram")
         .groupBy("request_id")
         .agg(F.array_sort(F.collect_set("name")).alias("companies"))
     )
     dates = F.regexp_extract_all("question", F.lit(ISO_DATE), F.lit(1))
-    return requests.join(named, "request_id", "left").select(
+    asked = normal.select(
+        "request_id", dates.alias("_dates"), mentioned_categories(F.col("_text")).alias("categories")
+    )
+    return asked.join(named, "request_id", "left").select(
         "request_id",
         F.coalesce("companies", F.array().cast("array<string>")).alias("companies"),
-        F.coalesce(F.get(dates, F.lit(0)), F.lit("")).alias("start_date"),
-        F.coalesce(F.get(dates, F.lit(1)), F.lit("")).alias("end_date"),
-        mentioned_categories(F.col("question")).alias("categories"),
+        F.coalesce(F.get("_dates", F.lit(0)), F.lit("")).alias("start_date"),
+        F.coalesce(F.get("_dates", F.lit(1)), F.lit("")).alias("end_date"),
+        "categories",
     )
