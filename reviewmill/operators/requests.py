@@ -71,15 +71,17 @@ def _normal(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), NOT_A_WORD, " ")), F.lit(" "))
 
 
+def _runs_of(words: Column, n: int) -> Column:
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1))
+    runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.coalesce(runs, F.array().cast("array<string>"))
+
+
 def _word_runs(text: Column, longest: int) -> Column:
     """All runs of one to ``longest`` words of a normal text, each once."""
     words = F.split(F.trim(text), " ")
-    runs = [words]
-    for n in range(2, longest + 1):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1))
-        several = F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-        runs.append(F.coalesce(several, F.array().cast("array<string>")))
-    return F.array_distinct(F.concat(*runs))
+    several = [_runs_of(words, n) for n in range(2, longest + 1)]
+    return F.array_distinct(F.concat(words, *several))
 
 
 def mentioned_categories(normal_text: Column) -> Column:
