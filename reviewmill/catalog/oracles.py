@@ -455,6 +455,10 @@ ORACLES: dict[str, str] = {
     "vector_l2": f"""
         SELECT a.vec_id, round({DISTANCE.format('a.embedding', 'b.embedding')}, 6) AS dist
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+    "embed_text": r"""
+        SELECT doc_id, CAST(768 AS int) AS dim,
+               CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 1.0::double ELSE 0.0::double END AS norm
+        FROM documents""",
     "parse_dates": _with(
         "rv_orders",
         """SELECT id, CASE WHEN category IN (3, 4) THEN NULL

@@ -17,6 +17,7 @@ from reviewmill.fixed_values import (
 from reviewmill.functions import codes, dates, text, vectors
 from reviewmill.operators import (
     conversations,
+    embedding,
     filters,
     maintenance,
     neighbours,
@@ -24,7 +25,6 @@ from reviewmill.operators import (
     requests,
     sampling,
 )
-from reviewmill.operators.embedding import embed_text
 from reviewmill.plans import actions, adhoc, ingest, payload, reports
 from reviewmill.schema import REVIEW, conform
 from reviewmill.session import shared_path
@@ -690,9 +690,9 @@ def vector_l2(spark, sf_dir):
 
 
 @query
-def embed_texts(spark, sf_dir):
+def embed_text(spark, sf_dir):
     """Default embedding of every document, described by its length and norm."""
-    rows = embed_text(fixtures.table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    rows = embedding.embed_text(fixtures.table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     squares = F.aggregate(
         "embedding", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")
     )

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reviewmill.operators.joins import is_small, latest_per_key, only_keys
+from reviewmill.operators.joins import is_small, latest_per_key, only_keys, sized
 
 
 def with_insert_defaults(batch: DataFrame, batch_ts: Column | None = None) -> DataFrame:
@@ -72,15 +72,21 @@ def upsert(
     key: str = "id",
     newest: Sequence | None = None,
     batch_ts: Column | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Update rows whose key is known, insert the others with their defaults.
 
     ``newest`` orders the rows of a key that is given more than once; the first wins. New
-    keys are found with a scan of the target's key column only.
+    keys are found with a scan of the target's key column only. The batch is read several
+    times: hand in a stored or cached one if it is costly to compute. ``small`` tells
+    whether it may be broadcast, if that is known already.
     """
     batch = _last_wins(batch, key, newest)
-    small = is_small(batch)
+    if small is None:
+        small = is_small(batch)
     known = only_keys(target.select(key), batch, [key], small)
+    if small:
+        known = F.broadcast(known)  # keys are unique in the target: no more than in the batch
     fresh = with_insert_defaults(batch.join(known, key, "left_anti"), batch_ts)
     fresh = fresh.select(*[c for c in fresh.columns if c in target.columns])
     return _set_columns(target, batch, key, small).unionByName(fresh, allowMissingColumns=True)
@@ -93,22 +99,32 @@ def delete(target: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
 
 
 def changed(
-    incoming: DataFrame, target: DataFrame, key: str = "id", version: str = "timestamp"
+    incoming: DataFrame,
+    target: DataFrame,
+    key: str = "id",
+    version: str = "timestamp",
+    small: bool | None = None,
 ) -> DataFrame:
-    """Incoming rows that are new, or whose version differs from the stored one."""
+    """Incoming rows that are new, or whose version differs from the stored one.
+
+    ``small`` tells whether the incoming keys may be broadcast, if that is known already.
+    """
     stored = target.select(key, version)
-    if is_small(incoming.select(key)):
-        stored = only_keys(stored, incoming, [key], small=True)
+    if small is None:
+        small = is_small(incoming.select(key))
+    if small:
+        # Keys are unique in the target, so no more rows are left than came in.
+        stored = F.broadcast(only_keys(stored, incoming, [key], small))
     return incoming.join(stored, [key, version], "left_anti")
 
 
 def with_company(reviews: DataFrame, companies: DataFrame) -> DataFrame:
     """Reviews with name and country of their company.
 
-    No hint: a company table within the session's broadcast threshold is broadcast,
-    otherwise the join shuffles and very large companies are split at run time.
+    A company table that is small when measured is broadcast and no review is shuffled;
+    otherwise both sides are, and very large companies are split at run time.
     """
     names = companies.select(
         F.col("id").alias("company_id"), F.col("name").alias("company_name"), "country"
     )
-    return reviews.join(names, "company_id")
+    return reviews.join(sized(names), "company_id")

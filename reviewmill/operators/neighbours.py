@@ -13,7 +13,7 @@ from reviewmill.fixed_values import RETRIEVED_REVIEWS
 from reviewmill.functions import topk
 from reviewmill.functions.codes import category_name
 from reviewmill.functions.vectors import l2_distance, vector_literal
-from reviewmill.operators.joins import BROADCAST_ROWS
+from reviewmill.operators.joins import BROADCAST_ROWS, sized
 
 cloudpickle.register_pickle_by_value(topk)
 
@@ -130,7 +130,7 @@ def nearest_name(
         mentions, companies, 1, query_key=mention_key, query_vector=mention_vector
     )
     names = companies.select("id", "name")
-    return top.join(names, "id").select(mention_key, "name", "id", "dist")
+    return top.join(sized(names), "id").select(mention_key, "name", "id", "dist")
 
 
 def nearest_lsh(

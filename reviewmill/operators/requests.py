@@ -39,7 +39,8 @@ def request_metadata(requests: DataFrame, column: str = "metadata") -> DataFrame
 def _unquote(text: Column) -> Column:
     inner = F.substring(text, F.lit(2), F.length(text) - 2)
     lines = F.regexp_replace(inner, r"(?<!\\)((?:\\\\)*)\\n", "$1\n")
-    return F.regexp_replace(lines, r"\\(.)", "$1")
+    plain = F.regexp_replace(lines, r"\\(.)", "$1")
+    return F.when(F.contains(inner, F.lit("\\")), plain).otherwise(inner)
 
 
 def quoted_strings(text: Column) -> Column:

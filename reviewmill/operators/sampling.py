@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reviewmill.fixed_values import PAYLOAD_TOKENS, TOKEN_SAMPLE_ROWS
 from reviewmill.functions.hashing import exponential_key, seeded_uniform
 from reviewmill.functions.text import Tokenizer, token_count
-from reviewmill.operators.joins import lowest_rows, only_keys, BROADCAST_ROWS
+from reviewmill.operators.joins import BROADCAST_ROWS, lowest_rows, only_keys, sized
+from reviewmill.session import cut_lineage
 
 GROUP = ("category", "company", "similarity_query")
 
@@ -44,18 +45,21 @@ def sampling_keys(
 ) -> DataFrame:
     """Row keys with their weighted sampling key: a row weighs as much as its group is large.
 
-    Counts are made by a partial aggregation, and the lookup back is an equi join on the
-    group (broadcast or skew-split by size), so a very large group is never one task's work.
+    The counts are written once and measured. If they are small they are broadcast, and no
+    row is shuffled; otherwise the join on the group shuffles keys only and a very large
+    group is split at run time.
     """
     keys = df.select(*dict.fromkeys([*row_key, *group]))
-    counts = keys.groupBy(*group).agg(F.count("*").alias("_n")).select(
-        *[F.col(c).alias(f"_g_{c}") for c in group], "_n"
+    counts = cut_lineage(
+        keys.groupBy(*group)
+        .agg(F.count("*").alias("_n"))
+        .select(*[F.col(c).alias(f"_g_{c}") for c in group], "_n")
     )
     same_group = reduce(
         lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]
     )
     key = exponential_key(_uniform(seed, row_key), F.col("_n"))
-    return keys.join(counts, same_group).select(*row_key, key.alias("sampling_key"))
+    return keys.join(sized(counts), same_group).select(*row_key, key.alias("sampling_key"))
 
 
 def weighted_sample(

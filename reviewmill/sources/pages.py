@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from reviewmill.fixed_values import JSON_SCRIPT_TYPE, NEXT_PAGE_ELEMENT, REVIEW_PAGES
-from reviewmill.operators.joins import latest_per_key
+from reviewmill.operators.joins import latest_per_key, sized
 from reviewmill.schema import PAGE_COMPANY, PAGE_REVIEW, page_json
 
 JSON_ELEMENT = rf"""(?is)<(\w+)\b[^>]*\btype=["']{JSON_SCRIPT_TYPE}["'][^>]*>(.*?)</\1\s*>"""
@@ -45,7 +45,7 @@ def extract_reviews(pages: DataFrame, companies: DataFrame) -> DataFrame:
     )
     return (
         page_reviews(pages)
-        .join(names, "homepage")
+        .join(sized(names), "homepage")
         .select(
             "id", "company_id", "company", "timestamp", "content", "rating", "likes", "source"
         )

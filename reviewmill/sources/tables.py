@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from reviewmill.functions.vectors import vector_from_text
 from reviewmill.schema import REVIEW, conform
 
 MONTH_COLUMN = "month"
@@ -16,6 +17,29 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
+def read_export(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table exported from a database as CSV with a header; vectors are bracketed texts.
+
+    Texts may hold line breaks, so a file is read by one task: export many files.
+    """
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    rows = (
+        spark.read.schema(texts)
+        .options(header=True, multiLine=True, escape='"', enforceSchema=False)
+        .csv(path)
+    )
+    return rows.select(
+        *[
+            (
+                vector_from_text(F.col(f.name))
+                if isinstance(f.dataType, T.ArrayType)
+                else F.col(f.name).cast(f.dataType)
+            ).alias(f.name)
+            for f in schema
+        ]
+    )
+
+
 def empty_table(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 

@@ -114,12 +114,15 @@ def merge_batch(
             spark = batch.sparkSession
             incoming = latest_per_key(batch, [key], [F.col(version).desc_nulls_last()])
             versions = read_versions(spark, store, schema, before=batch_id)
-            small = is_small(batch.select(key))
+            small = is_small(batch)
             stored = newest(only_keys(versions, batch, [key], small), [key])
-            fresh = changed(incoming, stored, key, version)
+            fresh = changed(incoming, stored, key, version, small)
             if enrich:
                 fresh = enrich(fresh)
-            write_batch(upsert(only_keys(stored, fresh, [key], small), fresh, key), store, batch_id)
+            fresh = fresh.persist()
+            touched = only_keys(stored, fresh, [key], small)
+            write_batch(upsert(touched, fresh, key, small=small), store, batch_id)
+            fresh.unpersist()
         finally:
             batch.unpersist()
 

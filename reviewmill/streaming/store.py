@@ -49,5 +49,5 @@ def read_current(
 
 
 def compact(spark: SparkSession, store: str, schema: T.StructType, key: Sequence[str], path: str) -> None:
-    """Write the present state as a plain table."""
-    read_current(spark, store, schema, key).write.mode("errorifexists").parquet(path)
+    """Start a new store at ``path`` from the present state, as the batch before the first."""
+    write_batch(read_current(spark, store, schema, key), path, -1)

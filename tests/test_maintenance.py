@@ -120,3 +120,15 @@ def test_new_companies_get_the_next_ids(spark):
     pages = spark.createDataFrame([(1, html % listed)], "page_id long, html string")
     got = {r.homepage: (r.id, r.name) for r in ingest.ingest_companies(companies, pages).collect()}
     assert got == {"a.dk": (7, "A new"), "b.dk": (8, "B"), "c.dk": (9, "C"), "d.dk": (10, "D")}
+
+
+def test_exported_tables_are_read_with_their_types(spark, tmp_path):
+    (tmp_path / "company.csv").write_text(
+        'id,name,homepage,country,embedding\n1,"A ""x"",\nB",a.dk,DK,"[0.5,-1]"\n2,C,c.dk,DK,\n'
+    )
+    got = tables.read_export(spark, str(tmp_path / "company.csv"), COMPANY).collect()
+    assert [tuple(r) for r in got] == [(1, 'A "x",\nB', "a.dk", "DK", [0.5, -1.0]), (2, "C", "c.dk", "DK", None)]
+
+
+def test_schemas_make_empty_tables(spark):
+    assert tables.empty_table(spark, REVIEW).schema.names == REVIEW.names

@@ -81,6 +81,20 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     assert sorted(store.read_current(spark, target, STORED, ["id"]).drop("created_at").collect()) == once
 
 
+def test_compacted_store_goes_on(spark, tmp_path):
+    target, compacted = str(tmp_path / "store"), str(tmp_path / "store2")
+    (tmp_path / "store").mkdir()
+    first, second, third = [spark.createDataFrame(rows, FACTS) for rows in deliveries()]
+    merge = jobs.merge_batch(target, STORED)
+    merge(first, 0)
+    merge(second, 1)
+    store.compact(spark, target, STORED, ["id"], compacted)
+    jobs.merge_batch(compacted, STORED)(third, 0)
+    got = store.read_current(spark, compacted, STORED, ["id"]).collect()
+    want = final_state()
+    assert {r.id: (r.timestamp, r.rating) for r in got} == {k: (r[2], r[3]) for k, r in want.items()}
+
+
 def test_deduplication(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     once = [deliveries()[0], deliveries()[0][5:], deliveries()[0][:5]]
