@@ -34,15 +34,11 @@ def granularity_of(first: Column, last: Column) -> Column:
     )
 
 
-def _by_granularity(granularity: Column | str, day: Column, week: Column, month: Column) -> Column:
-    if isinstance(granularity, str):
-        if granularity not in GRANULARITIES:
-            raise ValueError(f"Unknown granularity: {granularity}")
-        return {DAY: day, WEEK: week, MONTH: month}[granularity]
+def _by_granularity(granularity: Column, day: Column, week: Column, month: Column) -> Column:
     return F.when(granularity == DAY, day).when(granularity == WEEK, week).otherwise(month)
 
 
-def period_start(ts: Column, granularity: Column | str) -> Column:
+def period_start(ts: Column, granularity: Column) -> Column:
     """First day of the period ``ts`` lies in (weeks start on Monday)."""
     return _by_granularity(
         granularity,
@@ -52,14 +48,14 @@ def period_start(ts: Column, granularity: Column | str) -> Column:
     )
 
 
-def period_label(start: Column, granularity: Column | str) -> Column:
+def period_label(start: Column, granularity: Column) -> Column:
     """Date a period is shown under: the day, the closing Sunday, the last day of the month."""
     return _by_granularity(
         granularity, day=start, week=F.date_add(start, 6), month=F.last_day(start)
     )
 
 
-def period_starts(first: Column, last: Column, granularity: Column | str) -> Column:
+def period_starts(first: Column, last: Column, granularity: Column) -> Column:
     """Array of all period starts from ``first`` up to ``last``."""
     return _by_granularity(
         granularity,

@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 
 QUERY_CHUNK = 64
+COLUMNS = ["_query", "_rank", "_dist", "_key"]
 
 
 def _matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,19 +95,19 @@ class Search:
                 self._keep(int(query), [(math.inf, key) for key in lowest])
 
     def pairs(self) -> list[tuple]:
-        """(query, distance or None, key) of every pair found."""
+        """(query, rank, distance or None, key) of every pair found."""
         return [
-            (name, None if math.isinf(dist) else dist, key)
+            (name, rank, None if math.isinf(dist) else dist, key)
             for name, rows in zip(self.names, self.best)
-            for dist, key in rows
+            for rank, (dist, key) in enumerate(rows, 1)
         ]
 
 
 def _batch(pairs: list[tuple], name_type: pa.DataType, key_type: pa.DataType) -> pa.RecordBatch:
-    columns = list(zip(*pairs)) if pairs else [(), (), ()]
-    types = (name_type, pa.float64(), key_type)
+    columns = list(zip(*pairs)) if pairs else [(), (), (), ()]
+    types = (name_type, pa.int32(), pa.float64(), key_type)
     arrays = [pa.array(values, type=t) for values, t in zip(columns, types)]
-    return pa.RecordBatch.from_arrays(arrays, ["_query", "_dist", "_key"])
+    return pa.RecordBatch.from_arrays(arrays, COLUMNS)
 
 
 def scan_base(queries: pa.Table, k: int):
@@ -145,6 +146,6 @@ def scan_blocks(k: int):
         vector = pa.list_(pa.float32())
         search = Search(queries["_query"].tolist(), pa.array(queries["_vector"], type=vector), k)
         search.add(pa.array(base["_key"]), pa.array(base["_vector"], type=vector))
-        return pd.DataFrame(search.pairs(), columns=["_query", "_dist", "_key"])
+        return pd.DataFrame(search.pairs(), columns=COLUMNS)
 
     return run

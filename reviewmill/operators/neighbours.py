@@ -18,7 +18,7 @@ from reviewmill.operators.joins import BROADCAST_ROWS, sized
 cloudpickle.register_pickle_by_value(topk)
 
 # At most this many vectors are held by a task; larger sides are cut into blocks.
-HELD_VECTORS = 1000
+HELD_VECTORS = 5000
 BLOCK_VECTORS = 20_000
 
 
@@ -55,14 +55,15 @@ def nearest(
 ) -> DataFrame:
     """The ``k`` base rows nearest to each query: columns query, ``rn``, key, ``dist``.
 
-    Exact. Rows without a vector come last, ties are broken by key. Only keys and vectors
-    reach the Python workers. The smaller side is held by every task if it has at most
-    ``held`` rows:
+    Exact; keys are unique on both sides. Rows without a vector come last, ties are broken
+    by key. Only keys and vectors reach the Python workers. A side that was counted to have
+    at most ``held`` rows is held by every task:
 
     * few queries: one pass over the base, each task returns ``k`` rows per query;
     * small base: one pass over the queries, no shuffle;
     * otherwise both sides are hashed into blocks of about ``block`` rows, and each pair of
-      blocks is one group that returns ``k`` rows per query.
+      blocks is one group that returns ``k`` rows per query. This measures all pairs; where
+      that is too much, :func:`nearest_lsh` trades exactness for speed.
     """
     q = queries.select(F.col(query_key).alias("_query"), F.col(query_vector).alias("_vector"))
     b = base.select(F.col(key).alias("_key"), F.col(vector).alias("_vector"))
@@ -70,27 +71,29 @@ def nearest(
     out = T.StructType(
         [
             T.StructField("_query", name_type),
+            T.StructField("_rank", T.IntegerType()),
             T.StructField("_dist", T.DoubleType()),
             T.StructField("_key", key_type),
         ]
     )
     n_queries = q.count()
     n_base = b.count() if n_queries > held else None
+    base_held = n_base is not None and n_base <= held
     if n_queries <= held:
         found = b.mapInArrow(topk.scan_base(q.toArrow(), k), out)
-    elif n_base <= held:
+    elif base_held:
         found = q.mapInArrow(topk.scan_queries(b.toArrow(), k), out)
     else:
         query_blocks, base_blocks = math.ceil(n_queries / block), math.ceil(n_base / block)
         left = _block(q, "_qb", "_rb", "_query", query_blocks, base_blocks).groupBy("_qb", "_rb")
         right = _block(b, "_rb", "_qb", "_key", base_blocks, query_blocks).groupBy("_qb", "_rb")
         found = left.cogroup(right).applyInPandas(topk.scan_blocks(k), out)
+    result = [F.col("_query").alias(query_key), "rn", F.col("_key").alias(key), F.col("_dist").alias("dist")]
+    if base_held:
+        return found.withColumnRenamed("_rank", "rn").select(*result)
     order = Window.partitionBy("_query").orderBy(F.col("_dist").asc_nulls_last(), "_key")
-    return (
-        found.withColumn("rn", F.row_number().over(order))
-        .where(F.col("rn") <= k)
-        .select(F.col("_query").alias(query_key), "rn", F.col("_key").alias(key), F.col("_dist").alias("dist"))
-    )
+    ranked = found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
+    return ranked.select(*result)
 
 
 def retrieve(

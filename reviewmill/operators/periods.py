@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from reviewmill.functions.dates import granularity_of, period_label, period_starts
+from reviewmill.functions.dates import (
+    GRANULARITIES,
+    granularity_of,
+    period_label,
+    period_start,
+    period_starts,
+)
 
 
 def period_bounds(df: DataFrame, column: str = "timestamp") -> DataFrame:
@@ -20,39 +26,43 @@ def pick_granularity(df: DataFrame, column: str = "timestamp") -> DataFrame:
     return period_bounds(df, column).select(chosen.alias("granularity"))
 
 
-def granularity_column(df: DataFrame, granularity: str | None = None) -> Column | str:
-    """The given granularity, or the one of ``df`` as a scalar subquery.
+def with_periods(
+    df: DataFrame, selection: DataFrame, granularity: str | None = None, column: str = "timestamp"
+) -> DataFrame:
+    """Add ``granularity`` and ``period_start`` to the rows of ``df`` that have a timestamp.
 
-    The subquery reads the filter columns and the timestamp only, and the plan stays
-    lazy. A fixed granularity saves that pass.
+    Without a fixed granularity it is that of ``selection``, found by a scalar subquery
+    which reads the timestamp and the filter columns only; the plan stays lazy.
     """
-    return granularity if granularity else pick_granularity(df).scalar()
+    if granularity is not None and granularity not in GRANULARITIES:
+        raise ValueError(f"Unknown granularity: {granularity}")
+    chosen = F.lit(granularity) if granularity else pick_granularity(selection, column).scalar()
+    return (
+        df.where(F.col(column).isNotNull())
+        .withColumn("granularity", chosen)
+        .withColumn("period_start", period_start(F.col(column), F.col("granularity")))
+    )
 
 
 def fill_gaps(
-    df: DataFrame,
-    granularity: Column | str,
-    measures: Sequence[str],
-    keys: Sequence[str] = (),
-    start: str = "period_start",
+    df: DataFrame, measures: Sequence[str], keys: Sequence[str] = ()
 ) -> DataFrame:
     """Add the missing periods between the first and last of each key, measures set to 0.
 
-    ``df`` is aggregated: at most one row per key and period, so a window holds no more
+    ``df`` is aggregated by key, ``granularity`` and ``period_start``: at most one row per key and period, so a window holds no more
     rows than the calendar has days, however many reviews a key has. Each row is repeated
     for the empty periods up to the next one, which needs no join with a calendar.
     """
-    order = Window.partitionBy(*keys).orderBy(start)
-    following = F.date_sub(F.lead(start).over(order), 1)
-    spans = df.withColumn("_last", F.coalesce(following, F.col(start)))
+    order = Window.partitionBy(*keys).orderBy("period_start")
+    following = F.date_sub(F.lead("period_start").over(order), 1)
+    spans = df.withColumn("_last", F.coalesce(following, F.col("period_start")))
+    starts = period_starts(F.col("period_start"), F.col("_last"), F.col("granularity"))
     filled = spans.select(
-        *keys,
-        *measures,
-        F.posexplode(period_starts(F.col(start), F.col("_last"), granularity)).alias("_gap", "_start"),
+        *keys, *measures, "granularity", F.posexplode(starts).alias("_gap", "_start")
     )
     return filled.select(
         *keys,
-        period_label(F.col("_start"), granularity).alias("period"),
+        period_label(F.col("_start"), F.col("granularity")).alias("period"),
         *[
             F.when(F.col("_gap") == 0, F.col(m)).otherwise(F.lit(0)).alias(m)
             for m in measures

@@ -15,9 +15,8 @@ from reviewmill.fixed_values import (
     REPORT_RATING_SHARE,
     STARS,
 )
-from reviewmill.functions.dates import period_start
 from reviewmill.functions.text import axis_label, bar_label
-from reviewmill.operators.periods import fill_gaps, granularity_column
+from reviewmill.operators.periods import fill_gaps, with_periods
 
 
 def _star_counts() -> list[Column]:
@@ -74,18 +73,17 @@ def rating_series(
     df: DataFrame, companies: Sequence[str] = (), granularity: str | None = None
 ) -> DataFrame:
     """Mean, star counts and star percentages (2 digits) per period, without gaps."""
-    chosen = granularity_column(df, granularity)
     stars = [f"stars_{s}" for s in STARS]
     per_period = (
-        df.where("timestamp IS NOT NULL")
-        .groupBy(period_start(F.col("timestamp"), chosen).alias("period_start"))
+        with_periods(df, df, granularity)
+        .groupBy("granularity", "period_start")
         .agg(
             F.avg("rating").alias("mean_rating"),
             *_star_counts(),
             F.count_if(F.col("rating").between(0, 5)).alias("rated"),
         )
     )
-    filled = fill_gaps(per_period, chosen, ["mean_rating", *stars, "rated"])
+    filled = fill_gaps(per_period, ["mean_rating", *stars, "rated"])
     return filled.select(
         "period",
         F.coalesce("mean_rating", F.lit(0.0)).alias("mean_rating"),
@@ -117,14 +115,13 @@ def compare_series(
     Every company has its own calendar, from its first to its last period; the granularity
     is that of the whole selection.
     """
-    chosen = granularity_column(df, granularity)
     per_period = (
-        _of_companies(df, companies)
-        .where("timestamp IS NOT NULL AND company IS NOT NULL")
-        .groupBy("company", period_start(F.col("timestamp"), chosen).alias("period_start"))
+        with_periods(_of_companies(df, companies), df, granularity)
+        .where("company IS NOT NULL")
+        .groupBy("company", "granularity", "period_start")
         .agg(F.avg("rating").alias("mean"), F.count("rating").alias("count"))
     )
-    filled = fill_gaps(per_period, chosen, ["mean", "count"], keys=["company"])
+    filled = fill_gaps(per_period, ["mean", "count"], keys=["company"])
     mean = F.coalesce("mean", F.lit(0.0))
     return filled.select(
         "company",
