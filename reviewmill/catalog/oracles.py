@@ -474,6 +474,10 @@ ORACLES: dict[str, str] = {
                CASE WHEN likes IS NULL THEN '' ELSE {_category_name('category')} END AS categories
         FROM rv_orders""",
     ),
+    "resolve_companies": _with(
+        "rv_orders",
+        """SELECT id AS request_id, company || '|NATION_7' AS companies, ts::date AS start_date FROM rv_orders""",
+    ),
     "parse_plan": _with(
         "rv_orders",
         """SELECT id AS request_id, 0 AS step_no, 'SQL: [''Rating of ' || company || ': how high?'']' AS step
@@ -527,6 +531,11 @@ ORACLES: dict[str, str] = {
                   AS timestamp, CASE WHEN company = 'purchase' THEN 6 - rating ELSE rating END AS rating,
                   category, '' AS content, CAST(NULL AS int) AS likes FROM rv_events""",
     ),
+    "stream_ingest_pages": _with(
+        "rv_orders",
+        """SELECT id, company_id, company, ts AS timestamp,
+                  'Order «' || id || '»' || chr(10) || 'rated' AS content, rating, likes FROM rv_orders""",
+    ),
     "stream_dedup": _with(
         "rv_events", "SELECT id, company_id, company, ts AS timestamp, rating, category FROM rv_events"
     ),

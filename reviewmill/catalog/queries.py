@@ -745,6 +745,20 @@ def parse_metadata(spark, sf_dir):
     )
 
 
+@query
+def resolve_companies(spark, sf_dir):
+    """Mentions, written in other case, resolved to company names by their default embedding."""
+    rows = fixtures.order_reviews(spark, sf_dir)
+    record = F.struct(
+        F.array(F.lower("company"), F.lit("Nation 7")).alias("companies"),
+        F.date_format("timestamp", "yyyy-MM-dd").alias("start_date"),
+    )
+    asked = rows.select(F.col("id").alias("request_id"), F.to_json(record).alias("metadata"))
+    known = embedding.embed_text(fixtures.companies(spark, sf_dir).drop("embedding"), "name")
+    found = requests.resolve_companies(requests.request_metadata(asked), known)
+    return found.select("request_id", F.array_join("companies", "|").alias("companies"), "start_date")
+
+
 def _plan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plan per order: three forms, one of them without any array."""
     rows = fixtures.order_reviews(spark, sf_dir)
@@ -865,6 +879,18 @@ def stream_upsert(spark, sf_dir):
     return _plain(current.drop("created_at"))
 
 
+@query
+def stream_ingest_pages(spark, sf_dir):
+    """Pages arriving as files; their reviews extracted and upserted into a store."""
+    source, path = shared_path(spark, "pages"), shared_path(spark, "scraped")
+    _review_pages(spark, sf_dir).write.parquet(source)
+    arriving = jobs.read_files(spark, source, tables.read_table(spark, source).schema)
+    reviews = pages.extract_reviews(arriving, fixtures.companies(spark, sf_dir)).drop("source")
+    stored = T.StructType([*reviews.schema.fields, REVIEW["created_at"]])
+    jobs.ingest(reviews, path, stored).awaitTermination()
+    return _plain(store.read_current(spark, path, stored, ["id"]).drop("created_at"))
+
+
 @query
 def stream_dedup(spark, sf_dir):
     twice = _event_stream(spark, sf_dir).union(_event_stream(spark, sf_dir))

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewmill.fixed_values import CATEGORY_CODES
 from reviewmill.functions.dates import parse_date
+from reviewmill.operators.embedding import Embedder, embed_text
 from reviewmill.operators.joins import sized
+from reviewmill.operators.neighbours import nearest_name
 from reviewmill.schema import METADATA
+from reviewmill.session import cut_lineage
 
 # A string in double or single quotes; a backslash escapes the next sign.
 QUOTED = r"""("[^"\\]*(?:\\.[^"\\]*)*"|'[^'\\]*(?:\\.[^'\\]*)*')"""
@@ -36,6 +39,32 @@ def request_metadata(requests: DataFrame, column: str = "metadata") -> DataFrame
     )
 
 
+def resolve_companies(
+    metadata: DataFrame, companies: DataFrame, embedder: Embedder | None = None
+) -> DataFrame:
+    """Metadata with every mentioned company replaced by the most similar known name.
+
+    ``metadata`` comes from :func:`request_metadata`. Each distinct mention is embedded and
+    looked up once, however many requests contain it.
+    """
+    mentioned = metadata.select("request_id", F.posexplode("companies").alias("_pos", "mention"))
+    distinct = mentioned.select("mention").distinct()
+    found = nearest_name(embed_text(distinct, "mention", "embedding", embedder), companies)
+    names = mentioned.join(sized(cut_lineage(found.select("mention", "name"))), "mention")
+    # A request holds no more names than its own list.
+    in_order = F.array_sort(F.collect_list(F.struct("_pos", "name")))
+    resolved = names.groupBy("request_id").agg(
+        F.transform(in_order, lambda pair: pair["name"]).alias("_names")
+    )
+    nothing = F.array().cast("array<string>")
+    return metadata.join(resolved, "request_id", "left").select(
+        *[
+            F.coalesce("_names", nothing).alias("companies") if c == "companies" else F.col(c)
+            for c in metadata.columns
+        ]
+    )
+
+
 def _unquote(text: Column) -> Column:
     inner = F.substring(text, F.lit(2), F.length(text) - 2)
     lines = F.regexp_replace(inner, r"(?<!\\)((?:\\\\)*)\\n", "$1\n")

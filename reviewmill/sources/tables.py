@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from reviewmill.functions.vectors import vector_from_text
-from reviewmill.schema import REVIEW, conform
+from reviewmill.schema import COMPANY, REVIEW, conform
 
 MONTH_COLUMN = "month"
 
@@ -74,6 +74,14 @@ def read_reviews(spark: SparkSession, path: str, start_date=None, end_date=None)
     return rows.where(month_predicate(start_date, end_date)).drop(MONTH_COLUMN)
 
 
+def create_tables(spark: SparkSession, root: str) -> None:
+    """Empty company and review tables under ``root``, published as ``company`` and ``review``."""
+    for name, schema in (("company", COMPANY), ("review", REVIEW)):
+        path = f"{root}/{name}-0"
+        empty_table(spark, schema).write.mode("errorifexists").parquet(path)
+        publish(spark, name, path)
+
+
 def publish(spark: SparkSession, name: str, path: str) -> None:
     """Point the catalog view ``name`` at a finished path.
 

@@ -132,3 +132,11 @@ def test_exported_tables_are_read_with_their_types(spark, tmp_path):
 
 def test_schemas_make_empty_tables(spark):
     assert tables.empty_table(spark, REVIEW).schema.names == REVIEW.names
+
+
+def test_created_tables_are_empty_and_typed(spark, tmp_path):
+    tables.create_tables(spark, str(tmp_path))
+    assert spark.table("review").count() == 0 and spark.table("company").count() == 0
+    assert [f.dataType for f in spark.table("review").schema] == [f.dataType for f in REVIEW]
+    spark.sql("DROP VIEW review")
+    spark.sql("DROP VIEW company")

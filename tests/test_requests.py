@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewmill.operators import conversations, requests
+from reviewmill.operators.embedding import embed_text
 
 PLANS = [
     ("""["SQL: ['Which company has the highest average rating?']"]""", ["SQL: ['Which company has the highest average rating?']"]),
@@ -54,23 +55,33 @@ def test_metadata(spark):
 
 def test_mentions(spark):
     companies = spark.createDataFrame(
-        [("Danske Bank",), ("Bank",), ("Nordea",), ("Frøs Sparekasse A/S",), ("Lunar",)], "name string"
+        [("Nordisk Bank",), ("Bank",), ("Havets",), ("Mågens Sparekasse A/S",), ("Måne",)], "name string"
     )
     questions = [
-        ("1", "Hvordan har DANSKE  bank klaret sig siden 2023-01-01, mobile/web bank?"),
-        ("2", "Frøs Sparekasse A/S eller Nordea? Lunarisk! 2022-02-03 til 2022-05-06"),
+        ("1", "Hvordan har NORDISK  bank klaret sig siden 2023-01-01, mobile/web bank?"),
+        ("2", "Mågens Sparekasse A/S eller Havets? Måneskin! 2022-02-03 til 2022-05-06"),
         ("3", "something other"),
         ("4", ""),
     ]
     df = spark.createDataFrame(questions, "request_id string, question string")
     got = {r.request_id: r for r in requests.extract_mentions(df, companies).collect()}
-    assert got["1"].companies == ["Bank", "Danske Bank"] and got["1"].categories == ["mobile/web bank"]
+    assert got["1"].companies == ["Bank", "Nordisk Bank"] and got["1"].categories == ["mobile/web bank"]
     assert (got["1"].start_date, got["1"].end_date) == ("2023-01-01", "")
-    assert got["2"].companies == ["Frøs Sparekasse A/S", "Nordea"]
+    assert got["2"].companies == ["Havets", "Mågens Sparekasse A/S"]
     assert (got["2"].start_date, got["2"].end_date) == ("2022-02-03", "2022-05-06")
     assert got["3"].companies == [] and got["3"].categories == [] and got["4"].companies == []
 
 
+def test_companies_are_resolved_in_order(spark):
+    companies = embed_text(
+        spark.createDataFrame([(1, "Nordisk Bank"), (2, "Solskin Forsikring")], "id int, name string"), "name"
+    )
+    rows = [("1", ["solskin", "nordisk bank", "solskin"]), ("2", [])]
+    df = spark.createDataFrame(rows, "request_id string, companies array<string>")
+    got = {r.request_id: r.companies for r in requests.resolve_companies(df, companies).collect()}
+    assert got == {"1": ["Solskin Forsikring", "Nordisk Bank", "Solskin Forsikring"], "2": []}
+
+
 @pytest.fixture
 def messages(spark):
     roles = ["system", "user", "plot", "assistant", "user", "plot"]
