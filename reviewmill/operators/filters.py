@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewmill.fixed_values import PAGE_SIZE
 from reviewmill.functions.codes import category_codes
-from reviewmill.operators.joins import is_small, lowest_rows, only_keys
+from reviewmill.operators.joins import lowest_rows, measure, only_keys
 
 DateLike = str | date | datetime | None
 
@@ -110,7 +110,8 @@ def lookup(df: DataFrame, key, column: str = "id") -> DataFrame:
 
 def lookup_many(df: DataFrame, keys: DataFrame, column: str = "id") -> DataFrame:
     """All rows whose key occurs in ``keys``."""
-    return only_keys(df, keys, [column], small=is_small(keys))
+    keys = keys.select(column)
+    return only_keys(df, keys, [column], measure(keys))
 
 
 def page(df: DataFrame, offset: int = 0, limit: int = PAGE_SIZE, key: str = "id") -> DataFrame:

@@ -3,13 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from pyspark.sql import types as T
 
 # A side is broadcast only if it was found to be within both bounds.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+# So few keys are sent to the scan as an IN filter, where statistics and Bloom filters of
+# the files rule out row groups; a join would read the whole table for them.
+PUSHED_KEYS = 1000
+
+
+class Size(NamedTuple):
+    """Measured rows and bytes of a frame."""
+
+    rows: int
+    bytes: int = 0
+
+    @property
+    def small(self) -> bool:
+        return self.rows <= BROADCAST_ROWS and self.bytes <= BROADCAST_BYTES
+
+    @property
+    def few(self) -> bool:
+        return self.rows <= PUSHED_KEYS
 
 
 def _row_bytes(df: DataFrame) -> Column:
@@ -26,21 +45,46 @@ def _row_bytes(df: DataFrame) -> Column:
     return total
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether ``df`` may be broadcast: measured by one aggregation, not estimated."""
+def measure(df: DataFrame) -> Size:
+    """Rows and bytes of ``df``, counted by one aggregation, not estimated."""
     found = df.agg(F.count("*").alias("rows"), F.sum(_row_bytes(df)).alias("size")).first()
-    return found.rows <= rows and (found.size or 0) <= size
+    return Size(found.rows, found.size or 0)
 
 
 def sized(df: DataFrame) -> DataFrame:
     """``df``, marked for broadcast if it is small; otherwise the join shuffles both sides."""
-    return F.broadcast(df) if is_small(df) else df
+    return F.broadcast(df) if measure(df).small else df
+
 
+def _among(df: DataFrame, column: str, rows: Sequence[Row]) -> DataFrame:
+    values = {row[column] for row in rows} - {None}
+    return df.where(F.col(column).isin(sorted(values)))
 
-def only_keys(df: DataFrame, keys: DataFrame, on: Sequence[str], small: bool) -> DataFrame:
-    """Rows of ``df`` whose key occurs in ``keys``; the big side is not shuffled if keys are small."""
+
+def only_keys(df: DataFrame, keys: DataFrame, on: Sequence[str], size: Size) -> DataFrame:
+    """Rows of ``df`` whose key occurs in ``keys``, a frame of at most the given size.
+
+    Few keys become a filter of the scan, small ones a broadcast; in neither case is ``df``
+    shuffled.
+    """
     keys = keys.select(*on)
-    return df.join(F.broadcast(keys) if small else keys, list(on), "left_semi")
+    if size.few:
+        rows = keys.distinct().collect()
+        for column in on:
+            df = _among(df, column, rows)
+        if len(on) == 1:
+            return df
+        keys = df.sparkSession.createDataFrame(rows, keys.schema)
+    return df.join(F.broadcast(keys) if size.small else keys, list(on), "left_semi")
+
+
+def fetch(df: DataFrame, found: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows of ``df`` joined with ``found``, the at most ``n`` rows of a top-n."""
+    if Size(n).few:
+        rows = found.collect()
+        found = df.sparkSession.createDataFrame(rows, found.schema)
+        df = _among(df, key, rows)
+    return df.join(F.broadcast(found) if Size(n).small else found, key)
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], newest: Sequence) -> DataFrame:
@@ -60,4 +104,4 @@ def lowest_rows(df: DataFrame, order: Sequence, n: int, row_key: Sequence[str])
     afterwards for the rows that won.
     """
     winners = df.orderBy(*order).limit(n).select(*row_key)
-    return only_keys(df, winners, row_key, small=n <= BROADCAST_ROWS)
+    return only_keys(df, winners, row_key, Size(n))

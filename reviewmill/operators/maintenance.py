@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reviewmill.operators.joins import is_small, latest_per_key, only_keys, sized
+from reviewmill.operators.joins import Size, latest_per_key, measure, only_keys, sized
 
 
 def with_insert_defaults(batch: DataFrame, batch_ts: Column | None = None) -> DataFrame:
@@ -50,7 +50,7 @@ def insert(
 ) -> DataFrame:
     """Target plus the batch; a key that is already there, or given twice, is an error."""
     twice = batch.groupBy(key).count().where("count > 1").select(key)
-    known = only_keys(target.select(key), batch, [key], is_small(batch.select(key)))
+    known = only_keys(target.select(key), batch, [key], measure(batch.select(key)))
     duplicate = twice.union(known).first()
     if duplicate is not None:
         raise ValueError(f"Duplicate key: {duplicate[0]}")
@@ -63,7 +63,7 @@ def update(
 ) -> DataFrame:
     """Target with the batch's columns set on rows of the same key; other keys are ignored."""
     batch = _last_wins(batch, key, newest)
-    return _set_columns(target, batch, key, is_small(batch))
+    return _set_columns(target, batch, key, measure(batch).small)
 
 
 def upsert(
@@ -72,30 +72,29 @@ def upsert(
     key: str = "id",
     newest: Sequence | None = None,
     batch_ts: Column | None = None,
-    small: bool | None = None,
+    size: Size | None = None,
 ) -> DataFrame:
     """Update rows whose key is known, insert the others with their defaults.
 
     ``newest`` orders the rows of a key that is given more than once; the first wins. New
     keys are found with a scan of the target's key column only. The batch is read several
-    times: hand in a stored or cached one if it is costly to compute. ``small`` tells
-    whether it may be broadcast, if that is known already.
+    times: hand in a stored or cached one if it is costly to compute. ``size`` bounds it,
+    if a bound is known already.
     """
     batch = _last_wins(batch, key, newest)
-    if small is None:
-        small = is_small(batch)
-    known = only_keys(target.select(key), batch, [key], small)
-    if small:
+    size = size or measure(batch)
+    known = only_keys(target.select(key), batch, [key], size)
+    if size.small:
         known = F.broadcast(known)  # keys are unique in the target: no more than in the batch
     fresh = with_insert_defaults(batch.join(known, key, "left_anti"), batch_ts)
     fresh = fresh.select(*[c for c in fresh.columns if c in target.columns])
-    return _set_columns(target, batch, key, small).unionByName(fresh, allowMissingColumns=True)
+    return _set_columns(target, batch, key, size.small).unionByName(fresh, allowMissingColumns=True)
 
 
 def delete(target: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     """Target without the rows of the given keys."""
     keys = keys.select(key)
-    return target.join(F.broadcast(keys) if is_small(keys) else keys, key, "left_anti")
+    return target.join(sized(keys), key, "left_anti")
 
 
 def changed(
@@ -103,18 +102,17 @@ def changed(
     target: DataFrame,
     key: str = "id",
     version: str = "timestamp",
-    small: bool | None = None,
+    size: Size | None = None,
 ) -> DataFrame:
     """Incoming rows that are new, or whose version differs from the stored one.
 
-    ``small`` tells whether the incoming keys may be broadcast, if that is known already.
+    ``size`` bounds the incoming rows, if a bound is known already.
     """
     stored = target.select(key, version)
-    if small is None:
-        small = is_small(incoming.select(key))
-    if small:
+    size = size or measure(incoming.select(key))
+    if size.small:
         # Keys are unique in the target, so no more rows are left than came in.
-        stored = F.broadcast(only_keys(stored, incoming, [key], small))
+        stored = F.broadcast(only_keys(stored, incoming, [key], size))
     return incoming.join(stored, [key, version], "left_anti")
 
 

@@ -13,7 +13,7 @@ from reviewmill.fixed_values import RETRIEVED_REVIEWS
 from reviewmill.functions import topk
 from reviewmill.functions.codes import category_name
 from reviewmill.functions.vectors import l2_distance, vector_literal
-from reviewmill.operators.joins import BROADCAST_ROWS, sized
+from reviewmill.operators.joins import fetch, sized
 
 cloudpickle.register_pickle_by_value(topk)
 
@@ -33,7 +33,7 @@ def nearest_one(
     dist = l2_distance(F.col(vector), vector_literal(query))
     order = [F.col("dist").asc_nulls_last(), key]
     top = df.select(key, dist.alias("dist")).orderBy(*order).limit(k)
-    return df.join(F.broadcast(top) if k <= BROADCAST_ROWS else top, key).orderBy(*order)
+    return fetch(df, top, key, k).orderBy(*order)
 
 
 def _block(df: DataFrame, own: str, other: str, key: str, blocks: int, copies: int) -> DataFrame:
@@ -109,9 +109,8 @@ def retrieve(
     k = total // n if n else 1
     top = nearest(queries, reviews, k, **columns)
     query_key, key = columns.get("query_key", "similarity_query"), columns.get("key", "id")
-    if total <= BROADCAST_ROWS:
-        top = F.broadcast(top)  # at most `total` rows
-    return reviews.select(key, "company", "category", "content").join(top, key).select(
+    texts = reviews.select(key, "company", "category", "content")
+    return fetch(texts, top, key, total).select(
         query_key,
         "rn",
         key,

@@ -49,8 +49,9 @@ def resolve_companies(
     """
     mentioned = metadata.select("request_id", F.posexplode("companies").alias("_pos", "mention"))
     distinct = mentioned.select("mention").distinct()
-    found = nearest_name(embed_text(distinct, "mention", "embedding", embedder), companies)
-    names = mentioned.join(sized(cut_lineage(found.select("mention", "name"))), "mention")
+    distinct = cut_lineage(embed_text(distinct, "mention", "embedding", embedder))
+    found = cut_lineage(nearest_name(distinct, companies).select("mention", "name"))
+    names = mentioned.join(sized(found), "mention")
     # A request holds no more names than its own list.
     in_order = F.array_sort(F.collect_list(F.struct("_pos", "name")))
     resolved = names.groupBy("request_id").agg(

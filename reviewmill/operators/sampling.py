@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reviewmill.fixed_values import PAYLOAD_TOKENS, TOKEN_SAMPLE_ROWS
 from reviewmill.functions.hashing import exponential_key, seeded_uniform
 from reviewmill.functions.text import Tokenizer, token_count
-from reviewmill.operators.joins import BROADCAST_ROWS, lowest_rows, only_keys, sized
+from reviewmill.operators.joins import Size, lowest_rows, only_keys, sized
 from reviewmill.session import cut_lineage
 
 GROUP = ("category", "company", "similarity_query")
@@ -72,7 +72,7 @@ def weighted_sample(
     """``n`` rows without replacement, weighted by the share of their group."""
     keys = sampling_keys(df, seed, group, row_key)
     winners = keys.orderBy("sampling_key", *row_key).limit(n).select(*row_key)
-    return only_keys(df, winners, row_key, small=n <= BROADCAST_ROWS)
+    return only_keys(df, winners, row_key, Size(n))
 
 
 def average_tokens(

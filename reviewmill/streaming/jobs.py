@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from reviewmill.operators.joins import is_small, latest_per_key, only_keys
+from reviewmill.operators.joins import latest_per_key, measure, only_keys
 from reviewmill.operators.maintenance import changed, upsert
 from reviewmill.streaming.store import checkpoint_of, newest, read_versions, write_batch
 
@@ -114,14 +114,14 @@ def merge_batch(
             spark = batch.sparkSession
             incoming = latest_per_key(batch, [key], [F.col(version).desc_nulls_last()])
             versions = read_versions(spark, store, schema, before=batch_id)
-            small = is_small(batch)
-            stored = newest(only_keys(versions, batch, [key], small), [key])
-            fresh = changed(incoming, stored, key, version, small)
+            size = measure(batch)
+            stored = newest(only_keys(versions, batch, [key], size), [key])
+            fresh = changed(incoming, stored, key, version, size)
             if enrich:
                 fresh = enrich(fresh)
             fresh = fresh.persist()
-            touched = only_keys(stored, fresh, [key], small)
-            write_batch(upsert(touched, fresh, key, small=small), store, batch_id)
+            touched = only_keys(stored, fresh, [key], size)
+            write_batch(upsert(touched, fresh, key, size=size), store, batch_id, key)
             fresh.unpersist()
         finally:
             batch.unpersist()

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from reviewmill.operators.joins import latest_per_key
-from reviewmill.sources.tables import read_table
+from reviewmill.sources.tables import bloom_filter, read_table
 
 BATCH = "batch_id"
 
@@ -23,8 +23,10 @@ def checkpoint_of(store: str) -> str:
     return f"{store}/_checkpoint"
 
 
-def write_batch(rows: DataFrame, store: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{store}/{BATCH}={batch_id}")
+def write_batch(rows: DataFrame, store: str, batch_id: int, key: str | None = None) -> None:
+    """Write the rows of one micro-batch; a Bloom filter on the key keeps later lookups short."""
+    writer = rows.write.mode("overwrite").options(**(bloom_filter(key) if key else {}))
+    writer.parquet(f"{store}/{BATCH}={batch_id}")
 
 
 def read_versions(
@@ -50,4 +52,4 @@ def read_current(
 
 def compact(spark: SparkSession, store: str, schema: T.StructType, key: Sequence[str], path: str) -> None:
     """Start a new store at ``path`` from the present state, as the batch before the first."""
-    write_batch(read_current(spark, store, schema, key), path, -1)
+    write_batch(read_current(spark, store, schema, key), path, -1, key[0])

@@ -15,10 +15,12 @@ def now():
     return F.lit("2024-06-01 00:00:00").cast("timestamp")
 
 
-@pytest.fixture(params=[joins.BROADCAST_ROWS, 0], ids=["broadcast", "shuffled"])
+@pytest.fixture(params=[(1000, 1000), (-1, 1000), (-1, -1)], ids=["pushed", "broadcast", "shuffled"])
 def sizes(request, monkeypatch):
-    """Both join strategies: small sides broadcast, or every side shuffled."""
-    monkeypatch.setattr(joins.is_small, "__defaults__", (request.param, joins.BROADCAST_BYTES))
+    """All strategies: few keys sent to the scan, small sides broadcast, every side shuffled."""
+    pushed, broadcast = request.param
+    monkeypatch.setattr(joins, "PUSHED_KEYS", pushed)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast)
 
 
 def stored(spark):
@@ -84,8 +86,11 @@ def test_small_batch_does_not_shuffle_the_target(spark):
 
 def test_size_check_counts_bytes(spark):
     wide = spark.createDataFrame([("x" * 1000,)] * 10, "t string")
-    assert joins.is_small(wide) and not joins.is_small(wide, size=5000) and not joins.is_small(wide, rows=9)
-    assert joins.is_small(wide.limit(0))
+    assert joins.measure(wide) == (10, 10_000) and joins.measure(wide.limit(0)) == (0, 0)
+    assert joins.Size(10, 10_000).small and joins.Size(10).few
+    assert not joins.Size(joins.BROADCAST_ROWS + 1).small
+    assert not joins.Size(10, joins.BROADCAST_BYTES + 1).small
+    assert not joins.Size(joins.PUSHED_KEYS + 1).few
 
 
 def test_reviews_are_stored_by_month_and_read_by_date(spark, tmp_path):

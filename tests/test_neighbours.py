@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from reviewmill.operators import neighbours
+from reviewmill.operators import joins, neighbours
 
 SCHEMA = "id string, embedding array<float>"
 QUERY_SCHEMA = "similarity_query string, q_embedding array<float>"
@@ -54,12 +54,14 @@ def test_every_strategy_equals_brute_force(spark, k, held, block):
     assert found(got) == brute(queries, base, k)
 
 
-def test_single_query_puts_missing_vectors_last(spark):
+@pytest.mark.parametrize("pushed", [-1, 1000])
+def test_single_query_puts_missing_vectors_last(spark, monkeypatch, pushed):
+    monkeypatch.setattr(joins, "PUSHED_KEYS", pushed)
     base = [("a", None), ("b", [1.0, 1.0]), ("c", [0.0, 0.0]), ("d", None)]
     got = neighbours.nearest_one(spark.createDataFrame(base, SCHEMA), [0.0, 0.0], 3)
     assert [r.id for r in got.collect()] == ["c", "b", "a"]
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan
+    assert ("TakeOrderedAndProject" in plan) == (pushed < 0)  # otherwise it has run already
 
 
 def reviews(spark, n=40):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewmill.catalog.queries import QUERIES
-from reviewmill.operators import filters, maintenance
+from reviewmill.operators import filters, joins, maintenance
 from reviewmill.plans import reports
 from reviewmill.schema import COMPANY, REVIEW, conform
 from reviewmill.sources import fixtures, tables
@@ -38,10 +38,17 @@ def test_filters_reach_the_scan(spark, stored):
     assert re.search(r"PartitionFilters: \[.*month", text)
 
 
-def test_limited_search_is_a_top_n(spark, stored):
+def test_limited_search_sends_the_found_ids_to_the_scan(spark, stored):
     text = plan(filters.review_search(tables.read_reviews(spark, stored), cols=["id", "content"], limit=5))
-    top = next(line for line in text.splitlines() if "TakeOrderedAndProject" in line and "output=[id" in line)
-    assert "content" not in top.split("output=")[1] or "BroadcastHashJoin" in text
+    assert "PushedFilters: [In(id, [" in text and "Join" not in text
+
+
+def test_larger_limits_are_a_top_n_over_narrow_rows(spark, stored, monkeypatch):
+    monkeypatch.setattr(joins, "PUSHED_KEYS", 3)
+    text = plan(filters.review_search(tables.read_reviews(spark, stored), cols=["id", "content"], limit=5))
+    assert "BroadcastHashJoin [id" in text
+    inner = text[text.index("BroadcastExchange") :]
+    assert "TakeOrderedAndProject" in inner and "content" not in inner
 
 
 def test_granularity_is_computed_once(spark, stored):

@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from reviewmill.operators import sampling
+from reviewmill.operators import joins, sampling
 from reviewmill.plans import payload
 
 SCHEMA = "id string, category string, company string, similarity_query string, content string"
@@ -87,7 +87,8 @@ def test_other_tokenizer(spark):
     assert got.count() == 3
 
 
-def test_sample_plan_keeps_texts_out_of_the_top_n(spark):
+def test_sample_plan_keeps_texts_out_of_the_top_n(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PUSHED_KEYS", -1)
     df = make(spark, {"a": 10})
     plan = sampling.weighted_sample(df, 3)._jdf.queryExecution().executedPlan().toString()
     top = next(line for line in plan.splitlines() if "TakeOrderedAndProject" in line)
