@@ -1,5 +1,7 @@
 """Code lists, names, limits and formats the results depend on."""
 
+# Results are right only with exactly these.
+
 # Category name -> code.
 CATEGORY_CODES = {
     "other": 0,

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewmill.operators.joins import Size, latest_per_key, measure, only_keys, sized
+from reviewmill.session import cut_lineage
 
 
 def with_insert_defaults(batch: DataFrame, batch_ts: Column | None = None) -> DataFrame:
@@ -62,7 +63,7 @@ def update(
     target: DataFrame, batch: DataFrame, key: str = "id", newest: Sequence | None = None
 ) -> DataFrame:
     """Target with the batch's columns set on rows of the same key; other keys are ignored."""
-    batch = _last_wins(batch, key, newest)
+    batch = cut_lineage(_last_wins(batch, key, newest))
     return _set_columns(target, batch, key, measure(batch).small)
 
 
@@ -72,23 +73,34 @@ def upsert(
     key: str = "id",
     newest: Sequence | None = None,
     batch_ts: Column | None = None,
-    size: Size | None = None,
 ) -> DataFrame:
     """Update rows whose key is known, insert the others with their defaults.
 
-    ``newest`` orders the rows of a key that is given more than once; the first wins. New
-    keys are found with a scan of the target's key column only. The batch is read several
-    times: hand in a stored or cached one if it is costly to compute. ``size`` bounds it,
-    if a bound is known already.
+    ``newest`` orders the rows of a key that is given more than once; the first wins. The
+    batch is written once, as it is measured and then joined twice.
+    """
+    batch = cut_lineage(_last_wins(batch, key, newest))
+    return upsert_unique(target, batch, measure(batch), key, batch_ts)
+
+
+def upsert_unique(
+    target: DataFrame,
+    batch: DataFrame,
+    size: Size,
+    key: str = "id",
+    batch_ts: Column | None = None,
+) -> DataFrame:
+    """:func:`upsert` of a batch of known size without repeated keys.
+
+    New keys are found with a scan of the target's key column only.
     """
-    batch = _last_wins(batch, key, newest)
-    size = size or measure(batch)
     known = only_keys(target.select(key), batch, [key], size)
     if size.small:
         known = F.broadcast(known)  # keys are unique in the target: no more than in the batch
     fresh = with_insert_defaults(batch.join(known, key, "left_anti"), batch_ts)
     fresh = fresh.select(*[c for c in fresh.columns if c in target.columns])
-    return _set_columns(target, batch, key, size.small).unionByName(fresh, allowMissingColumns=True)
+    updated = _set_columns(target, batch, key, size.small)
+    return updated.unionByName(fresh, allowMissingColumns=True)
 
 
 def delete(target: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:

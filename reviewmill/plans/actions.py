@@ -18,6 +18,7 @@ from reviewmill.functions.text import Tokenizer, token_count
 from reviewmill.operators.embedding import Embedder, embed_text
 from reviewmill.operators.filters import review_predicate
 from reviewmill.operators.neighbours import retrieve
+from reviewmill.operators.requests import parse_plan, plan_steps
 from reviewmill.operators.sampling import representative_sample
 from reviewmill.plans.adhoc import preview_sql, register
 from reviewmill.plans.payload import review_payload
@@ -104,3 +105,16 @@ def run_step(
     if action == ACTION_ANALYSE:
         return analyse_reviews(reviews, query_table(reviews, args, embedder), metadata)
     raise ValueError(f"Unexpected action: {action}")
+
+
+def run_plan(
+    plan: str,
+    metadata: Metadata,
+    tables: Mapping[str, DataFrame],
+    embedder: Embedder | None = None,
+) -> list[tuple[str, object]]:
+    """Results of all steps of one request's plan text, as (action, result) in step order."""
+    spark = tables["review"].sparkSession
+    request = spark.createDataFrame([("request", plan)], "request_id string, plan string")
+    steps = plan_steps(parse_plan(request)).orderBy("step_no").collect()
+    return [(s.action, run_step(s.action, s.args or [], metadata, tables, embedder)) for s in steps]

@@ -56,10 +56,9 @@ def ingest_reviews(
 ) -> DataFrame:
     """Review table after the reviews on the pages were added or updated.
 
-    Only new and changed reviews are embedded; they are written once, as the upsert reads
-    them several times.
+    Only new and changed reviews are embedded.
     """
     incoming = extract_reviews(pages, companies).drop("source")
     fresh = changed(cut_lineage(incoming), reviews)
-    fresh = cut_lineage(embed_text(fresh, "content", "embedding", embedder))
+    fresh = embed_text(fresh, "content", "embedding", embedder)
     return upsert(reviews, fresh, batch_ts=batch_ts)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from reviewmill.operators.joins import latest_per_key, measure, only_keys
-from reviewmill.operators.maintenance import changed, upsert
+from reviewmill.operators.maintenance import changed, upsert_unique
 from reviewmill.streaming.store import checkpoint_of, newest, read_versions, write_batch
 
 # Weeks start on Monday; windows are counted from 1970-01-01, a Thursday.
@@ -109,9 +109,8 @@ def merge_batch(
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        spark, kept = batch.sparkSession, [batch.persist()]
         try:
-            spark = batch.sparkSession
             incoming = latest_per_key(batch, [key], [F.col(version).desc_nulls_last()])
             versions = read_versions(spark, store, schema, before=batch_id)
             size = measure(batch)
@@ -119,12 +118,13 @@ def merge_batch(
             fresh = changed(incoming, stored, key, version, size)
             if enrich:
                 fresh = enrich(fresh)
-            fresh = fresh.persist()
+            kept.append(fresh.persist())
+            size = measure(fresh)
             touched = only_keys(stored, fresh, [key], size)
-            write_batch(upsert(touched, fresh, key, size=size), store, batch_id, key)
-            fresh.unpersist()
+            write_batch(upsert_unique(touched, fresh, size, key), store, batch_id, key)
         finally:
-            batch.unpersist()
+            for df in kept:
+                df.unpersist()
 
     return merge
 

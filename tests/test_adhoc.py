@@ -77,6 +77,15 @@ def test_steps_of_a_plan(spark, tables):
         actions.run_step("SING", [], metadata, tables)
 
 
+def test_whole_plan(spark, tables):
+    plan = f"""["{ACTION_PLOT}: ['{REPORT_RATING_SHARE}']", "{ACTION_SQL}: ['SELECT max(rating) AS best FROM review']"]"""
+    got = actions.run_plan(plan, actions.Metadata(companies=["B"]), tables)
+    assert [action for action, _ in got] == [ACTION_PLOT, ACTION_SQL]
+    assert got[0][1][REPORT_RATING_SHARE].count() == 2
+    assert got[1][1][0]["result"] == [{"best": "5"}]
+    assert actions.run_plan("nothing to do", actions.Metadata(), tables) == []
+
+
 def test_no_query_texts_give_an_empty_payload(spark, tables):
     assert actions.run_step(ACTION_ANALYSE, [], actions.Metadata(), tables).count() == 0
 
