@@ -140,6 +140,8 @@ def test_schemas_make_empty_tables(spark):
 
 
 def test_created_tables_are_empty_and_typed(spark, tmp_path):
+    for name in ("review", "company"):
+        spark.catalog.dropTempView(name)  # temporary views of other tests hide stored ones
     tables.create_tables(spark, str(tmp_path))
     assert spark.table("review").count() == 0 and spark.table("company").count() == 0
     assert [f.dataType for f in spark.table("review").schema] == [f.dataType for f in REVIEW]
