@@ -38,7 +38,7 @@ def rating_share(df: DataFrame, companies: Sequence[str] = ()) -> DataFrame:
     total = F.sum("count").over(Window.partitionBy())  # one row per rating value
     return counts.select(
         "rating", "count", _percent(F.col("count"), total, 1).alias("percentage")
-    ).orderBy("rating")
+    ).sortWithinPartitions("rating")  # the window left a single partition
 
 
 def category_stars(df: DataFrame, companies: Sequence[str] = ()) -> DataFrame:
@@ -66,7 +66,7 @@ def category_stars(df: DataFrame, companies: Sequence[str] = ()) -> DataFrame:
         )
         for label, code in REPORT_LABELS
     ]
-    return cells.select(F.inline(F.array(*rows))).orderBy("category_code")
+    return cells.select(F.inline(F.array(*rows)))  # one row's array, so in label order
 
 
 def rating_series(
@@ -89,7 +89,7 @@ def rating_series(
         F.coalesce("mean_rating", F.lit(0.0)).alias("mean_rating"),
         *stars,
         *[_percent(F.col(f"stars_{s}"), F.col("rated"), 2).alias(f"pct_stars_{s}") for s in STARS],
-    ).orderBy("period")
+    ).sortWithinPartitions("period")  # the window left a single partition
 
 
 def diverging_counts(
