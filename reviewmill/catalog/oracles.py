@@ -219,6 +219,12 @@ ORACLES: dict[str, str] = {
         stop AS (SELECT company, min(rn) AS first_empty FROM r WHERE NOT has_reviews GROUP BY company)
         SELECT company, page_no FROM r LEFT JOIN stop USING (company)
         WHERE rn <= 39 AND rn < coalesce(first_empty, 1000000000)""",
+    "capped_reviews": _with(
+        "rv_orders",
+        """, p AS (SELECT *, dense_rank() OVER (PARTITION BY company ORDER BY CAST(id AS bigint) // 20) AS page_rank
+                  FROM rv_orders)
+        SELECT id, company, rating FROM p WHERE page_rank <= 39""",
+    ),
     "report_csv": _with(
         "rv_orders",
         f""", c AS (SELECT rating, count(*) AS n FROM rv_orders GROUP BY rating)

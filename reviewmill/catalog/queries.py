@@ -192,7 +192,7 @@ def _review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.collect_list(record).alias("reviews"))
         .select(
             "page_id",
-            F.concat(F.lit("https://reviews.example/review/"), "homepage").alias("url"),
+            F.format_string("https://reviews.example/review/%s?page=%d", "homepage", F.col("page_id") + 1).alias("url"),
             _script(F.col("reviews"), "reviews").alias("html"),
         )
     )
@@ -287,6 +287,15 @@ def ingest_companies(spark, sf_dir):
     return found.select("id", "name", "homepage", "country")
 
 
+@query
+def capped_reviews(spark, sf_dir):
+    """Reviews on the first pages of every company."""
+    crawled = pages.with_page_facts(_review_pages(spark, sf_dir))
+    kept = pages.cap_pages(crawled, key="homepage")
+    found = pages.extract_reviews(kept, fixtures.companies(spark, sf_dir))
+    return found.select("id", "company", "rating")
+
+
 # --- text output -----------------------------------------------------------------------
 
 

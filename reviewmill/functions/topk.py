@@ -143,7 +143,7 @@ def scan_blocks(k: int):
     """Group function: nearest base rows of one query block within one base block."""
 
     def run(queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
-        vector = pa.list_(pa.float32())
+        vector = pa.list_(pa.float64())
         search = Search(queries["_query"].tolist(), pa.array(queries["_vector"], type=vector), k)
         search.add(pa.array(base["_key"]), pa.array(base["_vector"], type=vector))
         return pd.DataFrame(search.pairs(), columns=COLUMNS)

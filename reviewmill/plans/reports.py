@@ -15,6 +15,7 @@ from reviewmill.fixed_values import (
     REPORT_RATING_SHARE,
     STARS,
 )
+from reviewmill.functions.codes import category_label
 from reviewmill.functions.text import axis_label, bar_label
 from reviewmill.operators.periods import fill_gaps, with_periods
 
@@ -43,30 +44,24 @@ def rating_share(df: DataFrame, companies: Sequence[str] = ()) -> DataFrame:
 
 def category_stars(df: DataFrame, companies: Sequence[str] = ()) -> DataFrame:
     """Star counts of the five labelled categories; all labels appear, in label order."""
-    codes = [code for _, code in REPORT_LABELS]
-    by_category = (
-        df.where(F.col("category").isin(codes))
-        .groupBy("category")
+    codes = F.array(*[F.lit(code) for _, code in REPORT_LABELS])
+    # One row without a rating per label, so that labels without reviews are counted as 0.
+    labels = df.sparkSession.range(1).select(
+        F.explode(codes).alias("category"), F.lit(None).cast("int").alias("rating")
+    )
+    rated = df.where(F.col("category").isin([code for _, code in REPORT_LABELS])).select("category", "rating")
+    counts = (
+        rated.unionByName(labels)
+        .groupBy(F.col("category").alias("category_code"))
         .agg(*_star_counts(), F.count("rating").alias("total"))
     )
-    measures = [f"stars_{s}" for s in STARS] + ["total"]
-    # At most one row per label is left, so one row holding every cell stays tiny.
-    cells = by_category.agg(
-        *[
-            F.sum(F.when(F.col("category") == code, F.col(m))).alias(f"{m}_{code}")
-            for code in codes
-            for m in measures
-        ]
+    # At most one row per label is left.
+    return (
+        counts.withColumn("category", category_label(F.col("category_code")))
+        .select("category_code", "category", *[f"stars_{s}" for s in STARS], "total")
+        .coalesce(1)
+        .sortWithinPartitions("category_code")
     )
-    rows = [
-        F.struct(
-            F.lit(code).alias("category_code"),
-            F.lit(label).alias("category"),
-            *[F.coalesce(F.col(f"{m}_{code}"), F.lit(0).cast("bigint")).alias(m) for m in measures],
-        )
-        for label, code in REPORT_LABELS
-    ]
-    return cells.select(F.inline(F.array(*rows)))  # one row's array, so in label order
 
 
 def rating_series(

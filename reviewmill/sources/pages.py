@@ -13,6 +13,7 @@ JSON_ELEMENT = rf"""(?is)<(\w+)\b[^>]*\btype=["']{JSON_SCRIPT_TYPE}["'][^>]*>(.*
 NEXT_ELEMENT = rf"""(?is)<[^>]*\bname=["']{NEXT_PAGE_ELEMENT}["'][^>]*>"""
 HREF = r"""(?is)\bhref=["']([^"']*)["']"""
 HOMEPAGE_IN_URL = r"/review/([^/?#]+)"
+PAGE_IN_URL = r"[?&]page=(\d+)"
 
 
 def _page_props(html: Column, schema: T.StructType) -> Column:
@@ -79,6 +80,18 @@ def page_links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
 
 
+def with_page_facts(pages: DataFrame) -> DataFrame:
+    """Add the homepage a page belongs to, its number, and whether it lists any reviews."""
+    props = _page_props(F.col("html"), page_json(reviews=PAGE_REVIEW))
+    number = F.regexp_extract("url", PAGE_IN_URL, 1)
+    return pages.select(
+        "*",
+        F.regexp_extract("url", HOMEPAGE_IN_URL, 1).alias("homepage"),
+        F.when(number == "", F.lit(1)).otherwise(number.try_cast("int")).alias("page_no"),
+        F.coalesce(F.size(props["reviews"]) > 0, F.lit(False)).alias("has_reviews"),
+    )
+
+
 def cap_pages(
     pages: DataFrame,
     key: str = "company",

@@ -65,3 +65,12 @@ def test_pages_are_capped_and_end_at_the_first_empty_one(spark):
         ("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2), ("b", 3), ("b", 4), ("b", 5)
     ]
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_page_facts(spark):
+    full = page(f'<script type="application/json">{REVIEWS}</script>')
+    empty = page('<script type="application/json">{"props":{"pageProps":{"reviews":[]}}}</script>')
+    rows = [("https://h/review/a.dk", full), ("https://h/review/a.dk?x=1&page=12", empty), ("https://h/", "")]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = pages.with_page_facts(df).orderBy("page_id").select("homepage", "page_no", "has_reviews").collect()
+    assert [tuple(r) for r in got] == [("a.dk", 1, True), ("a.dk", 12, False), ("", 1, False)]
