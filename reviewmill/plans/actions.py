@@ -16,8 +16,8 @@ from reviewmill.fixed_values import (
 )
 from reviewmill.functions.text import Tokenizer, token_count
 from reviewmill.operators.embedding import Embedder, embed_text
-from reviewmill.operators.filters import review_predicate
-from reviewmill.operators.neighbours import retrieve
+from reviewmill.operators.filters import project, review_predicate
+from reviewmill.operators.neighbours import nearest_one, retrieve
 from reviewmill.operators.requests import parse_plan, plan_steps
 from reviewmill.operators.sampling import representative_sample
 from reviewmill.plans.adhoc import preview_sql, register
@@ -84,6 +84,20 @@ def query_table(reviews: DataFrame, texts: Sequence[str], embedder: Embedder | N
     return embed_text(queries, "similarity_query", "q_embedding", embedder)
 
 
+def similar_reviews(
+    reviews: DataFrame,
+    text: str,
+    limit: int,
+    metadata: Metadata = Metadata(),
+    cols: Sequence[str] = (),
+    embedder: Embedder | None = None,
+) -> DataFrame:
+    """The selected reviews most similar to a text, nearest first."""
+    vector = query_table(reviews, [text], embedder).first().q_embedding
+    found = nearest_one(select_reviews(reviews, metadata), vector, limit)
+    return project(found, cols)
+
+
 def run_step(
     action: str,
     args: Sequence[str],

@@ -77,6 +77,13 @@ def test_steps_of_a_plan(spark, tables):
         actions.run_step("SING", [], metadata, tables)
 
 
+def test_similar_reviews(spark, tables):
+    got = actions.similar_reviews(tables["review"], "Gebyrer!", 2, cols=["id", "content"])
+    assert got.columns == ["id", "content"] and got.first().content == "høje gebyrer" and got.count() == 2
+    only = actions.similar_reviews(tables["review"], "gebyrer", 5, actions.Metadata(companies=["B"]))
+    assert {r.company for r in only.collect()} == {"B"}
+
+
 def test_whole_plan(spark, tables):
     plan = f"""["{ACTION_PLOT}: ['{REPORT_RATING_SHARE}']", "{ACTION_SQL}: ['SELECT max(rating) AS best FROM review']"]"""
     got = actions.run_plan(plan, actions.Metadata(companies=["B"]), tables)

@@ -64,6 +64,20 @@ def test_single_query_puts_missing_vectors_last(spark, monkeypatch, pushed):
     assert ("TakeOrderedAndProject" in plan) == (pushed < 0)  # otherwise it has run already
 
 
+@pytest.mark.parametrize("queries", [1, 5])
+def test_empty_base(spark, queries):
+    asked = spark.createDataFrame([(str(i), [0.0]) for i in range(queries)], QUERY_SCHEMA)
+    assert neighbours.nearest(asked, spark.createDataFrame([], SCHEMA), 2, held=3).count() == 0
+
+
+def test_double_vectors(spark):
+    base = spark.createDataFrame([("a", [1e-9]), ("b", [2e-9])], "id string, embedding array<double>")
+    asked = spark.createDataFrame([(str(i), [2e-9]) for i in range(3)], "similarity_query string, q_embedding array<double>")
+    for held, block in ((10, 10), (2, 1), (1, 1)):
+        got = neighbours.nearest(asked, base, 1, held=held, block=block).collect()
+        assert [(r.id, r.dist) for r in got] == [("b", 0.0)] * 3
+
+
 def reviews(spark, n=40):
     data = [
         (key, f"C{i % 3}", i % 6 - 1 if i % 5 else None, f"text {i}", vector)
