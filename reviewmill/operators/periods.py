@@ -44,14 +44,13 @@ def with_periods(
     )
 
 
-def fill_gaps(
-    df: DataFrame, measures: Sequence[str], keys: Sequence[str] = ()
-) -> DataFrame:
+def fill_gaps(df: DataFrame, measures: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Add the missing periods between the first and last of each key, measures set to 0.
 
-    ``df`` is aggregated by key, ``granularity`` and ``period_start``: at most one row per key and period, so a window holds no more
-    rows than the calendar has days, however many reviews a key has. Each row is repeated
-    for the empty periods up to the next one, which needs no join with a calendar.
+    ``df`` is aggregated by key, ``granularity`` and ``period_start``: at most one row per
+    key and period, so a window holds no more rows than the calendar has days, however many
+    reviews a key has. Each row is repeated for the empty periods up to the next one, which
+    needs no join with a calendar.
     """
     order = Window.partitionBy(*keys).orderBy("period_start")
     following = F.date_sub(F.lead("period_start").over(order), 1)

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from reviewmill.operators.joins import latest_per_key, measure, only_keys
+from reviewmill.operators.joins import latest_per_key, measure, only_keys, sized
 from reviewmill.operators.maintenance import changed, upsert_unique
-from reviewmill.streaming.store import checkpoint_of, newest, read_versions, write_batch
+from reviewmill.streaming.store import BATCH, checkpoint_of, newest, read_versions, write_batch
 
 # Weeks start on Monday; windows are counted from 1970-01-01, a Thursday.
 _WINDOWS = {"day": ("1 day", None), "week": ("7 days", "4 days")}
@@ -104,24 +104,30 @@ def merge_batch(
 ) -> Callable[[DataFrame, int], None]:
     """Micro-batch function: detect changes against the store, enrich, upsert.
 
-    The store is scanned for the batch's keys; with a small batch nothing of it is shuffled.
-    ``enrich`` (for example the embedder) sees changed rows only.
+    The store is scanned for the keys and versions of the batch; whole rows are read only
+    for reviews that came back changed, and nothing of the store is shuffled if the batch
+    is small. ``enrich`` (for example the embedder) sees new and changed rows only.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark, kept = batch.sparkSession, [batch.persist()]
+        spark, kept = batch.sparkSession, []
+
+        def keep(df: DataFrame) -> DataFrame:
+            kept.append(df.persist())
+            return df
+
         try:
-            incoming = latest_per_key(batch, [key], [F.col(version).desc_nulls_last()])
-            versions = read_versions(spark, store, schema, before=batch_id)
+            batch = keep(batch)
             size = measure(batch)
-            stored = newest(only_keys(versions, batch, [key], size), [key])
-            fresh = changed(incoming, stored, key, version, size)
-            if enrich:
-                fresh = enrich(fresh)
-            kept.append(fresh.persist())
-            size = measure(fresh)
-            touched = only_keys(stored, fresh, [key], size)
-            write_batch(upsert_unique(touched, fresh, size, key), store, batch_id, key)
+            versions = read_versions(spark, store, schema, before=batch_id)
+            present = only_keys(versions.select(key, version, BATCH), batch, [key], size)
+            known = keep(newest(present, [key]))
+            incoming = latest_per_key(batch, [key], [F.col(version).desc_nulls_last()])
+            fresh = changed(incoming, known, key, version, size)
+            fresh = keep(enrich(fresh) if enrich else fresh)
+            edited = fresh.select(key).join(sized(known.select(key)), key, "left_semi")
+            stored = newest(only_keys(versions, edited, [key], measure(edited)), [key])
+            write_batch(upsert_unique(stored, fresh, measure(fresh), key), store, batch_id, key)
         finally:
             for df in kept:
                 df.unpersist()
