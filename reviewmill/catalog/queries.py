@@ -460,9 +460,9 @@ def nearest_company(spark, sf_dir):
 
 @query
 def knn_lsh(spark, sf_dir):
-    found = neighbours.nearest_lsh(
-        fixtures.query_vectors(spark, sf_dir), fixtures.text_reviews(spark, sf_dir), 75, max_distance=2.0
-    )
+    """Approximate neighbours of every vector among all vectors."""
+    vecs = fixtures.table(spark, sf_dir, "embeddings").withColumn("id", F.col("vec_id"))
+    found = neighbours.nearest_lsh(vecs, vecs, 5, query_key="vec_id", query_vector="embedding")
     return found.withColumn("dist", F.round("dist", 6))
 
 

@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from reviewmill.fixed_values import RETRIEVED_REVIEWS
@@ -14,6 +14,7 @@ from reviewmill.functions import topk
 from reviewmill.functions.codes import category_name
 from reviewmill.functions.vectors import l2_distance, vector_literal
 from reviewmill.operators.joins import fetch, sized
+from reviewmill.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(topk)
 
@@ -36,12 +37,36 @@ def nearest_one(
     return fetch(df, top, key, k).orderBy(*order)
 
 
-def _block(df: DataFrame, own: str, other: str, key: str, blocks: int, copies: int) -> DataFrame:
-    return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn(
-        other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
+def _block(df: DataFrame, own: str, other: str, key: str, blocks: Column, copies: Column) -> DataFrame:
+    """Give each row its block by key hash, and a copy for every block of the other side."""
+    return df.withColumn(own, F.pmod(F.xxhash64(key), blocks).cast("int")).withColumn(
+        other, F.explode(F.sequence(F.lit(0), copies - 1))
     )
 
 
+def _pairs_schema(q: DataFrame, b: DataFrame) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("_query", q.schema["_query"].dataType),
+            T.StructField("_rank", T.IntegerType()),
+            T.StructField("_dist", T.DoubleType()),
+            T.StructField("_key", b.schema["_key"].dataType),
+        ]
+    )
+
+
+def _result(rank: str, query_key: str, key: str) -> list[Column]:
+    names = {"_query": query_key, rank: "rn", "_key": key, "_dist": "dist"}
+    return [F.col(old).alias(new) for old, new in names.items()]
+
+
+def _ranked(found: DataFrame, k: int, query_key: str, key: str) -> DataFrame:
+    """The ``k`` best of each query; tasks and groups have returned at most ``k`` each."""
+    order = Window.partitionBy("_query").orderBy(F.col("_dist").asc_nulls_last(), "_key")
+    ranked = found.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k)
+    return ranked.select(*_result("_rn", query_key, key))
+
+
 def nearest(
     queries: DataFrame,
     base: DataFrame,
@@ -67,15 +92,7 @@ def nearest(
     """
     q = queries.select(F.col(query_key).alias("_query"), F.col(query_vector).alias("_vector"))
     b = base.select(F.col(key).alias("_key"), F.col(vector).alias("_vector"))
-    name_type, key_type = q.schema["_query"].dataType, b.schema["_key"].dataType
-    out = T.StructType(
-        [
-            T.StructField("_query", name_type),
-            T.StructField("_rank", T.IntegerType()),
-            T.StructField("_dist", T.DoubleType()),
-            T.StructField("_key", key_type),
-        ]
-    )
+    out = _pairs_schema(q, b)
     n_queries = q.count()
     n_base = b.count() if n_queries > held else None
     base_held = n_base is not None and n_base <= held
@@ -85,15 +102,13 @@ def nearest(
         found = q.mapInArrow(topk.scan_queries(b.toArrow(), k), out)
     else:
         query_blocks, base_blocks = math.ceil(n_queries / block), math.ceil(n_base / block)
-        left = _block(q, "_qb", "_rb", "_query", query_blocks, base_blocks).groupBy("_qb", "_rb")
-        right = _block(b, "_rb", "_qb", "_key", base_blocks, query_blocks).groupBy("_qb", "_rb")
+        n_blocks = F.lit(query_blocks), F.lit(base_blocks)
+        left = _block(q, "_qb", "_rb", "_query", *n_blocks).groupBy("_qb", "_rb")
+        right = _block(b, "_rb", "_qb", "_key", *reversed(n_blocks)).groupBy("_qb", "_rb")
         found = left.cogroup(right).applyInPandas(topk.scan_blocks(k), out)
-    result = [F.col("_query").alias(query_key), "rn", F.col("_key").alias(key), F.col("_dist").alias("dist")]
     if base_held:
-        return found.withColumnRenamed("_rank", "rn").select(*result)
-    order = Window.partitionBy("_query").orderBy(F.col("_dist").asc_nulls_last(), "_key")
-    ranked = found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
-    return ranked.select(*result)
+        return found.select(*_result("_rank", query_key, key))
+    return _ranked(found, k, query_key, key)
 
 
 def retrieve(
@@ -135,43 +150,68 @@ def nearest_name(
     return top.join(sized(names), "id").select(mention_key, "name", "id", "dist")
 
 
+def _buckets(model, df: DataFrame, tables: int, width: int) -> DataFrame:
+    """One row per hash table: the bucket of a vector is made of ``width`` projections."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    hashed = model.transform(df.withColumn("_features", array_to_vector("_vector")))
+    numbers = F.transform("_hashes", lambda h: F.get(vector_to_array(h), F.lit(0)))
+    parts = [
+        F.xxhash64(F.lit(t), F.slice("_numbers", t * width + 1, width)) for t in range(tables)
+    ]
+    return (
+        hashed.withColumn("_numbers", numbers)
+        .withColumn("_bucket", F.explode(F.array(*parts)))
+        .drop("_features", "_hashes", "_numbers")
+    )
+
+
 def nearest_lsh(
     queries: DataFrame,
     base: DataFrame,
     k: int,
-    max_distance: float,
-    bucket_length: float = 1.0,
+    bucket_length: float = 0.3,
     tables: int = 8,
+    width: int = 2,
     seed: int = 7,
     query_key: str = "similarity_query",
     query_vector: str = "q_embedding",
     key: str = "id",
     vector: str = "embedding",
+    block: int = BLOCK_VECTORS,
 ) -> DataFrame:
-    """Approximate neighbours within ``max_distance``, ranked by exact distance.
+    """Approximate neighbours: nearest rows that share a random-projection bucket with the query.
 
-    Rows without a vector are left out. Use it where :func:`nearest` is too slow and a
-    missed neighbour is acceptable.
+    For many queries against a large base, where :func:`nearest` would measure all pairs and
+    a missed neighbour is acceptable. Shorter buckets and more projections are faster and
+    miss more, more tables miss less. Rows without a vector are left out.
+
+    A bucket is searched in blocks of about ``block`` rows, each giving ``k`` rows per query;
+    a bucket holding much of the base is split over many groups and no pairs are written.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    def features(df: DataFrame, name: str, column: str) -> DataFrame:
-        return df.where(F.col(column).isNotNull()).select(
-            F.col(name).alias("_name"), array_to_vector(F.col(column)).alias("_features")
-        )
-
-    q, b = features(queries, query_key, query_vector), features(base, key, vector)
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="_features", outputCol="_hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    pairs = lsh.fit(b).approxSimilarityJoin(b, q, max_distance, distCol="dist")
-    found = pairs.select(
-        F.col("datasetB._name").alias(query_key), F.col("datasetA._name").alias(key), "dist"
-    )
-    order = Window.partitionBy(query_key).orderBy("dist", key)
-    return (
-        found.withColumn("rn", F.row_number().over(order))
-        .where(F.col("rn") <= k)
-        .select(query_key, "rn", key, "dist")
-    )
+    q = queries.select(F.col(query_key).alias("_query"), F.col(query_vector).alias("_vector"))
+    b = base.select(F.col(key).alias("_key"), F.col(vector).alias("_vector"))
+    q, b = q.where("_vector IS NOT NULL"), b.where("_vector IS NOT NULL")
+    model = BucketedRandomProjectionLSH(
+        inputCol="_features",
+        outputCol="_hashes",
+        bucketLength=bucket_length,
+        numHashTables=tables * width,
+        seed=seed,
+    ).fit(q.withColumn("_features", array_to_vector("_vector")))  # reads the length of a vector
+    q, b = _buckets(model, q, tables, width), _buckets(model, b, tables, width)
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("_bucket").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+
+    shared = sized(cut_lineage(blocks(q, "_q_blocks").join(blocks(b, "_b_blocks"), "_bucket")))
+    left = _block(q.join(shared, "_bucket"), "_qb", "_rb", "_query", F.col("_q_blocks"), F.col("_b_blocks"))
+    right = _block(b.join(shared, "_bucket"), "_rb", "_qb", "_key", F.col("_b_blocks"), F.col("_q_blocks"))
+    group = ["_bucket", "_qb", "_rb"]
+    out = _pairs_schema(q, b)
+    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(topk.scan_blocks(k), out)
+    once = found.groupBy("_query", "_key").agg(F.min("_dist").alias("_dist"))
+    return _ranked(once, k, query_key, key)

@@ -2,8 +2,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from reviewmill.operators import joins, neighbours
+from reviewmill.sources import fixtures
 
 SCHEMA = "id string, embedding array<float>"
 QUERY_SCHEMA = "similarity_query string, q_embedding array<float>"
@@ -130,10 +132,32 @@ def test_vectors_of_different_length_are_refused(spark):
         neighbours.nearest(queries, base, 1).collect()
 
 
-def test_lsh_recall(spark, sf_dir):
-    from reviewmill.sources import fixtures
+def found_pairs(df):
+    return {(r[0], r[2]) for r in df.collect()}
 
-    queries, texts = fixtures.query_vectors(spark, sf_dir), fixtures.text_reviews(spark, sf_dir)
-    exact = {(r[0], r[2]) for r in neighbours.nearest(queries, texts, 20).collect()}
-    approx = neighbours.nearest_lsh(queries, texts, 20, max_distance=2.0).collect()
-    assert len(exact & {(r[0], r[2]) for r in approx}) >= 0.9 * len(exact)
+
+def test_lsh_recall_and_exact_distances(spark, sf_dir):
+    vecs = fixtures.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("id"), "embedding"
+    )
+    queries = vecs.toDF("similarity_query", "q_embedding")
+    exact = neighbours.nearest(queries, vecs, 5)
+    approx = neighbours.nearest_lsh(queries, vecs, 5)
+    pairs = found_pairs(exact)
+    assert len(pairs & found_pairs(approx)) >= 0.9 * len(pairs)
+    far = approx.join(exact.withColumnRenamed("dist", "d"), ["similarity_query", "id"])
+    assert far.where("abs(dist - d) > 1e-9").count() == 0
+
+
+def test_lsh_splits_a_bucket_that_holds_everything(spark):
+    """One long bucket: the blocks of it together give the exact result."""
+    queries, base = make(4, 30, prefix="q", missing=0), make(5, 60, missing=0)
+    asked, rows = spark.createDataFrame(queries, QUERY_SCHEMA), spark.createDataFrame(base, SCHEMA)
+    got = neighbours.nearest_lsh(asked, rows, 4, bucket_length=1000.0, tables=64, width=1, block=7)
+    assert found(got) == brute(queries, base, 4)
+
+
+def test_lsh_leaves_out_missing_vectors(spark):
+    base = spark.createDataFrame([("a", None), ("b", [1.0, 0.0])], SCHEMA)
+    asked = spark.createDataFrame([("q", [1.0, 0.0]), ("n", None)], QUERY_SCHEMA)
+    assert found(neighbours.nearest_lsh(asked, base, 5)) == [("q", 1, "b", 0.0)]
