@@ -14,16 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def worker_cache(name: str, build: Callable):
-    """What ``build`` returned the first time in this Python worker.
+def worker_cache(name: str, build: Callable, version: str = ""):
+    """What ``build`` returned the first time in this Python worker; one version of a name is kept.
 
     Task functions are pickled by value, so their own module variables start anew in every
     task; a module registered in ``sys.modules`` stays as long as the worker is reused.
     """
-    kept = sys.modules.setdefault("_reviewmill_worker", ModuleType("_reviewmill_worker"))
-    if not hasattr(kept, name):
-        setattr(kept, name, build())
-    return getattr(kept, name)
+    kept = vars(sys.modules.setdefault("_reviewmill_worker", ModuleType("_reviewmill_worker")))
+    if name not in kept or kept[name][0] != version:
+        kept[name] = (version, build())
+    return kept[name][1]
 
 
 def _longs(values: list[int]) -> str:

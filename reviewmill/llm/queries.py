@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewmill.llm import sharding, url_reputation
+from reviewmill.llm import (
+    byte_bpe,
+    imatch,
+    language_id,
+    packing,
+    sharding,
+    token_store,
+    url_reputation,
+)
 from reviewmill.llm.common import table
+from reviewmill.session import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,6 +35,51 @@ def op1_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+@query
+def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return imatch.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_token_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids in files, each document compressed by itself with a shared dictionary, read back."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    folder = token_store.write(table(spark, sf_dir, "documents"), path, shared_path(spark, "ids"), end_id=1)
+    found = token_store.read(spark, folder)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learnt from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and what they decode to, as digests."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode(F.col("ids"), byte_bpe.read_ranks(path))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        "ids_sha256",
+        F.sha2(decoded, 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), path)
+
+
 @query
 def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page; a page is labelled when the document that its path numbers is."""
