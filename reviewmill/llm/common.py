@@ -9,6 +9,8 @@ from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from reviewmill.session import shared_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,3 +61,10 @@ def key_bounds(df: DataFrame, key: str, weight: Column, per_block: int) -> list[
     shares = [i / blocks for i in range(1, blocks)]
     found = df.agg(F.percentile_approx(F.col(key).cast("bigint"), shares, max(10_000, 20 * blocks)))
     return sorted(set(found.first()[0] or []))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder, so that later steps read the columns they need."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

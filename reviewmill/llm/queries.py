@@ -11,6 +11,7 @@ from reviewmill.llm import (
     byte_bpe,
     imatch,
     language_id,
+    ngram_join,
     packing,
     sharding,
     token_store,
@@ -89,3 +90,9 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     outcomes = numbered.where("doc_id IS NOT NULL").join(labels.select("doc_id", good.alias("good")), "doc_id")
     return url_reputation.judge_urls(pages, outcomes)
+
+
+@query
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that are linked by 85 % of their 4-word shingles."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
