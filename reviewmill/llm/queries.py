@@ -11,6 +11,7 @@ from reviewmill.llm import (
     byte_bpe,
     imatch,
     language_id,
+    multi_index,
     ngram_join,
     packing,
     sharding,
@@ -42,6 +43,12 @@ def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every vector whose key is divisible by 100."""
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 @query
 def op5_token_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids in files, each document compressed by itself with a shared dictionary, read back."""
