@@ -1,15 +1,21 @@
 """Approximate nearest neighbours with an inverted multi-index.
 
 Vectors are cut into two halves and each half is quantised by its own codebook; a pair of
-centroids is a cell. A query measures its halves against both codebooks, walks the pairs of
-centroids in order of summed distance with a heap until their cells hold ``candidates`` vectors,
-and the vectors of these cells are measured exactly in double precision.
+centroids is a cell. A query measures its halves against both codebooks and walks the pairs of
+centroids in order of summed distance with a heap until their cells hold enough entries, which
+are measured exactly in double precision.
+
+How many are enough is a share of the index, found on the sample that the codebooks are fitted
+on (at most ``SAMPLE`` entries, lowest hashes): the share at which the walk meets ``RECALL`` of
+the true neighbours of ``TRIALS`` sampled vectors. Clustered vectors need little; vectors
+without any structure need much of the index, as with every method.
 
 Equal vectors are one entry that carries its lowest keys, as many as could be asked for, so a
 vector that fills a third of the table is one entry too, on both sides. Every entry is indexed.
-The codebooks are fitted on at most ``SAMPLE`` entries (lowest hashes), their size follows the
-number of entries up to ``MAX_CENTROIDS``. Cells are searched in blocks of bounded size on either
-side, each block pair returning the ``k`` best of each query; no pairs are written.
+A walk takes, for each centroid of the first half, the centroids of the second half in order up
+to some number. So a query goes once to each such row of cells with that number. Rows are
+searched in blocks of bounded size on either side, each pair of blocks returning the ``k`` best
+of each query; no pairs are written.
 
 If the cells visited hold fewer than ``k`` others, the walk goes on until they do or the index is
 exhausted, so a query gets all candidates there are if these are fewer than ``k``.
@@ -27,6 +33,7 @@ Defined results
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -40,11 +47,12 @@ from reviewmill.operators.joins import sized
 from reviewmill.session import cut_lineage
 
 SAMPLE = 20_000
+TRIALS = 100
+RECALL = 0.97
 CHUNK = 4_096
-CANDIDATES = 3_000
-CELL_ENTRIES = 30  # mean number of entries in a cell
-MAX_CENTROIDS = 2_048
-ROUNDS = 12
+MAX_CENTROIDS = 256
+CENTROID_ENTRIES = 16  # entries for each centroid, at least
+ROUNDS = 10
 BLOCK_ENTRIES = 20_000
 BLOCK_QUERIES = 2_000
 
@@ -99,83 +107,102 @@ def _halves(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return matrix[:, :half], matrix[:, half:]
 
 
+def fit(vectors: np.ndarray, size: int, k: int, recall: float = RECALL, trials: int = TRIALS) -> tuple[Books, float]:
+    """Codebooks of sampled vectors, and the share of an index that a walk has to meet."""
+    a, b = _halves(vectors)
+    books = Books(codebook(a, size), codebook(b, size), np.zeros((0, 0), np.int32))
+    tried = vectors[: min(trials, len(vectors))]
+    squares = _distances(tried, vectors)
+    squares[np.arange(len(tried)), np.arange(len(tried))] = np.inf
+    true = np.argsort(squares, axis=1, kind="stable")[:, :k]
+    own_a, own_b = _halves(tried)
+    summed = _distances(own_a, books.first)[:, _nearest(a, books.first)[0]]
+    summed += _distances(own_b, books.second)[:, _nearest(b, books.second)[0]]
+    met = np.sort(summed, axis=1)
+    at = np.concatenate([np.searchsorted(m, s[t], side="right") for m, s, t in zip(met, summed, true)])
+    return books, float(np.quantile(at, recall)) / len(vectors)
+
+
 def _assign(shared, dim: int):
-    """Task function: the cell of every entry."""
+    """Task function: the row and the column of the cell of every entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = shared.value
         for batch in batches:
             first, second = _halves(_matrix(batch.column(0), dim))
-            cells = _nearest(first, books.first)[0] * len(books.second) + _nearest(second, books.second)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), *batch.columns], ["cell", "vector", "keys"])
+            places = [pa.array(_nearest(h, c)[0]) for h, c in ((first, books.first), (second, books.second))]
+            yield pa.RecordBatch.from_arrays([*places, *batch.columns], ["row", "col", "vector", "keys"])
 
     return run
 
 
-def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: int) -> list[int]:
-    """Cells in order of summed distance until they hold ``wanted`` entries; empty ones are left out."""
+def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: int) -> np.ndarray:
+    """Cells in order of summed distance until they hold ``wanted`` entries.
+
+    Returns, for every centroid of the first half, how many of the second half were taken, in
+    order of their distance.
+    """
     by_first, by_second = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     a, b = first[by_first].tolist(), second[by_second].tolist()
-    heap, reached = [(a[0] + b[0], 0, 0)], [0] * len(a)  # per row, how far its columns are taken
-    cells, held = [], 0
+    held_in = counts[by_first][:, by_second].tolist()
+    heap, reached, held = [(a[0] + b[0], 0, 0)], [0] * len(a), 0
     while heap and held < wanted:
         _, i, j = heapq.heappop(heap)
         reached[i] = j + 1
-        count = int(counts[by_first[i], by_second[j]])
-        if count:
-            cells.append(int(by_first[i]) * len(b) + int(by_second[j]))
-            held += count
+        held += held_in[i][j]
         # a pair follows when both its neighbours before it are taken
         if i + 1 < len(a) and reached[i + 1] == j:
             heapq.heappush(heap, (a[i + 1] + b[j], i + 1, j))
         if j + 1 < len(b) and (i == 0 or reached[i - 1] > j + 1):
             heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
-    return cells
+    out = np.zeros(len(a), np.int64)
+    out[by_first] = reached
+    return out
 
 
-def _visit(shared, dim: int, candidates: int):
-    """Task function: the cells that each distinct query vector visits."""
+def _visit(shared, dim: int, wanted: int):
+    """Task function: the rows of cells that each distinct query vector visits, and how far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = shared.value
         for batch in batches:
             first, second = _halves(_matrix(batch.column(1), dim))
             a, b = _distances(first, books.first), _distances(second, books.second)
-            visited = [walk(a[i], b[i], books.counts, candidates) for i in range(len(a))]
-            rows = np.repeat(np.arange(len(a)), [len(v) for v in visited])
-            cells = np.array([c for v in visited for c in v], dtype=np.int64)
-            place = pa.array(rows)
-            arrays = [pa.array(cells), batch.column(0).take(place), batch.column(1).take(place)]
-            yield pa.RecordBatch.from_arrays(arrays, ["cell", "query", "vector"])
+            for i in range(len(a)):
+                reached = walk(a[i], b[i], books.counts, wanted)
+                rows = np.flatnonzero(reached)
+                place = pa.array(np.full(len(rows), i))
+                arrays = [pa.array(rows), pa.array(reached[rows]), batch.column(0).take(place), batch.column(1).take(place)]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "reached", "query", "vector"])
 
     return run
 
 
-def _search(dim: int, keep: int):
-    """Group function: the nearest entries of each query of a block within a block of a cell."""
-    names = ["query", "score", "keys"]
+def _search(shared, dim: int, keep: int):
+    """Group function: the nearest entries of each query of a block within a block of a row."""
 
     def run(queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(entries):
-            return pd.DataFrame({n: [] for n in names})
-        base = np.array(entries["vector"].tolist(), dtype=np.float64).reshape(-1, dim)
-        lowest = np.array([keys[0] for keys in entries["keys"]])
-        order = np.argsort(lowest, kind="stable")
-        base, keys = base[order], entries["keys"].to_numpy()[order]
-        out_query, out_score, out_keys = [], [], []
-        for query, vector in zip(queries["query"], queries["vector"]):
-            differ = base - np.asarray(vector, dtype=np.float64)
-            scores = np.sqrt((differ * differ).sum(axis=1))
-            if len(scores) > keep:  # all ties of the last place stay
-                limit = np.partition(scores, keep - 1)[keep - 1]
-                near = np.flatnonzero(scores <= limit)
-                near = near[np.argsort(scores[near], kind="stable")][:keep]
-            else:
-                near = np.argsort(scores, kind="stable")
-            out_query += [query] * len(near)
-            out_score += scores[near].tolist()
-            out_keys += [list(k) for k in keys[near]]
-        return pd.DataFrame({"query": out_query, "score": out_score, "keys": out_keys})
+        out: list[list] = [[], [], []]
+        if len(queries) and len(entries):
+            centroids = shared.value.second
+            base = np.array(entries["vector"].tolist(), dtype=np.float64).reshape(-1, dim)
+            lowest = np.array([keys[0] for keys in entries["keys"]])
+            order = np.argsort(lowest, kind="stable")
+            base, keys, cols = base[order], entries["keys"].to_numpy()[order], entries["col"].to_numpy()[order]
+            asked = np.array(queries["vector"].tolist(), dtype=np.float64).reshape(-1, dim)
+            near_cols = np.argsort(_distances(_halves(asked)[1], centroids), axis=1, kind="stable")
+            for i, (query, reached) in enumerate(zip(queries["query"], queries["reached"])):
+                taken = np.zeros(len(centroids), bool)
+                taken[near_cols[i, :reached]] = True
+                met = np.flatnonzero(taken[cols])
+                differ = base[met] - asked[i]
+                scores = np.sqrt((differ * differ).sum(axis=1))
+                near = np.argsort(scores, kind="stable")[:keep]  # entries are in order of their lowest key
+                out[0] += [query] * len(near)
+                out[1] += scores[near].tolist()
+                out[2] += [list(k) for k in keys[met[near]]]
+        columns = zip(("query", "score", "keys"), out, ("int64", "float64", "object"))
+        return pd.DataFrame({name: pd.Series(values, dtype=kind) for name, values, kind in columns})
 
     return run
 
@@ -199,8 +226,7 @@ def search(
     k: int = 10,
     key: str = "vec_id",
     vector: str = "embedding",
-    candidates: int = CANDIDATES,
-    cell_entries: int = CELL_ENTRIES,
+    recall: float = RECALL,
     max_centroids: int = MAX_CENTROIDS,
     sample: int = SAMPLE,
     block_entries: int = BLOCK_ENTRIES,
@@ -221,45 +247,42 @@ def search(
     named = named.where(F.size("vector") == dim)
     entries = stored(_entries(named.select("key", "vector"), k + 1), "entries")
     n = entries.count()
-    size = int(min(max_centroids, max(1, round((n / cell_entries) ** 0.5))))
     lowest = entries.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample)
     fitted = np.array(lowest.toArrow().column(0).combine_chunks().flatten()).reshape(-1, dim)
-    first, second = _halves(fitted)
-    books = Books(codebook(first, size), codebook(second, size), np.zeros((0, 0), np.int32))
+    size = min(max_centroids, max(1, len(fitted) // CENTROID_ENTRIES))
+    books, share = fit(fitted, size, k, recall)
 
     # the codebooks and the counts of the cells are bounded by max_centroids
     shared = spark.sparkContext.broadcast(books)
-    celled = entries.mapInArrow(_assign(shared, dim), "cell bigint, vector array<double>, keys array<bigint>")
-    celled = stored(celled, "cells")
-    shape = len(books.first), len(books.second)
-    counts = np.zeros(shape[0] * shape[1], np.int32)
-    for row in celled.groupBy("cell").count().collect():
-        counts[row["cell"]] = row["count"]
-    shared = spark.sparkContext.broadcast(books._replace(counts=counts.reshape(shape)))
+    schema = "row bigint, col bigint, vector array<double>, keys array<bigint>"
+    celled = stored(entries.mapInArrow(_assign(shared, dim), schema), "cells")
+    counts = np.zeros((len(books.first), len(books.second)), np.int32)
+    for cell in celled.groupBy("row", "col").count().collect():
+        counts[cell["row"], cell["col"]] = cell["count"]
+    shared = spark.sparkContext.broadcast(books._replace(counts=counts))
 
     queries = named.where("is_query").select("vector", F.col("key").alias("query_id")).distinct()
     keyed = stored(queries.groupBy("vector").agg(F.min("query_id").alias("query")), "queries").select("query", "vector")
-    visits = stored(
-        keyed.mapInArrow(_visit(shared, dim, max(candidates, k + 1)), "cell bigint, query bigint, vector array<double>"),
-        "visits",
-    )
+    wanted = max(k + 1, math.ceil(share * n))
+    schema = "row bigint, reached bigint, query bigint, vector array<double>"
+    visits = stored(keyed.mapInArrow(_visit(shared, dim, wanted), schema), "visits")
 
     def block_counts(df: DataFrame, per_block: int, name: str) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count("*") / per_block).cast("int").alias(name))
+        return df.groupBy("row").agg(F.ceil(F.count("*") / per_block).cast("int").alias(name))
 
-    both = block_counts(visits, block_queries, "q_blocks").join(block_counts(celled, block_entries, "e_blocks"), "cell")
+    both = block_counts(visits, block_queries, "q_blocks").join(block_counts(celled, block_entries, "e_blocks"), "row")
     both = sized(cut_lineage(both))
 
     def dealt(df: DataFrame, own: str, others: str, hashed: str, mine: str, copies: str) -> DataFrame:
         block = F.pmod(F.xxhash64(hashed), F.col(own)).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.col(others) - 1))
-        return df.join(both, "cell").withColumn(mine, block).withColumn(copies, every)
+        return df.join(both, "row").withColumn(mine, block).withColumn(copies, every)
 
-    group = ["cell", "q_block", "e_block"]
-    left = dealt(visits, "q_blocks", "e_blocks", "query", "q_block", "e_block").select(*group, "query", "vector")
-    right = dealt(celled, "e_blocks", "q_blocks", "vector", "e_block", "q_block").select(*group, "vector", "keys")
+    group = ["row", "q_block", "e_block"]
+    left = dealt(visits, "q_blocks", "e_blocks", "query", "q_block", "e_block").select(*group, "reached", "query", "vector")
+    right = dealt(celled, "e_blocks", "q_blocks", "vector", "e_block", "q_block").select(*group, "col", "vector", "keys")
     found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(
-        _search(dim, k + 1), "query bigint, score double, keys array<bigint>"
+        _search(shared, dim, k + 1), "query bigint, score double, keys array<bigint>"
     )
     # the k + 1 nearest entries of a query hold its k nearest others, whichever entry is its own
     by_score = Window.partitionBy("query").orderBy("score", F.element_at("keys", 1))
