@@ -399,9 +399,10 @@ def keep_one(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFram
     out = cut_lineage(found.where(F.col("component_id") != F.col(key)).select(F.col(key).alias("_key")).distinct())
     firsts = found.where(F.col("component_id") == F.col(key)).select(F.col(key).alias("_key"))
     out = out.join(firsts, "_key", "left_anti")
-    rest = docs.join(sized(cut_lineage(out)), F.col(key) == F.col("_key"), "left_anti")
+    out = sized(cut_lineage(out))
+    rest = docs.join(out, docs[key] == out["_key"], "left_anti")
     repeated = cut_lineage(firsts.groupBy("_key").count().where("count > 1").select("_key"))
     if repeated.isEmpty():
         return rest
-    again = rest.join(repeated, F.col(key) == F.col("_key"), "left_semi").dropDuplicates([key])
-    return rest.join(repeated, F.col(key) == F.col("_key"), "left_anti").unionByName(again)
+    again = rest.join(repeated, rest[key] == repeated["_key"], "left_semi").dropDuplicates([key])
+    return rest.join(repeated, rest[key] == repeated["_key"], "left_anti").unionByName(again)

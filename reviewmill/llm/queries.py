@@ -14,6 +14,7 @@ from reviewmill.llm import (
     multi_index,
     ngram_join,
     packing,
+    pii,
     sharding,
     token_store,
     url_reputation,
@@ -49,6 +50,12 @@ def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+@query
+def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_token_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids in files, each document compressed by itself with a shared dictionary, read back."""
