@@ -12,7 +12,7 @@ share of equal hashes at the rate that suits the two texts best (see :func:`like
 
 For edited texts every document needs the next one by key. Blocks of ascending keys are shuffled
 to tasks, each with a copy of the first row of the block after it, and a task walks its sorted
-rows once. Term counts are added up in tasks before they are shuffled.
+rows once; texts are compressed for the shuffle. Term counts are added up in tasks before they are shuffled.
 
 Defined results
 ---------------
@@ -34,6 +34,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from reviewmill.llm.common import block_of, key_bounds, worker_cache
@@ -43,6 +44,7 @@ RATES = tuple(2.0**-i for i in range(2, 10))
 SUBSETS_PER_RATE = 6
 BLOCK_DOCS = 4_000
 FLUSH_TERMS = 400_000
+PACKED_AT_ONCE = 256
 TERM = re.compile(r"\w+")
 EMPTY = "-" * 8
 LOWEST = -(1 << 63)
@@ -161,21 +163,34 @@ def _result(row: Row, after: Row, subsets: Subsets, per_rate: int) -> tuple:
     return row.key, n, digest, row.fingerprint, other, *near
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function: texts compressed for the shuffle, with a hash for the order of equal keys."""
+    press = zstandard.ZstdCompressor(level=3, write_checksum=False)
+    for batch in batches:
+        for start in range(0, batch.num_rows, PACKED_AT_ONCE):
+            some = batch.slice(start, PACKED_AT_ONCE)
+            raw = [(t or "").encode() for t in some.column(1).to_pylist()]
+            hashes = [hashlib.blake2b(r, digest_size=8).digest() for r in raw]
+            arrays = [some.column(0), pa.array(hashes, pa.binary()), pa.array(map(press.compress, raw), pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["_key", "hash", "packed"])
+
+
 def _walk(shared, rates: tuple[float, ...], per_rate: int, seed: int):
     """Task function: sorted rows of (block, copy of the next block's first row?, key, text)."""
     version = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subsets = worker_cache("imatch", lambda: Subsets(shared.value, rates, per_rate, seed), version)
+        unpress = zstandard.ZstdDecompressor()
         block, ended, last = None, False, None
         for batch in batches:
             out = []
-            for number, copied, key, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for number, copied, key, packed in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if number != block:
                     block, ended, last = number, False, None
                 if ended:
                     continue  # further rows with the next block's first key
-                text = text or ""
+                text = unpress.decompress(packed).decode()
                 row = Row(key, text, subsets.fingerprint(terms_of(text)))
                 if last is not None:
                     out.append(_result(last, row, subsets, per_rate))
@@ -214,20 +229,19 @@ def fingerprint_documents(
         to = F.expr("array(" + ",".join(str(before.get(b, -1)) for b in spread) + ")")
         at = F.col("block") + 1
         copies = F.when(F.element_at(keys, at) == F.col("order"), F.element_at(to, at))
-    placed = rows.select(block_of(F.col("_key"), bounds).alias("block"), order.alias("order"), "_key", "_text")
+    packed = rows.mapInArrow(_packed, "_key bigint, hash binary, packed binary")
+    placed = packed.select(block_of(F.col("_key"), bounds).alias("block"), order.alias("order"), "_key", "hash", "packed")
     own = F.struct(F.col("block").alias("block"), F.lit(0).alias("copied"))
     copy = F.struct(copies.alias("block"), F.lit(1).alias("copied"))
     both = F.filter(F.array(own, copy), lambda x: x.block.isNotNull())
-    dealt = placed.select(F.explode(both).alias("to"), "order", "_key", "_text")
-    dealt = dealt.select("to.block", "to.copied", "order", "_key", "_text")
-    sorted_rows = dealt.repartition(len(bounds) + 1, "block").sortWithinPartitions(
-        "block", "copied", "order", F.xxhash64("_text"), "_text"
-    )
+    dealt = placed.select(F.explode(both).alias("to"), "order", "_key", "hash", "packed")
+    dealt = dealt.select("to.block", "to.copied", "order", "_key", "hash", "packed")
+    sorted_rows = dealt.repartition(len(bounds) + 1, "block").sortWithinPartitions("block", "copied", "order", "hash")
     schema = (
         "_key bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
         "edited_fingerprint string, near_edited double, near_next double"
     )
-    walked = sorted_rows.select("block", "copied", "_key", "_text")
+    walked = sorted_rows.select("block", "copied", "_key", "packed")
     return walked.mapInArrow(_walk(shared, rates, per_rate, seed), schema).withColumnRenamed("_key", key)
 
 
