@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from types import ModuleType
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reviewmill.session import shared_path
@@ -28,6 +29,13 @@ def worker_cache(name: str, build: Callable, version: str = ""):
     return kept[name][1]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that fewer texts are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _longs(values: list[int]) -> str:
     return "array(" + ",".join(f"{v}L" for v in values) + ")" if values else "array(0L)"
 

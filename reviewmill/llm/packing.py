@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from reviewmill.llm import word_ids
-from reviewmill.llm.common import worker_cache
+from reviewmill.llm.common import sliced, worker_cache
 from reviewmill.session import cut_lineage
 
 CAPACITY = 2048
@@ -58,7 +58,7 @@ def _cut(path: str, end: bytes, capacity: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_cache(f"spaced:{path}", lambda: word_ids.SpacedWords(path))
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[list] = [[] for _ in PIECES]
             keys = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -39,7 +39,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from reviewmill.llm import word_ids
-from reviewmill.llm.common import block_of, key_bounds, worker_cache
+from reviewmill.llm.common import block_of, key_bounds, sliced, worker_cache
 
 MAGIC = b"IDFRAMES"
 HEADER = np.dtype([("magic", "S8"), ("width", "u1"), ("dictionary", "V32")])
@@ -96,7 +96,7 @@ def _frames(path: str, end: bytes, width: int, dictionary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_dict_id=1, write_content_size=1)
         press = zstandard.ZstdCompressor(dict_data=_dictionary(dictionary), compression_params=options)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             counts, crcs, frames = [], [], []
             for ids in _encoder(path).encode(texts):

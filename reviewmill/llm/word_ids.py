@@ -15,9 +15,9 @@ from collections.abc import Sequence
 import numpy as np
 
 WORDS_PER_CALL = 4_000
-KEPT_BYTES = 90_000_000  # of one generation of kept words; there are two
-WORD_BYTES = 240  # of Python's objects for one kept word, roughly
-TEXTS_AT_ONCE = 256
+KEPT_BYTES = 180_000_000  # of one generation of kept words; there are two
+WORD_BYTES = 210  # of Python's objects for one kept word, roughly
+TEXTS_AT_ONCE = 512
 
 
 def spaced_words(text: str) -> list[str] | None:
@@ -52,6 +52,7 @@ class WordIds:
         self.kept_bytes, self.size = kept_bytes, 0
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -78,6 +79,10 @@ class WordIds:
     def _alone(self, word: str) -> str:
         return word
 
+    def _stem(self, word: str) -> str:
+        """The word without a full stop or comma after a letter, which is always a token of its own."""
+        return word[:-1] if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() else word
+
     def _learn(self, missing: set[str]) -> None:
         new = []
         for word in missing:
@@ -86,10 +91,25 @@ class WordIds:
                 new.append(word)
             else:
                 self._keep(word, found)
-        for start in range(0, len(new), WORDS_PER_CALL):
-            some = new[start : start + WORDS_PER_CALL]
-            for word, ids in zip(some, self._ask(some)):
-                self._keep(word, ids)
+        stems = set(map(self._stem, new)).difference(self.kept)
+        asked = list(stems.difference(self.older))
+        ids = {word: self.older[word] for word in stems.intersection(self.older)}
+        for start in range(0, len(asked), WORDS_PER_CALL):
+            some = asked[start : start + WORDS_PER_CALL]
+            ids.update(zip(some, self._finished(some, self._ask(some))))
+        for word, found in ids.items():
+            self._keep(word, found)
+        for word in new:
+            if word not in self.kept:
+                self._keep(word, self.kept[self._stem(word)] + self._mark(word[-1]))
+
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = self.ids(mark).tobytes()
+        return self.marks[mark]
+
+    def _finished(self, words: list[str], ids: list[bytes]) -> list[bytes]:
+        return ids
 
     def _keep(self, word: str, ids: bytes) -> None:
         self.kept[word] = ids
@@ -154,11 +174,8 @@ class SpacedWords(WordIds):
     def _alone(self, word: str) -> str:
         return word[1:] if word[0] == "\n" else " " + word
 
-    def _keep(self, word: str, ids: bytes) -> None:
-        # words kept from the older generation already have their line break
-        if word[0] == "\n" and word not in self.older:
-            ids = self.break_bytes + ids
-        super()._keep(word, ids)
+    def _finished(self, words: list[str], ids: list[bytes]) -> list[bytes]:
+        return [self.break_bytes + found if word[0] == "\n" else found for word, found in zip(words, ids)]
 
     def _joined(self, words: list[str]) -> bytes:
         return super()._joined(words)[4:]  # the first word stands after no line break
