@@ -9,7 +9,7 @@ map is a literal, an array of small maps entered by a hash of the pair, since Sp
 a map from its start. Characters are in the order of the ranks, so the least character is the
 lowest rank. The ids are then laid out by the places.
 
-Decoding looks every id up in a literal array of pieces (as hexadecimal text) and joins them.
+Decoding looks every id up in a literal array of pieces and joins them.
 
 Nothing is shuffled, the literals are as large as the vocabulary, and a task holds one row at a
 time; a text longer than the bound has a row of its own. The fold takes the square of the length
@@ -28,6 +28,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from reviewmill.llm import word_ids
 from reviewmill.llm.common import worker_cache
 
-ROW_CHARS = 24_000_000
+ROW_CHARS = 10_000_000
 SLOTS = 1 << 17
 FIRST_LETTER = 0x100
 LONG_BYTES = 160
@@ -89,7 +90,7 @@ def merge(word: Column, ranks: Column) -> Column:
     """The pieces of one pre-token, a character each, after all merges."""
 
     def made(pair: Column) -> Column:
-        return F.element_at(F.element_at(ranks, _slot(pair) + 1), pair)
+        return F.element_at(F.get(ranks, _slot(pair)), pair)
 
     def join(word: Column, pairs: Column) -> Column:
         lowest = F.array_min(pairs)
@@ -114,17 +115,19 @@ class _Row:
         self.byte_letters = {b: _letter(ranks[bytes([b])]) for b in range(256)}
         self.tokens: dict[str, int] = {}
         self.words: dict[str, int] = {}
-        self.of_word: list[list[int]] = []
+        self.word_sizes, self.word_tokens = array("i"), array("i")
         self.keys: list = []
-        self.of_text: list[np.ndarray] = []
+        self.text_sizes, self.text_words = array("i"), array("i")
         self.chars = 0
 
-    def _place(self, word: str) -> int:
-        text = word[1:] if word[:1] == "\r" else word if word[0] == "\n" else " " + word
-        found = [self.tokens.setdefault(t, len(self.tokens)) for t in self.pattern.findall(text)]
-        self.of_word.append(found)
+    def _learn(self, word: str) -> None:
+        text = word[1:] if word[0] == "\r" else word if word[0] == "\n" else " " + word
+        # letters alone, with a space before them or not, are one pre-token
+        found = [text] if word.isalpha() else self.pattern.findall(text)
+        self.word_sizes.append(len(found))
+        for token in found:
+            self.word_tokens.append(self.tokens.setdefault(token, len(self.tokens)))
         self.words[word] = len(self.words)
-        return len(self.words) - 1
 
     def add(self, key, text: str) -> None:
         words = word_ids.spaced_words(text)
@@ -132,10 +135,11 @@ class _Row:
             words = ["\r" + text] if text else []
         else:
             words[0] = "\r" + words[0][1:]
-        known = self.words
-        places = [known[w] if w in known else self._place(w) for w in words]
+        for word in set(words).difference(self.words):
+            self._learn(word)
         self.keys.append(key)
-        self.of_text.append(np.array(places, dtype="<i4"))
+        self.text_sizes.append(len(words))
+        self.text_words.extend(map(self.words.__getitem__, words))
         self.chars += len(text)
 
     def _letters(self, token: bytes) -> str:
@@ -152,17 +156,15 @@ class _Row:
             pa.array([self.keys], pa.list_(pa.int64())),
             pa.array([letters], pa.list_(pa.string())),
             pa.array([long_ones], pa.list_(pa.string())),
-            pa.array([_pack(self.of_word)], pa.binary()),
-            pa.array([_pack(self.of_text)], pa.binary()),
+            pa.array([_pack(self.word_sizes, self.word_tokens)], pa.binary()),
+            pa.array([_pack(self.text_sizes, self.text_words)], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(columns, ["keys", "tokens", "long_tokens", "of_word", "of_text"])
 
 
-def _pack(lists: list) -> bytes:
+def _pack(sizes: array, values: array) -> bytes:
     """Number of lists, their lengths, and their values, as 32-bit integers."""
-    lengths = np.array([len(x) for x in lists], dtype="<i4")
-    values = np.concatenate([np.asarray(x, dtype="<i4") for x in lists]) if lists else np.zeros(0, "<i4")
-    return np.array([len(lists)], "<i4").tobytes() + lengths.tobytes() + values.tobytes()
+    return array("i", [len(sizes)]).tobytes() + sizes.tobytes() + values.tobytes()
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -182,11 +184,13 @@ def _gather(path: str, pattern: str, row_chars: int):
         ranks = worker_cache(f"ranks:{path}", lambda: read_ranks(path))
         row = _Row(compiled, ranks)
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                row.add(key, text or "")
-                if row.chars >= row_chars:
-                    yield row.batch()
-                    row = _Row(compiled, ranks)
+            for start in range(0, batch.num_rows, OUT_TEXTS):
+                some = batch.slice(start, OUT_TEXTS)
+                for key, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    row.add(key, text or "")
+                    if row.chars >= row_chars:
+                        yield row.batch()
+                        row = _Row(compiled, ranks)
         if row.keys:
             yield row.batch()
 
@@ -266,9 +270,9 @@ def encode(
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes that an array of ids stands for."""
+    """The bytes that an array of ids stands for. Pieces are joined as text of a letter a byte."""
     pieces = [""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece.hex()
+        pieces[rank] = piece.decode("latin-1")
     table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), ""))
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""), "ISO-8859-1")

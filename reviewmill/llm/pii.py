@@ -43,8 +43,8 @@ from reviewmill.session import cut_lineage
 PRIOR = 1.0
 ROUNDS = 3
 MIN_SCORE = 0.5
-MIN_INSTANCES = 3
-MIN_SEEDS = 2
+MIN_INSTANCES = 4
+MIN_SEEDS = 3
 CONTEXT_CHARS = 48
 FOUND = "id"
 
