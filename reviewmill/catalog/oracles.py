@@ -490,7 +490,7 @@ ORACLES: dict[str, str] = {
            FROM rv_orders WHERE rating <= 2 UNION ALL
            SELECT id, 0, 'PLOT: [''ratings time series for single company'', ''ratings piechart for single company'']'
            FROM rv_orders WHERE rating = 3 UNION ALL
-           SELECT id, 1, 'ANALYSE REVIEWS: [''Negative feedback'', ''Positive feedback'']'
+           SELECT id, 1, 'ANALYSE REVIEWS: ["Lange ventetider på svar", "Ros til' || chr(9) || 'personalet"]'
            FROM rv_orders WHERE rating = 3""",
     ),
     "plan_steps": _with(
@@ -499,7 +499,7 @@ ORACLES: dict[str, str] = {
            FROM rv_orders WHERE rating <= 2 UNION ALL
            SELECT id, 0, 'PLOT', 'ratings time series for single company|ratings piechart for single company'
            FROM rv_orders WHERE rating = 3 UNION ALL
-           SELECT id, 1, 'ANALYSE REVIEWS', 'Negative feedback|Positive feedback'
+           SELECT id, 1, 'ANALYSE REVIEWS', 'Lange ventetider på svar|Ros til' || chr(9) || 'personalet'
            FROM rv_orders WHERE rating = 3""",
     ),
     "mention_extract": _with(

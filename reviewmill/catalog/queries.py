@@ -769,13 +769,13 @@ def resolve_companies(spark, sf_dir):
 
 
 def _plan_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A plan per order: three forms, one of them without any array."""
+    """A plan per order: four forms, one of them with escapes, one without any array."""
     rows = fixtures.order_reviews(spark, sf_dir)
     sql = F.concat(F.lit("\"SQL: ['Rating of "), "company", F.lit(": how high?']\""))
     plot = F.lit(
         f"\"PLOT: ['{REPORT_RATING_SERIES}', '{REPORT_RATING_SHARE}']\""
     )
-    analyse = F.lit("\"ANALYSE REVIEWS: ['Negative feedback', 'Positive feedback']\"")
+    analyse = F.lit("'ANALYSE REVIEWS: [\"Lange ventetider p\\u00e5 svar\", \"Ros til\\tpersonalet\"]'")
     plan = (
         F.when(F.col("rating") <= 2, F.concat(F.lit("Steps ["), sql, F.lit("] done")))
         .when(F.col("rating") == 3, F.concat(F.lit("[\n"), plot, F.lit(", "), analyse, F.lit(",\n ]")))

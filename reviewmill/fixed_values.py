@@ -66,7 +66,6 @@ PREVIEW_ROWS = 20
 PAGE_SIZE = 100
 VECTOR_DIM = 768
 REVIEW_PAGES = 39
-COMPANY_PAGES = 101
 
 # Message of every failing ad-hoc query.
 INVALID_SQL = "Invalid SQL query"

@@ -12,10 +12,19 @@ from reviewmill.operators.neighbours import nearest_name
 from reviewmill.schema import METADATA
 from reviewmill.session import cut_lineage
 
-# A string in double or single quotes; a backslash escapes the next sign.
-QUOTED = r"""("[^"\\]*(?:\\.[^"\\]*)*"|'[^'\\]*(?:\\.[^'\\]*)*')"""
-# Brackets around nothing but such strings and commas.
-QUOTED_ARRAY = rf"""\[\s*\]|\[(?:\s*{QUOTED}\s*,?)*\s*\]"""
+# Plan texts hold an array of quoted strings: [ string string, string ]. All repetitions are
+# possessive: a sign is read once and never given back, so neither the length of a text nor the
+# number of its strings costs stack.
+STRING = r"""(?:"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"|'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+')"""
+ITEM = rf"{STRING}(?:\s*+{STRING})*+"
+ARRAY = rf"\[\s*+(?:{ITEM}\s*+,?+\s*+)*+\]"
+# What a string is made of: surrogate pairs, other escapes, and text between them.
+PIECE = (
+    r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+    r"|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|\\[\s\S]|[^\\]++"
+)
+# Escapes of one sign; a line break behind a backslash is left out.
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "\\": "\\", "'": "'", '"': '"', "/": "/", "\n": ""}
 
 ISO_DATE = r"\b(\d{4}-\d{2}-\d{2})\b"
 NOT_A_WORD = r"[^\p{L}\p{N}_]+"
@@ -66,17 +75,35 @@ def resolve_companies(
     )
 
 
+def _decoded(piece: Column) -> Column:
+    """Text that one piece of a string stands for; an unknown escape is kept as it is."""
+    code = F.regexp_replace(piece, r"\\[ux]", "")
+    wide = F.decode(F.unhex(F.when(F.length(code) == 2, F.concat(F.lit("00"), code)).otherwise(code)), "UTF-16BE")
+    simple = F.create_map(*[F.lit(part) for pair in ESCAPES.items() for part in pair])
+    sign = F.substring(piece, 2, 1)
+    return (
+        F.when(~piece.startswith("\\"), piece)
+        .when(sign.isin("u", "x") & (F.length(piece) > 2), wide)
+        .otherwise(F.coalesce(simple[sign], piece))
+    )
+
+
 def _unquote(text: Column) -> Column:
     inner = F.substring(text, F.lit(2), F.length(text) - 2)
-    lines = F.regexp_replace(inner, r"(?<!\\)((?:\\\\)*)\\n", "$1\n")
-    plain = F.regexp_replace(lines, r"\\(.)", "$1")
+    pieces = F.regexp_extract_all(inner, F.lit(PIECE), F.lit(0))
+    plain = F.array_join(F.transform(pieces, _decoded), "")
     return F.when(F.contains(inner, F.lit("\\")), plain).otherwise(inner)
 
 
+def _item(text: Column) -> Column:
+    """One step: strings that follow each other without a comma are one."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(STRING), F.lit(0)), _unquote), "")
+
+
 def quoted_strings(text: Column) -> Column:
     """Strings of the first bracketed array in ``text``; empty if there is none."""
-    array = F.regexp_extract(text, QUOTED_ARRAY, 0)
-    return F.transform(F.regexp_extract_all(array, F.lit(QUOTED), F.lit(1)), _unquote)
+    array = F.regexp_extract(text, ARRAY, 0)
+    return F.transform(F.regexp_extract_all(array, F.lit(ITEM), F.lit(0)), _item)
 
 
 def parse_plan(requests: DataFrame, column: str = "plan") -> DataFrame:
