@@ -9,19 +9,27 @@ from reviewmill.fixed_values import DAY_SPAN_DAYS, WEEK_SPAN_DAYS
 DAY, WEEK, MONTH = "day", "week", "month"
 GRANULARITIES = (DAY, WEEK, MONTH)
 
-# Accepted date formats, first match wins.
+# Accepted date formats, first match wins; the month comes before the day where both are numbers.
 DATE_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy/MM/dd",
+    "yyyy-M-d",
+    "yyyy/M/d",
+    "yyyy.M.d",
     "M/d/yyyy",
+    "M-d-yyyy",
     "yyyyMMdd",
-    "yyyy-MM",
+    "yyyy-M",
     "yyyy",
     "d MMMM yyyy",
+    "d MMM yyyy",
     "MMMM d, yyyy",
+    "MMM d, yyyy",
+    "MMMM d yyyy",
+    "MMM d yyyy",
+    "MMMM yyyy",
+    "MMM yyyy",
 )
+# A time of day behind a date, with or without seconds, fractions and zone; it is left out.
+TIME_OF_DAY = r"(?i)[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:[AP]M)?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?$"
 
 
 def granularity_of(first: Column, last: Column) -> Column:
@@ -67,7 +75,7 @@ def period_starts(first: Column, last: Column, granularity: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """Date of a lenient text; empty or unreadable text gives NULL."""
-    text = F.trim(text)
+    text = F.regexp_replace(F.trim(text), TIME_OF_DAY, "")
     return F.coalesce(*[F.try_to_date(text, fmt) for fmt in DATE_FORMATS])
 
 

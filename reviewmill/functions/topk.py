@@ -19,7 +19,7 @@ COLUMNS = ["_query", "_rank", "_dist", "_key"]
 
 
 def _matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Valid flags and the valid vectors as a double matrix."""
+    """Valid flags and the valid vectors as a double matrix; only finite vectors are valid."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     valid = np.asarray(vectors.is_valid())
@@ -29,7 +29,13 @@ def _matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     dim = len(present[0]) if rows else 0
     if flat.size != rows * dim:
         raise ValueError("vectors differ in length")
-    return valid, flat.reshape(rows, dim)
+    matrix = flat.reshape(rows, dim)
+    finite = np.isfinite(matrix).all(axis=1)
+    if not finite.all():
+        valid = valid.copy()
+        valid[np.flatnonzero(valid)[~finite]] = False
+        matrix = matrix[finite]
+    return valid, matrix
 
 
 def _squares(matrix: np.ndarray) -> np.ndarray:
@@ -40,7 +46,7 @@ class Search:
     """Running ``k`` nearest (distance, key) pairs of some queries, fed batch by batch.
 
     A matrix product rules out the rows that cannot be among the nearest; the few left are
-    measured exactly. Distance is infinite where the query or the row has no vector.
+    measured exactly. Distance is infinite where the query or the row has no finite vector.
     """
 
     def __init__(self, names: list, vectors: pa.Array, k: int):
@@ -66,6 +72,7 @@ class Search:
         valid, rows = _matrix(vectors)
         present, missing = np.flatnonzero(valid), np.flatnonzero(~valid)
         row_squares = _squares(rows)
+        largest = float(row_squares.max()) if len(rows) else 0.0
         if len(rows) and len(self.matrix) and rows.shape[1] != self.matrix.shape[1]:
             raise ValueError("vectors differ in length")
         for start in range(0, len(self.positions) if len(rows) else 0, QUERY_CHUNK):
@@ -73,7 +80,7 @@ class Search:
             squares = row_squares[:, None] - 2.0 * (rows @ chunk.T) + _squares(chunk)[None, :]
             for j, vector in enumerate(chunk):
                 query = int(self.positions[start + j])
-                slack = 1e-9 * (1.0 + float(row_squares.max()) + float(vector @ vector))
+                slack = 1e-9 * (1.0 + largest + float(vector @ vector))
                 near = np.flatnonzero(squares[:, j] <= self._limit(query, squares[:, j]) + slack)
                 exact = np.sqrt(_squares(rows[near] - vector))
                 names = keys.take(pa.array(present[near])).to_pylist()

@@ -37,8 +37,10 @@ def _row_bytes(df: DataFrame) -> Column:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             size = F.octet_length(column)
-        elif isinstance(field.dataType, (T.ArrayType, T.MapType)):
+        elif isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.NumericType):
             size = F.size(column) * 8
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = F.octet_length(F.to_json(F.struct(column)))
         else:
             size = F.lit(8)
         total = total + F.coalesce(size, F.lit(0))
@@ -97,11 +99,33 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], newest: Sequence) -> Data
     return df.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
 
+def any_order(df: DataFrame) -> list[Column]:
+    """An order of rows that differ, the same on every run: a 64-bit hash of all columns."""
+    columns = [
+        F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`")
+        for f in df.schema
+    ]
+    return [F.xxhash64(*columns)]
+
+
+def winners_of(df: DataFrame, winners: DataFrame, row_key: Sequence[str], n: int) -> DataFrame:
+    """Complete rows of ``df`` for the at most ``n`` rows of ``winners`` (keys only).
+
+    A key that won several times stands for as many rows, and rows that share a key are taken
+    in a fixed order, so there are never more rows than winners.
+    """
+    found = only_keys(df, winners, row_key, Size(n))
+    taken = winners.groupBy(*row_key).agg(F.count("*").alias("_taken"))
+    taken = F.broadcast(taken) if Size(n).small else taken
+    same_key = Window.partitionBy(*row_key).orderBy(*any_order(df))
+    ranked = found.withColumn("_place", F.row_number().over(same_key)).join(taken, list(row_key))
+    return ranked.where("_place <= _taken").select(*df.columns)
+
+
 def lowest_rows(df: DataFrame, order: Sequence, n: int, row_key: Sequence[str]) -> DataFrame:
     """The ``n`` rows lowest in ``order``, complete.
 
     Only keys and order columns take part in the top-n; the wide columns are fetched
     afterwards for the rows that won.
     """
-    winners = df.orderBy(*order).limit(n).select(*row_key)
-    return only_keys(df, winners, row_key, Size(n))
+    return winners_of(df, df.orderBy(*order).limit(n).select(*row_key), row_key, n)

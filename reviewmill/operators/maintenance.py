@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reviewmill.operators.joins import Size, latest_per_key, measure, only_keys, sized
+from reviewmill.operators.joins import Size, any_order, latest_per_key, measure, only_keys, sized
 from reviewmill.session import cut_lineage
 
 
@@ -24,19 +24,29 @@ def with_insert_defaults(batch: DataFrame, batch_ts: Column | None = None) -> Da
     return batch if "content" in batch.columns else batch.withColumn("content", F.lit(""))
 
 
-def _last_wins(batch: DataFrame, key: str, newest: Sequence | None) -> DataFrame:
-    return latest_per_key(batch, [key], newest or [F.col("timestamp").desc_nulls_last()])
+def last_delivery(batch: DataFrame, key: str, newest: Sequence | None = None) -> DataFrame:
+    """One row per key, the newest; rows of one time are told apart by their content."""
+    order = newest or [F.col("timestamp").desc_nulls_last()]
+    return latest_per_key(batch, [key], [*order, *[c.desc() for c in any_order(batch)]])
 
 
-def _set_columns(target: DataFrame, batch: DataFrame, key: str, small: bool) -> DataFrame:
+def _set_columns(
+    target: DataFrame, batch: DataFrame, key: str, small: bool, version: str | None = None
+) -> DataFrame:
+    """Target with the columns of the batch, except where the stored ``version`` is greater."""
     given = [c for c in batch.columns if c in target.columns and c != key]
     source = batch.select(
         key, *[F.col(c).alias(f"_new_{c}") for c in given], F.lit(True).alias("_matched")
     )
     joined = target.join(F.broadcast(source) if small else source, key, "left")
+    wins = F.col("_matched")
+    if version in given:
+        # a version that is not set loses against one that is
+        older = F.col(version).isNotNull() & F.coalesce(F.col(f"_new_{version}") < F.col(version), F.lit(True))
+        wins = wins & ~older
     return joined.select(
         *[
-            F.when(F.col("_matched"), F.col(f"_new_{c}").cast(target.schema[c].dataType))
+            F.when(wins, F.col(f"_new_{c}").cast(target.schema[c].dataType))
             .otherwise(F.col(c))
             .alias(c)
             if c in given
@@ -63,7 +73,7 @@ def update(
     target: DataFrame, batch: DataFrame, key: str = "id", newest: Sequence | None = None
 ) -> DataFrame:
     """Target with the batch's columns set on rows of the same key; other keys are ignored."""
-    batch = cut_lineage(_last_wins(batch, key, newest))
+    batch = cut_lineage(last_delivery(batch, key, newest))
     return _set_columns(target, batch, key, measure(batch).small)
 
 
@@ -73,14 +83,16 @@ def upsert(
     key: str = "id",
     newest: Sequence | None = None,
     batch_ts: Column | None = None,
+    version: str | None = "timestamp",
 ) -> DataFrame:
     """Update rows whose key is known, insert the others with their defaults.
 
-    ``newest`` orders the rows of a key that is given more than once; the first wins. The
-    batch is written once, as it is measured and then joined twice.
+    ``newest`` orders the rows of a key that is given more than once; the first wins. A stored
+    row with a greater ``version`` stays, so batches may come in any order; None lets every
+    batch win. The batch is written once, as it is measured and then joined twice.
     """
-    batch = cut_lineage(_last_wins(batch, key, newest))
-    return upsert_unique(target, batch, measure(batch), key, batch_ts)
+    batch = cut_lineage(last_delivery(batch, key, newest))
+    return upsert_unique(target, batch, measure(batch), key, batch_ts, version)
 
 
 def upsert_unique(
@@ -89,6 +101,7 @@ def upsert_unique(
     size: Size,
     key: str = "id",
     batch_ts: Column | None = None,
+    version: str | None = "timestamp",
 ) -> DataFrame:
     """:func:`upsert` of a batch of known size without repeated keys.
 
@@ -99,7 +112,7 @@ def upsert_unique(
         known = F.broadcast(known)  # keys are unique in the target: no more than in the batch
     fresh = with_insert_defaults(batch.join(known, key, "left_anti"), batch_ts)
     fresh = fresh.select(*[c for c in fresh.columns if c in target.columns])
-    updated = _set_columns(target, batch, key, size.small)
+    updated = _set_columns(target, batch, key, size.small, version)
     return updated.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -116,16 +129,21 @@ def changed(
     version: str = "timestamp",
     size: Size | None = None,
 ) -> DataFrame:
-    """Incoming rows that are new, or whose version differs from the stored one.
+    """Incoming rows that are new, or whose version is greater than the stored one.
 
-    ``size`` bounds the incoming rows, if a bound is known already.
+    An older delivery that arrives late is no change, so the state does not depend on the order
+    of arrival. ``size`` bounds the incoming rows, if a bound is known already.
     """
     stored = target.select(key, version)
     size = size or measure(incoming.select(key))
     if size.small:
         # Keys are unique in the target, so no more rows are left than came in.
         stored = F.broadcast(only_keys(stored, incoming, [key], size))
-    return incoming.join(stored, [key, version], "left_anti")
+    stored = stored.select(F.col(key).alias("_key"), F.col(version).alias("_version"))
+    known = (F.col(key) == F.col("_key")) & (
+        F.col(version).isNull() | (F.col("_version") >= F.col(version)).eqNullSafe(F.lit(True))
+    )
+    return incoming.join(stored, known, "left_anti")
 
 
 def with_company(reviews: DataFrame, companies: DataFrame) -> DataFrame:

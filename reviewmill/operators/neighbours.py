@@ -195,6 +195,9 @@ def nearest_lsh(
     q = queries.select(F.col(query_key).alias("_query"), F.col(query_vector).alias("_vector"))
     b = base.select(F.col(key).alias("_key"), F.col(vector).alias("_vector"))
     q, b = q.where("_vector IS NOT NULL"), b.where("_vector IS NOT NULL")
+    out = _pairs_schema(q, b)
+    if q.isEmpty() or b.isEmpty():
+        return q.sparkSession.createDataFrame([], out).select(*_result("_rank", query_key, key))
     model = BucketedRandomProjectionLSH(
         inputCol="_features",
         outputCol="_hashes",
@@ -211,7 +214,6 @@ def nearest_lsh(
     left = _block(q.join(shared, "_bucket"), "_qb", "_rb", "_query", F.col("_q_blocks"), F.col("_b_blocks"))
     right = _block(b.join(shared, "_bucket"), "_rb", "_qb", "_key", F.col("_b_blocks"), F.col("_q_blocks"))
     group = ["_bucket", "_qb", "_rb"]
-    out = _pairs_schema(q, b)
     found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(topk.scan_blocks(k), out)
     once = found.groupBy("_query", "_key").agg(F.min("_dist").alias("_dist"))
     return _ranked(once, k, query_key, key)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reviewmill.fixed_values import PAYLOAD_TOKENS, TOKEN_SAMPLE_ROWS
 from reviewmill.functions.hashing import exponential_key, seeded_uniform
 from reviewmill.functions.text import Tokenizer, token_count
-from reviewmill.operators.joins import Size, lowest_rows, only_keys, sized
+from reviewmill.operators.joins import lowest_rows, sized, winners_of
 from reviewmill.session import cut_lineage
 
 GROUP = ("category", "company", "similarity_query")
@@ -72,7 +72,7 @@ def weighted_sample(
     """``n`` rows without replacement, weighted by the share of their group."""
     keys = sampling_keys(df, seed, group, row_key)
     winners = keys.orderBy("sampling_key", *row_key).limit(n).select(*row_key)
-    return only_keys(df, winners, row_key, Size(n))
+    return winners_of(df, winners, row_key, n)
 
 
 def average_tokens(
@@ -95,10 +95,15 @@ def sample_budget(
     row_key: Sequence[str] = ("id",),
     tokenizer: Tokenizer = token_count,
 ) -> DataFrame:
-    """One row: rows in the table, mean tokens, and how many rows the budget allows."""
+    """One row: rows in the table, mean tokens, and how many rows the budget allows.
+
+    If no sampled row has a token, a row counts as one, so the budget is never without end.
+    """
     mean = average_tokens(df, content, seed, row_key, tokenizer).scalar()
     sized = df.agg(F.count("*").alias("n_rows")).withColumn("avg_tokens", mean)
-    budget = F.when(F.col("avg_tokens") > 0, F.floor(F.lit(max_tokens) / F.col("avg_tokens")))
+    budget = F.when(F.col("avg_tokens") > 0, F.floor(F.lit(max_tokens) / F.col("avg_tokens"))).when(
+        F.col("n_rows") > 0, F.lit(max_tokens).cast("bigint")
+    )
     return sized.withColumn("budget", budget)
 
 
@@ -114,7 +119,8 @@ def representative_sample(
     """Rows that together have about ``max_tokens`` tokens; all rows if they fit.
 
     The budget (three numbers) is computed first, as it decides between the whole table
-    and a sample of known size. An empty table, or one without any token, is returned whole.
+    and a sample of known size. Where the budget's sample has no token at all, at most
+    ``max_tokens`` rows are returned.
     """
     size = sample_budget(df, max_tokens, content, seed, row_key, tokenizer).first()
     if size.budget is None or size.budget > size.n_rows:

@@ -30,9 +30,9 @@ def run_sql(spark: SparkSession, sql: str) -> DataFrame:
 
 def preview_sql(spark: SparkSession, sql: str, n: int = PREVIEW_ROWS) -> list[dict]:
     """Run the query and return its first ``n`` rows as text; failures at run time count too."""
-    result = as_text(run_sql(spark, sql).limit(n))
+    result = run_sql(spark, sql)
     try:
-        return [row.asDict() for row in result.collect()]
+        return [row.asDict() for row in as_text(result.limit(n)).collect()]
     except (PySparkException, Py4JError) as error:
         raise ValueError(INVALID_SQL) from error
 

@@ -54,8 +54,14 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def as_text(df: DataFrame) -> DataFrame:
-    """All columns as strings; NULL stays NULL."""
-    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+    """All columns as strings; NULL stays NULL. Repeated names are numbered."""
+    seen: dict[str, int] = {}
+    names = []
+    for name in df.columns:
+        seen[name] = seen.get(name, 0) + 1
+        names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+    by_place = df.toDF(*[f"_{i}" for i in range(len(names))])
+    return by_place.select(*[F.col(f"_{i}").cast("string").alias(name) for i, name in enumerate(names)])
 
 
 def preview(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:

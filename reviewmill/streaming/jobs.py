@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from reviewmill.operators.joins import latest_per_key, measure, only_keys, sized
-from reviewmill.operators.maintenance import changed, upsert_unique
+from reviewmill.operators.joins import measure, only_keys, sized
+from reviewmill.operators.maintenance import changed, last_delivery, upsert_unique
 from reviewmill.streaming.store import BATCH, checkpoint_of, newest, read_versions, write_batch
 
 # Weeks start on Monday; windows are counted from 1970-01-01, a Thursday.
@@ -122,12 +122,12 @@ def merge_batch(
             versions = read_versions(spark, store, schema, before=batch_id)
             present = only_keys(versions.select(key, version, BATCH), batch, [key], size)
             known = keep(newest(present, [key]))
-            incoming = latest_per_key(batch, [key], [F.col(version).desc_nulls_last()])
+            incoming = last_delivery(batch, key, [F.col(version).desc_nulls_last()])
             fresh = changed(incoming, known, key, version, size)
             fresh = keep(enrich(fresh) if enrich else fresh)
             edited = fresh.select(key).join(sized(known.select(key)), key, "left_semi")
             stored = newest(only_keys(versions, edited, [key], measure(edited)), [key])
-            write_batch(upsert_unique(stored, fresh, measure(fresh), key), store, batch_id, key)
+            write_batch(upsert_unique(stored, fresh, measure(fresh), key, version=version), store, batch_id, key)
         finally:
             for df in kept:
                 df.unpersist()

@@ -36,6 +36,12 @@ def test_sql_runs_and_previews_as_text(spark, tables):
     assert [r.id for r in ordered.collect()] == ["3", "2", "1", "0"]
 
 
+def test_repeated_and_odd_column_names(spark, tables):
+    adhoc.register(**tables)
+    joined = "SELECT a.id, b.id, a.rating AS `x``y.z` FROM review a JOIN review b ON a.company = b.company WHERE a.id = '0' AND b.id = '2'"
+    assert adhoc.preview_sql(spark, joined) == [{"id": "0", "id_2": "2", "x`y.z": "5"}]
+
+
 @pytest.mark.parametrize(
     "sql",
     [

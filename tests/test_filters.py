@@ -84,9 +84,10 @@ def test_codes(spark):
 
 def test_lenient_dates(spark):
     given = ["2023-01-02", "2023-02", "1/5/2023", "20230105", "5 January 2023", "2023-01-02 10:00:00", "", "soon", None]
+    given += ["2023-1-5", "Jan 5, 2023", "2023-01-05T10:00:00Z", "05-01-2023", "2023-01-05 10:00:00.123+02:00", "5 Jan 2023"]
     df = spark.createDataFrame([(t,) for t in given], "t string")
     got = [None if r.d is None else r.d.isoformat() for r in df.select(dates.parse_date(F.col("t")).alias("d")).collect()]
-    assert got == ["2023-01-02", "2023-02-01", "2023-01-05", "2023-01-05", "2023-01-05", "2023-01-02", None, None, None]
+    assert got == ["2023-01-02", "2023-02-01", "2023-01-05", "2023-01-05", "2023-01-05", "2023-01-02", None, None, None, *["2023-01-05"] * 3, "2023-05-01", "2023-01-05", "2023-01-05"]
 
 
 def test_epoch_milliseconds_round_half_to_even(spark):

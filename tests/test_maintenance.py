@@ -48,6 +48,28 @@ def test_upsert_sets_given_columns_and_defaults_new_rows(spark, sizes):
     assert rows["c"].company is None
 
 
+def test_the_order_of_deliveries_does_not_matter(spark, sizes):
+    deliveries = [[("a", T3, 1)], [("a", T2, 2), ("a", T2, 3)], [("n", T2, 4)], [("n", T1, 5), ("b", T1, 1)]]
+    found = set()
+    for order in ([0, 1, 2, 3], [3, 2, 1, 0], [1, 3, 0, 2]):
+        table = stored(spark)
+        for number in order:
+            table = maintenance.upsert(table, batch(spark, deliveries[number]), batch_ts=now())
+        found.add(tuple(sorted((r.id, r.timestamp, r.rating) for r in table.collect())))
+    assert found == {(("a", T3, 1), ("b", T2, 4), ("n", T2, 4))}
+    late = maintenance.upsert(stored(spark), batch(spark, [("a", datetime(2023, 1, 1), 1)]), version=None)
+    assert {r.rating for r in late.where("id = 'a'").collect()} == {1}
+
+
+def test_tied_versions_have_one_winner(spark, sizes):
+    rows = [("n", T1, rating) for rating in range(1, 6)]
+    found = {
+        maintenance.upsert(stored(spark), batch(spark, rows[i:] + rows[:i]).repartition(i + 1)).where("id = 'n'").first().rating
+        for i in range(5)
+    }
+    assert len(found) == 1
+
+
 def test_set_null_overwrites(spark, sizes):
     change = spark.createDataFrame([("a", T1, None)], "id string, timestamp timestamp, likes int")
     rows = {r.id: r for r in maintenance.update(stored(spark), change).collect()}
@@ -76,6 +98,8 @@ def test_delete(spark, sizes):
 def test_changed_compares_id_and_timestamp(spark, sizes):
     incoming = batch(spark, [("a", T1, 1), ("b", T3, 1), ("c", T1, 1)])
     assert sorted(r.id for r in maintenance.changed(incoming, stored(spark)).collect()) == ["b", "c"]
+    older = batch(spark, [("b", T1, 1)])
+    assert maintenance.changed(older, stored(spark)).count() == 0
 
 
 def test_small_batch_does_not_shuffle_the_target(spark):
@@ -86,6 +110,8 @@ def test_small_batch_does_not_shuffle_the_target(spark):
 
 def test_size_check_counts_bytes(spark):
     wide = spark.createDataFrame([("x" * 1000,)] * 10, "t string")
+    nested = spark.createDataFrame([(["x" * 1000], ("y" * 500,))], "a array<string>, s struct<t:string>")
+    assert joins.measure(nested).bytes > 1500
     assert joins.measure(wide) == (10, 10_000) and joins.measure(wide.limit(0)) == (0, 0)
     assert joins.Size(10, 10_000).small and joins.Size(10).few
     assert not joins.Size(joins.BROADCAST_ROWS + 1).small

@@ -161,3 +161,22 @@ def test_lsh_leaves_out_missing_vectors(spark):
     base = spark.createDataFrame([("a", None), ("b", [1.0, 0.0])], SCHEMA)
     asked = spark.createDataFrame([("q", [1.0, 0.0]), ("n", None)], QUERY_SCHEMA)
     assert found(neighbours.nearest_lsh(asked, base, 5)) == [("q", 1, "b", 0.0)]
+
+
+def test_vectors_that_are_not_finite_rank_last(spark):
+    base = [("a", [1.0, 0.0]), ("b", [math.nan, 0.0]), ("c", None), ("d", [math.inf, 1.0])]
+    queries = [("q", [1.0, 1.0]), ("n", [math.nan, 1.0])]
+    rows = spark.createDataFrame(base, SCHEMA), spark.createDataFrame(queries, QUERY_SCHEMA)
+    got = found(neighbours.nearest(rows[1], rows[0], 3))
+    assert got == sorted(
+        [("q", 1, "a", 1.0), ("q", 2, "b", None), ("q", 3, "c", None)]
+        + [("n", rn, key, None) for rn, key in enumerate("abc", 1)],
+        key=repr,
+    )
+
+
+def test_approximate_search_without_queries_or_base(spark):
+    none = spark.createDataFrame([], QUERY_SCHEMA), spark.createDataFrame([("a", [1.0])], SCHEMA)
+    assert neighbours.nearest_lsh(none[0], none[1], 2).count() == 0
+    one = spark.createDataFrame([("q", [1.0])], QUERY_SCHEMA), spark.createDataFrame([("a", None)], SCHEMA)
+    assert neighbours.nearest_lsh(one[0], one[1], 2).count() == 0

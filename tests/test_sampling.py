@@ -81,6 +81,25 @@ def test_empty_table_and_empty_texts_are_returned_whole(spark, sizes):
     assert sampling.representative_sample(df, max_tokens=10).count() == sum(sizes.values())
 
 
+def test_few_texts_do_not_lift_the_budget(spark):
+    rows = [(f"r{i}", "a", "C", "q", "some words" if i % 1000 == 7 else "") for i in range(20_000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sampling.sample_budget(df, 100).first().avg_tokens < 1
+    assert sampling.representative_sample(df, max_tokens=100).count() <= 15_000
+    empty = spark.createDataFrame([r[:4] + ("",) for r in rows[:2_000]], SCHEMA)
+    assert sampling.representative_sample(empty, max_tokens=100).count() == 100
+
+
+def test_repeated_keys_do_not_add_rows(spark):
+    rows = [(f"r{i % 4}", "a", "C", f"q{i}", "text") for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for n in (1, 3, 60, 200, 300):
+        one = sorted(sampling.uniform_sample(df, n, seed=3).collect())
+        assert len(one) == min(n, 200)
+        assert one == sorted(sampling.uniform_sample(df.repartition(7), n, seed=3).collect())
+        assert sampling.weighted_sample(df, n, 1, group=("category",)).count() == min(n, 200)
+
+
 def test_other_tokenizer(spark):
     df = make(spark, {"a": 10}, content="abcd")
     got = sampling.representative_sample(df, 12, tokenizer=F.length)
