@@ -2,12 +2,13 @@
 
 1. Every text becomes the sorted set of the 64-bit hashes of its n-grams. Equal sets are one
    class; only the least key of a class goes on.
-2. n-grams have one global order: a quarter of them, chosen by hash, come first, the rarest of
-   these ahead, then the others by hash. Two sets that reach the threshold share an n-gram within
-   the first ``n - ceil(t n) + 1`` of either, so only those count, and an n-gram found in one set
-   only needs no partner. Only the chosen quarter has to be counted; a text with enough rare
-   n-grams drops out here, and common passages come too late to matter. Texts too short to have
-   that many of the quarter add the first of the others.
+2. n-grams have one global order. Two sets that reach the threshold share an n-gram within the
+   first ``n - ceil(t n) + 1`` of either, so only those count, and an n-gram found in one set only
+   needs no partner. With the rarest ahead, a text with enough n-grams of its own drops out here,
+   and common passages come too late to matter. Sets of at most ``SHORT`` n-grams are ordered by
+   their counts among such sets. For longer ones it is enough to count a quarter, chosen by hash,
+   that comes before the others; should a set have too few of the quarter, the first of its
+   others by hash are added. A short set whose partner may be longer takes part in both orders.
 3. Sets that share such an n-gram are hung on the least of them; the connected components of
    these stars are the units within which links can exist.
 4. The sets of a unit, read from their texts once more, are put into a prefix tree, most common
@@ -40,7 +41,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewmill.llm.common import stored
 from reviewmill.llm.components import components
@@ -49,8 +50,10 @@ from reviewmill.session import cut_lineage
 
 WORDS, PERCENT = 5, 80
 COUNTED = 4  # one n-gram in so many is counted
+SHORT = 200  # in sets of at most so many, all are
 BLOCK_SETS = 400
 BLOCK_GRAMS = 1_500_000
+ENOUGH = 0.6  # blocks are dealt anew as long as so few of their sets are left
 OUT_TEXTS = 512
 
 
@@ -87,9 +90,14 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 
 def _profile(measure: Measure):
-    """Task function: size, key of the set, and the n-grams that may find a partner."""
-    names = ["_key", "size", "set_key", "counted", "grams"]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
+    """Task function: size, key of the set, and the n-grams that may find a partner.
+
+    ``short`` has all n-grams of a short set, ``grams`` the chosen ones of a set that may have a
+    longer partner, ``counted`` of which belong to the quarter.
+    """
+    names = ["_key", "size", "set_key", "short", "counted", "grams"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())]
+    both_from = measure.percent * SHORT // 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,12 +106,13 @@ def _profile(measure: Measure):
                 rows = []
                 for key, text in zip(keys[first : first + OUT_TEXTS], texts[first : first + OUT_TEXTS]):
                     grams = shingles(text, measure.words)
+                    short = grams if len(grams) <= SHORT else grams[:0]
                     inside = grams % np.uint64(COUNTED) == 0
-                    chosen = grams[inside]
-                    lacking = max(0, measure.prefix(len(grams)) - len(chosen)) if len(grams) else 0
-                    out = np.concatenate([chosen, grams[~inside][:lacking]]).view(np.int64)
+                    chosen, rest = (grams[inside], grams[~inside]) if len(grams) >= both_from else (grams[:0], grams[:0])
+                    lacking = max(0, measure.prefix(len(grams)) - len(chosen))
+                    out = np.concatenate([chosen, rest[:lacking]]).view(np.int64)
                     digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
-                    rows.append((key, len(grams), digest, len(chosen), out))
+                    rows.append((key, len(grams), digest, short.view(np.int64), len(chosen), out))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names)
 
     return run
@@ -287,7 +296,7 @@ def _links(sets: DataFrame, measure: Measure, block_sets: int, block_grams: int)
             _blocked(sets.join(heads, ["unit", "key"], "left_semi").select("unit", "key", "size"), salt, block_sets, block_grams)
         )
         before, after = large.select("unit", "key").distinct().count(), heads.count()
-        if after == 0 or after >= before:
+        if after > ENOUGH * before or after == 0:
             break
         level = sets.join(heads.select("unit", "key", "blocks", "block").distinct(), ["unit", "key"])
         level = level.withColumn("part", F.col("key"))
@@ -323,10 +332,11 @@ def _across(sets: DataFrame, tied: DataFrame, measure: Measure, block_sets: int,
     return cut_lineage(grouped.applyInPandas(_join_block(measure), "unit bigint, part bigint, joined bigint"))
 
 
-def _candidates(profiles: DataFrame, measure: Measure) -> DataFrame:
-    """``node`` and ``component``: sets that share an n-gram of both prefixes, in units.
+def _stars(profiles: DataFrame, measure: Measure, counted: Column) -> DataFrame:
+    """``key`` and ``low``, the least key that shares an n-gram of both prefixes.
 
-    ``profiles`` has one row for each class: key, size, counted, grams.
+    ``profiles`` has one row for each class: key, size, grams, and how many of these are
+    ``counted``, which is told by the given expression on ``gram``.
     """
     size = F.col("size")
     prefix = size - F.ceil(size * measure.percent / 100) + 1
@@ -336,7 +346,6 @@ def _candidates(profiles: DataFrame, measure: Measure) -> DataFrame:
     grams = profiles.select("key", F.explode("grams").alias("gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1")
     shared = sized(cut_lineage(shared))
-    counted = F.pmod(F.col("gram"), F.lit(COUNTED)) == 0
     found = grams.join(shared, "gram").join(needs, "key")
     by_order = Window.partitionBy("key").orderBy((~counted).cast("int"), "sets", "gram")
     whole = Window.partitionBy("key")
@@ -347,7 +356,15 @@ def _candidates(profiles: DataFrame, measure: Measure) -> DataFrame:
     inside = placed.where(~counted | (F.col("rows") > 1) | (F.col("place") <= room)).select("gram", "key")
     inside = cut_lineage(inside)
     ends = inside.groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
-    stars = inside.join(sized(cut_lineage(ends.select("gram", "low"))), "gram").select("key", "low").distinct()
+    return inside.join(sized(cut_lineage(ends.select("gram", "low"))), "gram").select("key", "low").distinct()
+
+
+def _candidates(profiles: DataFrame, measure: Measure) -> DataFrame:
+    """``node`` and ``component``: units of sets that share an n-gram of both prefixes."""
+    short = profiles.where(F.size("short") > 0).select("key", "size", F.col("size").alias("counted"), F.col("short").alias("grams"))
+    quarter = F.pmod(F.col("gram"), F.lit(COUNTED)) == 0
+    long = profiles.where(F.size("grams") > 0).select("key", "size", "counted", "grams")
+    stars = _stars(short, measure, F.lit(True)).unionByName(_stars(long, measure, quarter))
     tied = components(stars, "key", "low")
     heads = tied.select(F.col("component").alias("node"), "component").distinct()
     return tied.unionByName(heads)
@@ -366,7 +383,7 @@ def near_duplicates(
     measure = Measure(words, percent)
     rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"))
     profiles = stored(
-        rows.mapInArrow(_profile(measure), "_key bigint, size bigint, set_key binary, counted bigint, grams array<bigint>"),
+        rows.mapInArrow(_profile(measure), "_key bigint, size bigint, set_key binary, short array<bigint>, counted bigint, grams array<bigint>"),
         "profiles",
     )
     known = profiles.where("_key IS NOT NULL AND size > 0")
@@ -374,7 +391,7 @@ def near_duplicates(
     copies = known.select("_key", "set_key").join(classes, "set_key").where("_key <> key")
     copies = sized(cut_lineage(copies.select("_key", "set_key")))
     firsts = known.join(copies, ["_key", "set_key"], "left_anti").withColumnRenamed("_key", "key")
-    units = cut_lineage(_candidates(firsts.select("key", "size", "counted", "grams"), measure))
+    units = cut_lineage(_candidates(firsts.select("key", "size", "short", "counted", "grams"), measure))
 
     texts = rows.join(sized(units), F.col("_key") == F.col("node"))
     texts = texts.select(F.col("component").alias("unit"), F.col("_key").alias("key"), "_text")

@@ -67,6 +67,12 @@ def test_components_against_brute_force(spark, groups, words, percent):
     assert rows_of(found) == brute_force(groups, words, percent)
 
 
+def test_short_and_long_sets_have_different_orders(spark, groups, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHORT", 40)
+    found = ngram_join.near_duplicates(documents(spark, groups), words=4, percent=85)
+    assert rows_of(found) == brute_force(groups, 4, 85)
+
+
 def test_units_cut_into_small_blocks(spark, groups):
     found = ngram_join.near_duplicates(documents(spark, groups), words=4, percent=85, block_sets=6)
     assert rows_of(found) == brute_force(groups, 4, 85)
