@@ -578,3 +578,4 @@ ORACLES: dict[str, str] = {
            FROM rv_orders WHERE company IN ('NATION_1', 'NATION_2', 'NATION_3') GROUP BY company""",
     ),
 }
+ORACLES["merge_stored_months"] = ORACLES["upsert_reviews"]

@@ -149,6 +149,16 @@ def upsert_reviews(spark, sf_dir):
     )
 
 
+@query
+def merge_stored_months(spark, sf_dir):
+    """Reviews stored by month, a batch merged into the months it touches, and read again."""
+    target = _target(spark, sf_dir)
+    path = tables.write_reviews(target, shared_path(spark, "reviews"))
+    batch_ts = F.lit(BATCH_TIME).cast("timestamp")
+    tables.merge_reviews(spark, path, _upsert_batch(spark, sf_dir), batch_ts=batch_ts)
+    return _plain(tables.read_reviews(spark, path).select(*target.columns))
+
+
 @query
 def update_reviews(spark, sf_dir):
     return _plain(maintenance.update(_target(spark, sf_dir), _upsert_batch(spark, sf_dir)))
