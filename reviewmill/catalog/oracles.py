@@ -579,3 +579,19 @@ ORACLES: dict[str, str] = {
     ),
 }
 ORACLES["merge_stored_months"] = ORACLES["upsert_reviews"]
+ORACLES["upsert_out_of_order"] = ORACLES["upsert_reviews"]
+ORACLES["stream_upsert_late"] = ORACLES["stream_upsert"]
+ORACLES["stream_ratings_month"] = _with(
+    "rv_events",
+    """SELECT company, last_day(ts::date) AS period, count(*) AS count, round(avg(rating), 9) AS mean
+       FROM rv_events GROUP BY ALL""",
+)
+ORACLES["avg_letters"] = _with(
+    "rv_text", f"{SAMPLE_ROWS} {UNIFORM_300} SELECT round(avg(length(content)), 6) AS avg_tokens FROM u"
+)
+ORACLES["embed_by_letters"] = """
+SELECT doc_id, CAST(length(coalesce(text, '')) AS float) AS letters,
+       CAST(length(replace(coalesce(text, ''), 'e', '')) AS float) AS without_e FROM documents"""
+ORACLES["unknown_company_reviews"] = _with(
+    "rv_orders", "SELECT id, lower(company) AS homepage, rating FROM rv_orders WHERE company_id >= 10"
+)

@@ -149,6 +149,17 @@ def upsert_reviews(spark, sf_dir):
     )
 
 
+@query
+def upsert_out_of_order(spark, sf_dir):
+    """The later deliveries are merged first; the earlier ones then change nothing."""
+    batch_ts = F.lit(BATCH_TIME).cast("timestamp")
+    batch, target = _upsert_batch(spark, sf_dir), _target(spark, sf_dir)
+    known = target.select("id", F.col("timestamp").alias("_stored"))
+    late = batch.join(known, "id", "left").where("_stored IS NULL OR timestamp > _stored").drop("_stored")
+    first = maintenance.upsert(target, late, batch_ts=batch_ts)
+    return _plain(maintenance.upsert(first, batch, batch_ts=batch_ts))
+
+
 @query
 def merge_stored_months(spark, sf_dir):
     """Reviews stored by month, a batch merged into the months it touches, and read again."""
@@ -214,6 +225,13 @@ def extract_reviews(spark, sf_dir):
     return _plain(pages.extract_reviews(_review_pages(spark, sf_dir), companies))
 
 
+@query
+def unknown_company_reviews(spark, sf_dir):
+    """Reviews on pages of companies that are not in the company table."""
+    known = fixtures.companies(spark, sf_dir).where("id < 10")
+    return pages.unknown_companies(_review_pages(spark, sf_dir), known).select("id", "homepage", "rating")
+
+
 def _company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages listing customers as companies; every one is listed again, with other stars, later."""
     customer = fixtures.table(spark, sf_dir, "customer")
@@ -609,6 +627,13 @@ def uniform_sample(spark, sf_dir):
     )
 
 
+@query
+def avg_letters(spark, sf_dir):
+    """Mean length of the sampled texts: letters in place of tokens."""
+    found = sampling.average_tokens(_sample_rows(spark, sf_dir), seed=SAMPLE_SEED, tokenizer=F.length)
+    return found.withColumn("avg_tokens", F.round("avg_tokens", 6))
+
+
 @query
 def avg_tokens(spark, sf_dir):
     found = sampling.average_tokens(_sample_rows(spark, sf_dir), seed=SAMPLE_SEED)
@@ -708,6 +733,20 @@ def vector_l2(spark, sf_dir):
     return left.join(right, "vec_id").select("vec_id", F.round(dist, 6).alias("dist"))
 
 
+def _letter_embedder(df: DataFrame, text: str, vector: str) -> DataFrame:
+    """Another embedder: the length of a text, and its length without the letter e."""
+    lengths = F.array(F.length(text), F.length(F.replace(F.col(text), F.lit("e"), F.lit(""))))
+    return df.withColumn(vector, lengths.cast("array<float>"))
+
+
+@query
+def embed_by_letters(spark, sf_dir):
+    """Vectors of a plugged-in embedder."""
+    docs = fixtures.table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = embedding.embed_text(docs, "text", embedder=_letter_embedder)
+    return rows.select("doc_id", F.col("embedding")[0].alias("letters"), F.col("embedding")[1].alias("without_e"))
+
+
 @query
 def embed_text(spark, sf_dir):
     """Default embedding of every document, described by its length and norm."""
@@ -898,6 +937,24 @@ def stream_upsert(spark, sf_dir):
     return _plain(current.drop("created_at"))
 
 
+@query
+def stream_upsert_late(spark, sf_dir):
+    """The same deliveries as files, one micro-batch each, the later edits before the events."""
+    reviews = fixtures.event_reviews(fixtures.table(spark, sf_dir, "events"))
+    edits = (
+        reviews.where("company = 'purchase'")
+        .withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 1 HOUR"))
+        .withColumn("rating", 6 - F.col("rating"))
+    )
+    source, path = shared_path(spark, "deliveries"), shared_path(spark, "reviews")
+    edits.write.parquet(source)
+    reviews.write.mode("append").parquet(source)
+    stored = T.StructType([*reviews.schema.fields, REVIEW["created_at"], REVIEW["content"], REVIEW["likes"]])
+    arriving = jobs.read_files(spark, source, reviews.schema, files_per_batch=1)
+    jobs.ingest(arriving, path, stored).awaitTermination()
+    return _plain(store.read_current(spark, path, stored, ["id"]).drop("created_at"))
+
+
 @query
 def stream_ingest_pages(spark, sf_dir):
     """Pages arriving as files; their reviews extracted and upserted into a store."""
@@ -939,6 +996,16 @@ def stream_ratings_week(spark, sf_dir):
     return _stream_windows(spark, sf_dir, dates.WEEK)
 
 
+@query
+def stream_ratings_month(spark, sf_dir):
+    """Months summed up from the days that a stream has stored."""
+    path = shared_path(spark, "windows-month")
+    windows = jobs.rating_windows(_event_stream(spark, sf_dir), dates.DAY, "60 days")
+    jobs.write_windows(windows, path).awaitTermination()
+    months = jobs.months_of(store.read_current(spark, path, jobs.WINDOW_SCHEMA, jobs.WINDOW_KEY))
+    return months.select("company", "period", "count", F.round(F.col("rating_sum") / F.col("count"), 9).alias("mean"))
+
+
 # --- ad-hoc SQL ------------------------------------------------------------------------
 
 

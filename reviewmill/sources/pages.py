@@ -53,6 +53,11 @@ def extract_reviews(pages: DataFrame, companies: DataFrame) -> DataFrame:
     )
 
 
+def unknown_companies(pages: DataFrame, companies: DataFrame) -> DataFrame:
+    """Reviews whose page belongs to no known company, to be looked at: :func:`extract_reviews` leaves them out."""
+    return page_reviews(pages).join(sized(companies.select("homepage")), "homepage", "left_anti")
+
+
 def extract_companies(pages: DataFrame) -> DataFrame:
     """Companies listed on the pages, one row per homepage (the latest page wins)."""
     props = _page_props(F.col("html"), page_json(newestBusinessUnits=PAGE_COMPANY))

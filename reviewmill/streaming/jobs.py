@@ -40,7 +40,7 @@ def deduplicate(reviews: DataFrame, delay: str, key: str = "id", ts: str = "time
 def rating_windows(reviews: DataFrame, granularity: str, delay: str) -> DataFrame:
     """Mean and count per company and day or week; rows later than ``delay`` are dropped.
 
-    Months differ in length and are summed up from the days.
+    Months differ in length and are summed up from the days, by :func:`months_of`.
     """
     if granularity not in _WINDOWS:
         raise ValueError(f"Unknown granularity: {granularity}")
@@ -95,6 +95,16 @@ def write_files(rows: DataFrame, path: str) -> StreamingQuery:
     )
 
 
+def months_of(days: DataFrame) -> DataFrame:
+    """Months of the stored days of :func:`rating_windows`, shown under their last day."""
+    start = F.trunc("period_start", "month").cast("date")
+    return (
+        days.groupBy("company", start.alias("period_start"))
+        .agg(F.sum("rating_sum").alias("rating_sum"), F.sum("count").alias("count"))
+        .select("company", "period_start", F.last_day("period_start").alias("period"), "rating_sum", "count")
+    )
+
+
 def merge_batch(
     store: str,
     schema: T.StructType,
