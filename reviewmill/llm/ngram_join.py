@@ -281,40 +281,37 @@ def _links(sets: DataFrame, measure: Measure, block_sets: int, block_grams: int)
     """``part`` and ``joined``: which key every key of ``sets`` (unit, key, size, grams) is linked to."""
     joined_schema = "unit bigint, part bigint, joined bigint"
     within = ["unit", "block"]
-    level = _blocked(sets.withColumn("part", F.col("key")), 0, block_sets, block_grams)
-    edges, salt = [], 0
+
+    def joined(level: DataFrame) -> DataFrame:
+        alone = level.withColumn("part", F.col("key")).withColumn("side", F.lit(-1))
+        return cut_lineage(alone.groupBy(*within).applyInPandas(_join_block(measure), joined_schema))
+
+    level = _blocked(sets, 0, block_sets, block_grams)
+    tied = joined(level)
+    large = cut_lineage(level.where("blocks > 1").select(*sets.columns))
+    units, left, salt = sized(cut_lineage(large.select("unit").distinct())), large.count(), 0
+    if not left:
+        return tied.select("part", "joined")
+    found = tied
     while True:
-        alone = level.withColumn("side", F.lit(-1))
-        found = cut_lineage(alone.groupBy(*within).applyInPandas(_join_block(measure), joined_schema))
-        edges.append(found)
-        large = level.where("blocks > 1")
-        # the representatives of the parts that blocks of a large unit were joined to
-        heads = found.select("unit", F.col("joined").alias("key")).distinct()
-        heads = heads.join(sized(cut_lineage(large.select("unit").distinct())), "unit", "left_semi")
-        salt += 1
-        heads = cut_lineage(
-            _blocked(sets.join(heads, ["unit", "key"], "left_semi").select("unit", "key", "size"), salt, block_sets, block_grams)
-        )
-        before, after = large.select("unit", "key").distinct().count(), heads.count()
-        if after > ENOUGH * before or after == 0:
+        # the representatives of the parts that the blocks of a large unit were joined to
+        heads = found.join(units, "unit", "left_semi").select("unit", F.col("joined").alias("key")).distinct()
+        heads = cut_lineage(large.join(sized(cut_lineage(heads)), ["unit", "key"], "left_semi"))
+        before, left, salt = left, heads.count(), salt + 1
+        if left > ENOUGH * before or left == 0:
             break
-        level = sets.join(heads.select("unit", "key", "blocks", "block").distinct(), ["unit", "key"])
-        level = level.withColumn("part", F.col("key"))
-    tied = edges[0]
-    for more in edges[1:]:
-        tied = tied.unionByName(more)
-    if after or len(edges) > 1:
-        tied = tied.unionByName(_across(sets, tied, measure, block_sets, block_grams))
-    return tied.select("part", "joined")
+        found = joined(_blocked(heads, salt, block_sets, block_grams))
+        tied = tied.unionByName(found)
+    return tied.unionByName(_across(large, tied, measure, block_sets, block_grams)).select("part", "joined")
 
 
 def _across(sets: DataFrame, tied: DataFrame, measure: Measure, block_sets: int, block_grams: int) -> DataFrame:
     """Links between the blocks of units that are still in several parts."""
-    known = components(tied, "part", "joined")
+    known = sized(components(tied, "part", "joined"))
     parts = sets.join(known, F.col("key") == F.col("node"), "left")
     parts = parts.withColumn("part", F.coalesce("component", "key")).drop("node", "component")
     open_units = parts.groupBy("unit").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    parts = parts.join(open_units.where("low < high").select("unit"), "unit", "left_semi")
+    parts = parts.join(sized(cut_lineage(open_units.where("low < high").select("unit"))), "unit", "left_semi")
     blocked = _blocked(parts, 0, block_sets, block_grams).where("blocks > 1")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = blocked.withColumn("_other", other).where("_other <> block")
@@ -345,7 +342,7 @@ def _stars(profiles: DataFrame, measure: Measure, counted: Column) -> DataFrame:
     )
     grams = profiles.select("key", F.explode("grams").alias("gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1")
-    shared = sized(cut_lineage(shared))
+    shared = cut_lineage(shared)
     found = grams.join(shared, "gram").join(needs, "key")
     by_order = Window.partitionBy("key").orderBy((~counted).cast("int"), "sets", "gram")
     whole = Window.partitionBy("key")
