@@ -231,7 +231,7 @@ def predict_texts(texts: list[str | None], scorer: Scorer, switch: float) -> Pre
 
 
 def _scorer(shared, version: str) -> Scorer:
-    return worker_cache("language", lambda: Scorer(shared.value), version)
+    return worker_cache("language", lambda: Scorer(Model(*shared.value)), version)
 
 
 def _spans(text: str, path: np.ndarray, languages: list[str]) -> list[dict]:
@@ -274,7 +274,7 @@ def predict(
 ) -> DataFrame:
     """Key, ``lang_pred``, ``score`` and, if asked for, ``spans`` (start, stop, lang) of every row."""
     rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # a plain tuple, as broadcasts are not pickled by value
     schema = "_key bigint, lang_pred string, score double, spans array<struct<start:bigint,stop:bigint,lang:string>>"
     return rows.mapInArrow(_predict(shared, switch, with_spans), schema).withColumnRenamed("_key", key)
 
@@ -297,7 +297,7 @@ def keep_documents(
     docs: DataFrame, model: Model, text: str = "text", switch: float = SWITCH, min_score: float = MIN_SCORE
 ) -> DataFrame:
     """Rows of ``docs`` whose text has a language with at least ``min_score`` of its letters."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # a plain tuple, as broadcasts are not pickled by value
     return docs.mapInArrow(_keep(shared, switch, min_score, docs.columns.index(text)), docs.schema)
 
 

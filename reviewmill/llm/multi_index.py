@@ -127,7 +127,7 @@ def _assign(shared, dim: int):
     """Task function: the row and the column of the cell of every entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = shared.value
+        books = Books(*shared.value)
         for batch in batches:
             first, second = _halves(_matrix(batch.column(0), dim))
             places = [pa.array(_nearest(h, c)[0]) for h, c in ((first, books.first), (second, books.second))]
@@ -164,7 +164,7 @@ def _visit(shared, dim: int, wanted: int):
     """Task function: the rows of cells that each distinct query vector visits, and how far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = shared.value
+        books = Books(*shared.value)
         for batch in batches:
             first, second = _halves(_matrix(batch.column(1), dim))
             a, b = _distances(first, books.first), _distances(second, books.second)
@@ -184,7 +184,7 @@ def _search(shared, dim: int, keep: int):
     def run(queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         out: list[list] = [[], [], []]
         if len(queries) and len(entries):
-            centroids = shared.value.second
+            centroids = Books(*shared.value).second
             base = np.array(entries["vector"].tolist(), dtype=np.float64).reshape(-1, dim)
             lowest = np.array([keys[0] for keys in entries["keys"]])
             order = np.argsort(lowest, kind="stable")
@@ -253,13 +253,13 @@ def search(
     books, share = fit(fitted, size, k, recall)
 
     # the codebooks and the counts of the cells are bounded by max_centroids
-    shared = spark.sparkContext.broadcast(books)
+    shared = spark.sparkContext.broadcast(tuple(books))  # plain, as broadcasts are not pickled by value
     schema = "row bigint, col bigint, vector array<double>, keys array<bigint>"
     celled = stored(entries.mapInArrow(_assign(shared, dim), schema), "cells")
     counts = np.zeros((len(books.first), len(books.second)), np.int32)
     for cell in celled.groupBy("row", "col").count().collect():
         counts[cell["row"], cell["col"]] = cell["count"]
-    shared = spark.sparkContext.broadcast(books._replace(counts=counts))
+    shared = spark.sparkContext.broadcast(tuple(books._replace(counts=counts)))
 
     queries = named.where("is_query").select("vector", F.col("key").alias("query_id")).distinct()
     keyed = stored(queries.groupBy("vector").agg(F.min("query_id").alias("query")), "queries").select("query", "vector")
