@@ -95,7 +95,7 @@ def review_search(
         & date_predicate(start_date, end_date)
     )
     if limit and WIDE.intersection(cols or df.columns):
-        found = lowest_rows(found, [F.col("timestamp").desc(), "id"], limit, ["id"])
+        found = lowest_rows(found, [F.col("timestamp").desc(), "id"], limit, ["id"], unique=True)
     if limit or "timestamp" in cols:
         found = newest_first(found)
     if limit:

@@ -122,10 +122,15 @@ def winners_of(df: DataFrame, winners: DataFrame, row_key: Sequence[str], n: int
     return ranked.where("_place <= _taken").select(*df.columns)
 
 
-def lowest_rows(df: DataFrame, order: Sequence, n: int, row_key: Sequence[str]) -> DataFrame:
+def lowest_rows(
+    df: DataFrame, order: Sequence, n: int, row_key: Sequence[str], unique: bool = False
+) -> DataFrame:
     """The ``n`` rows lowest in ``order``, complete.
 
     Only keys and order columns take part in the top-n; the wide columns are fetched
-    afterwards for the rows that won.
+    afterwards for the rows that won. ``unique`` says that no two rows share a key.
     """
-    return winners_of(df, df.orderBy(*order).limit(n).select(*row_key), row_key, n)
+    winners = df.orderBy(*order).limit(n).select(*row_key)
+    if unique:
+        return only_keys(df, winners, row_key, Size(n))
+    return winners_of(df, winners, row_key, n)
