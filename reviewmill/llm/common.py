@@ -18,15 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def worker_cache(name: str, build: Callable, version: str = ""):
-    """What ``build`` returned the first time in this Python worker; one version of a name is kept.
+    """What ``build`` returned the first time in this Python worker.
+
+    Only the last thing asked for is kept, so stages that follow each other do not add up.
 
     Task functions are pickled by value, so their own module variables start anew in every
     task; a module registered in ``sys.modules`` stays as long as the worker is reused.
     """
     kept = vars(sys.modules.setdefault("_reviewmill_worker", ModuleType("_reviewmill_worker")))
-    if name not in kept or kept[name][0] != version:
-        kept[name] = (version, build())
-    return kept[name][1]
+    if kept.get("_wanted") != (name, version):
+        kept.pop("_found", None)
+        kept["_found"] = build()
+        kept["_wanted"] = (name, version)
+    return kept["_found"]
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from reviewmill.llm.common import worker_cache
+from reviewmill.llm.common import sliced, worker_cache
 
 SAMPLE_DOCS = 1_000
 SWITCH = 12.0
@@ -39,7 +39,8 @@ SMOOTHING = 0.1
 BUCKETS = 1 << 16
 OTHER_SCRIPT = -200.0
 SCRIPT_SHARE = 0.01
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
+TEXTS_AT_ONCE = 3_000
 MIN_SCORE = 0.5
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -256,7 +257,7 @@ def _predict(shared, switch: float, with_spans: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared, version)
-        for batch in batches:
+        for batch in sliced(batches, TEXTS_AT_ONCE):
             texts = batch.column(1).to_pylist()
             found = predict_texts(texts, scorer, switch)
             spans = [
@@ -285,7 +286,7 @@ def _keep(shared, switch: float, min_score: float, place: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared, version)
-        for batch in batches:
+        for batch in sliced(batches, TEXTS_AT_ONCE):
             found = predict_texts(batch.column(place).to_pylist(), scorer, switch)
             kept = [lang != UNKNOWN and score >= min_score for lang, score in zip(found.language, found.score)]
             yield batch.filter(pa.array(kept, pa.bool_()))

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 import numpy as np
 
 WORDS_PER_CALL = 4_000
-KEPT_BYTES = 180_000_000  # of one generation of kept words; there are two
+KEPT_BYTES = 130_000_000  # of one generation of kept words; there are two
 WORD_BYTES = 210  # of Python's objects for one kept word, roughly
 TEXTS_AT_ONCE = 512
 
