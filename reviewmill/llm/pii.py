@@ -11,7 +11,10 @@ are instances too, with the patterns they stand in. Over this graph scores go ba
   patterns is right.
 
 Patterns that reach ``MIN_SCORE`` with at least ``MIN_INSTANCES`` distinct instances, as many of
-them seeds as ``MIN_SEEDS``, mark the identifiers that stand in them, wherever that is.
+them seeds as ``MIN_SEEDS``, mark the identifiers that stand in them, wherever that is. Identifiers
+so marked with a trust of at least ``MIN_TRUST`` support other patterns in the next stage, which
+need no seeds if ``MIN_INSTANCES`` of their instances are seeds or marked. Stages follow each other
+as long as one trusts further patterns, so a context is reached over any number of others.
 
 Only DataFrame functions are used. A text is read once; its spans are arrays of its own row.
 Distinct pairs of pattern and instance are counted before any join, so a copied document counts
@@ -45,6 +48,7 @@ ROUNDS = 3
 MIN_SCORE = 0.5
 MIN_INSTANCES = 4
 MIN_SEEDS = 3
+MIN_TRUST = 0.5
 CONTEXT_CHARS = 48
 FOUND = "id"
 
@@ -172,33 +176,55 @@ def trusted_patterns(
     min_score: float = MIN_SCORE,
     min_instances: int = MIN_INSTANCES,
     min_seeds: int = MIN_SEEDS,
+    min_trust: float = MIN_TRUST,
 ) -> DataFrame:
-    """``pattern`` and ``score`` of the patterns that may mark identifiers."""
+    """``pattern`` and ``score`` of the patterns that may mark identifiers.
+
+    A stage is ``rounds`` rounds from the trust known at its start; it never loses a pattern of the
+    stage before. The last one is the one that trusts no further pattern.
+    """
 
     def edges_of(column: str, seed: bool) -> DataFrame:
         one = scanned.where(F.size(column) > 0).select(F.explode(column).alias("m"))
         return one.select("m.pattern", "m.instance", F.lit(seed).alias("seed")).where("pattern IS NOT NULL")
 
     edges = edges_of("seeds", True).unionByName(edges_of("mentions", False))
-    edges = cut_lineage(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
+    edges = edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    edges = cut_lineage(edges.withColumn("base", F.col("seed").cast("double")))
     # a pattern without a seed can only be reached over an instance, so all edges stay
-    trust = cut_lineage(edges.groupBy("instance").agg(F.max("seed").cast("double").alias("trust")))
-    scores = None
-    for _ in range(rounds):
-        scored = edges.join(sized(trust), "instance").groupBy("pattern").agg(
-            (F.sum("trust") / (F.count("*") + PRIOR)).alias("score"),
-            F.count("*").alias("instances"),
-            F.sum(F.col("seed").cast("int")).alias("seeds"),
-        )
-        scores = cut_lineage(scored)
-        wrong = F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))
-        trust = cut_lineage(
-            edges.join(sized(scores.select("pattern", "score")), "pattern")
-            .groupBy("instance")
-            .agg(F.when(F.max("seed"), 1.0).otherwise(1 - wrong).alias("trust"))
-        )
-    enough = (F.col("score") >= min_score) & (F.col("instances") >= min_instances) & (F.col("seeds") >= min_seeds)
-    return scores.where(enough).select("pattern", "score")
+    known = 0
+    while True:
+        trust = cut_lineage(edges.groupBy("instance").agg(F.max("base").alias("trust")))
+        for _ in range(rounds):
+            scored = edges.join(sized(trust), "instance").groupBy("pattern").agg(
+                (F.sum("trust") / (F.count("*") + PRIOR)).alias("score"),
+                F.count("*").alias("instances"),
+                F.sum(F.col("seed").cast("int")).alias("seeds"),
+                F.sum((F.col("base") > 0).cast("int")).alias("support"),
+            )
+            scores = cut_lineage(scored)
+            wrong = F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))
+            trust = cut_lineage(
+                edges.join(sized(scores.select("pattern", "score")), "pattern")
+                .groupBy("instance")
+                .agg(F.when(F.max("seed"), 1.0).otherwise(F.greatest(F.max("base"), 1 - wrong)).alias("trust"))
+            )
+        enough = F.col("seeds") >= min_seeds
+        if known:
+            enough = enough | (F.col("support") >= min_instances)
+        enough = enough & (F.col("score") >= min_score) & (F.col("instances") >= min_instances)
+        found = cut_lineage(scores.where(enough).select("pattern", "score"))
+        before, known = known, found.count()
+        if known == before:
+            return found
+        marks = sized(found.select("pattern"))
+        inside = edges.join(marks, "pattern", "left_semi").select("instance").distinct()
+        sure = trust.where(F.col("trust") >= min_trust).join(inside, "instance").withColumnRenamed("trust", "sure")
+        sure = sized(cut_lineage(sure))
+        if edges.where("base = 0").join(marks, "pattern", "left_anti").join(sure, "instance", "left_semi").isEmpty():
+            return found
+        base = F.greatest("base", F.coalesce("sure", F.lit(0.0)))
+        edges = cut_lineage(edges.join(sure, "instance", "left").select("pattern", "instance", "seed", base.alias("base")))
 
 
 def discovered(scanned: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -78,6 +78,20 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark):
     assert all(found[i].n_email == 1 for i in range(6))
 
 
+def test_contexts_without_seeds_are_reached_over_found_identifiers(spark):
+    rows = [(i, f"Please write: my contact is user{i}@mail.example.com today", "en") for i in range(8)]
+    rows += [(10 + i, f"now my contact is member-77{i}31 today", "en") for i in range(4)]
+    rows += [(20 + i, f"the membership number is member-77{i}31 today", "en") for i in range(9)]
+    rows += [(30 + i, f"her customer code was member-77{i}31 today", "en") for i in range(4, 9)]
+    rows += [(40, "her customer code was third-4711 today", "en")]
+    rows += [(50 + i, f"the part number was ABC-{i}7731 in stock", "en") for i in range(8)]
+    rows += [(60 + i, f"some price tag member-77{i}31 in stock", "en") for i in range(3)]
+    rows += [(70 + i, f"some price tag EUR-{i}99.50 in stock", "en") for i in range(9)]
+    found = {r.doc_id: r.n_found for r in pii.find(documents(spark, rows)).collect()}
+    assert {k for k, n in found.items() if n} == {*range(10, 14), *range(20, 29), *range(34, 39), 40}
+    assert all(pii.find(documents(spark, rows[:8] + rows[12:])).select("n_found").toPandas()["n_found"] == 0)
+
+
 def test_copies_of_one_document_teach_nothing(spark):
     rows = [(i, "my contact is user1@mail.example.com today", "en") for i in range(50)]
     rows += [(90, "my contact is member-77031 today", "en")]
