@@ -1,8 +1,8 @@
 """Personal data by fixed forms, and by contexts learnt from them.
 
 Four kinds have a fixed form (e-mail address, IP address, payment card, phone number). Their spans
-are the base, and the seeds of a bootstrap: the two words to the left of a span are a lexical
-pattern, the text of the span an instance. Other tokens with digits that look like identifiers
+are the base, and the seeds of a bootstrap: the two words to the left of a span, or the one word
+that starts its line, are a lexical pattern, the text of the span an instance. Other tokens with digits that look like identifiers
 are instances too, with the patterns they stand in. Over this graph scores go back and forth:
 
 * the score of a pattern is the mean trust in its distinct instances, with ``PRIOR`` untrusted
@@ -28,6 +28,8 @@ Defined results
 ---------------
 * Text NULL is empty: no spans. Very long texts and texts with many spans are treated as others.
 * Rows with NULL or repeated keys are treated one by one; equal rows have equal spans.
+* Words of a context and the white space between them may have any length; words that are alike in
+  their last ``WORD_CHARS`` characters are the same. A span with no word before it has no context.
 * A found identifier never overlaps a base span. Equal starts are in the order of the kinds.
 * An empty table, or no seeds, gives base results only. Other columns are ignored or kept as they
   are by :func:`mask_documents`.
@@ -49,11 +51,11 @@ MIN_SCORE = 0.5
 MIN_INSTANCES = 4
 MIN_SEEDS = 3
 MIN_TRUST = 0.5
-CONTEXT_CHARS = 48
+CONTEXT_CHARS = (64, 4096)  # looked at before the whole text to the left
+WORD_CHARS = 64
 FOUND = "id"
 
 SPAN = "array<struct<start:bigint,stop:bigint,kind:int,text:string>>"
-MENTION = "array<struct<start:bigint,stop:bigint,pattern:string,instance:bigint>>"
 
 
 class Kind(NamedTuple):
@@ -74,9 +76,13 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", ""),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 )
-IDENTIFIER = (
-    r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]{0,40}+[0-9])[A-Za-z0-9._%+@-]{6,64}+(?![A-Za-z0-9._%+@-])"
-)
+IDENTIFIER = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]*+[0-9])[A-Za-z0-9._%+@-]{6,}+"
+# Words to the left of a span. Words start at white space only, so no character is
+# tried twice.
+OPENING = r"(?<!\S)[\"'(<\[]\z"
+LAST_WORDS = r"(?:(?<!\S)(\S++)(\s++)(?=\S))?+(?<!\S)(\S++)(\s*+)$"
+WHOLE_WORDS = r"(?<=\s)\S++\s++\S++\s*+$"
+LINE_BREAK = r"[\n\r]"
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 
@@ -132,12 +138,42 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(ordered)
 
 
-def _pattern(text: Column, start: Column) -> Column:
-    """The two words to the left, in lower case, digits alike; NULL if there are fewer."""
-    width = F.least(start, F.lit(CONTEXT_CHARS)).cast("int")
-    before = F.substring(text, (start - width + 1).cast("int"), width)
-    words = F.regexp_extract(before, r"(\S{1,20}\s{1,2}\S{1,20})\s{0,2}[\"'(<\[]?$", 1)
-    return F.nullif(F.regexp_replace(F.regexp_replace(F.lower(words), r"[0-9]+", "0"), r"\s+", " "), F.lit(""))
+def _left(text: Column, start: Column) -> Column:
+    """The last two words left of a place with the white space after each, or the one there is.
+
+    Words and gaps may have any length: where the nearest characters do not show both words whole,
+    more are taken.
+    """
+    found = None
+    for width in (None, *reversed(CONTEXT_CHARS)):
+        taken = start if width is None else F.least(start, F.lit(width).cast("bigint"))
+        before = F.substring(text, (start - taken + 1).cast("int"), taken.cast("int"))
+        before = F.regexp_replace(before, OPENING, "")
+        words = F.regexp_extract(before, LAST_WORDS, 0)
+        found = words if found is None else F.when((start <= width) | before.rlike(WHOLE_WORDS), words).otherwise(found)
+    return found
+
+
+def _word(word: Column) -> Column:
+    return F.right(F.regexp_replace(F.lower(word), r"[0-9]+", "0"), F.lit(WORD_CHARS))
+
+
+def _patterns(left: Column) -> Column:
+    """The two words of :func:`_left` in lower case, digits alike; a missing one is a line break.
+
+    Where a line break parts them, a label that starts a line and a wrapped line look the same, so
+    there are two patterns: with the word of the line before, and as the start of a line.
+    """
+    first, gap, last, tail = (F.regexp_extract(left, LAST_WORDS, n) for n in range(1, 5))
+    both = F.concat(_word(first), F.lit(" "), _word(last))
+    alone = F.concat(F.lit("\n "), _word(last))
+    parted = gap.rlike(LINE_BREAK) & ~tail.rlike(LINE_BREAK)
+    return (
+        F.when(left == "", F.array().cast("array<string>"))
+        .when(first == "", F.array(alone))
+        .when(parted, F.array(both, alone))
+        .otherwise(F.array(both))
+    )
 
 
 def _mentions(text: Column, spans: Column) -> Column:
@@ -145,15 +181,28 @@ def _mentions(text: Column, spans: Column) -> Column:
     tokens = F.when(text.rlike("[0-9]"), _matches(text, IDENTIFIER, len(KINDS))).otherwise(F.array().cast(SPAN))
     likely = F.filter(tokens, lambda t: F.length(_digits(t["text"])) >= 3)
     free = F.filter(likely, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"])))
-    return F.transform(free, lambda t: _mention(text, t))
-
-
-def _mention(text: Column, span: Column) -> Column:
-    return F.struct(
-        span["start"].alias("start"),
-        span["stop"].alias("stop"),
-        _pattern(text, span["start"]).alias("pattern"),
-        F.xxhash64(span["text"]).alias("instance"),
+    return _in_context(text, free)
+
+
+def _in_context(text: Column, spans: Column) -> Column:
+    """``spans`` with their patterns and instances."""
+    placed = F.transform(
+        spans,
+        lambda s: F.struct(
+            s["start"].alias("start"),
+            s["stop"].alias("stop"),
+            _left(text, s["start"]).alias("left"),
+            F.xxhash64(s["text"]).alias("instance"),
+        ),
+    )
+    return F.transform(
+        placed,
+        lambda s: F.struct(
+            s["start"].alias("start"),
+            s["stop"].alias("stop"),
+            _patterns(s["left"]).alias("patterns"),
+            s["instance"].alias("instance"),
+        ),
     )
 
 
@@ -165,7 +214,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         "_key",
         F.xxhash64("_text").alias("_hash"),
         F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["stop"])).alias("spans"),
-        F.transform("spans", lambda s: _mention(F.col("_text"), s)).alias("seeds"),
+        _in_context(F.col("_text"), F.col("spans")).alias("seeds"),
         _mentions(F.col("_text"), F.col("spans")).alias("mentions"),
     )
 
@@ -186,7 +235,7 @@ def trusted_patterns(
 
     def edges_of(column: str, seed: bool) -> DataFrame:
         one = scanned.where(F.size(column) > 0).select(F.explode(column).alias("m"))
-        return one.select("m.pattern", "m.instance", F.lit(seed).alias("seed")).where("pattern IS NOT NULL")
+        return one.select(F.explode("m.patterns").alias("pattern"), "m.instance", F.lit(seed).alias("seed"))
 
     edges = edges_of("seeds", True).unionByName(edges_of("mentions", False))
     edges = edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
@@ -230,7 +279,7 @@ def trusted_patterns(
 def discovered(scanned: DataFrame, patterns: DataFrame) -> DataFrame:
     """``_key``, ``_hash`` and ``more``, the spans of identifiers in trusted patterns."""
     mentions = scanned.where(F.size("mentions") > 0).select("_key", "_hash", F.explode("mentions").alias("m"))
-    marked = mentions.withColumn("pattern", F.col("m.pattern")).join(sized(patterns), "pattern", "left_semi")
+    marked = mentions.withColumn("pattern", F.explode("m.patterns")).join(sized(patterns), "pattern", "left_semi")
     span = F.struct(F.col("m.start"), F.lit(len(KINDS)).alias("kind"), F.col("m.stop"))
     return marked.groupBy("_key", "_hash").agg(F.collect_set(span).alias("more"))
 

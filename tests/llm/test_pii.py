@@ -92,6 +92,37 @@ def test_contexts_without_seeds_are_reached_over_found_identifiers(spark):
     assert all(pii.find(documents(spark, rows[:8] + rows[12:])).select("n_found").toPandas()["n_found"] == 0)
 
 
+def test_contexts_of_long_words_wide_gaps_and_line_starts(spark):
+    long, wide = "Krankenversicherungsnummer", " " * 50
+    cases = {
+        "before {} text": "my contact is {}",
+        "%s: {}" % long: "Seine %s: {} heute" % long,
+        "account": "the account number:%s{} today" % wide,
+        "far": "the%s account%s number%s{} today" % (wide, " " * 5000, "\t" * 70),
+        "start": "Mobil: {} now",
+        "line": "some words %d before\nReference: {}\nmore",
+        "wrapped": "as was her\nlabel {} today",
+        "broken": "this is their mark\n\n{} today",
+        "glued": "x" * 5000 + " " + "y" * 5000 + ":{}",
+    }
+    rows, wanted = [], {}
+    for n, form in enumerate(cases.values()):
+        for i in range(6):
+            rows.append((100 * n + i, form.replace("%d", f"w{'abcdef'[i]}").replace("{}", f"user{n}x{i}@mail.example.com"), "en"))
+        token = f"key-{n}-" + "k" * 50 + "9731" * 20
+        text = form.replace("%d", "other").replace("{}", token)
+        rows.append((100 * n + 50, text, "en"))
+        wanted[100 * n + 50] = text.replace(token, "[ID]")
+    rows.append((9000, "no context was learnt for key-55-9731 here", "en"))
+    rows.append((9001, "key-56-9731\n'key-57-9731", "en"))
+    rows.append((9002, "some words as was\nlabel key-58-9731 today", "en"))
+    found = {r.doc_id: r.text for r in pii.mask_documents(documents(spark, rows)).collect()}
+    texts = {k: t for k, t, _ in rows}
+    wanted[9002] = texts[9002].replace("key-58-9731", "[ID]")
+    assert sorted(k for k, t in found.items() if "[ID]" in t) == sorted(wanted)
+    assert [k for k in wanted if found[k] != wanted[k]] == []
+
+
 def test_copies_of_one_document_teach_nothing(spark):
     rows = [(i, "my contact is user1@mail.example.com today", "en") for i in range(50)]
     rows += [(90, "my contact is member-77031 today", "en")]
