@@ -15,7 +15,10 @@ from reviewmill.llm.common import stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without letters, or in no language for the most part, go."""
+    """Documents with a language; those without letters, or in no language for the most part, go.
+
+    Without labels there is no language to be in, so only those without letters go.
+    """
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
     return language_id.keep_documents(docs, model)
 

@@ -14,8 +14,9 @@ batch at the same time.
 Defined results
 ---------------
 * Text NULL or without a letter: ``und``, score 0. No labelled document: ``und`` for all.
-* Letters of a script that no language uses favour none; such a text gets the first language by
-  name. Ties go to the first language by name.
+* Letters of a script that no language uses count for none, but in the total; a text of such letters
+  alone is ``und``, score 0, and so are spans of them. Ties go to the first language by name.
+* Without a labelled document :func:`keep_documents` keeps every text with a letter.
 * Rows with NULL or repeated keys are predicted like any other; no key is an input.
 * Columns other than the named ones are ignored, or passed through by :func:`keep_documents`.
 """
@@ -149,13 +150,15 @@ class Scorer:
         self.places: dict[str, int] = {}
         self.scores = np.zeros((0, len(self.model.languages)), np.float32)
         self.letters = np.zeros(0, np.int64)
+        self.known = np.zeros(0, bool)  # written in a script that some language uses
 
-    def _score(self, words: list[str]) -> np.ndarray:
+    def _score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         buckets, counts = _trigrams(words)
         sums = np.add.reduceat(self.model.scores[buckets], np.cumsum(counts) - counts, axis=0)
         uses = self.model.uses[_scripts(words)]
         sums = np.where(uses, sums, OTHER_SCRIPT + sums.min(axis=1, keepdims=True))
-        return np.where(uses.any(axis=1, keepdims=True), sums - sums.max(axis=1, keepdims=True), 0.0)
+        known = uses.any(axis=1)
+        return np.where(known[:, None], sums - sums.max(axis=1, keepdims=True), 0.0), known
 
     def places_of(self, texts: list[list[str]]) -> list[np.ndarray]:
         if len(self.places) > KEPT_WORDS:
@@ -163,7 +166,9 @@ class Scorer:
         new = list(set().union(*texts).difference(self.places)) if texts else []
         if new:
             self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
-            self.scores = np.concatenate([self.scores, self._score(new).astype(np.float32)])
+            scores, known = self._score(new)
+            self.scores = np.concatenate([self.scores, scores.astype(np.float32)])
+            self.known = np.concatenate([self.known, known])
             letters = [len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in new]
             self.letters = np.concatenate([self.letters, np.array(letters, np.int64)])
         return [np.fromiter(map(self.places.__getitem__, words), np.int64, len(words)) for words in texts]
@@ -210,7 +215,7 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.nda
 class Prediction(NamedTuple):
     language: list[str]
     score: np.ndarray
-    paths: list[np.ndarray]  # language of every word of each text
+    paths: list[np.ndarray]  # language of every word of each text, -1 for none
 
 
 def predict_texts(texts: list[str | None], scorer: Scorer, switch: float) -> Prediction:
@@ -223,11 +228,13 @@ def predict_texts(texts: list[str | None], scorer: Scorer, switch: float) -> Pre
     path = best_paths(scorer.scores[flat], lengths, switch)
     text_of = np.repeat(np.arange(len(texts)), lengths)
     cells = max(1, n_languages)
-    letters = np.bincount(text_of * cells + path, scorer.letters[flat], len(texts) * cells)
+    known, counts = scorer.known[flat], scorer.letters[flat]
+    letters = np.bincount(text_of * cells + path, counts * known, len(texts) * cells)
     letters = letters.reshape(len(texts), cells)
-    total, best = letters.sum(axis=1), letters.argmax(axis=1)
-    score = np.where(total > 0, letters.max(axis=1) / np.maximum(total, 1), 0.0)
-    language = [model.languages[b] if t > 0 else UNKNOWN for b, t in zip(best, total)]
+    total, best, most = np.bincount(text_of, counts, len(texts)), letters.argmax(axis=1), letters.max(axis=1)
+    score = np.where(total > 0, most / np.maximum(total, 1), 0.0)
+    language = [model.languages[b] if m > 0 else UNKNOWN for b, m in zip(best, most)]
+    path = np.where(known, path, -1)
     return Prediction(language, score, np.split(path, np.cumsum(lengths)[:-1]) if len(texts) else [])
 
 
@@ -241,10 +248,11 @@ def _spans(text: str, path: np.ndarray, languages: list[str]) -> list[dict]:
     lowered = text.lower()
     source = lowered if len(lowered) == len(text) else text
     for match, place in zip(WORD.finditer(source), path.tolist()):
-        if spans and spans[-1]["lang"] == languages[place]:
+        lang = languages[place] if place >= 0 else UNKNOWN
+        if spans and spans[-1]["lang"] == lang:
             spans[-1]["stop"] = match.end()
         else:
-            spans.append({"start": match.start(), "stop": match.end(), "lang": languages[place]})
+            spans.append({"start": match.start(), "stop": match.end(), "lang": lang})
     return spans
 
 
@@ -287,7 +295,11 @@ def _keep(shared, switch: float, min_score: float, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared, version)
         for batch in sliced(batches, TEXTS_AT_ONCE):
-            found = predict_texts(batch.column(place).to_pylist(), scorer, switch)
+            texts = batch.column(place).to_pylist()
+            if not scorer.model.languages:
+                yield batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in texts], pa.bool_()))
+                continue
+            found = predict_texts(texts, scorer, switch)
             kept = [lang != UNKNOWN and score >= min_score for lang, score in zip(found.language, found.score)]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
@@ -297,7 +309,10 @@ def _keep(shared, switch: float, min_score: float, place: int):
 def keep_documents(
     docs: DataFrame, model: Model, text: str = "text", switch: float = SWITCH, min_score: float = MIN_SCORE
 ) -> DataFrame:
-    """Rows of ``docs`` whose text has a language with at least ``min_score`` of its letters."""
+    """Rows of ``docs`` whose text has a language with at least ``min_score`` of its letters.
+
+    If the model has no language, none can be rejected for it: rows with a letter stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))  # a plain tuple, as broadcasts are not pickled by value
     return docs.mapInArrow(_keep(shared, switch, min_score, docs.columns.index(text)), docs.schema)
 

@@ -49,6 +49,22 @@ def test_rejected_documents_go_and_columns_stay(spark, model):
     assert not {r.doc_id for r in kept.collect()} & {4, 5, 6, 7}
 
 
+def test_scripts_that_no_language_uses_count_for_none(spark, model):
+    chinese, georgian = "你好世界 我们回家了", "კატა და ძაღლი წავიდნენ ძველ სახლში"
+    rows = [(1, chinese, None), (2, georgian, None), (3, f"word {georgian}", None), (4, f"{ENGLISH} 你好", None)]
+    found = {r.doc_id: r for r in language_id.predict(documents(spark, rows), model, with_spans=True).collect()}
+    assert [(found[k].lang_pred, found[k].score) for k in (1, 2)] == [("und", 0.0)] * 2
+    assert 0 < found[3].score < 0.5 and found[4].lang_pred == "en" and 0.9 < found[4].score < 1
+    assert [s.lang for s in found[1].spans] == ["und"] and [s.lang for s in found[4].spans] == ["en", "und"]
+    assert {r.doc_id for r in language_id.keep_documents(documents(spark, rows), model).collect()} == {4}
+
+
+def test_without_labels_texts_with_letters_stay(spark):
+    nothing = language_id.fit(documents(spark, [(1, ENGLISH, None)]))
+    kept = language_id.keep_documents(documents(spark), nothing)
+    assert {r.doc_id for r in kept.collect()} == {1, 2, 3, 8, 9, 10, 11, 12, 13, 14, None}
+
+
 def test_paths_against_all_paths():
     random = np.random.default_rng(5)
     lengths = np.array([4, 0, 1, 5, 2])
