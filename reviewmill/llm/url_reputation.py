@@ -17,8 +17,9 @@ Defined results
 * A page key that is NULL or repeated: each row is judged by itself.
 * Outcomes with a NULL key or a NULL outcome do not count; a page labelled twice counts twice.
 * No labels at all: every posterior is the neutral 1/2 and nothing is blocked but by a rule.
-* The registered domain is the last two labels of a host, the suffix the last one. A host of one
-  label is its own domain.
+* The suffix is the longest of ``suffixes`` that a host ends with, else its last label; the registered
+  domain has one label more. A port and a user part do not count for these levels. A host of one
+  label, a suffix itself and an IP address are their own domains.
 * Columns other than the named ones are ignored, whatever they are called.
 """
 
@@ -53,6 +54,27 @@ RULES = (
     Rule("allow", "org/fr/"),
 )
 
+# Public suffixes of several labels, by top-level domain. Others can be passed.
+SECOND_LEVELS = {
+    "ar": "com edu gob gov int mil net org", "au": "asn com edu gov id net org",
+    "bd": "ac com edu gov net org", "br": "art blog com edu eco gov jus leg mil net org tv",
+    "cn": "ac com edu gov mil net org", "co": "com edu gov mil net nom org", "cy": "ac com gov net org",
+    "eg": "com edu gov net org", "gr": "com edu gov net org", "hk": "com edu gov idv net org",
+    "id": "ac co desa go mil my net or sch web", "il": "ac co gov k12 muni net org",
+    "in": "ac co edu firm gen gov ind mil net nic org res", "jp": "ac ad co ed go gr lg ne or",
+    "ke": "ac co go me ne or sc", "kr": "ac co go hs kg mil ms ne or pe re sc",
+    "mx": "com edu gob net org", "my": "com edu gov mil name net org", "ng": "com edu gov name net org sch",
+    "nz": "ac co cri geek gen govt health iwi maori mil net org school", "pe": "com edu gob mil net nom org",
+    "ph": "com edu gov mil net ngo org", "pk": "com edu gov net org", "pl": "com edu gov net org",
+    "sa": "com edu gov med net org sch", "sg": "com edu gov net org per", "th": "ac co go in mi net or",
+    "tr": "av bel biz com edu gen gov info k12 mil name net org pol tel tv web",
+    "tw": "club com ebiz edu game gov idv mil net org", "ua": "com edu gov in net org",
+    "uk": "ac co gov ltd me net nhs org plc police sch", "uy": "com edu gub mil net org",
+    "ve": "co com edu gob info net org web", "vn": "ac com edu gov net org",
+    "za": "ac co edu gov law mil net nom org school web",
+}
+SUFFIXES = tuple(f"{label}.{top}" for top, labels in SECOND_LEVELS.items() for label in labels.split())
+
 
 def host_of(url: Column) -> Column:
     at = F.instr(url, "://")
@@ -77,6 +99,22 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule] = RULES) -> C
     return found
 
 
+def levels_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
+    """Suffix and registered domain of a host."""
+    name = F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*\z", "")
+
+    def last(labels: int) -> Column:
+        return F.regexp_extract(name, rf"(?:[^.]*\.){{0,{labels - 1}}}[^.]*$", 0)
+
+    suffix, domain = last(1), last(2)
+    for labels in sorted({s.count(".") + 1 for s in suffixes}):
+        listed = last(labels).isin([s for s in suffixes if s.count(".") + 1 == labels])
+        suffix = F.when(listed, last(labels)).otherwise(suffix)
+        domain = F.when(listed, last(labels + 1)).otherwise(domain)
+    address = name.rlike(r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[[^\]]*\])\z")
+    return F.when(address, name).otherwise(suffix), F.when(address, name).otherwise(domain)
+
+
 def _groups(hosts: DataFrame, level: str) -> DataFrame:
     """Labelled and good pages of each group of a level, with the group it belongs to."""
     above = {"suffix": F.lit(""), "domain": F.col("suffix"), "host": F.col("domain")}[level]
@@ -102,15 +140,14 @@ def _strength(groups: DataFrame) -> DataFrame:
     return found.select((1 / share - 1).alias("strength"))
 
 
-def host_reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
+def host_reputation(hosts: DataFrame, z: float = Z, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """``host``, ``n``, ``k``, posterior ``mean`` and its ``upper`` bound.
 
     ``hosts`` has ``host``, ``n`` (labelled pages) and ``k`` (good ones), one row per host. One
     pass over the hosts for each level; the strength of a level is a single row.
     """
-    label = F.regexp_extract("host", r"[^.]*$", 0)
-    domain = F.regexp_extract("host", r"(?:[^.]*\.)?[^.]*$", 0)
-    hosts = hosts.select("host", "n", "k", label.alias("suffix"), domain.alias("domain"))
+    suffix, domain = levels_of(F.col("host"), suffixes)
+    hosts = hosts.select("host", "n", "k", suffix.alias("suffix"), domain.alias("domain"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     rate = F.coalesce(F.try_divide(F.col("k"), F.col("n")), F.lit(0.5))
     parents = total.select(F.lit("").alias("above"), rate.alias("prior"))
@@ -139,6 +176,7 @@ def judge_urls(
     rules: Sequence[Rule] = RULES,
     cutoff: float = CUTOFF,
     z: float = Z,
+    suffixes: Sequence[str] = SUFFIXES,
 ) -> DataFrame:
     """Each page with its host, path, rule and verdict; ``outcomes`` holds (page key, good or not)."""
     parsed = pages.select(
@@ -159,7 +197,7 @@ def judge_urls(
         .groupBy("host")
         .agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     )
-    scored = cut_lineage(host_reputation(cut_lineage(hosts), z))
+    scored = cut_lineage(host_reputation(cut_lineage(hosts), z, suffixes))
     judged = parsed.join(sized(scored), "host").withColumn(
         "_rule", fitting_rule(F.col("host"), F.col("path"), rules)
     )

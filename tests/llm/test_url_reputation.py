@@ -57,6 +57,42 @@ def test_reputation_shrinks_to_domain_and_suffix(spark):
     assert verdict["new.fine.com"] == verdict["new.other.com"] == "allow"
 
 
+def test_suffix_and_domain(spark):
+    cases = {
+        "www.shop.co.uk": ("co.uk", "shop.co.uk"),
+        "co.uk": ("co.uk", "co.uk"),
+        "xco.uk": ("uk", "xco.uk"),
+        "shop.example.com:8080": ("com", "example.com"),
+        "jo:pw@a.shop.com.au:80": ("com.au", "shop.com.au"),
+        "43.21.141.162:8000": ("43.21.141.162", "43.21.141.162"),
+        "[2001:db8::1]:443": ("[2001:db8::1]", "[2001:db8::1]"),
+        "x.y.city.kawasaki.jp": ("jp", "kawasaki.jp"),
+        "localhost": ("localhost", "localhost"),
+        "": ("", ""),
+    }
+    hosts = spark.createDataFrame([(h,) for h in cases], "host string")
+    found = {r[0]: (r[1], r[2]) for r in hosts.select("host", *url_reputation.levels_of(F.col("host"))).collect()}
+    assert found == cases
+    own = url_reputation.levels_of(F.col("host"), ["uk", "city.kawasaki.jp"])
+    found = {r[0]: (r[1], r[2]) for r in hosts.select("host", *own).collect()}
+    assert found["x.y.city.kawasaki.jp"] == ("city.kawasaki.jp", "y.city.kawasaki.jp")
+    assert found["www.shop.co.uk"] == ("uk", "co.uk")
+
+
+def test_unrelated_sites_share_no_domain(spark):
+    rows, outcomes = [], []
+    for i in range(40):
+        for n, host in enumerate((f"h{i}.foul.co.uk", f"h{i}.fine.co.uk", f"h{i}.bad.com")):
+            for _ in range(20):
+                rows.append((len(rows), f"http://{host}/"))
+                outcomes.append((len(rows) - 1, n == 1))
+    for host in ("new.foul.co.uk", "new.fine.co.uk", "new.other.co.uk", "new.bad.com:8080"):
+        rows.append((len(rows), f"http://{host}/"))
+    verdict = {r.host: r.verdict for r in judge(spark, rows, outcomes).collect()}
+    assert verdict["new.foul.co.uk"] == verdict["new.bad.com:8080"] == "block"
+    assert verdict["new.fine.co.uk"] == verdict["new.other.co.uk"] == "allow"
+
+
 def test_one_bad_page_is_not_enough_where_hosts_are_alike(spark):
     rows = [(i, f"http://h{i % 40}.mixed.com/{i}") for i in range(801)]
     outcomes = [(i, i % 3 > 0) for i in range(800)] + [(800, False)]
