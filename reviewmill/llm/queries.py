@@ -18,6 +18,7 @@ from reviewmill.llm import (
     sharding,
     token_store,
     url_reputation,
+    word_runs,
 )
 from reviewmill.llm.common import table
 from reviewmill.session import shared_path
@@ -110,3 +111,29 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that are linked by 85 % of their 4-word shingles."""
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@query
+def op11_repair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words; a tenth of the documents is made to repeat itself first."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    number = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    draw, n = F.floor(number / 10), word_runs.n_words(text)
+    first = (draw % n).cast("int")
+    period = (F.floor((n - first) / (3 + draw % 8)) + 1).cast("int")
+    repeating = word_runs.looped(text, first, period)
+    changed = F.when((number % 10 == 0) & (n > 0), repeating).otherwise(text)
+    found = word_runs.runs_of(docs, text=changed)
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = F.col("longest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(line, lambda c: F.concat(c, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
