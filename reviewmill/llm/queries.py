@@ -11,6 +11,7 @@ from reviewmill.llm import (
     byte_bpe,
     imatch,
     language_id,
+    merkle,
     multi_index,
     ngram_join,
     packing,
@@ -137,3 +138,22 @@ def op11_repair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform(line, lambda c: F.concat(c, F.lit("\n"))), ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document, folded with the text of every other one tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    number = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    text = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    tampered = merkle.leaf_of([text if c == "text" else c for c in merkle.COLUMNS])
+    found = merkle.verified(docs, F.when(number % 2 == 0, tampered))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
