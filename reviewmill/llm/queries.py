@@ -15,6 +15,7 @@ from reviewmill.llm import (
     multi_index,
     ngram_join,
     packing,
+    page_text,
     pii,
     sharding,
     token_store,
@@ -140,6 +141,12 @@ def op11_repair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proof of every document, folded with the text of every other one tampered with."""
