@@ -35,6 +35,14 @@ def worker_cache(name: str, build: Callable, version: str = ""):
     return kept["_found"]
 
 
+def free_worker_cache() -> None:
+    """Give back what an earlier stage kept in this worker; for tasks that keep nothing themselves."""
+    kept = sys.modules.get("_reviewmill_worker")
+    if kept is not None:
+        vars(kept).pop("_found", None)
+        vars(kept).pop("_wanted", None)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that fewer texts are Python objects at a time."""
     for batch in batches:

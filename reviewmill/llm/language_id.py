@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from reviewmill.llm.common import sliced, worker_cache
+from reviewmill.llm.common import sliced_by_bytes, worker_cache
 
 SAMPLE_DOCS = 1_000
 SWITCH = 12.0
@@ -41,7 +41,7 @@ BUCKETS = 1 << 16
 OTHER_SCRIPT = -200.0
 SCRIPT_SHARE = 0.01
 KEPT_WORDS = 300_000
-TEXTS_AT_ONCE = 3_000
+SLICE_BYTES = 4_000_000
 MIN_SCORE = 0.5
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -97,7 +97,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task function: trigrams per language and bucket, letters per language and script."""
     grams: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in sliced_by_bytes(batches, 1, SLICE_BYTES):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = [w for w in words_of(text or "") if w.isalpha()]
             if not words:
@@ -185,7 +185,9 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.nda
     longest = int(sizes[0]) if len(sizes) else 0
     active = np.searchsorted(-sizes, -np.arange(longest), side="left")  # texts longer than a step
     path = np.zeros(len(scores), np.int64)
-    stays, bests = [], []
+    stays = np.empty((len(scores), scores.shape[1]), bool)  # in the order of the steps
+    bests = np.empty(len(scores), np.int16)
+    places = np.concatenate([[0], np.cumsum(active)])
     value = scores[starts[: active[0]]].astype(np.float64) if longest else None
     ends = np.zeros(len(sizes), np.int64)
     for step in range(1, longest):
@@ -197,8 +199,8 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.nda
         leave = value[np.arange(n), best][:, None] - switch
         stay = value >= leave
         value = np.where(stay, value, leave) + scores[starts[:n] + step]
-        stays.append(stay)
-        bests.append(best.astype(np.int16))
+        stays[places[step] : places[step] + n] = stay
+        bests[places[step] : places[step] + n] = best
     if longest:
         n = int(active[-1])
         ends[:n] = value.argmax(axis=1)
@@ -207,8 +209,9 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.nda
         n = int(active[step])
         path[starts[:n] + step] = state[:n]
         if step:
-            held = stays[step - 1][np.arange(n), state[:n]]
-            state[:n] = np.where(held, state[:n], bests[step - 1][:n])
+            here = slice(places[step], places[step] + n)
+            held = stays[here][np.arange(n), state[:n]]
+            state[:n] = np.where(held, state[:n], bests[here])
     return path
 
 
@@ -265,7 +268,7 @@ def _predict(shared, switch: float, with_spans: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared, version)
-        for batch in sliced(batches, TEXTS_AT_ONCE):
+        for batch in sliced_by_bytes(batches, 1, SLICE_BYTES):
             texts = batch.column(1).to_pylist()
             found = predict_texts(texts, scorer, switch)
             spans = [
@@ -294,7 +297,7 @@ def _keep(shared, switch: float, min_score: float, place: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared, version)
-        for batch in sliced(batches, TEXTS_AT_ONCE):
+        for batch in sliced_by_bytes(batches, place, SLICE_BYTES):
             texts = batch.column(place).to_pylist()
             if not scorer.model.languages:
                 yield batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in texts], pa.bool_()))

@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
@@ -43,7 +44,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from reviewmill.llm.common import stored
+from reviewmill.llm.common import free_worker_cache, sliced_by_bytes, stored
 from reviewmill.llm.components import components
 from reviewmill.operators.joins import sized
 from reviewmill.session import cut_lineage
@@ -54,6 +55,7 @@ SHORT = 200  # in sets of at most so many, all are
 BLOCK_SETS = 400
 BLOCK_GRAMS = 1_500_000
 ENOUGH = 0.6  # blocks are dealt anew as long as so few of their sets are left
+SLICE_BYTES = 1_000_000
 OUT_TEXTS = 512
 
 
@@ -100,7 +102,8 @@ def _profile(measure: Measure):
     both_from = measure.percent * SHORT // 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        free_worker_cache()
+        for batch in sliced_by_bytes(batches, 1, SLICE_BYTES):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for first in range(0, len(keys), OUT_TEXTS):
                 rows = []
@@ -123,7 +126,8 @@ def _sets(measure: Measure):
     names = ["unit", "key", "size", "grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        free_worker_cache()
+        for batch in sliced_by_bytes(batches, 2, SLICE_BYTES):
             texts = batch.column(2).to_pylist()
             for first in range(0, len(texts), OUT_TEXTS):
                 grams = [shingles(t, measure.words) for t in texts[first : first + OUT_TEXTS]]
@@ -405,18 +409,28 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` that are the least key of their component; one row of each kept key.
+def keep_one(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """The row with the least key of each group of linked texts, with all its columns.
 
-    ``found`` is the result of :func:`near_duplicates`. Rows with a NULL key stay.
+    Rows are told apart by key and text, so unlike texts under one key are judged each by itself, and
+    so are NULL keys, which come last. Texts without words are linked with nothing; all of them stay.
     """
-    out = cut_lineage(found.where(F.col("component_id") != F.col(key)).select(F.col(key).alias("_key")).distinct())
-    firsts = found.where(F.col("component_id") == F.col(key)).select(F.col(key).alias("_key"))
-    out = out.join(firsts, "_key", "left_anti")
-    out = sized(cut_lineage(out))
-    rest = docs.join(out, docs[key] == out["_key"], "left_anti")
-    repeated = cut_lineage(firsts.groupBy("_key").count().where("count > 1").select("_key"))
+    row = next(name for name in (f"_row{i}" for i in count()) if name not in docs.columns)
+    rows = docs.withColumn(row, F.xxhash64(key, text))
+    found = near_duplicates(rows.select(row, text), row, text, words, percent).where("n_shingles > 0")
+    found = stored(found.select(row, "component_id"), "near")
+    keys = rows.select(row, F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.col(row).alias("row")).alias("_order"))
+    members = stored(found.distinct().join(keys.distinct(), row), "members")
+    firsts = members.groupBy("component_id").agg(F.min("_order").alias("_first"), F.count("*").alias("_n"))
+    firsts = sized(cut_lineage(firsts.where("_n > 1").select("component_id", F.col("_first.row").alias("_first"))))
+    out = cut_lineage(members.join(firsts, "component_id").where(F.col(row) != F.col("_first")).select(row))
+    rest = rows.join(sized(out), row, "left_anti").select(*rows.columns)
+    repeated = cut_lineage(found.groupBy(row).count().where("count > 1").select(row))
     if repeated.isEmpty():
-        return rest
-    again = rest.join(repeated, rest[key] == repeated["_key"], "left_semi").dropDuplicates([key])
-    return rest.join(repeated, rest[key] == repeated["_key"], "left_anti").unionByName(again)
+        return rest.drop(row)
+    repeated = sized(repeated)
+    once = rest.join(repeated, row, "left_anti").select(*rows.columns)
+    again = rest.join(repeated, row, "left_semi").select(*rows.columns).dropDuplicates([key, text])
+    return once.unionByName(again).drop(row)

@@ -87,12 +87,20 @@ def test_edge_rows(spark):
 
 def test_one_of_each_group_stays(spark):
     docs = with_clashes(documents(spark))
-    found = ngram_join.near_duplicates(docs, words=4, percent=85)
-    kept = ngram_join.keep_one(docs, found)
+    kept = ngram_join.keep_one(docs, words=4, percent=85)
     assert kept.schema == docs.schema
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 3, *range(4, 15), None], key=repr)
 
 
+def test_repeated_keys_are_judged_by_their_texts(spark):
+    same = "one two three four five six seven eight nine ten"
+    rows = [(7, same, "en"), (7, "quite another text under the same key as before", "en"), (7, same, "en"), (9, same + " eleven", "en")]
+    rows += [(3, same, "en"), (9, "and a third text that shares its key with a copy", "en"), (None, same, "en"), (9, "", "en"), (9, "", "en")]
+    kept = ngram_join.keep_one(documents(spark, rows), percent=50)
+    wanted = [(3, same), (7, rows[1][1]), (9, rows[5][1]), (9, ""), (9, "")]
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(wanted)
+
+
 def test_tree_bounds_lose_nothing():
     choose = random.Random(3)
     import numpy as np
