@@ -595,3 +595,18 @@ SELECT doc_id, CAST(length(coalesce(text, '')) AS float) AS letters,
 ORACLES["unknown_company_reviews"] = _with(
     "rv_orders", "SELECT id, lower(company) AS homepage, rating FROM rv_orders WHERE company_id >= 10"
 )
+for stored_form, whole_form in (
+    ("update_stored_months", "update_reviews"),
+    ("delete_stored_months", "delete_reviews"),
+    ("insert_stored_months", "insert_reviews"),
+):
+    ORACLES[stored_form] = ORACLES[whole_form]
+ORACLES["published_between"] = _with(
+    "rv_orders",
+    """SELECT id, company, ts AS timestamp, rating, category FROM rv_orders
+       WHERE ts BETWEEN '1996-02-10' AND '1997-05-20'""",
+)
+ORACLES["sql_reviews_between"] = _with(
+    "rv_orders",
+    """SELECT company, count(*) AS n_reviews FROM rv_orders WHERE ts BETWEEN '1999-03-01' AND '1999-06-15' GROUP BY company""",
+)

@@ -28,7 +28,7 @@ from reviewmill.operators import (
 from reviewmill.plans import actions, adhoc, ingest, payload, reports
 from reviewmill.schema import REVIEW, conform
 from reviewmill.session import shared_path
-from reviewmill.sources import fixtures, pages, tables
+from reviewmill.sources import fixtures, pages, versions
 from reviewmill.streaming import jobs, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,14 +160,65 @@ def upsert_out_of_order(spark, sf_dir):
     return _plain(maintenance.upsert(first, batch, batch_ts=batch_ts))
 
 
+def _stored_reviews(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> versions.Store:
+    """The target in a store of its own, published under a name of its own."""
+    rows = _target(spark, sf_dir) if rows is None else rows
+    root = shared_path(spark, "reviews")
+    return versions.create(spark, root, f"review_{root.rsplit('-', 1)[1]}", rows)
+
+
+def _published(store: versions.Store, *without: str) -> DataFrame:
+    return _plain(store.spark.table(store.name).drop("embedding", *without))
+
+
 @query
 def merge_stored_months(spark, sf_dir):
-    """Reviews stored by month, a batch merged into the months it touches, and read again."""
-    target = _target(spark, sf_dir)
-    path = tables.write_reviews(target, shared_path(spark, "reviews"))
-    batch_ts = F.lit(BATCH_TIME).cast("timestamp")
-    tables.merge_reviews(spark, path, _upsert_batch(spark, sf_dir), batch_ts=batch_ts)
-    return _plain(tables.read_reviews(spark, path).select(*target.columns))
+    """Reviews stored by month, a batch merged into the months it touches, and read by name."""
+    store = _stored_reviews(spark, sf_dir)
+    versions.upsert(store, _upsert_batch(spark, sf_dir), batch_ts=F.lit(BATCH_TIME).cast("timestamp"))
+    return _published(store)
+
+
+@query
+def update_stored_months(spark, sf_dir):
+    store = _stored_reviews(spark, sf_dir)
+    versions.update(store, _upsert_batch(spark, sf_dir))
+    return _published(store)
+
+
+@query
+def delete_stored_months(spark, sf_dir):
+    """Reviews deleted from their months, months put together, old folders removed."""
+    store = _stored_reviews(spark, sf_dir)
+    versions.delete(store, _open_orders(spark, sf_dir))
+    versions.compact(store, most_folders=0)
+    versions.vacuum(store, older_than_hours=0)
+    return _published(store)
+
+
+@query
+def insert_stored_months(spark, sf_dir):
+    store = _stored_reviews(spark, sf_dir)
+    versions.insert(store, _new_reviews(spark, sf_dir), batch_ts=F.lit(BATCH_TIME).cast("timestamp"))
+    return _published(store)
+
+
+@query
+def published_between(spark, sf_dir):
+    """Reviews of a published table within dates, by the name alone."""
+    store = _stored_reviews(spark, sf_dir)
+    found = actions.select_reviews(store.name, actions.Metadata(start_date="1996-02-10", end_date="1997-05-20"))
+    return _plain(found.select("id", "company", "timestamp", "rating", "category"))
+
+
+@query
+def sql_reviews_between(spark, sf_dir):
+    """Ad-hoc text over the table function of a published table."""
+    store = _stored_reviews(spark, sf_dir)
+    return adhoc.run_sql(
+        spark,
+        f"SELECT company, count(*) AS n_reviews FROM {store.name}s_between('1999-03-01', '1999-06-15') GROUP BY company",
+    )
 
 
 @query

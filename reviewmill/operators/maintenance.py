@@ -30,7 +30,7 @@ def last_delivery(batch: DataFrame, key: str, newest: Sequence | None = None) ->
     return latest_per_key(batch, [key], [*order, *[c.desc() for c in any_order(batch)]])
 
 
-def _set_columns(
+def set_columns(
     target: DataFrame, batch: DataFrame, key: str, small: bool, version: str | None = None
 ) -> DataFrame:
     """Target with the columns of the batch, except where the stored ``version`` is greater."""
@@ -74,7 +74,7 @@ def update(
 ) -> DataFrame:
     """Target with the batch's columns set on rows of the same key; other keys are ignored."""
     batch = cut_lineage(last_delivery(batch, key, newest))
-    return _set_columns(target, batch, key, measure(batch).small)
+    return set_columns(target, batch, key, measure(batch).small)
 
 
 def upsert(
@@ -112,7 +112,7 @@ def upsert_unique(
         known = F.broadcast(known)  # keys are unique in the target: no more than in the batch
     fresh = with_insert_defaults(batch.join(known, key, "left_anti"), batch_ts)
     fresh = fresh.select(*[c for c in fresh.columns if c in target.columns])
-    updated = _set_columns(target, batch, key, size.small, version)
+    updated = set_columns(target, batch, key, size.small, version)
     return updated.unionByName(fresh, allowMissingColumns=True)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewmill.fixed_values import (
     ACTION_ANALYSE,
@@ -24,6 +24,7 @@ from reviewmill.plans.adhoc import preview_sql, register
 from reviewmill.plans.payload import review_payload
 from reviewmill.plans.reports import REPORTS, report
 from reviewmill.session import cut_lineage
+from reviewmill.sources.versions import between
 
 
 @dataclass(frozen=True)
@@ -36,8 +37,10 @@ class Metadata:
     categories: Sequence[str | int] = ()
 
 
-def select_reviews(reviews: DataFrame, metadata: Metadata) -> DataFrame:
-    """Reviews a request is about."""
+def select_reviews(reviews: DataFrame | str, metadata: Metadata) -> DataFrame:
+    """Reviews a request is about; of a store published as ``reviews`` only the months of its dates are read."""
+    if isinstance(reviews, str):
+        reviews = between(SparkSession.active(), reviews, metadata.start_date, metadata.end_date)
     return reviews.where(
         review_predicate(
             metadata.companies, metadata.categories, metadata.start_date, metadata.end_date
@@ -46,7 +49,7 @@ def select_reviews(reviews: DataFrame, metadata: Metadata) -> DataFrame:
 
 
 def build_reports(
-    reviews: DataFrame, metadata: Metadata, names: Sequence[str]
+    reviews: DataFrame | str, metadata: Metadata, names: Sequence[str]
 ) -> dict[str, DataFrame]:
     """The named reports over the selected reviews, each a lazy plan; no rows give empty reports."""
     unknown = [name for name in names if name not in REPORTS]
@@ -57,7 +60,7 @@ def build_reports(
 
 
 def analyse_reviews(
-    reviews: DataFrame,
+    reviews: DataFrame | str,
     queries: DataFrame,
     metadata: Metadata = Metadata(),
     max_tokens: int = PAYLOAD_TOKENS,

@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, functi
 from pyspark.sql import types as T
 
 from reviewmill.functions.vectors import vector_from_text
-from reviewmill.operators.joins import measure, only_keys
-from reviewmill.operators.maintenance import last_delivery, upsert_unique
-from reviewmill.schema import COMPANY, REVIEW, conform
-from reviewmill.session import cut_lineage
+from reviewmill.schema import REVIEW, conform
 
 MONTH_COLUMN = "month"
 
@@ -67,13 +64,13 @@ def write_reviews(df: DataFrame, path: str) -> str:
 
 
 def _by_month(df: DataFrame) -> DataFrameWriter:
-    by_month = conform(df, REVIEW).withColumn(MONTH_COLUMN, _month(F.col("timestamp")))
+    by_month = conform(df, REVIEW).withColumn(MONTH_COLUMN, month_of(F.col("timestamp")))
     balanced = by_month.hint("rebalance", F.col(MONTH_COLUMN))
     ordered = balanced.sortWithinPartitions(MONTH_COLUMN, "company", "timestamp")
     return ordered.write.partitionBy(MONTH_COLUMN).options(**bloom_filter("id"))
 
 
-def _month(timestamp: Column) -> Column:
+def month_of(timestamp: Column) -> Column:
     return F.date_format(timestamp, "yyyy-MM")
 
 
@@ -82,36 +79,6 @@ def _stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(T.StructType([*REVIEW.fields, T.StructField(MONTH_COLUMN, T.StringType())])).parquet(path)
 
 
-def _in_months(months: list[str | None]) -> Column:
-    """Partition filter; reviews without a time have the month NULL."""
-    named = [m for m in months if m is not None]
-    missing = F.col(MONTH_COLUMN).isNull() if None in months else F.lit(False)
-    return F.col(MONTH_COLUMN).isin(named) | missing
-
-
-def merge_reviews(spark: SparkSession, path: str, batch: DataFrame, key: str = "id", batch_ts: Column | None = None) -> list[str | None]:
-    """Upsert a batch into stored reviews; only the months it touches are read whole and written.
-
-    Touched are the months of the batch and those in which its keys are stored, found with a scan
-    of keys. Their new rows are written to the shared folder first and then put in place of the
-    old ones, month by month, when all tasks have succeeded. Returns the touched months.
-    """
-    batch = cut_lineage(last_delivery(batch, key))
-    size, stored = measure(batch), _stored(spark, path)
-    known = only_keys(stored.select(key, MONTH_COLUMN), batch, [key], size).select(MONTH_COLUMN)
-    months = known.union(batch.select(_month(F.col("timestamp")))).distinct()
-    touched = [row[0] for row in months.collect()]
-    before = stored.where(_in_months(touched)).drop(MONTH_COLUMN)
-    after = cut_lineage(conform(upsert_unique(before, batch, size, key, batch_ts), REVIEW))
-    _by_month(after).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    filled = {row[0] for row in after.select(_month(F.col("timestamp"))).distinct().collect()}
-    for month in set(touched) - filled:  # all of its reviews have moved
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MONTH_COLUMN}={month or '__HIVE_DEFAULT_PARTITION__'}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    spark.catalog.refreshByPath(path)
-    return sorted(touched, key=lambda m: m or "")
-
-
 def month_predicate(start_date=None, end_date=None):
     """Partition filter that goes with a date range."""
     month, test = F.col(MONTH_COLUMN), F.lit(True)
@@ -127,14 +94,6 @@ def read_reviews(spark: SparkSession, path: str, start_date=None, end_date=None)
     return _stored(spark, path).where(month_predicate(start_date, end_date)).drop(MONTH_COLUMN)
 
 
-def create_tables(spark: SparkSession, root: str) -> None:
-    """Empty company and review tables under ``root``, published as ``company`` and ``review``."""
-    for name, schema in (("company", COMPANY), ("review", REVIEW)):
-        path = f"{root}/{name}-0"
-        empty_table(spark, schema).write.mode("errorifexists").parquet(path)
-        publish(spark, name, path)
-
-
 def publish(spark: SparkSession, name: str, path: str) -> None:
     """Point the catalog view ``name`` at a finished path.
 

@@ -163,34 +163,3 @@ def test_exported_tables_are_read_with_their_types(spark, tmp_path):
 
 def test_schemas_make_empty_tables(spark):
     assert tables.empty_table(spark, REVIEW).schema.names == REVIEW.names
-
-
-def test_created_tables_are_empty_and_typed(spark, tmp_path):
-    for name in ("review", "company"):
-        spark.catalog.dropTempView(name)  # temporary views of other tests hide stored ones
-    tables.create_tables(spark, str(tmp_path))
-    assert spark.table("review").count() == 0 and spark.table("company").count() == 0
-    assert [f.dataType for f in spark.table("review").schema] == [f.dataType for f in REVIEW]
-    spark.sql("DROP VIEW review")
-    spark.sql("DROP VIEW company")
-
-
-def test_merge_writes_only_the_months_it_touches(spark, tmp_path, sizes):
-    path = tables.write_reviews(stored(spark).unionByName(stored(spark).selectExpr(
-        "'old' AS id", "company_id", "company", "timestamp - INTERVAL 2 YEARS AS timestamp", "created_at",
-        "content", "rating", "likes", "category").limit(1)), str(tmp_path / "v"))
-    files = lambda: {str(f) for f in (tmp_path / "v").rglob("*.parquet")}
-    before = files()
-    rows = [("b", T3, 1), ("n", T3, 2), ("m", None, 3), ("a", datetime(2020, 1, 1), 4)]
-    assert tables.merge_reviews(spark, path, batch(spark, rows), batch_ts=now()) == [None, "2020-01", "2024-01", "2024-03"]
-    found = {r.id: (r.timestamp, r.rating) for r in tables.read_reviews(spark, path).collect()}
-    assert found["b"] == (T3, 1) and found["n"] == (T3, 2) and found["m"] == (None, 3) and found["a"] == (T1, 5)
-    assert set(found) == {"a", "b", "n", "m", "old"} and tables.read_reviews(spark, path).count() == 5
-    kept = {f for f in before if "month=2022" in f}
-    assert kept and kept <= files()
-    tables.merge_reviews(spark, path, batch(spark, [("a", T3, 1)]))  # empties its month
-    assert not any("month=2024-01" in f for f in files())
-    assert tables.read_reviews(spark, path).count() == 5
-    tables.publish(spark, "merged_reviews", path)
-    assert "month" not in spark.table("merged_reviews").columns
-    spark.sql("DROP VIEW merged_reviews")
