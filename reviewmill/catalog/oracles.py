@@ -610,3 +610,13 @@ ORACLES["sql_reviews_between"] = _with(
     "rv_orders",
     """SELECT company, count(*) AS n_reviews FROM rv_orders WHERE ts BETWEEN '1999-03-01' AND '1999-06-15' GROUP BY company""",
 )
+ORACLES["deep_page"] = _with("rv_orders", f"SELECT {FACTS} FROM rv_orders ORDER BY id LIMIT 50 OFFSET 1200")
+ORACLES["newest_rows"] = _with("rv_orders", f"SELECT {FACTS} FROM rv_orders ORDER BY ts DESC, id LIMIT 1100")
+ORACLES["weighted_sample_large"] = _with(
+    "rv_orders",
+    f""", w AS (SELECT company, category, count(*) AS n FROM rv_orders GROUP BY ALL),
+    k AS (SELECT o.id, o.company, o.category,
+                 row_number() OVER (ORDER BY -ln({_uniform(11, "o.id")}) / n, o.id) AS rk
+          FROM rv_orders o JOIN w ON o.company = w.company AND o.category IS NOT DISTINCT FROM w.category)
+    SELECT id, company, category FROM k WHERE rk <= 1300""",
+)

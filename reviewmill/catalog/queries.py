@@ -24,6 +24,7 @@ from reviewmill.operators import (
     periods,
     requests,
     sampling,
+    selection,
 )
 from reviewmill.plans import actions, adhoc, ingest, payload, reports
 from reviewmill.schema import REVIEW, conform
@@ -97,6 +98,19 @@ def page_reviews(spark, sf_dir):
     return _plain(filters.page(fixtures.order_reviews(spark, sf_dir), offset=200))
 
 
+@query
+def deep_page(spark, sf_dir):
+    """A page far into the table, found by counting ranges of keys."""
+    return _plain(selection.page(fixtures.order_reviews(spark, sf_dir), ["id"], offset=1200, limit=50, few=100))
+
+
+@query
+def newest_rows(spark, sf_dir):
+    """Many newest rows, left in their tasks."""
+    rows = fixtures.order_reviews(spark, sf_dir)
+    return _plain(selection.lowest(rows, [-F.unix_micros("timestamp"), "id"], 1100, unique=True, few=100))
+
+
 @query
 def page_after_key(spark, sf_dir):
     return _plain(filters.page_after(fixtures.order_reviews(spark, sf_dir), "1234"))
@@ -704,6 +718,13 @@ def weighted_sample(spark, sf_dir):
     )
 
 
+@query
+def weighted_sample_large(spark, sf_dir):
+    """Most of the table, weighted by company and category."""
+    rows = fixtures.order_reviews(spark, sf_dir)
+    return sampling.weighted_sample(rows, 1300, SAMPLE_SEED, group=("company", "category")).select("id", "company", "category")
+
+
 @query
 def representative_sample(spark, sf_dir):
     rows = _sample_rows(spark, sf_dir)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewmill.fixed_values import PAGE_SIZE
 from reviewmill.functions.codes import category_codes
+from reviewmill.operators import selection
 from reviewmill.operators.joins import lowest_rows, measure, only_keys
 
 DateLike = str | date | datetime | None
@@ -95,7 +96,7 @@ def review_search(
         & date_predicate(start_date, end_date)
     )
     if limit and WIDE.intersection(cols or df.columns):
-        found = lowest_rows(found, [F.col("timestamp").desc(), "id"], limit, ["id"], unique=True)
+        found = lowest_rows(found, [F.col("timestamp").desc(), "id"], limit, "id")
     if limit or "timestamp" in cols:
         found = newest_first(found)
     if limit:
@@ -115,8 +116,8 @@ def lookup_many(df: DataFrame, keys: DataFrame, column: str = "id") -> DataFrame
 
 
 def page(df: DataFrame, offset: int = 0, limit: int = PAGE_SIZE, key: str = "id") -> DataFrame:
-    """One page of the table in key order."""
-    return df.orderBy(key).offset(offset).limit(limit)
+    """One page of the table in key order; a deep page is found by counting ranges of keys."""
+    return selection.page(df, [key], offset, limit)
 
 
 def page_after(df: DataFrame, last_key=None, limit: int = PAGE_SIZE, key: str = "id") -> DataFrame:

@@ -108,29 +108,10 @@ def any_order(df: DataFrame) -> list[Column]:
     return [F.xxhash64(*columns)]
 
 
-def winners_of(df: DataFrame, winners: DataFrame, row_key: Sequence[str], n: int) -> DataFrame:
-    """Complete rows of ``df`` for the at most ``n`` rows of ``winners`` (keys only).
-
-    A key that won several times stands for as many rows, and rows that share a key are taken
-    in a fixed order, so there are never more rows than winners.
-    """
-    found = only_keys(df, winners, row_key, Size(n))
-    taken = winners.groupBy(*row_key).agg(F.count("*").alias("_taken"))
-    taken = F.broadcast(taken) if Size(n).small else taken
-    same_key = Window.partitionBy(*row_key).orderBy(*any_order(df))
-    ranked = found.withColumn("_place", F.row_number().over(same_key)).join(taken, list(row_key))
-    return ranked.where("_place <= _taken").select(*df.columns)
-
-
-def lowest_rows(
-    df: DataFrame, order: Sequence, n: int, row_key: Sequence[str], unique: bool = False
-) -> DataFrame:
-    """The ``n`` rows lowest in ``order``, complete.
+def lowest_rows(df: DataFrame, order: Sequence, n: int, key: str) -> DataFrame:
+    """The ``n`` rows lowest in ``order``, complete; no two rows share a ``key``.
 
     Only keys and order columns take part in the top-n; the wide columns are fetched
-    afterwards for the rows that won. ``unique`` says that no two rows share a key.
+    afterwards for the rows that won.
     """
-    winners = df.orderBy(*order).limit(n).select(*row_key)
-    if unique:
-        return only_keys(df, winners, row_key, Size(n))
-    return winners_of(df, winners, row_key, n)
+    return only_keys(df, df.orderBy(*order).limit(n).select(key), [key], Size(n))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reviewmill.fixed_values import PAYLOAD_TOKENS, TOKEN_SAMPLE_ROWS
 from reviewmill.functions.hashing import exponential_key, seeded_uniform
 from reviewmill.functions.text import Tokenizer, token_count
-from reviewmill.operators.joins import lowest_rows, sized, winners_of
+from reviewmill.operators.joins import sized
+from reviewmill.operators.selection import lowest
 from reviewmill.session import cut_lineage
 
 GROUP = ("category", "company", "similarity_query")
@@ -23,8 +25,11 @@ def _uniform(seed: int, row_key: Sequence[str]) -> Column:
 def uniform_sample(
     df: DataFrame, n: int = TOKEN_SAMPLE_ROWS, seed: int = 0, row_key: Sequence[str] = ("id",)
 ) -> DataFrame:
-    """Exactly min(n, rows) rows, each equally likely; the same rows on every run."""
-    return lowest_rows(df, [_uniform(seed, row_key), *row_key], n, row_key)
+    """Exactly min(n, rows) rows, each equally likely; the same rows on every run.
+
+    The rows found stay in their tasks, however many they are.
+    """
+    return lowest(df, [_uniform(seed, row_key), *row_key], n)
 
 
 def group_weights(df: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
@@ -37,6 +42,19 @@ def group_weights(df: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     return counts.withColumn("weight", F.col("n") / total)
 
 
+def _counts(df: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Rows of each group, written once."""
+    named = [F.col(c).alias(f"_g_{c}") for c in group]
+    return cut_lineage(df.groupBy(*group).agg(F.count("*").alias("_n")).select(*named, "_n"))
+
+
+def _keyed(df: DataFrame, counts: DataFrame, seed: int, group: Sequence[str], row_key: Sequence[str]) -> DataFrame:
+    """``df`` with the weighted ``sampling_key`` of every row; ``counts`` are broadcast if measured small."""
+    same_group = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group])
+    key = exponential_key(_uniform(seed, row_key), F.col("_n"))
+    return df.join(sized(counts), same_group).select(*df.columns, key.alias("sampling_key"))
+
+
 def sampling_keys(
     df: DataFrame,
     seed: int = 0,
@@ -46,20 +64,11 @@ def sampling_keys(
     """Row keys with their weighted sampling key: a row weighs as much as its group is large.
 
     The counts are written once and measured. If they are small they are broadcast, and no
-    row is shuffled; otherwise the join on the group shuffles keys only and a very large
+    row is shuffled; otherwise the join on the group shuffles rows and a very large
     group is split at run time.
     """
     keys = df.select(*dict.fromkeys([*row_key, *group]))
-    counts = cut_lineage(
-        keys.groupBy(*group)
-        .agg(F.count("*").alias("_n"))
-        .select(*[F.col(c).alias(f"_g_{c}") for c in group], "_n")
-    )
-    same_group = reduce(
-        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]
-    )
-    key = exponential_key(_uniform(seed, row_key), F.col("_n"))
-    return keys.join(sized(counts), same_group).select(*row_key, key.alias("sampling_key"))
+    return _keyed(keys, _counts(df, group), seed, group, row_key).select(*row_key, "sampling_key")
 
 
 def weighted_sample(
@@ -69,10 +78,17 @@ def weighted_sample(
     group: Sequence[str] = GROUP,
     row_key: Sequence[str] = ("id",),
 ) -> DataFrame:
-    """``n`` rows without replacement, weighted by the share of their group."""
-    keys = sampling_keys(df, seed, group, row_key)
-    winners = keys.orderBy("sampling_key", *row_key).limit(n).select(*row_key)
-    return winners_of(df, winners, row_key, n)
+    """``n`` rows without replacement, weighted by the share of their group.
+
+    The greatest sampling key of the sample is found by counting ranges of keys, which reads keys and
+    groups only; the sample is then one filter of the table.
+    """
+    return _weighted(df, _counts(df, group), n, seed, group, row_key)
+
+
+def _weighted(df: DataFrame, counts: DataFrame, n: int, seed: int, group: Sequence[str], row_key: Sequence[str]) -> DataFrame:
+    keyed = _keyed(df, counts, seed, group, row_key)
+    return lowest(keyed, ["sampling_key", *row_key], n).select(*df.columns)
 
 
 def average_tokens(
@@ -122,7 +138,10 @@ def representative_sample(
     and a sample of known size. Where the budget's sample has no token at all, at most
     ``max_tokens`` rows are returned.
     """
-    size = sample_budget(df, max_tokens, content, seed, row_key, tokenizer).first()
-    if size.budget is None or size.budget > size.n_rows:
+    counts = _counts(df, group)
+    mean = average_tokens(df, content, seed, row_key, tokenizer).first().avg_tokens
+    n_rows = counts.agg(F.sum("_n")).first()[0] or 0
+    budget = math.floor(max_tokens / mean) if mean else max_tokens
+    if budget > n_rows or not n_rows:
         return df
-    return weighted_sample(df, size.budget, seed, group, row_key)
+    return _weighted(df, counts, budget, seed, group, row_key)
