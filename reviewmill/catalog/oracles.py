@@ -620,3 +620,34 @@ ORACLES["weighted_sample_large"] = _with(
           FROM rv_orders o JOIN w ON o.company = w.company AND o.category IS NOT DISTINCT FROM w.category)
     SELECT id, company, category FROM k WHERE rk <= 1300""",
 )
+ORACLES["analyse_requests"] = _with(
+    "rv_text",
+    f""", v AS (SELECT *, TIMESTAMP '2023-01-01' + to_days(CAST(id AS int) % 365) AS ts FROM rv_text),
+    r AS (SELECT 'r' || i AS request_id, i,
+                 CASE WHEN i % 3 <> 0 THEN ['src' || (i % 20), 'src' || (i * 7 % 20)] END AS companies,
+                 CASE WHEN i % 4 = 1 THEN [i % 5] END AS categories,
+                 CASE WHEN i % 5 <> 0 THEN make_date(2023, i % 12 + 1, 1) END AS first,
+                 CASE WHEN i % 7 = 2 THEN DATE '2023-10-15' END AS last
+          FROM range(300) AS t(i)),
+    q AS (SELECT request_id, unnest([i % 37, 37 + i % 3]) AS vec_id FROM r),
+    d AS (SELECT r.request_id, CAST(q.vec_id AS varchar) AS similarity_query, v.id, v.company,
+                 {_category_name('v.category')} AS category, v.content,
+                 {DISTANCE.format('v.embedding', 'e.embedding')} AS dist
+          FROM r JOIN q ON r.request_id = q.request_id JOIN embeddings e ON q.vec_id = e.vec_id
+               JOIN v ON ((companies IS NULL AND categories IS NULL) OR list_contains(companies, v.company)
+                          OR list_contains(categories, v.category))
+                         AND (first IS NULL OR v.ts >= first) AND (last IS NULL OR v.ts <= last)),
+    s AS (SELECT *, row_number() OVER (PARTITION BY request_id, similarity_query ORDER BY dist NULLS LAST, id) AS rn
+          FROM d QUALIFY rn <= 15),
+    b AS (SELECT request_id, count(*) AS n_rows, floor(5000 / avg({TOKENS.format('content')})) AS budget FROM s GROUP BY ALL),
+    w AS (SELECT request_id, category, company, similarity_query, count(*) AS n FROM s GROUP BY ALL),
+    k AS (SELECT s.*, n_rows, budget,
+                 row_number() OVER (PARTITION BY s.request_id
+                                    ORDER BY -ln({_uniform(11, "s.similarity_query || ':' || id")}) / n, s.similarity_query, id) AS rk
+          FROM s JOIN w ON s.request_id = w.request_id AND s.category = w.category AND s.company = w.company
+                           AND s.similarity_query = w.similarity_query
+               JOIN b ON s.request_id = b.request_id)
+    SELECT request_id, company, category, similarity_query,
+           md5(string_agg(content, chr(10) || '--' || chr(10) ORDER BY rn)) AS reviews
+    FROM k WHERE rk <= budget OR budget > n_rows GROUP BY request_id, company, category, similarity_query""",
+)

@@ -745,6 +745,39 @@ def analyse_reviews(spark, sf_dir):
     )
 
 
+def _request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """300 requests: companies, categories and dates, each of them missing for some."""
+    n, source = F.col("id"), lambda i: F.concat(F.lit("src"), i.cast("string"))
+    requests = spark.range(300).select(
+        F.concat(F.lit("r"), n).alias("request_id"),
+        F.when(n % 3 != 0, F.array(source(n % 20), source((n * 7) % 20))).alias("companies"),
+        F.when(n % 4 == 1, F.array((n % 5).cast("int"))).alias("categories"),
+        F.when(n % 5 != 0, F.make_date(F.lit(2023), (n % 12 + 1).cast("int"), F.lit(1))).cast("string").alias("start_date"),
+        F.when(n % 7 == 2, F.lit("2023-10-15")).alias("end_date"),
+    )
+    return requests
+
+
+@query
+def analyse_requests(spark, sf_dir):
+    """300 requests with two queries each in one job: retrieval, budgeted sample and payload."""
+    n = F.col("doc_id")
+    time = F.timestamp_seconds(F.unix_seconds(F.lit("2023-01-01").cast("timestamp")) + (n % 365) * 86_400)
+    docs = fixtures.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), time.alias("timestamp"))
+    reviews = fixtures.text_reviews(spark, sf_dir).join(docs, "id")
+    vectors = fixtures.table(spark, sf_dir, "embeddings").where("vec_id < 40").select(
+        F.col("vec_id").cast("string").alias("similarity_query"), F.col("embedding").alias("q_embedding"), "vec_id"
+    )
+    requests = _request_rows(spark, sf_dir)
+    number = F.substring("request_id", 2, 9).cast("bigint")
+    pairs = requests.select("request_id", F.explode(F.array(number % 37, 37 + number % 3)).alias("vec_id"))
+    queries = pairs.join(F.broadcast(vectors), "vec_id")
+    found = actions.analyse_requests(reviews, requests, queries, max_tokens=SAMPLE_TOKENS // 10, total=30, seed=SAMPLE_SEED)
+    return found.select(
+        "request_id", "company", "category", "similarity_query", F.md5(F.array_join("reviews", "\n--\n")).alias("reviews")
+    )
+
+
 # --- scalar functions ------------------------------------------------------------------
 
 

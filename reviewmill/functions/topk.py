@@ -133,6 +133,44 @@ def scan_base(queries: pa.Table, k: int):
     return run
 
 
+REQUEST_COLUMNS = ["_request", "_k", "_query", "_dist", "_key"]
+
+
+def scan_requests(shared, key_type: pa.DataType):
+    """Task function: nearest rows of every query of the requests that a row is listed for.
+
+    ``shared`` is a broadcast dictionary: request number to ``k``, names and vectors of its queries. Rows
+    come as key, vector and list of request numbers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searches: dict[int, Search] = {}
+        for batch in batches:
+            keys, vectors, lists = batch.columns
+            sizes = np.diff(lists.offsets.to_numpy())
+            numbers = lists.flatten().to_numpy()
+            rows = np.repeat(np.arange(batch.num_rows), sizes)
+            order = np.argsort(numbers, kind="stable")
+            cuts = np.flatnonzero(np.diff(numbers[order], prepend=-1))
+            for part in np.split(order, cuts[1:]) if len(order) else []:
+                number = int(numbers[part[0]])
+                if number not in searches:
+                    k, names, asked = shared.value[number]
+                    searches[number] = Search(names, pa.array(asked, pa.list_(pa.float64())), k)
+                chosen = pa.array(rows[part])
+                searches[number].add(keys.take(chosen), vectors.take(chosen))
+        found = [
+            (number, search.k, name, dist, key)
+            for number, search in searches.items()
+            for name, _, dist, key in search.pairs()
+        ]
+        types = (pa.int32(), pa.int32(), pa.string(), pa.float64(), key_type)
+        columns = list(zip(*found)) if found else [()] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], REQUEST_COLUMNS)
+
+    return run
+
+
 def scan_queries(base: pa.Table, k: int):
     """Task function: nearest rows of a held base for each query of one partition."""
     keys, vectors = base.column(0).combine_chunks(), base.column(1).combine_chunks()

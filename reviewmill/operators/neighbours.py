@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from reviewmill.fixed_values import RETRIEVED_REVIEWS
 from reviewmill.functions import topk
@@ -21,6 +23,8 @@ cloudpickle.register_pickle_by_value(topk)
 # At most this many vectors are held by a task; larger sides are cut into blocks.
 HELD_VECTORS = 5000
 BLOCK_VECTORS = 20_000
+MERGES = 64  # parts in which the rows found for a query are merged first
+REQUEST_BYTES = 32 * 1024 * 1024  # of requests and their queries that every task holds
 
 
 def nearest_one(
@@ -60,11 +64,23 @@ def _result(rank: str, query_key: str, key: str) -> list[Column]:
     return [F.col(old).alias(new) for old, new in names.items()]
 
 
+def _best(found: DataFrame, query: Sequence[str], k: Column) -> DataFrame:
+    """The ``k`` best of each query, ranked in ``_rn``.
+
+    Tasks return up to ``k`` rows for each query. These are first cut in ``MERGES`` hashed parts of a query, so
+    that no reducer receives the rows of all tasks, then among at most ``k`` rows of each part.
+    """
+    order = [F.col("_dist").asc_nulls_last(), "_key"]
+    part = F.pmod(F.xxhash64("_key"), F.lit(MERGES))
+    within = Window.partitionBy(*query, "_part").orderBy(*order)
+    parts = found.withColumn("_part", part).withColumn("_rn", F.row_number().over(within)).where(F.col("_rn") <= k)
+    whole = Window.partitionBy(*query).orderBy(*order)
+    return parts.drop("_part").withColumn("_rn", F.row_number().over(whole)).where(F.col("_rn") <= k)
+
+
 def _ranked(found: DataFrame, k: int, query_key: str, key: str) -> DataFrame:
     """The ``k`` best of each query; tasks and groups have returned at most ``k`` each."""
-    order = Window.partitionBy("_query").orderBy(F.col("_dist").asc_nulls_last(), "_key")
-    ranked = found.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k)
-    return ranked.select(*_result("_rn", query_key, key))
+    return _best(found, ["_query"], F.lit(k)).select(*_result("_rn", query_key, key))
 
 
 def nearest(
@@ -116,16 +132,15 @@ def retrieve(
 ) -> DataFrame:
     """Reviews most similar to each query, ``total`` divided evenly among the queries.
 
-    A review found by several queries appears once for each. Categories become names.
+    Of more queries than that each gets one. A review found by several queries appears once for
+    each. Categories become names.
     """
     n = queries.count()
-    if n > total:
-        raise ValueError(f"{total} reviews cannot be divided among more than {total} queries")
-    k = total // n if n else 1
+    k = max(1, total // n) if n else 1
     top = nearest(queries, reviews, k, **columns)
     query_key, key = columns.get("query_key", "similarity_query"), columns.get("key", "id")
     texts = reviews.select(key, "company", "category", "content")
-    return fetch(texts, top, key, total).select(
+    return fetch(texts, top, key, max(n, total)).select(
         query_key,
         "rn",
         key,
@@ -136,6 +151,114 @@ def retrieve(
     )
 
 
+def _reviews_of_requests(reviews: DataFrame, requests: list, key: str, vector: str) -> DataFrame:
+    """``_key``, ``_vector`` and ``_requests``, the numbers of the requests whose filters a review passes.
+
+    Filters are looked up by company and by category, so a review is compared with the requests that name it
+    and those without lists, and appears once, however many requests it is for.
+    """
+    spark = reviews.sparkSession
+    kind = "array<struct<number: int, first: timestamp, last: timestamp>>"
+    span = [(r.number, r.first, r.last) for r in requests]
+    given = {"company": [], "category": [], "_any": []}
+    for request, dates in zip(requests, span):
+        given["company"] += [(name, *dates) for name in set(request.companies or ())]
+        given["category"] += [(code, *dates) for code in set(request.categories or ())]
+        if not request.companies and not request.categories:
+            given["_any"].append((0, *dates))
+    narrow = reviews.select(
+        F.col(key).alias("_key"), F.col(vector).alias("_vector"), "company", "category", F.col("timestamp").alias("_time"), F.lit(0).alias("_any")
+    )
+    lists = []
+    for name, rows in given.items():
+        if not rows:
+            continue
+        value = narrow.schema[name].dataType.simpleString()
+        table = spark.createDataFrame(rows, f"value {value}, number int, first timestamp, last timestamp")
+        grouped = table.groupBy("value").agg(F.collect_list(F.struct("number", "first", "last")).alias(f"_of_{name}"))
+        # at most REQUEST_BYTES, as are the requests themselves
+        narrow = narrow.join(F.broadcast(grouped), F.col(name) == F.col("value"), "left").drop("value")
+        lists.append(F.coalesce(F.col(f"_of_{name}"), F.array().cast(kind)))
+    if not lists:
+        return narrow.select("_key", "_vector", F.array().cast("array<int>").alias("_requests")).limit(0)
+
+    def meant(r: Column) -> Column:
+        return (r["first"].isNull() | (F.col("_time") >= r["first"])) & (r["last"].isNull() | (F.col("_time") <= r["last"]))
+
+    found = F.array_distinct(F.transform(F.filter(F.concat(*lists), meant), lambda r: r["number"]))
+    return narrow.select("_key", "_vector", found.alias("_requests")).where(F.size("_requests") > 0)
+
+
+def retrieve_requests(
+    requests: DataFrame,
+    queries: DataFrame,
+    reviews: DataFrame,
+    total: int = RETRIEVED_REVIEWS,
+    key: str = "id",
+    vector: str = "embedding",
+    held_bytes: int = REQUEST_BYTES,
+) -> DataFrame:
+    """:func:`retrieve` for many requests at once: its columns, led by ``request_id``.
+
+    ``requests`` has ``request_id``, ``companies``, ``categories`` (codes), ``start_date`` and ``end_date``; a review is meant by a
+    request if its company or its category is listed, or nothing is, and it lies within the inclusive dates.
+    ``queries`` has ``request_id``, ``similarity_query`` and ``q_embedding``. Every task holds the requests and searches its reviews for all of
+    them, so reviews are read once and not shuffled; requests of more than ``held_bytes`` are cut into blocks, with one
+    pass over the reviews each.
+    """
+    spark = reviews.sparkSession
+    asked = queries.groupBy("request_id").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("similarity_query").alias("name"), F.col("q_embedding").alias("asked")))).alias("queries")
+    )
+    joined = requests.select(
+        "request_id",
+        "companies",
+        F.col("categories").cast("array<int>").alias("categories"),
+        F.col("start_date").cast("timestamp").alias("first"),
+        F.col("end_date").cast("timestamp").alias("last"),
+    ).join(asked, "request_id")
+    joined = cut_lineage(joined)
+    size = F.octet_length(F.to_json(F.struct("companies", "categories"))) + F.aggregate(
+        "queries", F.lit(0), lambda n, q: n + F.octet_length(q["name"]) + 8 * F.size(q["asked"])
+    )
+    weight = joined.agg(F.sum(size)).first()[0] or 0
+    blocks = max(1, math.ceil(weight / held_bytes))
+    parts = []
+    for block in range(blocks):
+        rows = joined.where(F.pmod(F.xxhash64("request_id"), F.lit(blocks)) == block).collect()
+        parts.append(_retrieved(spark, rows, reviews, total, key, vector, requests.schema["request_id"].dataType))
+    found = cut_lineage(reduce(DataFrame.unionByName, parts))
+    texts = reviews.select(F.col(key).alias("_key"), "company", "category", "content")
+    return texts.join(sized(found), "_key").select(
+        "request_id",
+        F.col("_query").alias("similarity_query"),
+        F.col("_rn").alias("rn"),
+        F.col("_key").alias(key),
+        "company",
+        category_name(F.col("category")).alias("category"),
+        "content",
+        F.col("_dist").alias("dist"),
+    )
+
+
+def _retrieved(spark, rows: list, reviews: DataFrame, total: int, key: str, vector: str, id_type: T.DataType) -> DataFrame:
+    """``request_id``, ``_query``, ``_rn``, ``_key`` and ``_dist`` for a block of requests."""
+    numbered = [Row(number=i, companies=r.companies, categories=r.categories, first=r["first"], last=r["last"]) for i, r in enumerate(rows)]
+    plain = {
+        i: (max(1, total // len(r.queries)), [q.name for q in r.queries], [q.asked for q in r.queries]) for i, r in enumerate(rows)
+    }
+    meant = _reviews_of_requests(reviews, numbered, key, vector)
+    kind = meant.schema["_key"].dataType
+    schema = f"_request int, _k int, _query string, _dist double, _key {kind.simpleString()}"
+    found = meant.mapInArrow(topk.scan_requests(spark.sparkContext.broadcast(plain), to_arrow_type(kind)), schema)
+    best = _best(found, ["_request", "_query"], F.col("_k"))
+    ids = spark.createDataFrame(
+        [(i, r.request_id) for i, r in enumerate(rows)],
+        T.StructType([T.StructField("_request", T.IntegerType()), T.StructField("request_id", id_type)]),
+    )
+    return best.join(F.broadcast(ids), "_request").select("request_id", "_query", "_rn", "_key", "_dist")
+
+
 def nearest_name(
     mentions: DataFrame,
     companies: DataFrame,

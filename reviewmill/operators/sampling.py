@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewmill.fixed_values import PAYLOAD_TOKENS, TOKEN_SAMPLE_ROWS
 from reviewmill.functions.hashing import exponential_key, seeded_uniform
@@ -145,3 +145,34 @@ def representative_sample(
     if budget > n_rows or not n_rows:
         return df
     return _weighted(df, counts, budget, seed, group, row_key)
+
+
+def sample_requests(
+    found: DataFrame,
+    max_tokens: int = PAYLOAD_TOKENS,
+    content: str = "content",
+    seed: int = 0,
+    group: Sequence[str] = GROUP,
+    row_key: Sequence[str] = ("similarity_query", "id"),
+    tokenizer: Tokenizer = token_count,
+) -> DataFrame:
+    """:func:`representative_sample` of every request's rows at once.
+
+    ``found`` has the rows retrieved for each ``request_id``, whose number is bounded, so a request is sampled
+    within one task. Each has the rows it would have alone.
+    """
+    request = Window.partitionBy("request_id")
+    drawn = request.orderBy("_uniform", *row_key)
+    tokens = F.when(F.col("_drawn") <= TOKEN_SAMPLE_ROWS, tokenizer(F.col(content)))
+    rows = found.withColumn("_uniform", _uniform(seed, row_key)).withColumn("_drawn", F.row_number().over(drawn))
+    rows = rows.withColumns(
+        {
+            "_mean": F.avg(tokens).over(request),
+            "_rows": F.count("*").over(request),
+            "_n": F.count("*").over(Window.partitionBy("request_id", *group)),
+        }
+    )
+    budget = F.when(F.col("_mean") > 0, F.floor(F.lit(max_tokens) / F.col("_mean"))).otherwise(F.lit(max_tokens))
+    weighted = request.orderBy(exponential_key(F.col("_uniform"), F.col("_n")), *row_key)
+    rows = rows.withColumns({"_budget": budget, "_place": F.row_number().over(weighted)})
+    return rows.where((F.col("_place") <= F.col("_budget")) | (F.col("_budget") > F.col("_rows"))).select(*found.columns)

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from reviewmill.fixed_values import (
     ACTION_ANALYSE,
@@ -14,14 +15,15 @@ from reviewmill.fixed_values import (
     PAYLOAD_TOKENS,
     RETRIEVED_REVIEWS,
 )
+from reviewmill.functions.codes import category_code
 from reviewmill.functions.text import Tokenizer, token_count
 from reviewmill.operators.embedding import Embedder, embed_text
 from reviewmill.operators.filters import project, review_predicate
-from reviewmill.operators.neighbours import nearest_one, retrieve
+from reviewmill.operators.neighbours import nearest_one, retrieve, retrieve_requests
 from reviewmill.operators.requests import parse_plan, plan_steps
-from reviewmill.operators.sampling import representative_sample
+from reviewmill.operators.sampling import representative_sample, sample_requests
 from reviewmill.plans.adhoc import preview_sql, register
-from reviewmill.plans.payload import review_payload
+from reviewmill.plans.payload import PAYLOAD_KEYS, review_payload
 from reviewmill.plans.reports import REPORTS, report
 from reviewmill.session import cut_lineage
 from reviewmill.sources.versions import between
@@ -80,6 +82,27 @@ def analyse_reviews(
     return review_payload(sample)
 
 
+def analyse_requests(
+    reviews: DataFrame,
+    requests: DataFrame,
+    queries: DataFrame,
+    max_tokens: int = PAYLOAD_TOKENS,
+    total: int = RETRIEVED_REVIEWS,
+    seed: int = 0,
+    tokenizer: Tokenizer = token_count,
+) -> DataFrame:
+    """:func:`analyse_reviews` for a table of requests in one job: its rows, led by ``request_id``.
+
+    ``requests`` holds the metadata as rows (``operators.requests.request_metadata``, companies resolved, category
+    names or codes), ``queries`` the ``similarity_query`` and ``q_embedding`` of each. A request without a query has no rows.
+    """
+    if requests.schema["categories"].dataType.elementType == T.StringType():
+        requests = requests.withColumn("categories", F.transform("categories", category_code))
+    found = cut_lineage(retrieve_requests(requests, queries, reviews, total))
+    sample = sample_requests(found, max_tokens, seed=seed, tokenizer=tokenizer)
+    return review_payload(sample, ("request_id", *PAYLOAD_KEYS))
+
+
 def query_table(reviews: DataFrame, texts: Sequence[str], embedder: Embedder | None = None) -> DataFrame:
     """Query texts with their vectors, in the form :func:`analyse_reviews` takes."""
     rows = F.explode(F.array(*[F.lit(t) for t in texts]).cast("array<string>"))
