@@ -651,3 +651,11 @@ ORACLES["analyse_requests"] = _with(
            md5(string_agg(content, chr(10) || '--' || chr(10) ORDER BY rn)) AS reviews
     FROM k WHERE rk <= budget OR budget > n_rows GROUP BY request_id, company, category, similarity_query""",
 )
+ORACLES["parse_written_dates"] = _with(
+    "rv_orders",
+    """SELECT id, CASE company_id % 9
+                   WHEN 0 THEN CASE WHEN day(ts) > 12 THEN ts::date ELSE make_date(year(ts), day(ts), month(ts)) END
+                   WHEN 6 THEN date_trunc('month', ts)::date
+                   WHEN 8 THEN NULL ELSE ts::date END AS date
+       FROM rv_orders""",
+)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -879,6 +880,16 @@ def parse_dates(spark, sf_dir):
     return fixtures.order_reviews(spark, sf_dir).select("id", dates.parse_date(written).alias("date"))
 
 
+@query
+def parse_written_dates(spark, sf_dir):
+    """Order dates in forms with parts in any order: names, ordinals, day first, two-digit years."""
+    ts = F.col("timestamp")
+    forms = ["d/M/yyyy", "EEEE d MMMM yyyy", "MMMM d, yyyy", "d-MMM-yy", "yyyy MMM d", "MM/dd/yy", "MMM yyyy", "yyyyMMdd"]
+    kind = F.col("company_id") % (len(forms) + 1)
+    written = reduce(lambda rest, i: F.when(kind == i, F.date_format(ts, forms[i])).otherwise(rest), range(len(forms)), F.concat(F.date_format(ts, "MMMM d"), F.lit("th, the year "), F.year(ts)))
+    return fixtures.order_reviews(spark, sf_dir).select("id", dates.parse_date(written).alias("date"))
+
+
 @query
 def epoch_ms(spark, sf_dir):
     return _events(spark, sf_dir).select("id", dates.epoch_ms(F.col("timestamp")).alias("ms"))
