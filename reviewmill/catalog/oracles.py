@@ -659,3 +659,13 @@ ORACLES["parse_written_dates"] = _with(
                    WHEN 8 THEN NULL ELSE ts::date END AS date
        FROM rv_orders""",
 )
+# Reports over the counts of an edited store are those over the edited reviews.
+EDITED = f"""
+        SELECT id, company, timestamp AS ts, rating, category FROM ({ORACLES["upsert_reviews"]}) WHERE company <> 'NATION_3'"""
+for over_counts, over_rows in (
+    ("cube_rating_share", "report_rating_share"),
+    ("cube_category_stars", "report_category_stars"),
+    ("cube_compare_series", "ts_compare"),
+    ("cube_rating_series", "ts_ratings_month"),
+):
+    ORACLES[over_counts] = ORACLES[over_rows].replace(VIEWS["rv_orders"], EDITED)

@@ -218,6 +218,34 @@ def insert_stored_months(spark, sf_dir):
     return _published(store)
 
 
+def _edited_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a store after an upsert and a delete."""
+    store = _stored_reviews(spark, sf_dir)
+    versions.upsert(store, _upsert_batch(spark, sf_dir), batch_ts=F.lit(BATCH_TIME).cast("timestamp"))
+    versions.delete(store, spark.table(store.name).where("company = 'NATION_3'").select("id"))
+    return versions.cube(spark, store.name)
+
+
+@query
+def cube_rating_share(spark, sf_dir):
+    return reports.rating_share(_edited_cube(spark, sf_dir))
+
+
+@query
+def cube_category_stars(spark, sf_dir):
+    return reports.category_stars(_edited_cube(spark, sf_dir))
+
+
+@query
+def cube_compare_series(spark, sf_dir):
+    return reports.compare_series(_edited_cube(spark, sf_dir))
+
+
+@query
+def cube_rating_series(spark, sf_dir):
+    return reports.rating_series(_edited_cube(spark, sf_dir))
+
+
 @query
 def published_between(spark, sf_dir):
     """Reviews of a published table within dates, by the name alone."""

@@ -16,8 +16,9 @@ from reviewmill.functions.dates import (
 
 
 def period_bounds(df: DataFrame, column: str = "timestamp") -> DataFrame:
-    """One row: first and last timestamp of the selection."""
-    return df.agg(F.min(column).alias("first_ts"), F.max(column).alias("last_ts"))
+    """One row: first and last timestamp of the selection; rows of a cube have a last one of their own."""
+    last = "last_ts" if "last_ts" in df.columns else column
+    return df.agg(F.min(column).alias("first_ts"), F.max(last).alias("last_ts"))
 
 
 def pick_granularity(df: DataFrame, column: str = "timestamp") -> DataFrame:

@@ -19,9 +19,26 @@ from reviewmill.functions.codes import category_label
 from reviewmill.functions.text import axis_label, bar_label
 from reviewmill.operators.periods import fill_gaps, with_periods
 
+REVIEWS = "n_reviews"  # of a row of a cube (sources.versions.cube), which may take the place of reviews
 
-def _star_counts() -> list[Column]:
-    return [F.count_if(F.col("rating") == s).alias(f"stars_{s}") for s in STARS]
+
+def _count(df: DataFrame, test: Column | None = None) -> Column:
+    """Reviews that pass a test; a row of a cube stands for ``n_reviews`` of them."""
+    if REVIEWS not in df.columns:
+        return F.count("*") if test is None else F.count_if(test)
+    counted = F.col(REVIEWS) if test is None else F.when(test, F.col(REVIEWS))
+    return F.coalesce(F.sum(counted), F.lit(0).cast("bigint"))
+
+
+def _mean(df: DataFrame) -> Column:
+    if REVIEWS not in df.columns:
+        return F.avg("rating")
+    rated = F.sum(F.when(F.col("rating").isNotNull(), F.col(REVIEWS)))
+    return F.sum(F.col("rating") * F.col(REVIEWS)) / rated
+
+
+def _star_counts(df: DataFrame) -> list[Column]:
+    return [_count(df, F.col("rating") == s).alias(f"stars_{s}") for s in STARS]
 
 
 def _percent(part: Column, whole: Column, digits: int) -> Column:
@@ -35,7 +52,7 @@ def _of_companies(df: DataFrame, companies: Sequence[str]) -> DataFrame:
 
 def rating_share(df: DataFrame, companies: Sequence[str] = ()) -> DataFrame:
     """Count and percentage (1 digit) of each rating, in rating order."""
-    counts = df.where("rating IS NOT NULL").groupBy("rating").agg(F.count("*").alias("count"))
+    counts = df.where("rating IS NOT NULL").groupBy("rating").agg(_count(df).alias("count"))
     total = F.sum("count").over(Window.partitionBy())  # one row per rating value
     return counts.select(
         "rating", "count", _percent(F.col("count"), total, 1).alias("percentage")
@@ -49,11 +66,12 @@ def category_stars(df: DataFrame, companies: Sequence[str] = ()) -> DataFrame:
     labels = df.sparkSession.range(1).select(
         F.explode(codes).alias("category"), F.lit(None).cast("int").alias("rating")
     )
-    rated = df.where(F.col("category").isin([code for _, code in REPORT_LABELS])).select("category", "rating")
+    measures = [c for c in ("category", "rating", REVIEWS) if c in df.columns]
+    rated = df.where(F.col("category").isin([code for _, code in REPORT_LABELS])).select(*measures)
     counts = (
-        rated.unionByName(labels)
+        rated.unionByName(labels, allowMissingColumns=True)
         .groupBy(F.col("category").alias("category_code"))
-        .agg(*_star_counts(), F.count("rating").alias("total"))
+        .agg(*_star_counts(df), _count(df, F.col("rating").isNotNull()).alias("total"))
     )
     # At most one row per label is left.
     return (
@@ -73,9 +91,9 @@ def rating_series(
         with_periods(df, df, granularity)
         .groupBy("granularity", "period_start")
         .agg(
-            F.avg("rating").alias("mean_rating"),
-            *_star_counts(),
-            F.count_if(F.col("rating").between(0, 5)).alias("rated"),
+            _mean(df).alias("mean_rating"),
+            *_star_counts(df),
+            _count(df, F.col("rating").between(0, 5)).alias("rated"),
         )
     )
     filled = fill_gaps(per_period, ["mean_rating", *stars, "rated"])
@@ -114,7 +132,7 @@ def compare_series(
         with_periods(_of_companies(df, companies), df, granularity)
         .where("company IS NOT NULL")
         .groupBy("company", "granularity", "period_start")
-        .agg(F.avg("rating").alias("mean"), F.count("rating").alias("count"))
+        .agg(_mean(df).alias("mean"), _count(df, F.col("rating").isNotNull()).alias("count"))
     )
     filled = fill_gaps(per_period, ["mean", "count"], keys=["company"])
     mean = F.coalesce("mean", F.lit(0.0))
@@ -132,7 +150,7 @@ def _company_totals(df: DataFrame, companies: Sequence[str]) -> DataFrame:
         _of_companies(df, companies)
         .where("company IS NOT NULL")
         .groupBy("company")
-        .agg(*_star_counts(), F.count("rating").alias("count"), F.avg("rating").alias("mean"))
+        .agg(*_star_counts(df), _count(df, F.col("rating").isNotNull()).alias("count"), _mean(df).alias("mean"))
     )
 
 

@@ -9,6 +9,10 @@ An update or a delete writes the months in which its keys are stored, found with
 insert, and the new rows of an upsert, only add a folder to their months. Months of many folders are put
 together by :func:`compact`. Nothing that an edit does not touch is read beyond its key column, or written.
 
+Beside each folder lies its share of a cube, ``cube/month=.../version=...``: reviews counted by company, category, day and
+rating. It is written with the folder and named by the same state, so reports over :func:`cube` equal those over the
+reviews after every edit, and an edit counts only what it writes.
+
 Three names are published for a store ``review``: the view ``review``, the view ``review_months`` with the month
 (the one that is replaced), and the table function ``reviews_between(first, last)``, which derives the filter on
 months from the dates. All of them read only current folders, by partition filters. One writer at a time: an
@@ -53,6 +57,15 @@ FOLDERS = T.StructType(
         T.StructField("n_rows", T.LongType()),
     ]
 )
+CUBE = T.StructType(
+    [
+        *[REVIEW[name] for name in ("company", "category", "rating", "timestamp")],
+        T.StructField("last_ts", T.TimestampType()),
+        T.StructField("n_reviews", T.LongType()),
+        T.StructField(MONTH_COLUMN, T.StringType()),
+        T.StructField(VERSION, T.StringType()),
+    ]
+)
 MOST_FOLDERS = 8  # of a month before it is put together
 
 
@@ -67,6 +80,10 @@ class Store(NamedTuple):
     def data(self) -> str:
         return f"{self.root}/data"
 
+    @property
+    def counts(self) -> str:
+        return f"{self.root}/cube"
+
 
 class Folder(NamedTuple):
     """A current folder; reviews without a time have the month None."""
@@ -112,6 +129,26 @@ def between(spark: SparkSession, name: str = "review", start_date=None, end_date
     return rows.drop(MONTH_COLUMN)
 
 
+def opened(spark: SparkSession, name: str = "review") -> Store:
+    """The store that is published as ``name``."""
+    unnamed = Store(spark, "", name)
+    return unnamed._replace(root=_state(unnamed).rsplit("/states/", 1)[0])
+
+
+def cube(spark: SparkSession, name: str = "review", start_date=None, end_date=None) -> DataFrame:
+    """Reviews published as ``name``, counted: the reports and :func:`plans.actions.select_reviews` take it for reviews.
+
+    A row stands for ``n_reviews`` of one company, category, day and rating, ``timestamp`` and ``last_ts`` are the first and last
+    of them; reviews of midnight are counted apart, so that an end date takes the same reviews as in the table.
+    """
+    store = opened(spark, name)
+    chosen = folders(store)
+    if not chosen:
+        return spark.createDataFrame([], CUBE).drop(MONTH_COLUMN, VERSION)
+    rows = spark.read.schema(CUBE).parquet(store.counts).where(F.col(VERSION).isin([f.version for f in chosen]))
+    return rows.where(month_predicate(start_date, end_date)).drop(MONTH_COLUMN, VERSION)
+
+
 def folders(store: Store) -> list[Folder]:
     """The current folders, a few for each month."""
     return _folders(store, _state(store))
@@ -154,6 +191,20 @@ def _write_data(store: Store, rows: DataFrame, commit: str) -> list[Folder]:
     return [Folder(*row) for row in counts]
 
 
+def _write_counts(store: Store, new: list[Folder]) -> None:
+    """Step 1, continued: the counts of the new folders, read from their narrow columns."""
+    if not new:
+        return
+    rows = store.spark.read.schema(STORED).parquet(store.data).where(F.col(VERSION).isin([f.version for f in new]))
+    day = F.to_date("timestamp").alias("_day")
+    midnight = (F.col("timestamp") == F.date_trunc("day", "timestamp")).alias("_midnight")
+    counted = rows.groupBy("company", "category", "rating", day, midnight, MONTH_COLUMN, VERSION).agg(
+        F.min("timestamp").alias("timestamp"), F.max("timestamp").alias("last_ts"), F.count("*").alias("n_reviews")
+    )
+    counted = counted.select(*CUBE.names).hint("rebalance", MONTH_COLUMN)
+    counted.write.partitionBy(MONTH_COLUMN, VERSION).mode("append").parquet(store.counts)
+
+
 def _write_state(store: Store, commit: str, current: list[Folder]) -> str:
     """Step 2: the folders of the table after the commit."""
     path = f"{store.root}/states/{commit}"
@@ -177,6 +228,7 @@ def _commit(store: Store, replaced: Sequence[str | None], rows: DataFrame, befor
     """Put ``rows`` in place of the ``replaced`` months; returns all months that were written or emptied."""
     commit = f"c{uuid.uuid4().hex[:16]}"
     new = _write_data(store, rows, commit)
+    _write_counts(store, new)
     if not new and not replaced:
         return []
     current = [f for f in _folders(store, before) if f.month not in set(replaced)] + new
@@ -259,11 +311,12 @@ def vacuum(store: Store, older_than_hours: float = 24) -> int:
     The time protects readers of the state before and an edit that is being written.
     """
     named = {f.version for f in folders(store)}
-    pattern, system = _hadoop(store, f"{store.data}/{MONTH_COLUMN}=*/{VERSION}=*")
     latest = store.spark._jvm.java.lang.System.currentTimeMillis() - int(older_than_hours * 3_600_000)
     removed = 0
-    for status in system.globStatus(pattern) or []:
-        version = status.getPath().getName().split("=", 1)[1]
-        if version not in named and status.getModificationTime() <= latest:
-            removed += bool(system.delete(status.getPath(), True))
+    for place in (store.data, store.counts):
+        pattern, system = _hadoop(store, f"{place}/{MONTH_COLUMN}=*/{VERSION}=*")
+        for status in system.globStatus(pattern) or []:
+            version = status.getPath().getName().split("=", 1)[1]
+            if version not in named and status.getModificationTime() <= latest:
+                removed += bool(system.delete(status.getPath(), True))
     return removed

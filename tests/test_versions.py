@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from reviewmill.plans import actions, adhoc
+from reviewmill.plans import actions, adhoc, reports
 from reviewmill.schema import REVIEW, conform
 from reviewmill.sources import versions
 
@@ -101,7 +101,7 @@ def test_edits_and_stops_after_each_step(spark, store, monkeypatch, edit):
         return run
 
     assert state(spark, store.name) == wanted()
-    for step in ("_write_data", "_write_state"):
+    for step in ("_write_data", "_write_counts", "_write_state"):
         with monkeypatch.context() as patch:
             patch.setattr(versions, f"real{step}", getattr(versions, step), raising=False)
             patch.setattr(versions, step, stopping(step))
@@ -209,3 +209,31 @@ def test_created_tables_are_empty_and_typed(spark, tmp_path):
     spark.sql("DROP FUNCTION reviews_between")
     for name in ("review", "review_months", "company"):
         spark.sql(f"DROP VIEW {name}")
+
+
+def reports_of(rows, metadata):
+    selected = actions.select_reviews(rows, metadata)
+    made = {name: reports.report(selected, name, metadata.companies) for name in reports.REPORTS}
+    made["bars"] = reports.company_star_bars(selected)
+    made["diverging"] = reports.diverging_counts(selected)
+    return {name: sorted(map(repr, df.collect())) for name, df in made.items()}
+
+
+def test_reports_over_the_cube_equal_those_over_the_table(spark, store):
+    rows = [(f"k{i}", datetime(2023, 1 + i % 12, 2 + i % 2, *((0, 0) if i % 3 else (i % 24, i % 60))), 1 + i % 5) for i in range(300)]
+    versions.insert(store, reviews(spark, rows).withColumn("category", (F.col("rating") * 7 % 6 - 1).cast("int")))
+    versions.upsert(store, batch(spark, [(f"k{i}", datetime(2024, 1, 1 + i % 3), 1 + i % 4) for i in range(0, 300, 7)]), batch_ts=F.lit(NOW))
+    versions.delete(store, spark.range(0, 300, 11).select(F.concat(F.lit("k"), "id").alias("id")))
+    table, cube = spark.table(store.name), versions.cube(spark, store.name)
+    assert cube.agg(F.sum("n_reviews")).first()[0] == table.count() and cube.count() < table.count()
+    for metadata in (
+        actions.Metadata(),
+        actions.Metadata(["C1", "C3"], "2023-04-02", "2023-05-03"),
+        actions.Metadata(start_date="2023-06-01", end_date="2023-09-03", categories=["counseling"]),
+        actions.Metadata(["nobody"]),
+    ):
+        assert reports_of(cube, metadata) == reports_of(table, metadata)
+    part = versions.cube(spark, store.name, "2023-04-02", "2023-05-03")
+    assert "month" in plan(part) and reports_of(part, actions.Metadata(None, "2023-04-02", "2023-05-03")) == reports_of(
+        table, actions.Metadata(None, "2023-04-02", "2023-05-03")
+    )
