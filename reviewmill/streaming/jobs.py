@@ -10,7 +10,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from reviewmill.operators.joins import measure, only_keys, sized
 from reviewmill.operators.maintenance import changed, last_delivery, upsert_unique
-from reviewmill.streaming.store import BATCH, checkpoint_of, newest, read_versions, write_batch
+from reviewmill.streaming.store import (
+    BATCH,
+    BUCKETS,
+    buckets_of,
+    checkpoint_of,
+    newest,
+    read_versions,
+    write_batch,
+)
 
 # Weeks start on Monday; windows are counted from 1970-01-01, a Thursday.
 _WINDOWS = {"day": ("1 day", None), "week": ("7 days", "4 days")}
@@ -111,10 +119,11 @@ def merge_batch(
     key: str = "id",
     version: str = "timestamp",
     enrich: Callable[[DataFrame], DataFrame] | None = None,
+    buckets: int = BUCKETS,
 ) -> Callable[[DataFrame, int], None]:
     """Micro-batch function: detect changes against the store, enrich, upsert.
 
-    The store is scanned for the keys and versions of the batch; whole rows are read only
+    The buckets of the batch are scanned for its keys and versions; whole rows are read only
     for reviews that came back changed, and nothing of the store is shuffled if the batch
     is small. ``enrich`` (for example the embedder) sees new and changed rows only.
     """
@@ -129,7 +138,7 @@ def merge_batch(
         try:
             batch = keep(batch)
             size = measure(batch)
-            versions = read_versions(spark, store, schema, before=batch_id)
+            versions = read_versions(spark, store, schema, batch_id, buckets_of(batch, key, buckets))
             present = only_keys(versions.select(key, version, BATCH), batch, [key], size)
             known = keep(newest(present, [key]))
             incoming = last_delivery(batch, key, [F.col(version).desc_nulls_last()])
@@ -137,7 +146,7 @@ def merge_batch(
             fresh = keep(enrich(fresh) if enrich else fresh)
             edited = fresh.select(key).join(sized(known.select(key)), key, "left_semi")
             stored = newest(only_keys(versions, edited, [key], measure(edited)), [key])
-            write_batch(upsert_unique(stored, fresh, measure(fresh), key, version=version), store, batch_id, key)
+            write_batch(upsert_unique(stored, fresh, measure(fresh), key, version=version), store, batch_id, key, buckets)
         finally:
             for df in kept:
                 df.unpersist()

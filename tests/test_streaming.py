@@ -95,6 +95,27 @@ def test_compacted_store_goes_on(spark, tmp_path):
     assert {r.id: (r.timestamp, r.rating) for r in got} == {k: (r[2], r[3]) for k, r in want.items()}
 
 
+def test_a_small_batch_reads_few_buckets(spark, tmp_path):
+    target = str(tmp_path / "store")
+    (tmp_path / "store").mkdir()
+    merge = jobs.merge_batch(target, STORED)
+    rows = [(f"k{i}", "A", START, 1) for i in range(2000)]
+    merge(spark.createDataFrame(rows, FACTS), 0)
+    small = spark.createDataFrame([("k7", "A", START + timedelta(days=1), 5), ("new", "A", START, 2)], FACTS)
+    found = store.read_versions(spark, target, STORED, 1, store.buckets_of(small, "id"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert found.select(F.input_file_name()).distinct().count() <= 2 < store.BUCKETS
+    merge(small, 1)
+    written = {p.parent.name for p in (tmp_path / "store" / "batch_id=1").rglob("*.parquet")}
+    assert len(written) <= 2
+    current = store.read_current(spark, target, STORED, ["id"])
+    plan = current._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan
+    assert current.count() == 2001 and current.where("id = 'k7'").first().rating == 5
+
+
 def test_deduplication(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     once = [deliveries()[0], deliveries()[0][5:], deliveries()[0][:5]]
