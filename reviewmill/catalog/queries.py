@@ -30,7 +30,7 @@ from reviewmill.operators import (
 from reviewmill.plans import actions, adhoc, ingest, payload, reports
 from reviewmill.schema import REVIEW, conform
 from reviewmill.session import shared_path
-from reviewmill.sources import fixtures, pages, versions
+from reviewmill.sources import fixtures, pages, tables, versions
 from reviewmill.streaming import jobs, store
 
 Query = Callable[[SparkSession, str], DataFrame]

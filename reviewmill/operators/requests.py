@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewmill.fixed_values import CATEGORY_CODES
+from reviewmill.functions import names
 from reviewmill.functions.dates import parse_date
 from reviewmill.operators.embedding import Embedder, embed_text
 from reviewmill.operators.joins import measure, sized
@@ -14,6 +14,8 @@ from reviewmill.operators.neighbours import nearest_name
 from reviewmill.schema import METADATA
 from reviewmill.session import cut_lineage
 
+cloudpickle.register_pickle_by_value(names)
+
 # Plan texts hold an array of quoted strings: [ string string, string ]. All repetitions are
 # possessive: a sign is read once and never given back, so neither the length of a text nor the
 # number of its strings costs stack.
@@ -30,7 +32,7 @@ ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "\\": "\\", "'
 
 ISO_DATE = r"\b(\d{4}-\d{2}-\d{2})\b"
 NOT_A_WORD = r"[^\p{L}\p{N}_]+"
-TABLE_BYTES = 2 * 1024 * 1024  # of names that every task holds
+TREE_BYTES = 16 * 1024 * 1024  # of names that every task holds as a tree
 
 
 def parse_metadata(text: Column) -> Column:
@@ -132,62 +134,26 @@ def _normal(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), NOT_A_WORD, " ")), F.lit(" "))
 
 
-def _slots(spark: SparkSession, rows: list[tuple[str, object]], value: str) -> Column:
-    """A constant hash table: an array of slots with the ``(key, value)`` pairs whose key falls into them."""
-    n = max(1, 1 << len(rows).bit_length())
-    table = spark.createDataFrame(rows, f"key string, value {value}").withColumn("slot", _slot_of(F.col("key"), n))
-    slots: list[list] = [[] for _ in range(n)]
-    for row in table.collect():
-        slots[row.slot].append({"key": row.key, "value": row.value})
-    return F.from_json(F.lit(json.dumps(slots)), f"array<array<struct<key: string, value: {value}>>>")
-
-
-def _slot_of(key: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-
-def _found(slots: Column, n: int, key: Column) -> Column:
-    """Values of a key in a constant hash table, as an array."""
-    entries = F.filter(F.get(slots, _slot_of(key, n)), lambda e: e["key"] == key)
-    return F.transform(entries, lambda e: e["value"])
+def _named_by_tree(normal: DataFrame, rows: DataFrame) -> DataFrame:
+    """Names in each text by one walk over its words along a tree of all names, which every task holds.
 
+    Nothing is exploded or shuffled, and the tree is left at the first word that no name goes on with.
+    """
+    tree = names.word_tree((row.gram, row.name) for row in rows.select("gram", "name").collect())
+    shared = normal.sparkSession.sparkContext.broadcast(tree)
+    return normal.withColumn("_names", F.pandas_udf(names.search(shared), "array<string>")("_text"))
 
-def _named_by_tables(normal: DataFrame, names: DataFrame) -> DataFrame:
-    """Names in each text by a walk over its words, with the names as constant tables in every task.
 
-    One table has, for the first word of every name, how many words such names have; the other has the names. So only
-    where a name may begin its words are put together and looked up, and nothing is exploded or shuffled.
-    """
-    rows = names.collect()
-    lengths: dict[str, set[int]] = {}
-    for row in rows:
-        words = row.gram.split(" ")
-        lengths.setdefault(words[0], set()).add(len(words))
-    spark = normal.sparkSession
-    starts = [(word, sorted(found)) for word, found in lengths.items()]
-    n_starts, n_names = max(1, 1 << len(starts).bit_length()), max(1, 1 << len(rows).bit_length())
-    begin = _slots(spark, starts, "array<int>")
-    known = _slots(spark, [(row.gram, row.name) for row in rows], "string")
-
-    def at(word: Column, place: Column) -> Column:
-        sizes = F.flatten(_found(begin, n_starts, word))
-        runs = F.transform(sizes, lambda n: F.array_join(F.slice("_words", place + 1, n), " "))
-        return F.flatten(F.transform(runs, lambda gram: _found(known, n_names, gram)))
-
-    walked = normal.withColumn("_words", F.split(F.trim("_text"), " "))
-    return walked.withColumn("_names", F.array_sort(F.array_distinct(F.flatten(F.transform("_words", at))))).drop("_words")
-
-
-def _named_by_joins(normal: DataFrame, names: DataFrame) -> DataFrame:
+def _named_by_joins(normal: DataFrame, rows: DataFrame) -> DataFrame:
     """The same walk for names that do not fit into a task: first words and names are joined."""
     first = F.split("gram", " ")[0]
-    starts = names.groupBy(first.alias("word")).agg(F.collect_set(F.size(F.split("gram", " "))).alias("sizes"))
+    starts = rows.groupBy(first.alias("word")).agg(F.collect_set(F.size(F.split("gram", " "))).alias("sizes"))
     words = F.split(F.trim("_text"), " ")
     each = normal.select("request_id", words.alias("_words"), F.posexplode(words).alias("place", "word"))
     begun = each.join(starts, "word").select("request_id", "_words", "place", F.explode("sizes").alias("n"))
     grams = begun.select("request_id", F.array_join(F.slice("_words", F.col("place") + 1, F.col("n")), " ").alias("gram"))
     # a question names no more companies than it has words
-    named = grams.join(names, "gram").groupBy("request_id").agg(F.array_sort(F.collect_set("name")).alias("_names"))
+    named = grams.join(rows, "gram").groupBy("request_id").agg(F.array_sort(F.collect_set("name")).alias("_names"))
     return normal.join(named, "request_id", "left").withColumn("_names", F.coalesce("_names", F.array().cast("array<string>")))
 
 
@@ -201,17 +167,17 @@ def mentioned_categories(normal_text: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def extract_mentions(requests: DataFrame, companies: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
+def extract_mentions(requests: DataFrame, companies: DataFrame, tree_bytes: int = TREE_BYTES) -> DataFrame:
     """Companies, categories and dates named in each question.
 
     Names are found by a walk over the words of a question; they are held by every task if measured to have at
-    most ``table_bytes``, and joined otherwise. The first date in ISO form is the start, the second the
+    most ``tree_bytes``, and joined otherwise. The first date in ISO form is the start, the second the
     end. This finds names as written, not paraphrases.
     """
-    names = companies.select(F.trim(_normal(F.col("name"))).alias("gram"), "name").where("gram != ''")
+    known = companies.select(F.trim(_normal(F.col("name"))).alias("gram"), "name").where("gram != ''")
     normal = requests.select("request_id", "question", _normal(F.col("question")).alias("_text"))
-    held = measure(names).bytes <= table_bytes
-    found = _named_by_tables(normal, names) if held else _named_by_joins(normal, names)
+    held = measure(known).bytes <= tree_bytes
+    found = _named_by_tree(normal, known) if held else _named_by_joins(normal, known)
     dates = F.regexp_extract_all("question", F.lit(ISO_DATE), F.lit(1))
     asked = found.select("request_id", "_names", dates.alias("_dates"), mentioned_categories(F.col("_text")).alias("categories"))
     return asked.select(

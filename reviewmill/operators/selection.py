@@ -130,27 +130,23 @@ def lowest(df: DataFrame, order: Sequence[str | Column], n: int, unique: bool =
     if n <= 0:
         return df.limit(0)
     ordered, names = _ordered(df, order)
-    place = locate(ordered, names, n - 1, few)
+    place = Place([], None, None, 0, 0) if n <= few else locate(ordered, names, n - 1, few)
     if place is None:
         return df
-    values, before = place.fixed, place.before
-    if len(values) < len(names):
-        inside = ordered.where(_range(names, place)).select(*names)
-        last = inside.orderBy(*names).offset(n - 1 - place.before).limit(1).first()
-        values = list(last)
-    lower, same = _compared(names, values)
-    if unique:
-        return ordered.where(lower | same).drop(*names)
-    equal = ordered.where(same)
     if len(place.fixed) < len(names):
-        found = ordered.where(_range(names, place)).agg(F.count_if(lower), F.count_if(same)).first()
-        before, ties = place.before + found[0], found[1]
+        inside = ordered if n <= few else ordered.where(_range(names, place))
+        last = inside.select(*names).orderBy(*names).offset(n - 1 - place.before).limit(2).collect()
+        if not last:
+            return df
+        lower, same = _compared(names, list(last[0]))
+        if unique or len(last) < 2 or last[0] != last[1]:
+            return ordered.where(lower | same).drop(*names)
+        before = place.before + inside.where(lower).count()
     else:
-        ties = place.inside
-    if before + ties == n:
-        return ordered.where(lower | same).drop(*names)
-    kept = _of_equal(equal.drop(*names), n - before, few)
-    return ordered.where(lower).drop(*names).unionByName(kept)
+        lower, same = _compared(names, place.fixed)
+        before = place.before
+    equal = ordered.where(same).drop(*names)
+    return ordered.where(lower).drop(*names).unionByName(_of_equal(equal, n - before, few))
 
 
 def _of_equal(rows: DataFrame, n: int, few: int) -> DataFrame:

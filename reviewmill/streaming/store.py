@@ -15,12 +15,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from reviewmill.operators.joins import sized
+from reviewmill.operators.joins import latest_per_key, sized
 from reviewmill.session import cut_lineage
 from reviewmill.sources.tables import bloom_filter, read_table
 
 BATCH, BUCKET = "batch_id", "bucket"
-BUCKETS = 32  # a bucket should hold about a file of rows; the number is fixed for a store
+BUCKETS = 8  # a bucket should hold about a file of rows; the number is fixed for a store
 
 
 def checkpoint_of(store: str) -> str:
@@ -64,28 +64,28 @@ def buckets_of(keys: DataFrame, key: str, buckets: int = BUCKETS) -> list[int]:
 
 
 def newest(versions: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The newest version of each key; keys are unique within a batch.
+    """The newest version of each key, for rows of few keys."""
+    return latest_per_key(versions, key, [F.col(BATCH).desc()]).drop(BATCH)
+
+
+def read_current(
+    spark: SparkSession, store: str, schema: T.StructType, key: Sequence[str]
+) -> DataFrame:
+    """The present state of the store; keys are unique within a batch.
 
     Keys with several versions are found from keys and batch numbers. They are broadcast if measured small, and
     whole rows then stay where they are.
     """
+    versions = read_versions(spark, store, schema)
     known = [F.col(c).alias(f"_k_{c}") for c in key]
     last = versions.groupBy(*known).agg(F.max(BATCH).alias("_last"), F.count("*").alias("_versions"))
     last = sized(cut_lineage(last.where("_versions > 1").drop("_versions")))
-    same = [versions[c].eqNullSafe(F.col(f"_k_{c}")) for c in key]
-    outdated = (F.col(BATCH) < F.col("_last"))
-    for test in same:
-        outdated = outdated & test
+    outdated = F.col(BATCH) < F.col("_last")
+    for c in key:
+        outdated = outdated & versions[c].eqNullSafe(F.col(f"_k_{c}"))
     return versions.join(last, outdated, "left_anti").drop(BATCH)
 
 
-def read_current(
-    spark: SparkSession, store: str, schema: T.StructType, key: Sequence[str]
-) -> DataFrame:
-    """The present state of the store."""
-    return newest(read_versions(spark, store, schema), key)
-
-
 def compact(
     spark: SparkSession, store: str, schema: T.StructType, key: Sequence[str], path: str, buckets: int = BUCKETS
 ) -> None:

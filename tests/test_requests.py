@@ -106,15 +106,15 @@ def test_last_by_role_and_latest(messages):
     assert conversations.without_plots(messages).where(F.col("role") == "plot").count() == 0
 
 
-@pytest.mark.parametrize("table_bytes", [requests.TABLE_BYTES, 0], ids=["held", "joined"])
-def test_names_against_brute_force(spark, table_bytes):
+@pytest.mark.parametrize("tree_bytes", [requests.TREE_BYTES, 0], ids=["held", "joined"])
+def test_names_against_brute_force(spark, tree_bytes):
     draw = random.Random(4)
     words = ["bank", "of", "the", "nord", "a", "æ-x", "B", "sø"]
     names = {" ".join(draw.choices(words, k=draw.randrange(1, 5))) for _ in range(60)} | {"The  Bank", "??", ""}
     texts = [None, "", "the", "?!"] + [" ".join(draw.choices([*words, "the,", "BANK", "(of)"], k=draw.randrange(0, 30))) for _ in range(80)]
     companies = spark.createDataFrame(list(enumerate(sorted(names))), "id int, name string")
     asked = spark.createDataFrame(list(enumerate(texts)), "request_id long, question string")
-    found = requests.extract_mentions(asked, companies, table_bytes)
+    found = requests.extract_mentions(asked, companies, tree_bytes)
     got = {r.request_id: r.companies for r in found.collect()}
 
     def normal(text):
@@ -124,4 +124,4 @@ def test_names_against_brute_force(spark, table_bytes):
         i: sorted(n for n in names if normal(n).strip() and normal(n) in normal(text)) for i, text in enumerate(texts)
     }
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert table_bytes == 0 or "Exchange" not in plan and "Generate" not in plan
+    assert tree_bytes == 0 or "Exchange" not in plan and "Generate" not in plan
