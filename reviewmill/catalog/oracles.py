@@ -669,3 +669,5 @@ for over_counts, over_rows in (
     ("cube_rating_series", "ts_ratings_month"),
 ):
     ORACLES[over_counts] = ORACLES[over_rows].replace(VIEWS["rv_orders"], EDITED)
+ORACLES["knn_blocks"] = ORACLES["knn_all_vectors"]
+ORACLES["knn_lsh_recall"] = "SELECT 5 * count(*) AS n_neighbours, true AS recall_reached FROM embeddings"

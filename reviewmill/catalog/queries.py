@@ -588,6 +588,25 @@ def knn_lsh(spark, sf_dir):
     return found.withColumn("dist", F.round("dist", 6))
 
 
+@query
+def knn_lsh_recall(spark, sf_dir):
+    """Whether the approximate search finds at least 0.95 of the exact neighbours, and all of them in number."""
+    vecs = fixtures.table(spark, sf_dir, "embeddings").withColumn("id", F.col("vec_id"))
+    names = {"query_key": "vec_id", "query_vector": "embedding"}
+    exact, found = (search(vecs, vecs, 5, **names) for search in (neighbours.nearest, neighbours.nearest_lsh))
+    both = exact.select("vec_id", "id").join(found.select("vec_id", "id", F.lit(1).alias("hit")), ["vec_id", "id"], "left")
+    counted = both.agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+    return counted.select(F.col("n").alias("n_neighbours"), (F.col("hits") >= 0.95 * F.col("n")).alias("recall_reached"))
+
+
+@query
+def knn_blocks(spark, sf_dir):
+    """Neighbours where neither side is held by a task: blocks against blocks."""
+    vecs = fixtures.table(spark, sf_dir, "embeddings").withColumn("id", F.col("vec_id"))
+    found = neighbours.nearest(vecs, vecs, 5, query_key="vec_id", query_vector="embedding", held=50, block=150)
+    return found.withColumn("dist", F.round("dist", 6))
+
+
 # --- reports ---------------------------------------------------------------------------
 
 

@@ -194,3 +194,77 @@ def scan_blocks(k: int):
         return pd.DataFrame(search.pairs(), columns=COLUMNS)
 
     return run
+
+
+def _bucket_ids(cells: np.ndarray) -> np.ndarray:
+    """One number for a cell of a table; ``cells`` is (row, table, projection), whole numbers."""
+    ids = np.broadcast_to(np.arange(cells.shape[1], dtype=np.uint64), cells.shape[:2]).copy()
+    for j in range(cells.shape[2]):
+        ids = (ids ^ (ids >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + cells[:, :, j].astype(np.int64).view(np.uint64)
+    return ids.view(np.int64)
+
+
+def _places(vectors: pa.Array, planes: np.ndarray, length: float) -> tuple[np.ndarray, np.ndarray]:
+    """Valid flags, and projections of the valid vectors in units of a bucket: (row, table, projection)."""
+    valid, matrix = _matrix(vectors)
+    if len(matrix) and matrix.shape[1] != planes.shape[2]:
+        raise ValueError("vectors differ in length")
+    return valid, np.einsum("rd,twd->rtw", matrix, planes) / length
+
+
+def spread_of(planes: np.ndarray):
+    """Task function: number, sum and sum of squares of all projections."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(3)
+        for batch in batches:
+            _, places = _places(batch.column(0), planes, 1.0)
+            sums += (places.size, places.sum(), (places * places).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([float(v)]) for v in sums], ["n", "sum", "squares"])
+
+    return run
+
+
+def hash_rows(planes: np.ndarray, length: float):
+    """Task function: name, vector and the bucket of each table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            valid, places = _places(batch.column(1), planes, length)
+            ids = _bucket_ids(np.floor(places))
+            rows = batch.filter(pa.array(valid))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * ids.shape[1], pa.int32()), pa.array(ids.ravel()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), lists], ["_name", "_vector", "_buckets"])
+
+    return run
+
+
+def probe_rows(planes: np.ndarray, length: float):
+    """Task function: name, vector, and the buckets next to it in every table with their margins.
+
+    A neighbouring bucket lies beyond one bound or two; its margin is the distance to them, in buckets.
+    """
+    width = planes.shape[1]
+    single = [{j: step} for j in range(width) for step in (-1, 1)]
+    double = [{**a, **b} for i, a in enumerate(single) for b in single[i + 1 :] if a.keys() != b.keys()]
+    moves = [{}, *single, *double]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            valid, places = _places(batch.column(1), planes, length)
+            cells = np.floor(places)
+            low, ids, margins = places - cells, [], []
+            for move in moves:
+                moved, margin = cells.copy(), np.zeros(cells.shape[:2])
+                for j, step in move.items():
+                    moved[:, :, j] += step
+                    margin += np.square(low[:, :, j] if step < 0 else 1 - low[:, :, j])
+                ids.append(_bucket_ids(moved))
+                margins.append(np.sqrt(margin))
+            ids, margins = np.concatenate(ids, axis=1), np.concatenate(margins, axis=1)
+            rows = batch.filter(pa.array(valid))
+            cuts = pa.array(np.arange(len(ids) + 1) * ids.shape[1], pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(values.ravel())) for values in (ids, margins)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *lists], ["_name", "_vector", "_buckets", "_margins"])
+
+    return run

@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from pyspark.sql import types as T
@@ -15,14 +16,16 @@ from reviewmill.fixed_values import RETRIEVED_REVIEWS
 from reviewmill.functions import topk
 from reviewmill.functions.codes import category_name
 from reviewmill.functions.vectors import l2_distance, vector_literal
-from reviewmill.operators.joins import fetch, sized
+from reviewmill.operators.joins import Size, fetch, measure, sized
 from reviewmill.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(topk)
 
 # At most this many vectors are held by a task; larger sides are cut into blocks.
 HELD_VECTORS = 5000
+HELD_BYTES = 64 * 1024 * 1024
 BLOCK_VECTORS = 20_000
+SPREAD = 2.4  # width of a bucket in standard deviations
 MERGES = 64  # parts in which the rows found for a query are merged first
 REQUEST_BYTES = 32 * 1024 * 1024  # of requests and their queries that every task holds
 
@@ -93,12 +96,13 @@ def nearest(
     vector: str = "embedding",
     held: int = HELD_VECTORS,
     block: int = BLOCK_VECTORS,
+    held_bytes: int = HELD_BYTES,
 ) -> DataFrame:
     """The ``k`` base rows nearest to each query: columns query, ``rn``, key, ``dist``.
 
     Exact; keys are unique on both sides. Rows without a vector come last, ties are broken
-    by key. Only keys and vectors reach the Python workers. A side that was counted to have
-    at most ``held`` rows is held by every task:
+    by key. Only keys and vectors reach the Python workers. A side that was measured to have
+    at most ``held`` rows and ``held_bytes`` bytes is held by every task:
 
     * few queries: one pass over the base, each task returns ``k`` rows per query;
     * small base: one pass over the queries, no shuffle;
@@ -109,15 +113,20 @@ def nearest(
     q = queries.select(F.col(query_key).alias("_query"), F.col(query_vector).alias("_vector"))
     b = base.select(F.col(key).alias("_key"), F.col(vector).alias("_vector"))
     out = _pairs_schema(q, b)
-    n_queries = q.count()
-    n_base = b.count() if n_queries > held else None
-    base_held = n_base is not None and n_base <= held
-    if n_queries <= held:
+
+    def held_by_tasks(size: Size) -> bool:
+        return size.rows <= held and size.bytes <= held_bytes
+
+    of_queries = measure(q)
+    queries_held = held_by_tasks(of_queries)
+    of_base = None if queries_held else measure(b)
+    base_held = of_base is not None and held_by_tasks(of_base)
+    if queries_held:
         found = b.mapInArrow(topk.scan_base(q.toArrow(), k), out)
     elif base_held:
         found = q.mapInArrow(topk.scan_queries(b.toArrow(), k), out)
     else:
-        query_blocks, base_blocks = math.ceil(n_queries / block), math.ceil(n_base / block)
+        query_blocks, base_blocks = math.ceil(of_queries.rows / block), math.ceil(of_base.rows / block)
         n_blocks = F.lit(query_blocks), F.lit(base_blocks)
         left = _block(q, "_qb", "_rb", "_query", *n_blocks).groupBy("_qb", "_rb")
         right = _block(b, "_rb", "_qb", "_key", *reversed(n_blocks)).groupBy("_qb", "_rb")
@@ -273,29 +282,14 @@ def nearest_name(
     return top.join(sized(names), "id").select(mention_key, "name", "id", "dist")
 
 
-def _buckets(model, df: DataFrame, tables: int, width: int) -> DataFrame:
-    """One row per hash table: the bucket of a vector is made of ``width`` projections."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    hashed = model.transform(df.withColumn("_features", array_to_vector("_vector")))
-    numbers = F.transform("_hashes", lambda h: F.get(vector_to_array(h), F.lit(0)))
-    parts = [
-        F.xxhash64(F.lit(t), F.slice("_numbers", t * width + 1, width)) for t in range(tables)
-    ]
-    return (
-        hashed.withColumn("_numbers", numbers)
-        .withColumn("_bucket", F.explode(F.array(*parts)))
-        .drop("_features", "_hashes", "_numbers")
-    )
-
-
 def nearest_lsh(
     queries: DataFrame,
     base: DataFrame,
     k: int,
-    bucket_length: float = 0.3,
+    spread: float = SPREAD,
     tables: int = 8,
     width: int = 2,
+    candidates: int = 800,
     seed: int = 7,
     query_key: str = "similarity_query",
     query_vector: str = "q_embedding",
@@ -303,40 +297,59 @@ def nearest_lsh(
     vector: str = "embedding",
     block: int = BLOCK_VECTORS,
 ) -> DataFrame:
-    """Approximate neighbours: nearest rows that share a random-projection bucket with the query.
+    """Approximate neighbours: nearest rows in the random-projection buckets around the query.
 
     For many queries against a large base, where :func:`nearest` would measure all pairs and
-    a missed neighbour is acceptable. Shorter buckets and more projections are faster and
-    miss more, more tables miss less. Rows without a vector are left out.
+    a missed neighbour is acceptable. A bucket is ``spread`` standard deviations of the base's projections wide, which are
+    measured. Of every table the query's own bucket and its neighbours are probed in the order of their margins, as
+    long as the buckets before hold fewer than ``candidates`` rows for each neighbour asked for. Queries for which fewer than ``k`` rows
+    were found this way are searched exactly. Rows without a finite vector are left out, queries without one have no rows.
 
     A bucket is searched in blocks of about ``block`` rows, each giving ``k`` rows per query;
     a bucket holding much of the base is split over many groups and no pairs are written.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    q = queries.select(F.col(query_key).alias("_query"), F.col(query_vector).alias("_vector"))
-    b = base.select(F.col(key).alias("_key"), F.col(vector).alias("_vector"))
-    q, b = q.where("_vector IS NOT NULL"), b.where("_vector IS NOT NULL")
+    q = queries.select(F.col(query_key).alias("_query"), F.col(query_vector).alias("_vector")).where("_vector IS NOT NULL")
+    b = base.select(F.col(key).alias("_key"), F.col(vector).alias("_vector")).where("_vector IS NOT NULL")
     out = _pairs_schema(q, b)
-    if q.isEmpty() or b.isEmpty():
+    first = b.select(F.size("_vector")).first()
+    if first is None or q.isEmpty():
         return q.sparkSession.createDataFrame([], out).select(*_result("_rank", query_key, key))
-    model = BucketedRandomProjectionLSH(
-        inputCol="_features",
-        outputCol="_hashes",
-        bucketLength=bucket_length,
-        numHashTables=tables * width,
-        seed=seed,
-    ).fit(q.withColumn("_features", array_to_vector("_vector")))  # reads the length of a vector
-    q, b = _buckets(model, q, tables, width), _buckets(model, b, tables, width)
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("_bucket").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-
-    shared = sized(cut_lineage(blocks(q, "_q_blocks").join(blocks(b, "_b_blocks"), "_bucket")))
-    left = _block(q.join(shared, "_bucket"), "_qb", "_rb", "_query", F.col("_q_blocks"), F.col("_b_blocks"))
-    right = _block(b.join(shared, "_bucket"), "_rb", "_qb", "_key", F.col("_b_blocks"), F.col("_q_blocks"))
+    planes = np.random.default_rng(seed).standard_normal((tables, width, first[0]))
+    sums = b.select("_vector").mapInArrow(topk.spread_of(planes), "n double, sum double, squares double")
+    n, total, squares = sums.agg(F.sum("n"), F.sum("sum"), F.sum("squares")).first()
+    length = spread * math.sqrt(max(0.0, squares / n - (total / n) ** 2)) if n else 0.0
+    length = length or 1.0  # all base vectors project to one place
+
+    kinds = [df.schema[0].dataType.simpleString() for df in (q, b)]
+    kind = q.schema["_vector"].dataType.simpleString(), b.schema["_vector"].dataType.simpleString()
+    probed = q.mapInArrow(topk.probe_rows(planes, length), f"_name {kinds[0]}, _vector {kind[0]}, _buckets array<bigint>, _margins array<double>")
+    hashed = b.mapInArrow(topk.hash_rows(planes, length), f"_name {kinds[1]}, _vector {kind[1]}, _buckets array<bigint>")
+    hashed = hashed.select(F.col("_name").alias("_key"), "_vector", F.explode("_buckets").alias("_bucket"))
+    sizes = cut_lineage(hashed.groupBy("_bucket").agg(F.count("*").alias("_rows")))
+    probes = probed.select(F.col("_name").alias("_query"), F.explode(F.arrays_zip("_buckets", "_margins")).alias("_p"))
+    probes = probes.groupBy("_query", F.col("_p._buckets").alias("_bucket")).agg(F.min("_p._margins").alias("_margin"))
+    # a query has tables * (1 + 2 * width * width) probes at most
+    nearer = Window.partitionBy("_query").orderBy("_margin", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_rows").over(nearer), F.lit(0))
+    probes = probes.join(sized(sizes), "_bucket").withColumn("_before", before)
+    probes = cut_lineage(probes.where(F.col("_before") < candidates * k).select("_query", "_bucket", "_rows"))
+    asked = probes.groupBy("_bucket").agg(
+        F.ceil(F.count("*") / block).cast("int").alias("_q_blocks"), F.ceil(F.max("_rows") / block).cast("int").alias("_b_blocks")
+    )
+    asked = sized(cut_lineage(asked))
+    q_rows = probes.select("_query", "_bucket").join(sized(q), "_query").join(asked, "_bucket")
+    left = _block(q_rows, "_qb", "_rb", "_query", F.col("_q_blocks"), F.col("_b_blocks"))
+    right = _block(hashed.join(asked, "_bucket"), "_rb", "_qb", "_key", F.col("_b_blocks"), F.col("_q_blocks"))
     group = ["_bucket", "_qb", "_rb"]
     found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(topk.scan_blocks(k), out)
     once = found.groupBy("_query", "_key").agg(F.min("_dist").alias("_dist"))
-    return _ranked(once, k, query_key, key)
+    ranked = cut_lineage(_ranked(once, k, query_key, key))
+    full = ranked.where(F.col("rn") == k).select(F.col(query_key).alias("_query"))
+    short = cut_lineage(probed.select(F.col("_name").alias("_query"), "_vector").join(sized(full), "_query", "left_anti"))
+    if short.isEmpty():
+        return ranked
+    finite = F.forall("_vector", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    exact = nearest(short, b.where(finite), k, "_query", "_vector", "_key", "_vector", block=block)
+    exact = exact.select(F.col("_query").alias(query_key), "rn", F.col("_key").alias(key), "dist")
+    few = short.select(F.col("_query").alias(query_key))
+    return ranked.join(sized(few), query_key, "left_anti").select(*exact.columns).unionByName(exact)

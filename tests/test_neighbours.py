@@ -107,10 +107,30 @@ def test_retrieve_without_queries_is_empty(spark):
     assert got.columns[:3] == ["similarity_query", "rn", "id"]
 
 
-def test_retrieve_refuses_more_queries_than_budget(spark):
-    queries = spark.createDataFrame([(str(i), [0.0] * 4) for i in range(4)], QUERY_SCHEMA)
-    with pytest.raises(ValueError):
-        neighbours.retrieve(queries, reviews(spark), total=3)
+def test_more_queries_than_the_budget_get_one_row_each(spark):
+    queries = spark.createDataFrame([(str(i), [float(i)] * 4) for i in range(4)], QUERY_SCHEMA)
+    rows = [(f"r{i}", [float(i)] * 4) for i in range(6)]
+    reviews = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(None).cast(t) for c, t in (("company", "string"), ("category", "int"), ("content", "string"))})
+    found = neighbours.retrieve(queries, reviews, total=3).collect()
+    assert sorted((r.similarity_query, r.id) for r in found) == [(str(i), f"r{i}") for i in range(4)]
+
+
+def test_a_side_is_held_by_its_bytes(spark):
+    """Whatever the strategy, the result is the same; a side above the bytes is never held."""
+    queries, base = make(1, 40, prefix="q"), make(2, 30)
+    asked, rows = spark.createDataFrame(queries, QUERY_SCHEMA), spark.createDataFrame(base, SCHEMA)
+    wanted = brute(queries, base, 3)
+    for held_bytes, form in ((10**9, "MapInArrow"), (0, "FlatMapCoGroupsInPandas")):
+        got = neighbours.nearest(asked, rows, 3, block=20, held_bytes=held_bytes)
+        assert form in got._jdf.queryExecution().executedPlan().toString() and found(got) == wanted
+
+
+def test_lsh_searches_short_queries_exactly(spark):
+    """Buckets so narrow that hardly any holds two rows: all neighbours are found nevertheless."""
+    queries, base = make(4, 12, prefix="q", missing=0), make(5, 40, missing=0)
+    asked, rows = spark.createDataFrame(queries, QUERY_SCHEMA), spark.createDataFrame(base, SCHEMA)
+    got = neighbours.nearest_lsh(asked, rows, 30, spread=1e-6, tables=2)
+    assert found(got) == brute(queries, base, 30)
 
 
 def test_nearest_name_breaks_ties_by_id(spark):
@@ -153,7 +173,7 @@ def test_lsh_splits_a_bucket_that_holds_everything(spark):
     """One long bucket: the blocks of it together give the exact result."""
     queries, base = make(4, 30, prefix="q", missing=0), make(5, 60, missing=0)
     asked, rows = spark.createDataFrame(queries, QUERY_SCHEMA), spark.createDataFrame(base, SCHEMA)
-    got = neighbours.nearest_lsh(asked, rows, 4, bucket_length=1000.0, tables=64, width=1, block=7)
+    got = neighbours.nearest_lsh(asked, rows, 4, spread=1000.0, tables=64, width=1, block=7)
     assert found(got) == brute(queries, base, 4)
 
 
