@@ -1,5 +1,7 @@
 """DuckDB SQL for the dealt operators that SQL can express."""
 
+from reviewmill.llm.url_reputation import SUFFIXES
+
 ORACLES: dict[str, str] = {}
 
 
@@ -20,18 +22,26 @@ def _level(number: int, name: str, above: str) -> str:
                   FROM p{number}, s{number})"""
 
 
+LISTED = ", ".join(f"'{suffix}'" for suffix in SUFFIXES)  # all of two labels
 ORACLES["op9_url_reputation"] = f"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
            FROM pages),
     parsed AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                          'abcdefghijklmnopqrstuvwxyz') AS host,
                       regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-    labelled AS (SELECT host, count(*) AS n, sum(CAST(quality = 1 AND toxic = 0 AS bigint)) AS k
-                 FROM parsed JOIN labels ON doc_id = try_cast(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1) AS bigint)
-                 WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY host),
-    hosts AS (SELECT host, coalesce(n, 0) AS n, coalesce(k, 0) AS k, regexp_extract(host, '[^.]*$') AS suffix,
-                     regexp_extract(host, '(?:[^.]*[.])?[^.]*$') AS domain
-              FROM (SELECT DISTINCT host FROM parsed) LEFT JOIN labelled USING (host)),
+    labelled AS (SELECT host, count(*) AS n, sum(CAST((quality = 1 AND toxic = 0) AS bigint)) AS k
+                 FROM parsed JOIN (SELECT DISTINCT page_id, try_cast(regexp_extract(path, '^/[a-z]+/([0-9]+)', 1) AS bigint) AS doc_id
+                                   FROM parsed) USING (page_id) JOIN labels USING (doc_id)
+                 WHERE (quality = 1 AND toxic = 0) IS NOT NULL GROUP BY host),
+    named AS (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', '') AS name FROM parsed),
+    labels_of AS (SELECT *, regexp_matches(name, '^(?:[0-9]{{1,3}}(?:[.][0-9]{{1,3}}){{3}}|\\[[^\\]]*\\])$') AS address,
+                         regexp_extract(name, '(?:[^.]*[.])?[^.]*$') IN ({LISTED}) AS listed FROM named),
+    hosts AS (SELECT host, coalesce(n, 0) AS n, coalesce(k, 0) AS k,
+                     CASE WHEN address THEN name WHEN listed THEN regexp_extract(name, '(?:[^.]*[.])?[^.]*$')
+                          ELSE regexp_extract(name, '[^.]*$') END AS suffix,
+                     CASE WHEN address THEN name WHEN listed THEN regexp_extract(name, '(?:[^.]*[.]){{0,2}}[^.]*$')
+                          ELSE regexp_extract(name, '(?:[^.]*[.])?[^.]*$') END AS domain
+              FROM labels_of LEFT JOIN labelled USING (host)),
     total AS (SELECT coalesce(sum(k) / nullif(sum(n), 0), 0.5) AS rate FROM hosts),
     {_level(1, "suffix", "''")}, {_level(2, "domain", "suffix")}, {_level(3, "host", "domain")},
     ruled AS (SELECT *, CASE

@@ -105,7 +105,7 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.regexp_extract(url_reputation.path_of(F.col("url")), r"^/[a-z]+/([0-9]+)", 1)
     numbered = pages.select("page_id", number.try_cast("bigint").alias("doc_id"))
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    outcomes = numbered.where("doc_id IS NOT NULL").join(labels.select("doc_id", good.alias("good")), "doc_id")
+    outcomes = numbered.where("doc_id IS NOT NULL").distinct().join(labels.select("doc_id", good.alias("good")), "doc_id")
     return url_reputation.judge_urls(pages, outcomes)
 
 

@@ -178,18 +178,19 @@ def judge_urls(
     z: float = Z,
     suffixes: Sequence[str] = SUFFIXES,
 ) -> DataFrame:
-    """Each page with its host, path, rule and verdict; ``outcomes`` holds (page key, good or not)."""
+    """Each page with its host, path, rule and verdict; ``outcomes`` holds (page key, good or not).
+
+    All outcomes of a page key count for each row of that key.
+    """
     parsed = pages.select(
         F.col(page_key).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")
     )
     known = outcomes.select(
         F.col(outcome_key).alias("page_id"), F.col(good).cast("boolean").alias("good")
     ).where("page_id IS NOT NULL AND good IS NOT NULL")
-    labelled = (
-        parsed.join(known, "page_id")
-        .groupBy("host")
-        .agg(F.count("*").alias("n"), F.sum(F.col("good").cast("bigint")).alias("k"))
-    )
+    # outcomes are added up first, so a repeated page key joins one row
+    known = known.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("bigint")).alias("k"))
+    labelled = parsed.join(known, "page_id").groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     hosts = (
         parsed.groupBy("host")
         .agg(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("k"))

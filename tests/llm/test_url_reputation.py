@@ -1,7 +1,10 @@
+import duckdb
 from pyspark.sql import functions as F
 from samples import rows_of
 
 from reviewmill.llm import url_reputation
+from reviewmill.llm.oracles import ORACLES
+from reviewmill.llm.queries import QUERIES
 
 PAGES = "page_id bigint, url string"
 
@@ -106,3 +109,33 @@ def test_empty_tables_and_useless_labels(spark):
     found = judge(spark, rows, [(None, True), (2, None), (9, False)])
     assert {(r.host, r.n_labelled, r.verdict) for r in found.collect()} == {("a.com", 0, "allow"), ("b.com", 0, "allow")}
     assert len(rows_of(found)) == 3
+
+
+def test_query_equals_its_sql_on_hosts_and_labels_of_all_kinds(spark, tmp_path):
+    hosts = [f"{name}.{site}" for name in ("a", "www", "x.y") for site in ("one.co.uk", "two.co.uk", "one.com", "bad.com.au", "org.uk", "co.uk", "net")]
+    hosts += ["one.com:8080", "user:pw@one.co.uk", "a@b@two.co.uk:", "10.0.0.1", "10.0.0.1:99", "[::1]:80", "1.2.3.4.5", "co.uk.", "", ".com", "x..co.uk", "ACME.Co.UK"]
+    rows, labels = [], []
+    for i, host in enumerate(hosts):
+        for j in range(12):
+            rows.append((100 * i + j, f"http://{host}/en/{100 * i + j}?q"))
+            quality, toxic = ((1, 0), (0, 0), (0, None), (1, None), (None, 1), (None, 0), (None, None), (0, 1))[(i * j + j) % 8]
+            if (i + j) % 5:
+                labels.append((100 * i + j, 0 if "bad" in host or i % 7 == 3 else quality, toxic))
+    rows += [(None, "http://one.com/en/3"), (7, "http://a.one.co.uk/en/7"), (8, None), (9, "no url"), (10, "http://other.co.uk/en/11")]
+    spark.createDataFrame(rows, PAGES).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = QUERIES["op9_url_reputation"](spark, str(tmp_path))
+    duck = duckdb.connect()
+    for name in ("pages", "labels"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    result = duck.execute(ORACLES["op9_url_reputation"])
+    columns = [c[0] for c in result.description]
+    wanted = sorted(result.fetchall(), key=repr)
+    assert rows_of(found.select(*columns)) == wanted
+    at = columns.index("verdict")
+    assert {row[at] for row in wanted} == {"allow", "block"} and len(wanted) == len(rows)
+
+
+def test_main_path_has_no_python_workers(spark, sf_dir):
+    plan = QUERIES["op9_url_reputation"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "InArrow"))
