@@ -236,7 +236,7 @@ def fingerprint_documents(
     both = F.filter(F.array(own, copy), lambda x: x.block.isNotNull())
     dealt = placed.select(F.explode(both).alias("to"), "order", "_key", "hash", "packed")
     dealt = dealt.select("to.block", "to.copied", "order", "_key", "hash", "packed")
-    sorted_rows = dealt.repartition(len(bounds) + 1, "block").sortWithinPartitions("block", "copied", "order", "hash")
+    sorted_rows = dealt.repartitionById(len(bounds) + 1, "block").sortWithinPartitions("block", "copied", "order", "hash")
     schema = (
         "_key bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
         "edited_fingerprint string, near_edited double, near_next double"

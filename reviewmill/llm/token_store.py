@@ -193,7 +193,7 @@ def write(
         _frames(tokenizer, end, width, dictionary),
         "block int, key bigint, n_ids bigint, crc bigint, frame binary",
     )
-    ordered = frames.repartition(blocks, "block").sortWithinPartitions("block", "key", "crc", "n_ids")
+    ordered = frames.repartitionById(blocks, "block").sortWithinPartitions("block", "key", "crc", "n_ids")
     written = ordered.mapInArrow(_write(folder, header), "block int, file string, n_docs bigint, n_ids bigint")
     written.write.parquet(f"{folder}/manifest")
     return folder
@@ -270,5 +270,5 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     starts = files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("bigint"))
     tasks = max(1, files.count())
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary"
-    listed = starts.select("file", "start").repartition(tasks, "file")
+    listed = starts.repartitionById(tasks, F.col("block")).select("file", "start")
     return listed.mapInArrow(_read(folder, dictionary, with_ids), schema)
