@@ -671,3 +671,31 @@ for over_counts, over_rows in (
     ORACLES[over_counts] = ORACLES[over_rows].replace(VIEWS["rv_orders"], EDITED)
 ORACLES["knn_blocks"] = ORACLES["knn_all_vectors"]
 ORACLES["knn_lsh_recall"] = "SELECT 5 * count(*) AS n_neighbours, true AS recall_reached FROM embeddings"
+ORACLES["embed_text_words"] = r"""
+SELECT doc_id, CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 1.0::double ELSE 0.0::double END AS likeness,
+       true AS places FROM documents"""
+ORACLES["reports_without_rows"] = """
+SELECT 'ratings piecharts by review category for single company' AS report, 5 AS n_rows UNION ALL
+SELECT unnest(['ratings piechart for single company', 'ratings time series for single company',
+               'ratings and review count time series comparing companies', 'ratings distribution comparing companies']), 0"""
+ORACLES["report_values_by_name"] = _with(
+    "rv_orders",
+    f""", r AS (SELECT * FROM rv_orders WHERE company IN ('NATION_4', 'NATION_9') AND ts BETWEEN '1996-01-01' AND '1998-12-31'),
+    l(code, label) AS (VALUES (0, 'Andet'), (1, 'Kundeservice'), (2, 'Rådgivning'), (3, 'mobil/net bank'), (4, 'Gebyrer/renter')),
+    m AS (SELECT unnest(generate_series((SELECT date_trunc('month', min(ts)) FROM r)::timestamp, (SELECT max(ts) FROM r),
+                                        INTERVAL 1 MONTH)) AS start),
+    cm AS (SELECT company, unnest(generate_series(date_trunc('month', min(ts))::timestamp, max(ts), INTERVAL 1 MONTH)) AS start
+           FROM r GROUP BY company),
+    n AS (SELECT company, date_trunc('month', ts)::timestamp AS start, count(*) AS n,
+                 count(*) FILTER (rating = 1) + 10 * count(*) FILTER (rating = 5) AS stars FROM r GROUP BY ALL)
+    SELECT 'ratings piechart for single company' AS report, CAST(rating AS varchar) AS row, count(*) AS measure FROM r GROUP BY rating
+    UNION ALL
+    SELECT 'ratings piecharts by review category for single company', label, count(rating)
+    FROM l LEFT JOIN r ON category = code GROUP BY label UNION ALL
+    SELECT 'ratings time series for single company', CAST(last_day(m.start::date) AS varchar), CAST(coalesce(sum(stars), 0) AS bigint)
+    FROM m LEFT JOIN n ON m.start = n.start GROUP BY m.start UNION ALL
+    SELECT 'ratings and review count time series comparing companies', company || '|' || last_day(cm.start::date), coalesce(n, 0)
+    FROM cm LEFT JOIN n USING (company, start) UNION ALL
+    SELECT 'ratings distribution comparing companies', company,
+           CAST(round(10 * {_round('100.0 * count(*) FILTER (WHERE rating = 3) / count(*)', 1)}) AS bigint) FROM r GROUP BY company""",
+)

@@ -701,6 +701,35 @@ def pick_granularity(spark, sf_dir):
     return found[0].union(found[1]).union(found[2])
 
 
+@query
+def reports_without_rows(spark, sf_dir):
+    """Every report of a selection that no review passes: no rows, but for the labels of categories."""
+    rows = fixtures.order_reviews(spark, sf_dir)
+    built = actions.build_reports(rows, actions.Metadata(["nobody"], "1999-01-01"), list(reports.REPORTS))
+    counts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("report"), "n_rows") for name, df in built.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query
+def report_values_by_name(spark, sf_dir):
+    """Reports of a request by their names, one measure of each row."""
+    rows = fixtures.order_reviews(spark, sf_dir)
+    metadata = actions.Metadata(["NATION_4", "NATION_9"], "1996-01-01", "1998-12-31")
+    measures = {
+        REPORT_CATEGORY_STARS: (F.col("category"), F.col("total")),
+        REPORT_RATING_SHARE: (F.col("rating").cast("string"), F.col("count")),
+        REPORT_RATING_SERIES: (F.col("period").cast("string"), F.col("stars_1") + 10 * F.col("stars_5")),
+        REPORT_COMPARE_SERIES: (F.concat_ws("|", "company", "period"), F.col("count")),
+        REPORT_COMPANY_STARS: (F.col("company"), F.round(10 * F.col("pct_stars_3")).cast("bigint")),
+    }
+    built = actions.build_reports(rows, metadata, list(measures))
+    parts = [
+        df.select(F.lit(name).alias("report"), measures[name][0].alias("row"), measures[name][1].cast("bigint").alias("measure"))
+        for name, df in built.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def report_by_name(spark, sf_dir):
     """All five reports of a request, their rows counted."""
@@ -912,6 +941,22 @@ def embed_text(spark, sf_dir):
     )
 
 
+@query
+def embed_text_words(spark, sf_dir):
+    """Default embedding against its words: their order does not matter, each word fills one place at most."""
+    docs = fixtures.table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    docs = docs.withColumn("words", words).withColumn("reversed", F.array_join(F.reverse("words"), " "))
+    both = embedding.embed_text(embedding.embed_text(docs, "text", "one"), "reversed", "other")
+    dot = F.aggregate(F.zip_with("one", "other", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, b: a + b)
+    filled = F.size(F.filter("one", lambda x: x != 0))
+    return both.select(
+        "doc_id",
+        F.round(dot, 4).alias("likeness"),
+        ((filled <= F.size(F.array_distinct("words"))) & ((filled > 0) == (F.size("words") > 0))).alias("places"),
+    )
+
+
 @query
 def parse_dates(spark, sf_dir):
     """Order dates written in different forms and read again."""

@@ -135,7 +135,9 @@ def changed(
     of arrival. ``size`` bounds the incoming rows, if a bound is known already.
     """
     stored = target.select(key, version)
-    size = size or measure(incoming.select(key))
+    if size is None:  # written once, as it is measured, looked up and joined
+        incoming = cut_lineage(incoming)
+        size = measure(incoming.select(key))
     if size.small:
         # Keys are unique in the target, so no more rows are left than came in.
         stored = F.broadcast(only_keys(stored, incoming, [key], size))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reviewmill.fixed_values import PREVIEW_ROWS
 
 PAYLOAD_KEYS = ("company", "category", "similarity_query")
+PAYLOAD_BYTES = 16 * 1024 * 1024
 
 
 def review_payload(
@@ -27,8 +28,14 @@ def review_payload(
     return complete.groupBy(*keys).agg(F.transform(ranked, lambda r: r["_text"]).alias("reviews"))
 
 
-def payload_json(payload: DataFrame, keys: Sequence[str] = PAYLOAD_KEYS) -> DataFrame:
-    """One row: the whole payload of a request as a JSON array, groups in key order."""
+def payload_json(payload: DataFrame, keys: Sequence[str] = PAYLOAD_KEYS, max_bytes: int = PAYLOAD_BYTES) -> DataFrame:
+    """One row: the whole payload of a request as a JSON array, groups in key order.
+
+    A payload is one text for one prompt; one that was measured to have more than ``max_bytes`` is an error.
+    """
+    size = payload.agg(F.sum(F.octet_length(F.to_json(F.struct(*keys, "reviews"))))).first()[0] or 0
+    if size > max_bytes:
+        raise ValueError(f"a payload of {size} bytes is no prompt; draw a smaller sample")
     groups = F.sort_array(F.collect_list(F.struct(*keys, "reviews")))
     return payload.agg(F.to_json(groups, {"ignoreNullFields": "false"}).alias("payload"))
 

@@ -124,6 +124,14 @@ def test_payload_groups_in_order_and_drops_missing_keys(spark):
     assert text.startswith('[{"company":"A","category":"x","similarity_query":"q","reviews":["één","zwei"]}')
 
 
+def test_a_payload_beyond_its_bytes_is_an_error(spark):
+    df = make(spark, {"a": 50}).withColumn("rn", F.lit(1))
+    grouped = payload.review_payload(df)
+    assert payload.payload_json(grouped, max_bytes=5_000).count() == 1
+    with pytest.raises(ValueError, match="bytes"):
+        payload.payload_json(grouped, max_bytes=500)
+
+
 def test_csv_preview_and_template(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b", c', None), (2, "æ", 0.5)], "n int, t string, x double")
     assert [r.line for r in payload.csv_lines(df).collect()] == ["n,t,x", '1,"a \\"b\\", c",', "2,æ,0.5"]
