@@ -42,9 +42,11 @@ OTHER_SCRIPT = -200.0
 SCRIPT_SHARE = 0.01
 KEPT_WORDS = 300_000
 SLICE_BYTES = 4_000_000
+PART_CHARS = 1_000_000
 MIN_SCORE = 0.5
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
+SPACE = re.compile(r"\s")
 
 # First code points of the ranges of scripts (Unicode blocks), and their names.
 SCRIPTS = (
@@ -93,20 +95,31 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def _parts(text: str) -> Iterator[str]:
+    """Parts of about ``PART_CHARS`` characters, cut behind white space."""
+    start = 0
+    while start < len(text):
+        cut = SPACE.search(text, start + PART_CHARS)
+        stop = cut.end() if cut else len(text)
+        yield text[start:stop]
+        start = stop
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task function: trigrams per language and bucket, letters per language and script."""
     grams: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
     for batch in sliced_by_bytes(batches, 1, SLICE_BYTES):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = [w for w in words_of(text or "") if w.isalpha()]
-            if not words:
-                continue
-            buckets, lengths = _trigrams(words)
-            grams.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            grams[lang] += np.bincount(buckets, minlength=BUCKETS)
-            scripts.setdefault(lang, np.zeros(len(SCRIPT_NAMES), np.int64))
-            scripts[lang] += np.bincount(_scripts(words), lengths, len(SCRIPT_NAMES)).astype(np.int64)
+            for part in _parts(text or ""):
+                words = [w for w in words_of(part) if w.isalpha()]
+                if not words:
+                    continue
+                buckets, lengths = _trigrams(words)
+                grams.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                grams[lang] += np.bincount(buckets, minlength=BUCKETS)
+                scripts.setdefault(lang, np.zeros(len(SCRIPT_NAMES), np.int64))
+                scripts[lang] += np.bincount(_scripts(words), lengths, len(SCRIPT_NAMES)).astype(np.int64)
     for kind, counts in (("gram", grams), ("script", scripts)):
         for lang, values in counts.items():
             at = np.flatnonzero(values)
@@ -160,9 +173,16 @@ class Scorer:
         known = uses.any(axis=1)
         return np.where(known[:, None], sums - sums.max(axis=1, keepdims=True), 0.0), known
 
-    def places_of(self, texts: list[list[str]]) -> list[np.ndarray]:
+    def forget(self) -> None:
+        """Start anew if too many words are kept; places found before no longer hold."""
         if len(self.places) > KEPT_WORDS:
             self._clear()
+
+    def places_of_text(self, text: str) -> np.ndarray:
+        """Places of the words of a long text, a part of it at a time."""
+        return np.concatenate([self.places_of([words_of(part)])[0] for part in _parts(text)])
+
+    def places_of(self, texts: list[list[str]]) -> list[np.ndarray]:
         new = list(set().union(*texts).difference(self.places)) if texts else []
         if new:
             self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
@@ -184,7 +204,7 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.nda
     starts, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
     longest = int(sizes[0]) if len(sizes) else 0
     active = np.searchsorted(-sizes, -np.arange(longest), side="left")  # texts longer than a step
-    path = np.zeros(len(scores), np.int64)
+    path = np.zeros(len(scores), np.int16)
     stays = np.empty((len(scores), scores.shape[1]), bool)  # in the order of the steps
     bests = np.empty(len(scores), np.int16)
     places = np.concatenate([[0], np.cumsum(active)])
@@ -224,8 +244,11 @@ class Prediction(NamedTuple):
 def predict_texts(texts: list[str | None], scorer: Scorer, switch: float) -> Prediction:
     model = scorer.model
     n_languages = len(model.languages)
-    split = [words_of(t) if t and n_languages else [] for t in texts]
-    places = scorer.places_of(split)
+    scorer.forget()
+    long = {i: t for i, t in enumerate(texts) if t and n_languages and len(t) > PART_CHARS}
+    places = scorer.places_of([words_of(t) if t and n_languages and i not in long else [] for i, t in enumerate(texts)])
+    for i, text in long.items():
+        places[i] = scorer.places_of_text(text)
     lengths = np.array([len(p) for p in places], np.int64)
     flat = np.concatenate(places) if places else np.zeros(0, np.int64)
     path = best_paths(scorer.scores[flat], lengths, switch)

@@ -89,3 +89,26 @@ def test_held_out_accuracy(spark, sf_dir):
     found = language_id.predict(docs, model).join(docs, "doc_id").where(language_id.held_out(F.col("doc_id"))).collect()
     assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in found)
     assert np.mean([r.lang == r.lang_pred for r in found]) >= 0.98
+
+
+def test_a_long_text_is_read_in_parts(model, monkeypatch):
+    text = " ".join(f"{ENGLISH}. {GERMAN}\u2003{GREEK}!" for _ in range(40)) + "x" * 3000
+    scorer = language_id.Scorer(model)
+    whole = language_id.predict_texts([text, ENGLISH, None, text], scorer, language_id.SWITCH)
+    monkeypatch.setattr(language_id, "PART_CHARS", 100)
+    parts = language_id.predict_texts([text, ENGLISH, None, text], language_id.Scorer(model), language_id.SWITCH)
+    assert parts.language == whole.language and (parts.score == whole.score).all()
+    assert all((a == b).all() for a, b in zip(parts.paths, whole.paths)) and len(whole.paths[0]) > 1000
+
+
+def test_memory_of_a_long_text(model):
+    """Numbers for each word, not objects: less than 60 bytes for a character at the peak."""
+    import tracemalloc
+
+    text = (ENGLISH + " " + GERMAN + "\n") * 2_000
+    scorer = language_id.Scorer(model)
+    tracemalloc.start()
+    found = language_id.predict_texts([text], scorer, language_id.SWITCH)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.language[0] in ("en", "de") and peak < 60 * len(text)
