@@ -22,11 +22,15 @@ once, and a pattern or instance with a third of all mentions is one row per task
 smaller side by measured size, else they shuffle and adaptive execution splits hot keys.
 
 Positions come from cutting a text at the matches: lengths of gaps and matches add up. The forms
-are written with possessive quantifiers, so a match takes time in proportion to its text.
+are written with possessive quantifiers, so a match takes time in proportion to its text. Texts
+with many spans are not walked again for each: what stands left of a span or between two is read
+from pages of the text, and running sums are taken in two levels, so ``n`` spans take ``n ** 1.5``
+copies of a number at most.
 
 Defined results
 ---------------
 * Text NULL is empty: no spans. Very long texts and texts with many spans are treated as others.
+* Identifiers found in contexts have six characters and three digits at least.
 * Rows with NULL or repeated keys are treated one by one; equal rows have equal spans.
 * Words of a context and the white space between them may have any length; words that are alike in
   their last ``WORD_CHARS`` characters are the same. A span with no word before it has no context.
@@ -37,6 +41,7 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -54,8 +59,10 @@ MIN_TRUST = 0.5
 CONTEXT_CHARS = (64, 4096)  # looked at before the whole text to the left
 WORD_CHARS = 64
 FOUND = "id"
+PAGE_CHARS = 1024
 
 SPAN = "array<struct<start:bigint,stop:bigint,kind:int,text:string>>"
+MENTION = "array<struct<start:bigint,stop:bigint,patterns:array<string>,instance:bigint>>"
 
 
 class Kind(NamedTuple):
@@ -83,6 +90,14 @@ OPENING = r"(?<!\S)[\"'(<\[]\z"
 LAST_WORDS = r"(?:(?<!\S)(\S++)(\s++)(?=\S))?+(?<!\S)(\S++)(\s*+)$"
 WHOLE_WORDS = r"(?<=\s)\S++\s++\S++\s*+$"
 LINE_BREAK = r"[\n\r]"
+PAGE = rf"(?s).{{1,{PAGE_CHARS}}}"
+HEAD = r"(?<!\S)\S++(?:\s++\S++){0,2}\s*+\z"
+SHORTENED = (
+    (r"(?<!\s)[^\S\n\r]*+[\n\r]\s*+", "\n"),
+    (r"[^\S\n\r]{2,}+", " "),
+    (r"[0-9]++", "0"),
+    (rf"(?<!\S)(?=\S{{{2 * WORD_CHARS + 1}}})\S+(\S{{{2 * WORD_CHARS}}})(?!\S)", "$1"),
+)
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 
@@ -107,19 +122,74 @@ def _fits(kind: int, text: Column) -> Column:
     return length.between(9, 15) if name == "phone" else F.lit(True)
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often lambdas within refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """What ``combine`` makes of the numbers up to each, in chunks of about the root of their count."""
+    none = F.array().cast("array<bigint>")
+
+    def inside(chunk: Column) -> Column:
+        def step(done: Column, value: Column) -> Column:
+            last = F.element_at(done, -1)
+            return F.concat(done, F.array(F.when(F.size(done) == 0, value).otherwise(combine(last, value))))
+
+        return F.aggregate(chunk, none, step)
+
+    def joined(chunks: Column) -> Column:
+        ends = inside(F.transform(chunks, lambda c: F.element_at(c, -1)))
+        return _with(
+            ends,
+            lambda e: F.flatten(
+                F.transform(
+                    chunks,
+                    lambda c, i: F.when(i == 0, c).otherwise(F.transform(c, lambda v: combine(F.get(e, i - 1), v))),
+                )
+            ),
+        )
+
+    def cut(array: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(array))).cast("int")
+        starts = F.sequence(F.lit(1), F.size(array), width)
+        return _with(F.transform(starts, lambda at: inside(F.slice(array, at, width))), joined)
+
+    return _with(values, lambda array: F.when(F.size(array) == 0, none).otherwise(cut(array)))
+
+
+def _pages(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(PAGE), F.lit(0))
+
+
+def _between(pages: Column, start: Column, stop: Column) -> Column:
+    """The characters from ``start`` to before ``stop``, read from the pages they are on."""
+    first = F.floor(start / PAGE_CHARS).cast("int")
+    count = F.floor((stop - 1) / PAGE_CHARS).cast("int") - first + 1
+    part = F.array_join(F.slice(pages, first + 1, count), "")
+    part = F.substring(part, (start - first * PAGE_CHARS + 1).cast("int"), (stop - start).cast("int"))
+    return F.when(stop > start, part).otherwise("")
+
+
 def _matches(text: Column, form: str, kind: int) -> Column:
     """Every match with its place in code points."""
-    gaps, found = F.split(text, form), F.regexp_extract_all(text, F.lit(form), F.lit(0))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans"))
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["text"])
-        span = F.struct(begin.alias("start"), end.alias("stop"), F.lit(kind).alias("kind"), pair["text"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+    def placed(cut: Column) -> Column:
+        gaps, found = cut["gaps"], cut["found"]
+        lengths = F.zip_with(
+            F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, t: (F.length(g) + F.length(t)).cast("bigint")
+        )
+        stops = _running(lengths, lambda before, length: before + length)
+        return F.zip_with(
+            stops,
+            found,
+            lambda stop, t: F.struct(
+                (stop - F.length(t)).alias("start"), stop.alias("stop"), F.lit(kind).alias("kind"), t.alias("text")
+            ),
+        )
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, t: F.struct(g.alias("gap"), t.alias("text")))
-    return F.aggregate(pairs, start, step, lambda state: state["spans"])
+    gaps, found = F.split(text, form), F.regexp_extract_all(text, F.lit(form), F.lit(0))
+    return _with(F.struct(gaps.alias("gaps"), found.alias("found")), placed)
 
 
 def _spans_of(text: Column, kind: int) -> Column:
@@ -138,22 +208,38 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(ordered)
 
 
-def _left(text: Column, start: Column) -> Column:
+def _left(pages: Column, heads: Column, start: Column) -> Column:
     """The last two words left of a place with the white space after each, or the one there is.
 
     Words and gaps may have any length: where the nearest characters do not show both words whole,
-    more are taken.
+    more are taken, in the end the page up to there after the head of its page.
     """
-    found = None
-    for width in (None, *reversed(CONTEXT_CHARS)):
-        taken = start if width is None else F.least(start, F.lit(width).cast("bigint"))
-        before = F.substring(text, (start - taken + 1).cast("int"), taken.cast("int"))
-        before = F.regexp_replace(before, OPENING, "")
+    first = F.floor(start / PAGE_CHARS).cast("int")
+    found = F.concat(F.get(heads, first), _between(pages, first * F.lit(PAGE_CHARS).cast("bigint"), start))
+    found = F.regexp_extract(F.regexp_replace(found, OPENING, ""), LAST_WORDS, 0)
+    for width in reversed(CONTEXT_CHARS):
+        before = F.regexp_replace(_between(pages, F.greatest(start - width, F.lit(0).cast("bigint")), start), OPENING, "")
         words = F.regexp_extract(before, LAST_WORDS, 0)
-        found = words if found is None else F.when((start <= width) | before.rlike(WHOLE_WORDS), words).otherwise(found)
+        found = F.when((start <= width) | before.rlike(WHOLE_WORDS), words).otherwise(found)
     return found
 
 
+def _heads(pages: Column) -> Column:
+    """For every page the last three words before it (one may be an opening bracket), with their gaps.
+
+    Kept is what patterns tell apart: of a gap whether it holds a line break, of a run of digits
+    that it is there, of a word its last ``2 * WORD_CHARS`` characters.
+    """
+
+    def step(done: Column, page: Column) -> Column:
+        read = F.regexp_extract(F.concat(F.element_at(done, -1), page), HEAD, 0)
+        for form, kept in SHORTENED:
+            read = F.regexp_replace(read, form, kept)
+        return F.concat(done, F.array(read))
+
+    return F.aggregate(pages, F.array(F.lit("")), step)
+
+
 def _word(word: Column) -> Column:
     return F.right(F.regexp_replace(F.lower(word), r"[0-9]+", "0"), F.lit(WORD_CHARS))
 
@@ -180,32 +266,72 @@ def _mentions(text: Column, spans: Column) -> Column:
     """Tokens that look like identifiers, outside of the base spans, with their patterns."""
     tokens = F.when(text.rlike("[0-9]"), _matches(text, IDENTIFIER, len(KINDS))).otherwise(F.array().cast(SPAN))
     likely = F.filter(tokens, lambda t: F.length(_digits(t["text"])) >= 3)
-    free = F.filter(likely, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"])))
-    return _in_context(text, free)
+    return _in_context(text, _outside(_instances(likely), spans))
 
 
-def _in_context(text: Column, spans: Column) -> Column:
-    """``spans`` with their patterns and instances."""
-    placed = F.transform(
-        spans,
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            s["stop"].alias("stop"),
-            _left(text, s["start"]).alias("left"),
-            F.xxhash64(s["text"]).alias("instance"),
-        ),
-    )
+def _instances(spans: Column) -> Column:
     return F.transform(
-        placed,
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            s["stop"].alias("stop"),
-            _patterns(s["left"]).alias("patterns"),
-            s["instance"].alias("instance"),
-        ),
+        spans,
+        lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.xxhash64(s["text"]).alias("instance")),
     )
 
 
+def _outside(tokens: Column, spans: Column) -> Column:
+    """The tokens that overlap no span: none of the spans that start before their end reaches them."""
+
+    def event(at: Column, is_span: int, other: Column, instance: Column) -> Column:
+        return F.struct(
+            at.alias("at"), F.lit(is_span).alias("is_span"), other.alias("other"), instance.alias("instance")
+        )
+
+    ends = F.transform(tokens, lambda t: event(t["stop"], 0, t["start"], t["instance"]))
+    starts = F.transform(spans, lambda s: event(s["start"], 1, s["stop"], F.lit(0).cast("bigint")))
+
+    def free(events: Column) -> Column:
+        reach = _running(
+            F.transform(events, lambda e: F.when(e["is_span"] == 1, e["other"]).otherwise(F.lit(0).cast("bigint"))),
+            lambda a, b: F.greatest(a, b),
+        )
+        told = F.zip_with(
+            events,
+            reach,
+            lambda e, r: F.when(
+                (e["is_span"] == 0) & (r <= e["other"]),
+                F.struct(e["other"].alias("start"), e["at"].alias("stop"), e["instance"].alias("instance")),
+            ),
+        )
+        return F.filter(told, lambda t: t.isNotNull())
+
+    return _with(F.sort_array(F.concat(ends, starts)), free)
+
+
+def _in_context(text: Column, spans: Column) -> Column:
+    """``spans`` (start, stop, instance) with their patterns."""
+
+    def placed(read: Column) -> Column:
+        lefts = F.transform(
+            read["spans"],
+            lambda s: F.struct(s.alias("span"), _left(read["pages"], read["heads"], s["start"]).alias("left")),
+        )
+        return F.transform(
+            lefts,
+            lambda s: F.struct(
+                s["span"]["start"].alias("start"),
+                s["span"]["stop"].alias("stop"),
+                _patterns(s["left"]).alias("patterns"),
+                s["span"]["instance"].alias("instance"),
+            ),
+        )
+
+    def read(known: Column) -> Column:
+        paged = _with(
+            _pages(text), lambda p: F.struct(p.alias("pages"), _heads(p).alias("heads"), known.alias("spans"))
+        )
+        return F.when(F.size(known) == 0, F.array().cast(MENTION)).otherwise(_with(paged, placed))
+
+    return _with(spans, read)
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, hash of the text, base ``spans``, ``seeds`` and ``mentions`` of every row."""
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -214,7 +340,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         "_key",
         F.xxhash64("_text").alias("_hash"),
         F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["stop"])).alias("spans"),
-        _in_context(F.col("_text"), F.col("spans")).alias("seeds"),
+        _in_context(F.col("_text"), _instances(F.col("spans"))).alias("seeds"),
         _mentions(F.col("_text"), F.col("spans")).alias("mentions"),
     )
 
@@ -325,18 +451,20 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", **learning) -
 def masked(text: Column, spans: Column) -> Column:
     """``text`` with the name of the kind in place of every span; what overlaps is masked once."""
     names = F.array(*[F.lit(f"[{k.name.upper()}]") for k in KINDS], F.lit(f"[{FOUND.upper()}]"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    nowhere = F.lit(0).cast("bigint")
 
-    def step(state: Column, span: Column) -> Column:
-        kept = F.substring(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
-        more = F.struct(span["stop"].alias("at"), F.concat(state["out"], kept, F.get(names, span["kind"])).alias("out"))
-        over = F.struct(F.greatest(state["at"], span["stop"]).alias("at"), state["out"].alias("out"))
-        return F.when(span["start"] >= state["at"], more).otherwise(over)
+    def cut(read: Column) -> Column:
+        def part(span: Column, number: Column) -> Column:
+            before = F.when(number == 0, nowhere).otherwise(F.get(read["reach"], number - 1))
+            kept = F.concat(_between(read["pages"], before, span["start"]), F.get(names, span["kind"]))
+            return F.when(span["start"] >= before, kept).otherwise("")
 
-    def end(state: Column) -> Column:
-        return F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"), F.length(text)))
+        rest = _between(read["pages"], F.element_at(read["reach"], -1), F.length(text).cast("bigint"))
+        return F.concat(F.array_join(F.transform(spans, part), ""), rest)
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, end)).otherwise(text)
+    reach = _running(F.transform(spans, lambda s: s["stop"]), lambda a, b: F.greatest(a, b))
+    read = F.struct(_pages(text).alias("pages"), reach.alias("reach"))
+    return F.when(F.size(spans) > 0, _with(read, cut)).otherwise(text)
 
 
 def mask_documents(

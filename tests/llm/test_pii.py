@@ -151,3 +151,56 @@ def test_only_dataframe_functions(spark):
 def test_luhn(spark):
     rows = spark.createDataFrame([("79927398713",), ("79927398710",), ("0",)], "d string")
     assert [r[0] for r in rows.select(pii._luhn(F.col("d"))).collect()] == [True, False, True]
+
+
+def test_many_spans_in_one_text(spark):
+    pieces = ["jo{0}@mail.example.com", "10.0.{1}.7", "+49 (30) 1234{0}", "4929 3483 8514 6306", "key-{0}-97", "😀 word", "é\n"]
+    text = " ".join(pieces[i * i % 11 % 7].format(10000 + i, i % 256) for i in range(20_000))
+    docs = documents(spark, [(1, text, "en"), (2, "a@b.c," * 3000, "en")])
+    found = {r.doc_id: r.spans.split(",") for r in pii.find(docs).collect()}
+    assert found[1] == base(text) and len(found[1]) > 5_000
+    assert found[2] == base("a@b.c," * 3000)
+    masked, at = [], 0
+    for kind, start, stop in (s.split(":") for s in found[1]):
+        if int(start) >= at:
+            masked += [text[at : int(start)], f"[{kind.upper()}]"]
+        at = max(at, int(stop))
+    result = {r.doc_id: r.text for r in pii.mask_documents(docs).collect()}
+    assert result[1] == "".join([*masked, text[at:]])
+    assert result[2] == "[EMAIL]," * 3000
+
+
+def test_overlapping_spans_are_masked_once(spark):
+    text = "ab" * 1500
+    spans = [(0, 0, 3), (2, 1, 2050), (5, 2, 7), (2050, 4, 2051), (2999, 3, 3000)]
+    rows = spark.createDataFrame([(text, spans), (text, [])], "t string, s array<struct<start:bigint,kind:int,stop:bigint>>")
+    masked = [r[0] for r in rows.select(pii.masked(F.col("t"), F.col("s"))).collect()]
+    assert masked == ["[EMAIL][ID]" + text[2051:2999] + "[PHONE]", text]
+
+
+def test_patterns_left_of_a_place_do_not_depend_on_pages(spark):
+    long = "w" * 900 + "1234" * 300 + "v" * 70
+    texts = [("x " * i + form) * 3 for i in (0, 505, 511, 512) for form in ("a bb (", f"a {long}", f"{long}\n\t" + " " * 1100 + "b ", "é 😀 c:")]
+    rows = spark.createDataFrame([(n, t, len(t)) for n, t in enumerate(texts)], "n int, t string, at bigint")
+    instance = F.array(F.struct(F.col("at").alias("start"), (F.col("at") + 1).alias("stop"), F.lit(1).cast("bigint").alias("instance")))
+    found = rows.select("n", pii._in_context(F.concat("t", F.lit("7")), instance)[0]["patterns"]).collect()
+
+    def word(text):
+        return re.sub("[0-9]+", "0", text.lower())[-64:]
+
+    for n, patterns in found:
+        left = re.sub(r"(?<!\S)[\"'(<\[]\Z", "", texts[n])
+        *first, last = re.findall(r"\S+", left)
+        wanted = [f"{word(first[-1])} {word(last)}" if first else "\n " + word(last)]
+        if first and "\n" in re.search(r"(\s+)\S+\s*\Z", left)[1] and "\n" not in re.search(r"\s*\Z", left)[0]:
+            wanted.append("\n " + word(last))
+        assert patterns == wanted, n
+
+
+def test_tokens_outside_of_spans(spark):
+    tokens, spans = [(0, 5), (7, 9), (12, 20), (30, 31)], [(1, 0, 2), (9, 1, 12), (10, 2, 11), (15, 1, 40), (16, 0, 17)]
+    schema = "t array<struct<start:bigint,stop:bigint,instance:bigint>>, s array<struct<start:bigint,kind:int,stop:bigint>>"
+    data = [([(a, b, a) for a, b in tokens], s) for s in (spans, spans[1:], spans[1:3], [])]
+    left = spark.createDataFrame(data, schema).select(pii._outside(F.col("t"), F.col("s"))).collect()
+    wanted = [[t for t in tokens if not any(a < t[1] and t[0] < b for a, _, b in s)] for _, s in data]
+    assert [[(m.start, m.stop) for m in r[0]] for r in left] == wanted
