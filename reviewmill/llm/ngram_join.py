@@ -310,26 +310,34 @@ def _links(sets: DataFrame, measure: Measure, block_sets: int, block_grams: int)
 
 
 def _across(sets: DataFrame, tied: DataFrame, measure: Measure, block_sets: int, block_grams: int) -> DataFrame:
-    """Links between the blocks of units that are still in several parts."""
+    """Links between the blocks of units that are still in several parts.
+
+    Of two parts at least one is not the largest of its unit, so only the sets outside the largest
+    parts are compared with all blocks. A group of copies with a third of all sets is copied once
+    for every block of sets outside of it, and never compared with itself.
+    """
     known = sized(components(tied, "part", "joined"))
     parts = sets.join(known, F.col("key") == F.col("node"), "left")
     parts = parts.withColumn("part", F.coalesce("component", "key")).drop("node", "component")
-    open_units = parts.groupBy("unit").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    parts = parts.join(sized(cut_lineage(open_units.where("low < high").select("unit"))), "unit", "left_semi")
-    blocked = _blocked(parts, 0, block_sets, block_grams).where("blocks > 1")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = blocked.withColumn("_other", other).where("_other <> block")
-    pairs = pairs.select(
-        "unit",
-        F.least("block", "_other").alias("low_block"),
-        F.greatest("block", "_other").alias("high_block"),
-        (F.col("block") > F.col("_other")).cast("int").alias("side"),
-        "key",
-        "size",
-        "part",
-        "grams",
+    counts = parts.groupBy("unit", "part").agg(F.count("*").alias("sets"))
+    largest = counts.groupBy("unit").agg(
+        F.max_by("part", F.struct("sets", "part")).alias("largest"), F.count("*").alias("parts_in")
     )
-    grouped = pairs.groupBy("unit", "low_block", "high_block")
+    largest = sized(cut_lineage(largest.where("parts_in > 1").select("unit", "largest")))
+    parts = parts.join(largest, "unit")
+    outside = cut_lineage(parts.where("part <> largest").drop("largest"))
+    probes = _blocked(outside, 0, block_sets, block_grams)
+    every = _blocked(parts.drop("largest"), 0, block_sets, block_grams)
+
+    def crossed(rows: DataFrame, others: DataFrame, own: str, other: str, side: int) -> DataFrame:
+        number = sized(cut_lineage(others.select("unit", F.col("blocks").alias("_others")).distinct()))
+        opposite = F.explode(F.sequence(F.lit(0), F.col("_others") - 1)).alias(other)
+        rows = rows.withColumnRenamed("block", own).join(number, "unit")
+        return rows.select("unit", own, opposite, F.lit(side).alias("side"), "key", "size", "part", "grams")
+
+    pairs = crossed(probes, every, "probe_block", "block", 0)
+    pairs = pairs.unionByName(crossed(every, probes, "block", "probe_block", 1))
+    grouped = pairs.groupBy("unit", "probe_block", "block")
     return cut_lineage(grouped.applyInPandas(_join_block(measure), "unit bigint, part bigint, joined bigint"))
 
 
