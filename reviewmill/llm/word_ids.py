@@ -3,21 +3,31 @@
 Both kinds of tokenizer used here cut a text at white space before they look for merges, so the
 ids of a text are the ids of its words, one after the other. A worker keeps the ids of the words
 it met and asks the library for the others, many words in one call with a separator between them
-that becomes a token of its own. Texts whose white space could be read in more than one way, or
-that may hold a special token, go to the library as a whole.
+that becomes a token of its own. Arrow cuts the texts, tells the words apart and puts their ids in order,
+so Python looks at each word once for a slice of texts. Texts whose white space could be read
+in more than one way, or that may hold a special token, go to the library as a whole.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WORDS_PER_CALL = 4_000
 KEPT_BYTES = 180_000_000  # of one generation of kept words; there are two
 WORD_BYTES = 210  # of Python's objects for one kept word, roughly
-TEXTS_AT_ONCE = 512
+TEXTS_AT_ONCE = 2_048
+CHARS_AT_ONCE = 4_000_000  # or one longer text
+
+# The white space that str.split cuts at.
+WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+PLAIN = rf"\A[^{WHITE}]+(?:[ \n][^{WHITE}]+)*\z"  # single spaces and line breaks between words
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def spaced_words(text: str) -> list[str] | None:
@@ -44,6 +54,8 @@ def spaced_words(text: str) -> list[str] | None:
 class WordIds:
     """``encode`` returns the ids of each text as little-endian unsigned 32-bit integers."""
 
+    before = 0  # ids of a text's first word that stand for nothing in the text
+
     def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
         from tokenizers import Tokenizer
@@ -57,8 +69,8 @@ class WordIds:
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def words(self, text: str) -> list[str] | None:
-        """Words whose ids make up those of the text; None if the text has to stay whole."""
+    def words(self, texts: pa.Array) -> tuple[list[bool], pa.ListArray]:
+        """Which texts need not stay whole, and the words whose ids make up each of these."""
         raise NotImplementedError
 
     def _separated(self, words: Sequence[str]) -> tuple[str, int]:
@@ -79,29 +91,25 @@ class WordIds:
     def _alone(self, word: str) -> str:
         return word
 
-    def _stem(self, word: str) -> str:
-        """The word without a full stop or comma after a letter, which is always a token of its own."""
-        return word[:-1] if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() else word
-
-    def _learn(self, missing: set[str]) -> None:
-        new = []
-        for word in missing:
-            found = self.older.get(word)
-            if found is None:
-                new.append(word)
-            else:
-                self._keep(word, found)
-        stems = set(map(self._stem, new)).difference(self.kept)
-        asked = list(stems.difference(self.older))
-        ids = {word: self.older[word] for word in stems.intersection(self.older)}
+    def _learn(self, missing: list[str]) -> None:
+        """Keep the ids of words that are not kept.
+
+        A full stop or comma after a letter is always a token of its own, so such words are asked
+        for without it.
+        """
+        kept, older = self.kept, self.older
+        new = [w for w in missing if w not in older]
+        stems = [w[:-1] if w[-1] in ".," and len(w) > 1 and w[-2].isalpha() else w for w in new]
+        asked = [w for w in dict.fromkeys(stems) if w not in kept and w not in older]
+        ids = {w: older[w] for w in chain(missing, stems) if w in older}
         for start in range(0, len(asked), WORDS_PER_CALL):
             some = asked[start : start + WORDS_PER_CALL]
             ids.update(zip(some, self._finished(some, self._ask(some))))
-        for word, found in ids.items():
-            self._keep(word, found)
-        for word in new:
-            if word not in self.kept:
-                self._keep(word, self.kept[self._stem(word)] + self._mark(word[-1]))
+        for word, stem in zip(new, stems):
+            if word not in ids:
+                ids[word] = (ids.get(stem) or kept[stem]) + self._mark(word[-1])
+        kept.update(ids)
+        self.size += WORD_BYTES * len(ids) + sum(map(len, ids)) + sum(map(len, ids.values()))
 
     def _mark(self, mark: str) -> bytes:
         if mark not in self.marks:
@@ -111,29 +119,42 @@ class WordIds:
     def _finished(self, words: list[str], ids: list[bytes]) -> list[bytes]:
         return ids
 
-    def _keep(self, word: str, ids: bytes) -> None:
-        self.kept[word] = ids
-        self.size += WORD_BYTES + len(word) + len(ids)
-
-    def _joined(self, words: list[str]) -> bytes:
-        return b"".join(map(self.kept.__getitem__, words))
+    def _of(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        if self.size > self.kept_bytes:
+            self.kept, self.older, self.size = {}, self.kept, 0
+        found = list(map(self.kept.get, words))
+        missing = [w for w, ids in zip(words, found) if ids is None]
+        if missing:
+            self._learn(missing)
+            learnt = map(self.kept.__getitem__, missing)
+            found = [next(learnt) if ids is None else ids for ids in found]
+        return found
+
+    def _slice(self, texts: Sequence[str]) -> Iterator[bytes]:
+        cut, lists = self.words(pa.array(texts, pa.large_string()))
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = pa.array(self._of(distinct), pa.large_binary()).take(words.indices)
+        _, offsets, raw = found.buffers()
+        ends, counts, start = np.frombuffer(offsets, np.int64), iter(lists.value_lengths().to_pylist()), 0
+        for text, is_cut in zip(texts, cut):
+            if is_cut:
+                stop = start + next(counts)
+                first = int(ends[start]) + 4 * self.before
+                yield raw.slice(first, int(ends[stop]) - first).to_pybytes()
+                start = stop
+            else:
+                yield self.ids(text).tobytes()
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        out = []
-        for start in range(0, len(texts), TEXTS_AT_ONCE):
-            some = texts[start : start + TEXTS_AT_ONCE]
-            if self.size > self.kept_bytes:
-                self.kept, self.older, self.size = {}, self.kept, 0
-            split = [self.words(t) for t in some]
-            missing: set[str] = set()
-            for words in split:
-                if words is not None:
-                    missing.update(words)
-            self._learn(missing.difference(self.kept))
-            out += [
-                self.ids(text).tobytes() if words is None else self._joined(words)
-                for text, words in zip(some, split)
-            ]
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        out: list[bytes] = []
+        while len(out) < len(texts):
+            start = len(out)
+            most = CHARS_AT_ONCE + (ends[start - 1] if start else 0)
+            stop = min(start + TEXTS_AT_ONCE, max(start + 1, int(np.searchsorted(ends, most, "right"))))
+            out += self._slice(texts[start:stop])
         return out
 
 
@@ -144,11 +165,18 @@ class SpacelessWords(WordIds):
         super().__init__(path, kept_bytes)
         (self.nul,) = self.ids("\x00").tolist()
 
-    def words(self, text: str) -> list[str] | None:
-        # str.split also cuts at the four separators U+001C to U+001F, the tokenizer does not
-        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return None
-        return text.split()
+    def words(self, texts: pa.Array) -> tuple[list[bool], pa.ListArray]:
+        plain = pc.match_substring_regex(texts, PLAIN)
+        special = pc.match_substring(texts, "<|")
+        cut, some = pc.and_not(plain, special).to_pylist(), texts
+        if not all(cut):
+            # str.split also cuts at the four separators U+001C to U+001F, the tokenizer does not
+            spaced = [
+                t if p else "" if s or any(c in t for c in SEPARATORS) else " ".join(t.split())
+                for t, p, s in zip(texts.to_pylist(), cut, special.to_pylist())
+            ]
+            cut, some = [t != "" for t in spaced], pa.array([t for t in spaced if t], pa.large_string())
+        return cut, pc.split_pattern(pc.replace_substring(some, "\n", " "), " ")
 
     def _separated(self, words: Sequence[str]) -> tuple[str, int]:
         return "".join(["\x00 " + w + " " for w in words]), self.nul
@@ -160,13 +188,18 @@ class SpacedWords(WordIds):
     The separator is a line break. Texts with other white space, or two in a row, stay whole.
     """
 
+    before = 1  # the line break that no text has before its first word
+
     def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
         super().__init__(path, kept_bytes)
         (self.newline,) = self.ids("\n").tolist()
         self.break_bytes = np.uint32(self.newline).tobytes()
 
-    def words(self, text: str) -> list[str] | None:
-        return None if "<|" in text else spaced_words(text)
+    def words(self, texts: pa.Array) -> tuple[list[bool], pa.ListArray]:
+        cut = pc.and_not(pc.match_substring_regex(texts, PLAIN), pc.match_substring(texts, "<|"))
+        some = pc.replace_substring(texts.filter(cut), "\n", " \n")
+        first, none = (pa.scalar(c, pa.large_string()) for c in ("\n", ""))
+        return cut.to_pylist(), pc.split_pattern(pc.binary_join_element_wise(first, some, none), " ")
 
     def _separated(self, words: Sequence[str]) -> tuple[str, int]:
         return "".join([w if w[0] == "\n" else "\n " + w for w in words]), self.newline
@@ -176,6 +209,3 @@ class SpacedWords(WordIds):
 
     def _finished(self, words: list[str], ids: list[bytes]) -> list[bytes]:
         return [self.break_bytes + found if word[0] == "\n" else found for word, found in zip(words, ids)]
-
-    def _joined(self, words: list[str]) -> bytes:
-        return super()._joined(words)[4:]  # the first word stands after no line break

@@ -40,6 +40,30 @@ def test_words_give_the_ids_of_whole_texts(kind, path):
     assert [small.encode([t])[0] for t in texts] == wanted
 
 
+def test_slices_of_texts_do_not_change_ids(monkeypatch):
+    texts = [f"text number {i}, and some.\nMore" * (i % 5) for i in range(300)] + ["long words here " * 900 + "end"] + ODD
+    for kind, path in ((word_ids.SpacelessWords, SPACELESS), (word_ids.SpacedWords, SPACED)):
+        wanted = kind(path).encode(texts)
+        assert wanted[1] == raw(Tokenizer.from_file(path).encode(texts[1], add_special_tokens=False).ids)
+        monkeypatch.setattr(word_ids, "CHARS_AT_ONCE", 500)
+        assert kind(path).encode(texts) == wanted
+        monkeypatch.setattr(word_ids, "TEXTS_AT_ONCE", 3)
+        assert kind(path).encode(texts) == wanted
+        assert kind(path).encode([]) == []
+        monkeypatch.undo()
+
+
+def test_white_space_is_that_of_str_split():
+    import sys
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    signs = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    matched = pc.match_substring_regex(pa.array(signs, pa.large_string()), f"[{word_ids.WHITE}]")
+    assert [c for c, found in zip(signs, matched.to_pylist()) if found] == [c for c in signs if c.isspace()]
+
+
 def test_byte_bpe_against_the_library(spark):
     ranks = byte_bpe.read_ranks(RANKS)
     library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
