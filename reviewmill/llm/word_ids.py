@@ -19,10 +19,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORDS_PER_CALL = 4_000
-KEPT_BYTES = 180_000_000  # of one generation of kept words; there are two
+KEPT_BYTES = 150_000_000  # of one generation of kept words; there are two
 WORD_BYTES = 210  # of Python's objects for one kept word, roughly
 TEXTS_AT_ONCE = 2_048
-CHARS_AT_ONCE = 4_000_000  # or one longer text
+CHARS_AT_ONCE = 1_500_000  # or one longer text
 
 # The white space that str.split cuts at.
 WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
