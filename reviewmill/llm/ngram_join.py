@@ -18,9 +18,9 @@
 
 A unit larger than a block is cut into hashed blocks. Blocks are joined by themselves first, then
 their representatives, level by level, until each unit has one block left; so a group of copies
-with a third of all rows comes together without all of its pairs. Units that still have more than
-one part are compared block against block, except for pairs within a part. No pairs are written,
-only which set was joined with which.
+with a third of all rows comes together without all of its pairs. In units that still
+have more than one part the sets outside the largest one are compared with all blocks, except for
+pairs within a part. No pairs are written, only which set was joined with which.
 
 Defined results
 ---------------
