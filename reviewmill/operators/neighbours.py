@@ -25,6 +25,7 @@ cloudpickle.register_pickle_by_value(topk)
 HELD_VECTORS = 5000
 HELD_BYTES = 64 * 1024 * 1024
 BLOCK_VECTORS = 20_000
+COPIES = 8  # of a row, where small blocks are asked for; more only if blocks would not fit a task
 SPREAD = 2.4  # width of a bucket in standard deviations
 MERGES = 64  # parts in which the rows found for a query are merged first
 REQUEST_BYTES = 32 * 1024 * 1024  # of requests and their queries that every task holds
@@ -51,6 +52,16 @@ def _block(df: DataFrame, own: str, other: str, key: str, blocks: Column, copies
     )
 
 
+def _n_blocks(size: Size, block: int) -> int:
+    """Blocks that a side is cut into.
+
+    Each row is copied for every block of the other side, so blocks of ``block`` rows are made as long as they
+    are at most ``COPIES``. Of a larger table blocks get larger, up to what a task may hold.
+    """
+    needed = max(math.ceil(size.rows / max(block, BLOCK_VECTORS)), math.ceil(size.bytes / HELD_BYTES))
+    return max(1, needed, min(math.ceil(size.rows / block), COPIES))
+
+
 def _pairs_schema(q: DataFrame, b: DataFrame) -> T.StructType:
     return T.StructType(
         [
@@ -106,9 +117,9 @@ def nearest(
 
     * few queries: one pass over the base, each task returns ``k`` rows per query;
     * small base: one pass over the queries, no shuffle;
-    * otherwise both sides are hashed into blocks of about ``block`` rows, and each pair of
-      blocks is one group that returns ``k`` rows per query. This measures all pairs; where
-      that is too much, :func:`nearest_lsh` trades exactness for speed.
+    * otherwise both sides are hashed into blocks of about ``block`` rows (larger ones where a row would be
+      copied more than ``COPIES`` times), and each pair of blocks is one group that returns ``k`` rows per
+      query. This measures all pairs; where that is too much, :func:`nearest_lsh` trades exactness for speed.
     """
     q = queries.select(F.col(query_key).alias("_query"), F.col(query_vector).alias("_vector"))
     b = base.select(F.col(key).alias("_key"), F.col(vector).alias("_vector"))
@@ -126,8 +137,7 @@ def nearest(
     elif base_held:
         found = q.mapInArrow(topk.scan_queries(b.toArrow(), k), out)
     else:
-        query_blocks, base_blocks = math.ceil(of_queries.rows / block), math.ceil(of_base.rows / block)
-        n_blocks = F.lit(query_blocks), F.lit(base_blocks)
+        n_blocks = F.lit(_n_blocks(of_queries, block)), F.lit(_n_blocks(of_base, block))
         left = _block(q, "_qb", "_rb", "_query", *n_blocks).groupBy("_qb", "_rb")
         right = _block(b, "_rb", "_qb", "_key", *reversed(n_blocks)).groupBy("_qb", "_rb")
         found = left.cogroup(right).applyInPandas(topk.scan_blocks(k), out)

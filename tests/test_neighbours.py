@@ -200,3 +200,25 @@ def test_approximate_search_without_queries_or_base(spark):
     assert neighbours.nearest_lsh(none[0], none[1], 2).count() == 0
     one = spark.createDataFrame([("q", [1.0])], QUERY_SCHEMA), spark.createDataFrame([("a", None)], SCHEMA)
     assert neighbours.nearest_lsh(one[0], one[1], 2).count() == 0
+
+
+def test_small_blocks_do_not_copy_rows_without_bound(spark, monkeypatch):
+    """However small the blocks asked for, a row has few copies, and all pairs are measured."""
+    counts, block = [], neighbours._block
+
+    def counted(df, *args):
+        copied = block(df, *args)
+        counts.append((df.count(), copied.count()))
+        return copied
+
+    monkeypatch.setattr(neighbours, "_block", counted)
+    queries, base = make(1, 45, prefix="q"), make(2, 60)
+    asked, rows = spark.createDataFrame(queries, QUERY_SCHEMA), spark.createDataFrame(base, SCHEMA)
+    assert found(neighbours.nearest(asked, rows, 3, held=5, block=2)) == brute(queries, base, 3)
+    assert len(counts) == 2 and all(copies <= 8 * n for n, copies in counts)
+
+
+def test_blocks_are_no_larger_than_a_task_may_hold():
+    assert neighbours._n_blocks(joins.Size(1_000_000, 500_000_000), 150) == 50
+    assert neighbours._n_blocks(joins.Size(10_000, 100 * neighbours.HELD_BYTES), 20_000) == 100
+    assert neighbours._n_blocks(joins.Size(1_000, 1_000), 150) == 7
