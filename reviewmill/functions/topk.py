@@ -15,6 +15,8 @@ import pandas as pd
 import pyarrow as pa
 
 QUERY_CHUNK = 64
+BASE_SLICE = 4096
+MEASURED_PAIRS = 16_384
 COLUMNS = ["_query", "_rank", "_dist", "_key"]
 
 
@@ -55,18 +57,20 @@ class Search:
         self.positions, self.matrix = np.flatnonzero(valid), matrix
         self.without = np.flatnonzero(~valid)
         self.best: list[list] = [[] for _ in names]
+        self.last = np.full(len(self.best), np.inf)  # square of the k-th distance so far
 
     def _keep(self, query: int, pairs: list) -> None:
-        self.best[query] = heapq.nsmallest(self.k, self.best[query] + pairs)
-
-    def _limit(self, query: int, squares: np.ndarray) -> float:
-        """Square no candidate can exceed: of the k-th pair so far, or of this batch."""
-        best = self.best[query]
+        best = self.best[query] = heapq.nsmallest(self.k, self.best[query] + pairs)
         if len(best) >= self.k:
-            return best[-1][0] ** 2
-        if len(squares) > self.k:
-            return float(np.partition(squares, self.k - 1)[self.k - 1])
-        return math.inf
+            self.last[query] = best[-1][0] ** 2
+
+    def _limits(self, queries: np.ndarray, squares: np.ndarray) -> np.ndarray:
+        """Squares no candidate can exceed: of the k-th pair so far, or of this batch."""
+        limits = self.last[queries]
+        unset = np.isinf(limits)
+        if squares.shape[1] > self.k and unset.any():
+            limits[unset] = np.partition(squares[unset], self.k - 1, axis=1)[:, self.k - 1]
+        return limits
 
     def add(self, keys: pa.Array, vectors: pa.Array) -> None:
         valid, rows = _matrix(vectors)
@@ -77,22 +81,29 @@ class Search:
             raise ValueError("vectors differ in length")
         for start in range(0, len(self.positions) if len(rows) else 0, QUERY_CHUNK):
             chunk = self.matrix[start : start + QUERY_CHUNK]
-            squares = row_squares[:, None] - 2.0 * (rows @ chunk.T) + _squares(chunk)[None, :]
-            for j, vector in enumerate(chunk):
-                query = int(self.positions[start + j])
-                slack = 1e-9 * (1.0 + largest + float(vector @ vector))
-                near = np.flatnonzero(squares[:, j] <= self._limit(query, squares[:, j]) + slack)
-                exact = np.sqrt(_squares(rows[near] - vector))
-                names = keys.take(pa.array(present[near])).to_pylist()
-                self._keep(query, list(zip(exact.tolist(), names)))
+            queries = self.positions[start : start + QUERY_CHUNK]
+            lengths = _squares(chunk)
+            squares = chunk @ rows.T  # a query has a row of its own, so it is read in one piece
+            squares *= -2.0
+            squares += row_squares[None, :]
+            squares += lengths[:, None]
+            limits = self._limits(queries, squares) + 1e-9 * (1.0 + largest + lengths)
+            asked, near = np.nonzero(squares <= limits[:, None])
+            if not len(near):
+                continue
+            parts = [slice(i, i + MEASURED_PAIRS) for i in range(0, len(near), MEASURED_PAIRS)]
+            exact = np.concatenate([np.sqrt(_squares(rows[near[part]] - chunk[asked[part]])) for part in parts])
+            names = keys.take(pa.array(present[near]))
+            cuts = np.searchsorted(asked, np.arange(len(chunk) + 1)).tolist()
+            for query, first, end in zip(queries.tolist(), cuts, cuts[1:]):
+                if first < end:
+                    self._keep(query, list(zip(exact[first:end].tolist(), names.slice(first, end - first).to_pylist())))
         self._add_unmeasured(keys, missing)
 
     def _add_unmeasured(self, keys: pa.Array, missing: np.ndarray) -> None:
         """Rows without a vector fill up what is left of ``k``; lowest keys first."""
-        open_queries = [
-            int(q) for q in self.positions if sum(d < math.inf for d, _ in self.best[q]) < self.k
-        ]
-        if open_queries and len(missing):
+        open_queries = self.positions[np.isinf(self.last[self.positions])].tolist() if len(missing) else []
+        if open_queries:
             lowest = heapq.nsmallest(self.k, keys.take(pa.array(missing)).to_pylist())
             for query in open_queries:
                 self._keep(query, [(math.inf, key) for key in lowest])
@@ -185,12 +196,18 @@ def scan_queries(base: pa.Table, k: int):
 
 
 def scan_blocks(k: int):
-    """Group function: nearest base rows of one query block within one base block."""
+    """Group function: nearest base rows of one query block within one base block.
+
+    The base is measured in slices: a query's limit is found in the first one, and matrices stay small.
+    """
 
     def run(queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         vector = pa.list_(pa.float64())
         search = Search(queries["_query"].tolist(), pa.array(queries["_vector"], type=vector), k)
-        search.add(pa.array(base["_key"]), pa.array(base["_vector"], type=vector))
+        keys = pa.array(base["_key"])
+        for start in range(0, len(base), BASE_SLICE):
+            rows = base["_vector"].iloc[start : start + BASE_SLICE]
+            search.add(keys.slice(start, BASE_SLICE), pa.array(rows, type=vector))
         return pd.DataFrame(search.pairs(), columns=COLUMNS)
 
     return run

@@ -1,9 +1,13 @@
 import math
 import random
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from reviewmill.functions import topk
 from reviewmill.operators import joins, neighbours
 from reviewmill.sources import fixtures
 
@@ -222,3 +226,20 @@ def test_blocks_are_no_larger_than_a_task_may_hold():
     assert neighbours._n_blocks(joins.Size(1_000_000, 500_000_000), 150) == 50
     assert neighbours._n_blocks(joins.Size(10_000, 100 * neighbours.HELD_BYTES), 20_000) == 100
     assert neighbours._n_blocks(joins.Size(1_000, 1_000), 150) == 7
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_a_pair_of_blocks_is_measured_in_slices(copies):
+    """Memory follows the vectors of two blocks, not their pairs; also where all rows are copies."""
+    rng = np.random.default_rng(3)
+    vectors = np.zeros((12_000, 8), np.float32) if copies else rng.standard_normal((12_000, 8)).astype(np.float32)
+    base = pd.DataFrame({"_key": np.arange(12_000), "_vector": list(vectors)})
+    asked = pd.DataFrame({"_query": np.arange(70), "_vector": list(vectors[:70])})
+    tracemalloc.start()
+    got = topk.scan_blocks(2)(asked, base)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < (16_000_000 if copies else 10_000_000)
+    nearest = got[got["_rank"] == 1]
+    assert nearest["_dist"].tolist() == [0.0] * 70
+    assert nearest["_key"].tolist() == ([0] * 70 if copies else list(range(70)))
