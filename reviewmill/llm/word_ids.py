@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORDS_PER_CALL = 4_000
-KEPT_BYTES = 150_000_000  # of one generation of kept words; there are two
+KEPT_BYTES = 40_000_000  # of one generation of kept words; there are two
 WORD_BYTES = 210  # of Python's objects for one kept word, roughly
 TEXTS_AT_ONCE = 2_048
 CHARS_AT_ONCE = 1_500_000  # or one longer text

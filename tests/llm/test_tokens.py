@@ -168,3 +168,13 @@ def test_best_fit_leaves_the_least_room():
     bins = packing.best_fit([6, 5, 4, 3, 2], 10)
     assert sorted(sorted(b) for b in bins) == [[0, 2], [1, 3, 4]]
     assert packing.best_fit([], 10) == []
+
+
+def test_kept_words_leave_room_for_other_stages():
+    """A worker that meets ever new words keeps a bounded part of them, and encodes all alike."""
+    encoder = word_ids.SpacedWords(public_tokenizers.path("byte_bpe_50k.json"))
+    for start in range(0, 450_000, 50_000):
+        text = " ".join(f"w{i:x}" for i in range(start, start + 50_000))
+        (ids,) = encoder.encode([text])
+    assert ids == encoder.ids(text).tobytes()
+    assert len(encoder.kept) + len(encoder.older) < 400_000
