@@ -3,8 +3,8 @@
 Both kinds of tokenizer used here cut a text at white space before they look for merges, so the
 ids of a text are the ids of its words, one after the other. A worker keeps the ids of the words
 it met and asks the library for the others, many words in one call with a separator between them
-that becomes a token of its own. Arrow cuts the texts, tells the words apart and puts their ids in order,
-so Python looks at each word once for a slice of texts. Texts whose white space could be read
+that becomes a token of its own. Arrow cuts the texts, tells the words apart, finds those that are kept
+and puts their ids in order, so Python looks only at words that are not kept. Texts whose white space could be read
 in more than one way, or that may hold a special token, go to the library as a whole.
 """
 
@@ -12,22 +12,26 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WORDS_PER_CALL = 4_000
-KEPT_BYTES = 40_000_000  # of one generation of kept words; there are two
-WORD_BYTES = 210  # of Python's objects for one kept word, roughly
+WORDS_PER_CALL = 100  # the library takes longer for each word of a long text
+MARKS = 1_000  # kept ends of words
+KEPT_BYTES = 24_000_000  # of kept words
+WORD_BYTES = 40  # of a kept word besides its letters and ids
 TEXTS_AT_ONCE = 2_048
-CHARS_AT_ONCE = 1_500_000  # or one longer text
+CHARS_AT_ONCE = 3_000_000  # or one longer text
 
 # The white space that str.split cuts at.
 WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 PLAIN = rf"\A[^{WHITE}]+(?:[ \n][^{WHITE}]+)*\z"  # single spaces and line breaks between words
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+MARKED = r"(\p{L})[!-&(-/:-@\[-^`{-~]+\z"  # a letter, and ASCII signs but "'" and "_" to the end of the word
+
+NO_WORDS = pa.array([], pa.large_string())
+NO_FACTS = (pa.array([], pa.large_binary()), np.array([], np.int32), np.array([], np.int32))
 
 
 def spaced_words(text: str) -> list[str] | None:
@@ -61,9 +65,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept_bytes, self.size = kept_bytes, 0
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.kept_bytes, self.slices = kept_bytes, 0
+        # words met since the last clearing, and before; with their ids, slices they are in, the last of them
+        self.kept, self.older = NO_WORDS, NO_WORDS
+        self.facts = {"kept": NO_FACTS, "older": NO_FACTS}
         self.marks: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
@@ -91,51 +96,90 @@ class WordIds:
     def _alone(self, word: str) -> str:
         return word
 
-    def _learn(self, missing: list[str]) -> None:
-        """Keep the ids of words that are not kept.
-
-        A full stop or comma after a letter is always a token of its own, so such words are asked
-        for without it.
-        """
-        kept, older = self.kept, self.older
-        new = [w for w in missing if w not in older]
-        stems = [w[:-1] if w[-1] in ".," and len(w) > 1 and w[-2].isalpha() else w for w in new]
-        asked = [w for w in dict.fromkeys(stems) if w not in kept and w not in older]
-        ids = {w: older[w] for w in chain(missing, stems) if w in older}
-        for start in range(0, len(asked), WORDS_PER_CALL):
-            some = asked[start : start + WORDS_PER_CALL]
-            ids.update(zip(some, self._finished(some, self._ask(some))))
-        for word, stem in zip(new, stems):
-            if word not in ids:
-                ids[word] = (ids.get(stem) or kept[stem]) + self._mark(word[-1])
-        kept.update(ids)
-        self.size += WORD_BYTES * len(ids) + sum(map(len, ids)) + sum(map(len, ids.values()))
+    def _learn(self, missing: list[str]) -> list[bytes]:
+        """Ids of words that are not kept."""
+        ids: list[bytes] = []
+        for start in range(0, len(missing), WORDS_PER_CALL):
+            some = missing[start : start + WORDS_PER_CALL]
+            ids += self._finished(some, self._ask(some))
+        return ids
 
     def _mark(self, mark: str) -> bytes:
         if mark not in self.marks:
+            if len(self.marks) >= MARKS:
+                self.marks.clear()
             self.marks[mark] = self.ids(mark).tobytes()
         return self.marks[mark]
 
     def _finished(self, words: list[str], ids: list[bytes]) -> list[bytes]:
         return ids
 
-    def _of(self, words: list[str]) -> list[bytes]:
+    def _known(self, words: pa.Array, name: str) -> pa.Array:
+        """Ids of the words that are among the named ones, NULL of others."""
+        ids, uses, last = self.facts[name]
+        at = pc.index_in(words, value_set=getattr(self, name))
+        places = at.drop_null().to_numpy()
+        uses[places] += 1
+        last[places] = self.slices
+        return ids.take(at)
+
+    def _of(self, words: pa.Array) -> pa.Array:
+        """Ids of words.
+
+        Signs after a letter at the end of a word are always cut off before merges are looked for,
+        so words are asked for and kept without them.
+        """
+        stems = pc.replace_substring_regex(words, MARKED, r"\1")
+        marked = pc.not_equal(pc.binary_length(stems), pc.binary_length(words))
+        stems = stems.dictionary_encode()
+        found = self._of_stems(stems.dictionary).take(stems.indices)
+        marks = pc.replace_substring_regex(words.filter(marked), r"(?s)\A.*\p{L}", "").dictionary_encode()
+        ids = pa.array(map(self._mark, marks.dictionary.to_pylist()), pa.large_binary()).take(marks.indices)
+        none = pa.scalar(b"", pa.large_binary())
+        return pc.replace_with_mask(found, marked, pc.binary_join_element_wise(found.filter(marked), ids, none))
+
+    def _of_stems(self, words: pa.Array) -> pa.Array:
         """Ids of distinct words."""
-        if self.size > self.kept_bytes:
-            self.kept, self.older, self.size = {}, self.kept, 0
-        found = list(map(self.kept.get, words))
-        missing = [w for w, ids in zip(words, found) if ids is None]
-        if missing:
-            self._learn(missing)
-            learnt = map(self.kept.__getitem__, missing)
-            found = [next(learnt) if ids is None else ids for ids in found]
+        self.slices += 1
+        found = self._known(words, "older")
+        for step in (lambda rest: self._known(rest, "kept"), self._new):
+            gaps = found.is_null()
+            found = pc.replace_with_mask(found, gaps, step(words.filter(gaps)))
         return found
 
+    def _new(self, words: pa.Array) -> pa.Array:
+        """Ids of words that are not kept; they are from now on."""
+        found = pa.array(self._learn(words.to_pylist()), pa.large_binary())
+        ids, uses, last = self.facts["kept"]
+        self.kept = pa.concat_arrays([self.kept, words])
+        more = np.full(len(words), self.slices, np.int32)
+        self.facts["kept"] = (
+            pa.concat_arrays([ids, found]), np.append(uses, np.ones_like(more)), np.append(last, more)
+        )
+        if self._size("kept") > self.kept_bytes / 2:
+            self._clear()
+        return found
+
+    def _size(self, name: str) -> int:
+        words, ids = getattr(self, name), self.facts[name][0]
+        return WORD_BYTES * len(words) + sum(pc.sum(pc.binary_length(a)).as_py() or 0 for a in (words, ids))
+
+    def _clear(self) -> None:
+        """Keep half of what may be kept: words met in several slices first, then those met last."""
+        words = pa.concat_arrays([self.older, self.kept])
+        ids, uses, last = zip(self.facts["older"], self.facts["kept"])
+        ids, uses, last = pa.concat_arrays(ids), np.concatenate(uses), np.concatenate(last)
+        sizes = WORD_BYTES + pc.add(pc.binary_length(words), pc.binary_length(ids)).to_numpy()
+        order = np.lexsort((last, uses > 1))[::-1]
+        best = np.sort(order[np.cumsum(sizes[order]) <= self.kept_bytes / 2])
+        self.older = words.take(pa.array(best))
+        self.kept = NO_WORDS
+        self.facts = {"kept": NO_FACTS, "older": (ids.take(pa.array(best)), uses[best], last[best])}
+
     def _slice(self, texts: Sequence[str]) -> Iterator[bytes]:
         cut, lists = self.words(pa.array(texts, pa.large_string()))
         words = lists.flatten().dictionary_encode()
-        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        found = pa.array(self._of(distinct), pa.large_binary()).take(words.indices)
+        found = self._of(words.dictionary).take(words.indices)
         _, offsets, raw = found.buffers()
         ends, counts, start = np.frombuffer(offsets, np.int64), iter(lists.value_lengths().to_pylist()), 0
         for text, is_cut in zip(texts, cut):
@@ -155,6 +199,7 @@ class WordIds:
             most = CHARS_AT_ONCE + (ends[start - 1] if start else 0)
             stop = min(start + TEXTS_AT_ONCE, max(start + 1, int(np.searchsorted(ends, most, "right"))))
             out += self._slice(texts[start:stop])
+            pa.default_memory_pool().release_unused()  # words of a slice, which would add up with other stages
         return out
 
 

@@ -178,3 +178,32 @@ def test_kept_words_leave_room_for_other_stages():
         (ids,) = encoder.encode([text])
     assert ids == encoder.ids(text).tobytes()
     assert len(encoder.kept) + len(encoder.older) < 400_000
+
+
+@pytest.mark.parametrize("kind, path", [(word_ids.SpacelessWords, SPACELESS), (word_ids.SpacedWords, SPACED)])
+def test_words_are_asked_for_once_whatever_signs_end_them(kind, path, monkeypatch):
+    encoder, asked = kind(path), []
+    ask = encoder._ask
+    monkeypatch.setattr(encoder, "_ask", lambda words: asked.extend(words) or ask(words))
+    texts = ["a stem### stem*** stem.%%% stem!! stem", "a stem$$$ don't### it's. x_ 7## é<>", "a stem's'' ### stem,###"]
+    assert encoder.encode(texts[:1]) + encoder.encode(texts[1:]) == [
+        raw(encoder.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts
+    ]
+    assert asked.count("stem") == 1 and not any(w.startswith("stem") and w[-1] in "#*.%!$," for w in asked)
+
+
+def test_kept_words_take_few_bytes_each():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    encoder = word_ids.SpacedWords(SPACED)
+    texts = [" ".join(f"{c}{i:x}q" for i in range(30_000)) for c in "abcdefgh"]
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for text in texts:
+        encoder.encode([text])
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert len(encoder.kept) + len(encoder.older) > 100_000
+    assert held < 120 * (len(encoder.kept) + len(encoder.older))
