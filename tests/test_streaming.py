@@ -161,3 +161,15 @@ def test_rows_later_than_the_watermark_are_dropped(spark, tmp_path):
 def test_unknown_window_is_refused(spark):
     with pytest.raises(ValueError):
         jobs.rating_windows(spark.createDataFrame([], FACTS), "month", "1 day")
+
+
+def test_late_deliveries_are_a_batch_each_however_many_files_they_have(spark, sf_dir, tmp_path, monkeypatch):
+    from reviewmill.catalog import queries
+
+    seen = []
+    write_batch = store.write_batch
+    monkeypatch.setattr(jobs, "write_batch", lambda rows, path, batch_id, *a: seen.append(batch_id) or write_batch(rows, path, batch_id, *a))
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    found = queries.QUERIES["stream_upsert_late"](spark, str(tmp_path))
+    assert sorted(found.collect()) == sorted(queries.QUERIES["stream_upsert_late"](spark, sf_dir).collect())
+    assert seen == [0, 1, 0, 1]
