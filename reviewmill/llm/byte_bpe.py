@@ -5,13 +5,14 @@ places: which pre-tokens make up a distinct word, and which words a text. Spark
 over the distinct pre-tokens: a pre-token is a string with one character for each piece, at first
 a piece for each byte. ``aggregate`` looks up every pair of neighbours and, as long as one is
 ranked, puts the piece of the lowest rank in place of its pair, the leftmost of equals. The rank
-map is a literal, an array of small maps entered by a hash of the pair, since Spark looks through
-a map from its start. Characters are in the order of the ranks, so the least character is the
-lowest rank. The ids are then laid out by the places.
+map is an array of small maps entered by a hash of the pair, since Spark looks through a map from
+its start; it is one row, broadcast, so an executor reads it once and not every task anew. Characters
+are in the order of the ranks, so the least character is the lowest rank. The ids are then laid out by
+the places.
 
 Decoding looks every id up in a literal array of pieces and joins them.
 
-Nothing is shuffled, the literals are as large as the vocabulary, and a task holds one row at a
+Nothing is shuffled, rank map and pieces are as large as the vocabulary, and a task holds one row at a
 time; a text longer than the bound has a row of its own. The fold takes the square of the length
 of a pre-token, so those above ``LONG_BYTES`` (a run of one character, say) are encoded by the
 tiktoken library instead, which gives the same ids.
@@ -42,6 +43,7 @@ from reviewmill.llm.common import worker_cache
 ROW_CHARS = 10_000_000
 SLOTS = 1 << 17
 FIRST_LETTER = 0x100
+DONE = "\x01"  # no piece has this letter
 LONG_BYTES = 160
 OUT_TEXTS = 256
 
@@ -66,8 +68,8 @@ def _slot(pair: Column) -> Column:
     return F.pmod(F.hash(pair), F.lit(SLOTS))
 
 
-def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
-    """Merged piece by pair of pieces as a literal: an array of maps, entered by the pair's hash."""
+def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+    """Merged piece by pair of pieces as one row ``ranks``: an array of maps, entered by the pair's hash."""
     rows = [
         (_letter(ranks[piece[:cut]]) + _letter(ranks[piece[cut:]]), _letter(rank))
         for piece, rank in ranks.items()
@@ -78,33 +80,52 @@ def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
     slots: list[dict[str, str]] = [{} for _ in range(SLOTS)]
     for row in pairs.withColumn("slot", _slot(F.col("pair"))).toArrow().to_pylist():
         slots[row["slot"]][row["pair"]] = row["piece"]
-    return F.from_json(F.lit(json.dumps(slots)), "array<map<string,string>>")
+    maps = pa.array([[list(s.items()) for s in slots]], pa.list_(pa.map_(pa.string(), pa.string())))
+    return spark.createDataFrame(pa.table({"ranks": maps}))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, computed once; lambdas do not share common parts by themselves."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    """``body`` of ``value``, computed once; lambdas do not share common parts by themselves.
+
+    As the end of a fold over nothing, which unlike ``transform`` does not copy what it returns.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, body)
 
 
 def merge(word: Column, ranks: Column) -> Column:
-    """The pieces of one pre-token, a character each, after all merges."""
+    """The pieces of one pre-token, a character each, after all merges.
+
+    A word without ranked pairs gets the sign ``DONE`` at its end, so further steps leave it alone.
+    """
+    rest, done = F.lit(1 << 30), F.lit(DONE)
 
     def made(pair: Column) -> Column:
         return F.element_at(F.get(ranks, _slot(pair)), pair)
 
-    def join(word: Column, pairs: Column) -> Column:
-        lowest = F.array_min(pairs)
-        at = F.array_position(pairs, lowest).cast("int")
-        joined = F.concat(F.substring(word, F.lit(1), at - 1), lowest, F.substring(word, at + 2, F.length(word)))
-        return F.when(lowest.isNull(), word).otherwise(joined)
+    def join(word: Column, pairs: Column, lowest: Column) -> Column:
+        # array_position leaves its loop by an exception, which takes longer than all else
+        place = F.instr(F.array_join(pairs, "", DONE), lowest)
+        return _let(
+            place, lambda at: F.concat(F.substring(word, F.lit(1), at - 1), lowest, F.substring(word, at + 2, rest))
+        )
+
+    def choose(word: Column, pairs: Column) -> Column:
+        return _let(
+            F.array_min(pairs),
+            lambda lowest: F.when(lowest.isNull(), F.concat(word, done)).otherwise(join(word, pairs, lowest)),
+        )
 
     def step(word: Column, _: Column) -> Column:
         places = F.sequence(F.lit(1), F.length(word) - 1)
-        pairs = F.transform(places, lambda i: made(F.substring(word, i, F.lit(2))))
-        return F.when(F.length(word) < 2, word).otherwise(_let(pairs, lambda p: join(word, p)))
+        neighbours = F.transform(places, lambda i: F.substring(word, i, F.lit(2)))
+        ended = F.endswith(word, done) | (F.length(word) < 2)
+        return F.when(ended, word).otherwise(_let(F.transform(neighbours, made), lambda p: choose(word, p)))
+
+    def finish(word: Column) -> Column:
+        return F.when(F.endswith(word, done), F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
 
     steps = F.sequence(F.lit(2), F.length(word))
-    return F.when(F.length(word) < 2, word).otherwise(F.aggregate(steps, word, step))
+    return F.when(F.length(word) < 2, word).otherwise(F.aggregate(steps, word, step, finish))
 
 
 class _Row:
@@ -257,14 +278,14 @@ def encode(
 ) -> DataFrame:
     """Key, ``ids`` and ``ids_sha256`` (of little-endian unsigned 32-bit integers) of every text."""
     spark = docs.sparkSession
-    ranks = rank_map(spark, read_ranks(ranks_path))
+    ranks = rank_map(spark, read_ranks(ranks_path))  # one row
     rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"))
     gathered = rows.mapInArrow(
         _gather(ranks_path, pattern, row_chars),
         "keys array<bigint>, tokens array<string>, long_tokens array<string>, of_word binary, of_text binary",
     )
-    folded = F.transform("tokens", lambda token: merge(token, ranks))
-    laid = gathered.select("keys", folded.alias("tokens"), "long_tokens", "of_word", "of_text")
+    folded = F.transform("tokens", lambda token: merge(token, F.col("ranks")))
+    laid = gathered.crossJoin(F.broadcast(ranks)).select("keys", folded.alias("tokens"), "long_tokens", "of_word", "of_text")
     schema = "_key bigint, ids array<int>, ids_sha256 string"
     return laid.mapInArrow(_lay_out(ranks_path, pattern), schema).withColumnRenamed("_key", key)
 

@@ -79,6 +79,18 @@ def test_byte_bpe_against_the_library(spark):
     assert byte_bpe.encode(empty_documents(spark), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_folded_words_against_the_library(spark):
+    """Words that repeat themselves, end early or are one letter; the rank map is not in what every task gets."""
+    ranks = byte_bpe.read_ranks(RANKS)
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    choose = random.Random(7)
+    words = ["".join(choose.choices("aabntheé你", k=choose.randrange(1, 40))) for _ in range(300)] + ["a" * 53, "zq" * 26]
+    docs = documents(spark, [(i, w, None) for i, w in enumerate(words)])
+    found = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    assert len(found._jdf.queryExecution().executedPlan().toString()) < 100_000
+    assert {r.doc_id: r.ids for r in found.collect()} == {i: library.encode_ordinary(w) for i, w in enumerate(words)}
+
+
 def test_rank_file():
     with open(RANKS, "rb") as lines:
         piece, rank = next(lines).split()
