@@ -41,7 +41,7 @@ BUCKETS = 1 << 16
 OTHER_SCRIPT = -200.0
 SCRIPT_SHARE = 0.01
 KEPT_WORDS = 300_000
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
 PART_CHARS = 1_000_000
 MIN_SCORE = 0.5
 UNKNOWN = "und"

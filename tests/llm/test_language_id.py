@@ -112,3 +112,23 @@ def test_memory_of_a_long_text(model):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found.language[0] in ("en", "de") and peak < 60 * len(text)
+
+
+def test_a_worker_holds_few_texts_as_words_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    scores = rng.random((language_id.BUCKETS, 4)).astype(np.float32)
+    model = language_id.Model(list("abcd"), scores, np.ones((len(language_id.SCRIPT_NAMES), 4), bool))
+    texts = [" ".join(f"{chr(97 + (i + j) % 26)}{chr(97 + j % 26)}word" for j in range(400)) for i in range(2_600)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["_key", "_text"])
+    shared = type("Shared", (), {"value": tuple(model)})
+    tracemalloc.start()
+    found = list(language_id._predict(shared, language_id.SWITCH, False)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in found) == len(texts)
+    assert peak < 25_000_000
