@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewmill.llm.common import free_worker_cache, sliced_by_bytes, stored
 from reviewmill.llm.components import components
-from reviewmill.operators.joins import sized
+from reviewmill.operators.joins import join_keys, sized
 from reviewmill.session import cut_lineage
 
 WORDS, PERCENT = 5, 80
@@ -276,9 +276,10 @@ def _blocked(rows: DataFrame, salt: int, block_sets: int, block_grams: int) -> D
     """``rows`` with the number of ``blocks`` of their unit and their ``block``."""
     weights = rows.groupBy("unit").agg(F.count("*").alias("sets"), F.sum("size").alias("grams_in"))
     blocks = F.greatest(F.ceil(F.col("sets") / block_sets), F.ceil(F.col("grams_in") / block_grams), F.lit(1))
-    weights = sized(cut_lineage(weights.select("unit", blocks.cast("int").alias("blocks"))))
-    block = F.pmod(F.xxhash64("key", F.lit(salt)), F.col("blocks")).cast("int")
-    return rows.join(weights, "unit").withColumn("block", block)
+    weights = weights.select("unit", blocks.cast("int").alias("_blocks")).where("_blocks > 1")
+    rows = rows.join(sized(cut_lineage(weights)), "unit", "left")
+    rows = rows.withColumn("blocks", F.coalesce("_blocks", F.lit(1))).drop("_blocks")
+    return rows.withColumn("block", F.pmod(F.xxhash64("key", F.lit(salt)), F.col("blocks")).cast("int"))
 
 
 def _links(sets: DataFrame, measure: Measure, block_sets: int, block_grams: int) -> DataFrame:
@@ -309,22 +310,53 @@ def _links(sets: DataFrame, measure: Measure, block_sets: int, block_grams: int)
     return tied.unionByName(_across(large, tied, measure, block_sets, block_grams)).select("part", "joined")
 
 
+def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function: key and n-grams of a set to one row for each n-gram."""
+    for batch in sliced_by_bytes(batches, 1, SLICE_BYTES):
+        keys, sets = batch.column(0), [np.frombuffer(g, np.int64) for g in batch.column(1).to_pylist()]
+        rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), pa.array(np.concatenate(sets))], ["key", "gram"])
+
+
+def _open(parts: DataFrame) -> DataFrame:
+    """Sets of units in several parts, with the ``largest`` part of their unit."""
+    counts = parts.groupBy("unit", "part").agg(F.count("*").alias("sets"))
+    largest = counts.groupBy("unit").agg(
+        F.max_by("part", F.struct("sets", "part")).alias("largest"), F.count("*").alias("parts_in")
+    )
+    return parts.join(sized(cut_lineage(largest.where("parts_in > 1").select("unit", "largest"))), "unit")
+
+
+def _finer(parts: DataFrame, measure: Measure, block_sets: int, block_grams: int) -> DataFrame:
+    """``parts`` of open units, with those units told apart further whose sets outside the largest part fill several blocks.
+
+    Their sets were found by a quarter of the n-grams, of which too few may be their own. Now all
+    n-grams count, and only those in several sets of such units: most sets have no partner left.
+    """
+    outside = parts.where("part <> largest").groupBy("unit").agg(F.count("*").alias("sets"), F.sum("size").alias("grams_in"))
+    wide = cut_lineage(outside.where((F.col("sets") > block_sets) | (F.col("grams_in") > block_grams)).select("unit"))
+    if wide.isEmpty():
+        return parts
+    wide = sized(wide)
+    sets = cut_lineage(parts.join(wide, "unit", "left_semi").drop("unit", "largest"))
+    sizes = sets.select("key", "size", F.col("size").alias("counted"))
+    grams = sets.select("key", "grams").mapInArrow(_pairs_of, "key bigint, gram bigint")
+    units = sized(cut_lineage(_units(_stars(sizes, grams, measure, F.lit(True)))))
+    sets = sets.join(units, F.col("key") == F.col("node")).withColumnRenamed("component", "unit").drop("node")
+    return parts.join(wide, "unit", "left_anti").unionByName(_open(cut_lineage(sets)))
+
+
 def _across(sets: DataFrame, tied: DataFrame, measure: Measure, block_sets: int, block_grams: int) -> DataFrame:
     """Links between the blocks of units that are still in several parts.
 
-    Of two parts at least one is not the largest of its unit, so only the sets outside the largest
-    parts are compared with all blocks. A group of copies with a third of all sets is copied once
+    Units are told apart further first, see :func:`_finer`. Of two parts at least one is not the
+    largest of its unit, so only the sets outside the largest parts are compared with all blocks. A group of copies with a third of all sets is copied once
     for every block of sets outside of it, and never compared with itself.
     """
     known = sized(components(tied, "part", "joined"))
     parts = sets.join(known, F.col("key") == F.col("node"), "left")
     parts = parts.withColumn("part", F.coalesce("component", "key")).drop("node", "component")
-    counts = parts.groupBy("unit", "part").agg(F.count("*").alias("sets"))
-    largest = counts.groupBy("unit").agg(
-        F.max_by("part", F.struct("sets", "part")).alias("largest"), F.count("*").alias("parts_in")
-    )
-    largest = sized(cut_lineage(largest.where("parts_in > 1").select("unit", "largest")))
-    parts = parts.join(largest, "unit")
+    parts = _finer(_open(parts), measure, block_sets, block_grams)
     outside = cut_lineage(parts.where("part <> largest").drop("largest"))
     probes = _blocked(outside, 0, block_sets, block_grams)
     every = _blocked(parts.drop("largest"), 0, block_sets, block_grams)
@@ -341,21 +373,20 @@ def _across(sets: DataFrame, tied: DataFrame, measure: Measure, block_sets: int,
     return cut_lineage(grouped.applyInPandas(_join_block(measure), "unit bigint, part bigint, joined bigint"))
 
 
-def _stars(profiles: DataFrame, measure: Measure, counted: Column) -> DataFrame:
+def _stars(sizes: DataFrame, grams: DataFrame, measure: Measure, counted: Column) -> DataFrame:
     """``key`` and ``low``, the least key that shares an n-gram of both prefixes.
 
-    ``profiles`` has one row for each class: key, size, grams, and how many of these are
-    ``counted``, which is told by the given expression on ``gram``.
+    ``sizes`` has one row for each class: key, size, and how many of its n-grams are ``counted``,
+    which is told by the given expression on ``gram``. ``grams`` are pairs of key and gram; they
+    are dealt by gram once, and only those of several sets go on.
     """
     size = F.col("size")
     prefix = size - F.ceil(size * measure.percent / 100) + 1
-    needs = profiles.groupBy("key").agg(
+    needs = sizes.groupBy("key").agg(
         F.count("*").alias("rows"), F.max(prefix).alias("prefix"), F.min("counted").alias("counted")
     )
-    grams = profiles.select("key", F.explode("grams").alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1")
-    shared = cut_lineage(shared)
-    found = grams.join(shared, "gram").join(needs, "key")
+    shared = grams.withColumn("sets", F.count("*").over(Window.partitionBy("gram"))).where("sets > 1")
+    found = shared.join(needs, "key")
     by_order = Window.partitionBy("key").orderBy((~counted).cast("int"), "sets", "gram")
     whole = Window.partitionBy("key")
     place, known = F.row_number().over(by_order), F.sum(counted.cast("int")).over(whole)
@@ -368,15 +399,22 @@ def _stars(profiles: DataFrame, measure: Measure, counted: Column) -> DataFrame:
     return inside.join(sized(cut_lineage(ends.select("gram", "low"))), "gram").select("key", "low").distinct()
 
 
+def _units(stars: DataFrame) -> DataFrame:
+    """``node`` and ``component`` of every set in a star."""
+    tied = components(stars, "key", "low")
+    return tied.unionByName(tied.select(F.col("component").alias("node"), "component").distinct())
+
+
 def _candidates(profiles: DataFrame, measure: Measure) -> DataFrame:
     """``node`` and ``component``: units of sets that share an n-gram of both prefixes."""
     short = profiles.where(F.size("short") > 0).select("key", "size", F.col("size").alias("counted"), F.col("short").alias("grams"))
     quarter = F.pmod(F.col("gram"), F.lit(COUNTED)) == 0
     long = profiles.where(F.size("grams") > 0).select("key", "size", "counted", "grams")
-    stars = _stars(short, measure, F.lit(True)).unionByName(_stars(long, measure, quarter))
-    tied = components(stars, "key", "low")
-    heads = tied.select(F.col("component").alias("node"), "component").distinct()
-    return tied.unionByName(heads)
+
+    def stars(sets: DataFrame, counted: Column) -> DataFrame:
+        return _stars(sets.drop("grams"), sets.select("key", F.explode("grams").alias("gram")), measure, counted)
+
+    return _units(stars(short, F.lit(True)).unionByName(stars(long, quarter)))
 
 
 def near_duplicates(
@@ -398,11 +436,11 @@ def near_duplicates(
     known = profiles.where("_key IS NOT NULL AND size > 0")
     classes = cut_lineage(known.groupBy("set_key").agg(F.min("_key").alias("key")))
     copies = known.select("_key", "set_key").join(classes, "set_key").where("_key <> key")
-    copies = sized(cut_lineage(copies.select("_key", "set_key")))
-    firsts = known.join(copies, ["_key", "set_key"], "left_anti").withColumnRenamed("_key", "key")
+    copies = cut_lineage(copies.select("_key", "set_key"))
+    firsts = join_keys(known, copies, ["_key", "set_key"], "left_anti").withColumnRenamed("_key", "key")
     units = cut_lineage(_candidates(firsts.select("key", "size", "short", "counted", "grams"), measure))
 
-    texts = rows.join(sized(units), F.col("_key") == F.col("node"))
+    texts = join_keys(rows, units.withColumnRenamed("node", "_key"), ["_key"], "inner")
     texts = texts.select(F.col("component").alias("unit"), F.col("_key").alias("key"), "_text")
     sets = texts.mapInArrow(_sets(measure), "unit bigint, key bigint, size bigint, grams binary")
     sets = stored(sets.where("size > 0"), "sets")
@@ -434,11 +472,10 @@ def keep_one(
     firsts = members.groupBy("component_id").agg(F.min("_order").alias("_first"), F.count("*").alias("_n"))
     firsts = sized(cut_lineage(firsts.where("_n > 1").select("component_id", F.col("_first.row").alias("_first"))))
     out = cut_lineage(members.join(firsts, "component_id").where(F.col(row) != F.col("_first")).select(row))
-    rest = rows.join(sized(out), row, "left_anti").select(*rows.columns)
+    rest = join_keys(rows, out, [row], "left_anti").select(*rows.columns)
     repeated = cut_lineage(found.groupBy(row).count().where("count > 1").select(row))
     if repeated.isEmpty():
         return rest.drop(row)
-    repeated = sized(repeated)
-    once = rest.join(repeated, row, "left_anti").select(*rows.columns)
-    again = rest.join(repeated, row, "left_semi").select(*rows.columns).dropDuplicates([key, text])
+    once = join_keys(rest, repeated, [row], "left_anti").select(*rows.columns)
+    again = join_keys(rest, repeated, [row], "left_semi").select(*rows.columns).dropDuplicates([key, text])
     return once.unionByName(again).drop(row)

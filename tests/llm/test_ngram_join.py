@@ -6,6 +6,7 @@ from samples import TEXTS, documents, empty_documents, rows_of, with_clashes
 
 from reviewmill.llm import ngram_join
 from reviewmill.llm.components import components
+from reviewmill.operators import joins
 
 
 def brute_force(rows, words, percent):
@@ -125,3 +126,47 @@ def test_components_of_paths_and_rings(spark):
         found = components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(7), "a", "b", held)
         assert set(rows_of(found)) == {(i, 0) for i in range(1, 41)} | {(101, 100), (102, 100)}
     assert components(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").count() == 0
+
+
+def test_sets_with_enough_grams_of_their_own_are_not_compared(spark, monkeypatch):
+    """A quarter of the n-grams has too few of their own to tell all of these apart."""
+    choose = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(45))
+    texts = [passage + " " + " ".join(f"own{i}_{j}" for j in range(170 + i % 5)) for i in range(80)]
+    texts.append(edited(choose, texts[40], 2))
+    rows = [(i, text, "en") for i, text in enumerate(texts)]
+    given, blocked = [], ngram_join._blocked
+
+    def counted(sets, *rest):
+        given.append(sets.count())
+        return blocked(sets, *rest)
+
+    monkeypatch.setattr(ngram_join, "_blocked", counted)
+    found = ngram_join.near_duplicates(documents(spark, rows), words=5, percent=80, block_sets=4)
+    assert rows_of(found) == brute_force(rows, 5, 80)
+    assert given[0] > 20  # the sets of one unit, cut into blocks
+    assert given[-1] <= 2  # those compared across blocks
+
+
+def test_keys_beyond_a_broadcast_give_the_same_groups(spark, groups, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    rows = groups + [(groups[0][0], "another text under a key that is there", "en"), (None, groups[1][1], "en"), groups[2]]
+    docs = documents(spark, rows).withColumnRenamed("lang", "_map0")
+    kept = ngram_join.keep_one(docs, words=4, percent=85)
+    assert kept.columns == docs.columns
+    firsts = {group for _, _, group in brute_force(groups, 4, 85)}
+    wanted = [(key, text) for key, text, _ in groups if key in firsts] + [rows[-3][:2]]
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(wanted)
+
+
+def test_rows_without_a_key_are_not_shuffled(spark, monkeypatch):
+    wide = spark.range(20_000).selectExpr("id AS k", "concat('text ', id) AS text", "1 AS _map0")
+    keys = spark.range(0, 20_000, 10).selectExpr("id AS k")
+    likely, others = joins.split_by_keys(wide, keys, ["k"], 2_000)
+    assert likely.join(keys, "k", "left_semi").count() == 2_000
+    assert likely.count() < 2_000 + 0.06 * 18_000 and likely.count() + others.count() == 20_000
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    nothing = spark.createDataFrame([(None, "no key", 1)], "k bigint, text string, _map0 int")
+    for how, rows in (("left_semi", 2_000), ("left_anti", 18_001), ("inner", 2_000)):
+        found = joins.join_keys(wide.unionByName(nothing), keys, ["k"], how)
+        assert found.count() == rows and found.columns == wide.columns
