@@ -20,7 +20,14 @@ A unit larger than a block is cut into hashed blocks. Blocks are joined by thems
 their representatives, level by level, until each unit has one block left; so a group of copies
 with a third of all rows comes together without all of its pairs. In units that still
 have more than one part the sets outside the largest one are compared with all blocks, except for
-pairs within a part. No pairs are written, only which set was joined with which.
+pairs within a part. Where these fill several blocks, the unit is first told apart again as in 2
+and 3, by all n-grams of its sets: sets of long texts often come into a large unit only because
+a quarter holds too few n-grams of their own. No pairs are written, only which set was joined
+with which.
+
+An n-gram's keys are sorted in one task; no key has more n-grams there than its set, so that is a
+small share of all rows unless the sets are tiny. Texts are looked up for the sets of units, and
+left out at the end, through bitmaps of keys where the keys are too many for a broadcast.
 
 Defined results
 ---------------
