@@ -25,8 +25,8 @@ and 3, by all n-grams of its sets: sets of long texts often come into a large un
 a quarter holds too few n-grams of their own. No pairs are written, only which set was joined
 with which.
 
-An n-gram's keys are sorted in one task; no key has more n-grams there than its set, so that is a
-small share of all rows unless the sets are tiny. Texts are looked up for the sets of units, and
+All keys of an n-gram are sorted in one task. They are one for each set at most, a small share of
+all rows unless sets are tiny. Texts are looked up for the sets of units, and
 left out at the end, through bitmaps of keys where the keys are too many for a broadcast.
 
 Defined results
